@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, parity_join, pareto_mix, token_counts
+from . import ads_search, chat, license_scan, maxscore, pareto_mix, parity_join, pu_quality, sp_sampling, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -42,6 +42,19 @@ FROM c GROUP BY conv_id
 """
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.maxscore(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +72,30 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold != 1)
+    out = toxicity.score(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_sampling.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = pu_quality.train(docs, _table(spark, sf_dir, "labels"), fold != 0)
+    out = pu_quality.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ads_search.adaptive_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,8 +105,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op4_parity_join, op9_pareto_mix, op10_license_scan)}
+    own = (op1_token_counts, op2_chat_format, op3_maxscore, op4_parity_join, op5_toxicity, op6_sentencepiece, op7_pu_quality, op8_adaptive_search, op9_pareto_mix, op10_license_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2, "op4_parity_join": OP4, "op9_pareto_mix": pareto_mix.ORACLE}
+    return {"op2_chat_format": OP2, "op3_maxscore": OP3, "op4_parity_join": OP4, "op9_pareto_mix": pareto_mix.ORACLE}
