@@ -292,7 +292,7 @@ def j04(spark, d):
     return p.select("doc_id", trajectory.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
 
 
-PACKED = "SELECT l_suppkey AS run_id, l_linenumber AS step, l_orderkey * 100000 + l_partkey AS sample_id, l_partkey % 2 AS lora_idx, CAST(l_quantity AS INT) AS n_tokens FROM lineitem"
+PACKED = "SELECT l_suppkey AS run_id, l_linenumber AS step, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice, l_shipdate) AS sample_id, l_partkey % 2 AS lora_idx, CAST(l_quantity AS INT) AS n_tokens FROM lineitem"
 
 
 def _samples(spark, d):
