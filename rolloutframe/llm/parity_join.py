@@ -10,11 +10,12 @@ two sketches is a lower bound of the symmetric difference.
    sends one key for each part that holds elements (the part's number, bits and element count). A part without elements
    says little; since two parts agree, linked sets that share no other part share a pair of empty ones, and such pairs
    are keys too. Nothing is capped, and all links are among classes that share a key.
-3. Classes that share a key are joined to clusters: a task links the classes of its keys by union-find and passes on a
-   spanning forest, never the pairs of a key, and connected components finish in Spark.
+3. Keys with the same classes are one bucket. The whole sketches of a bucket's classes are compared, and classes whose
+   distance allows a link are joined by union-find; a task passes on a spanning forest, never the pairs of a bucket, and
+   connected components make the clusters in Spark.
 4. A cluster's sets meet in blocks: small clusters whole, large ones as a grid of (band, salt) cells of about
-   BLOCK_ROWS sets, each pair of cells of equal or neighbouring bands once. A block compares sketches by Hamming
-   distance, counts common elements of what remains (exactly, unless already linked) and passes on a spanning forest.
+   BLOCK_ROWS sets, each pair of cells of equal or neighbouring bands once. A block compares sketches again, counts
+   common elements of what remains (exactly, unless already linked) and passes on a spanning forest.
 
 Edge cases: a null or empty text has no shingles, a component of its own and no links; a text of fewer words than a
 shingle is one shingle; repeated rows give repeated rows of one component; a text that only rows with null ids have links
@@ -32,7 +33,7 @@ from ._spark import bounded_batches, components, partitions, saved
 from ._text import GOLDEN, U64, mix64, shingles, slices
 
 BLOCK_ROWS = 2048
-BROADCAST_ROWS = 4_000_000  # ids up to which the candidate list is broadcast (64 MB); beyond, a shuffle join
+BROADCAST_ROWS = 1_000_000  # candidates up to which their list is broadcast (about 100 MB); beyond, a shuffle join
 
 
 class Bands:
@@ -122,17 +123,62 @@ class Forest:
         return True
 
 
-def _edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the ids that share keys."""
+def buckets(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, id) of the keys that several ids share; keys with the same ids are one bucket."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    same = (keys[1:] == keys[:-1]) & (ids[1:] != ids[:-1])
-    a, b = ids[:-1][same], ids[1:][same]
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pairs = np.unique(place.reshape(2, -1), axis=1)
-    forest = Forest(len(names))
-    kept = [i for i, (x, y) in enumerate(pairs.T.tolist()) if forest.join(x, y)]
-    return names[pairs[0, kept]], names[pairs[1, kept]]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[new], ids[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(first, len(keys)))
+    shared = np.repeat(many > 1, many)
+    ids, many = ids[shared], many[many > 1]
+    if not len(ids):
+        return np.zeros(0, np.int64), ids
+    first = np.cumsum(many) - many
+    with np.errstate(over="ignore"):
+        name = mix64(np.add.reduceat(mix64(ids.view(U64)), first) + many.astype(U64) * GOLDEN)
+    _, once = np.unique(name, return_index=True)
+    keep = np.zeros(len(many), bool)
+    keep[once] = True
+    rows = np.repeat(keep, many)
+    return np.repeat(name, many)[rows].view(np.int64), ids[rows]
+
+
+def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set, of a power of two of 64-bit words: at least about one bit for each element."""
+    size = np.diff(offsets)
+    words = np.array([1 << max(2, (int(n) // 64).bit_length()) for n in size])
+    base = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(base[-1], U64)
+    owner = np.repeat(np.arange(len(size)), size)
+    np.bitwise_xor.at(out, base[owner] + ((h >> U64(6)) & (words[owner] - 1).astype(U64)).astype(np.int64), U64(1) << (h & U64(63)))
+    raw = out.tobytes()
+    return [raw[8 * a : 8 * b] for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches as a matrix of the shortest one's width; halves of longer ones are folded onto each other by XOR."""
+    width = min(map(len, raw)) // 8
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(r, U64).reshape(-1, width), axis=0) for r in raw])
+
+
+def close_edges(ids: np.ndarray, size: np.ndarray, raw: list[bytes], bands: Bands) -> list[tuple[int, int]]:
+    """A spanning forest of a bucket's classes whose sizes and sketches allow a link."""
+    order = np.argsort(size, kind="stable")
+    ids, size, sketch = ids[order], size[order], folded([raw[i] for i in order])
+    out, root = [], np.arange(len(ids))
+    for i in range(len(ids) - 1):
+        hi = int(np.searchsorted(size, size[i] * bands.den // bands.num, "right"))
+        far = np.flatnonzero(root[i + 1 : hi] != root[i]) + i + 1  # the others are linked already
+        if len(far):
+            distance = np.bitwise_count(sketch[far] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            for j in far[distance <= bands.far(size[i], size[far])].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
 def link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
@@ -194,30 +240,39 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
                 owner, key = part_keys(h[pick], np.concatenate([[0], np.cumsum(size)]), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[first][owner])], names=["key", "set"])
 
-    def cluster(batches):
+    def share(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if got:
-            a, b = _edges(*map(np.concatenate, zip(*got, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = buckets(*map(np.concatenate, zip(*got, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["bucket", "set"])
 
-    def elements(batches):
+    def read(batches):
+        """(wanted rows, their places, elements, offsets) for each slice of a batch of set, text, ...."""
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1)):
                 h, place = shingles(data, offsets, words)
-                raw, ids = h.tobytes(), set_ids(h, place)
+                ids = set_ids(h, place)
                 # an id may stand for several texts; the others are not the wanted one
                 pick = np.flatnonzero(ids == batch.column(0).slice(lo, hi - lo).to_numpy())
-                own = [raw[8 * place[i] : 8 * place[i + 1]] for i in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(own, pa.binary())], names=["set", "elements"])
+                yield batch.slice(lo, hi - lo).take(pa.array(pick)), pick, h, place
 
-    def verify(batches):
-        block, rows = None, []
-        out = []
+    def sketch_wanted(batches):
+        for part, pick, h, place in read(batches):
+            own = sketches(h, place)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(place)[pick]), pa.array([own[i] for i in pick], pa.binary())], names=["set", "n", "sketch"])
 
-        def done():
-            if len(rows) > 1:
-                ids, side, sets = zip(*rows, strict=True)
-                out.extend(link_block(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), bands))
+    def elements(batches):
+        for part, pick, h, place in read(batches):
+            raw = h.tobytes()
+            entries = part.column(2).to_pylist()
+            many = [len(e) for e in entries]
+            own = [raw[8 * place[i] : 8 * place[i + 1]] for i in pick]
+            flat = [e for x in entries for e in x]
+            yield pa.RecordBatch.from_arrays([pa.array([e["block"] for e in flat], pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), many)), pa.array([e["side"] for e in flat], pa.int32()), pa.array([x for x, m in zip(own, many, strict=True) for _ in range(m)], pa.binary())], names=["block", "set", "side", "elements"])
+
+    def grouped(batches, width, work):
+        """Rows of consecutive equal keys go to ``work``, which returns pairs."""
+        key, rows, out = None, [], []
 
         def told():
             a = np.array(out, np.int64).reshape(-1, 2)
@@ -225,20 +280,48 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != block:
-                    done()
-                    block, rows = key, []
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+                if k != key:
+                    if len(rows) > 1:
+                        out.extend(work(rows))
+                    key, rows = k, []
                 rows.append(row)
             yield told()
-        done()
+        if len(rows) > 1:
+            out.extend(work(rows))
         yield told()
 
+    def near(rows):
+        rows = list({r[0]: r for r in rows}.values())  # a bucket may come from several tasks
+        ids, size, raw = zip(*rows, strict=True)
+        return close_edges(np.array(ids), np.array(size), raw, bands) if len(ids) > 1 else []
+
+    def linked_rows(rows):
+        ids, side, sets = zip(*rows, strict=True)
+        return link_block(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), bands)
+
+    def allow(batches):
+        yield from grouped(batches, 4, near)
+
+    def verify(batches):
+        yield from grouped(batches, 4, linked_rows)
+
     classes = saved(texts.mapInArrow(classify, "id long, n long, band int, set long"))
     many = 3 * partitions(spark)
     keys = texts.where("text is not null").select("text").mapInArrow(sketch, "key long, set long").repartition(many, "key")
-    candidates = components(keys.mapInArrow(cluster, "a long, b long"))
+    shared = saved(keys.mapInArrow(share, "bucket long, set long"))
     unique = classes.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("band").alias("band"))
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """The wanted sets with one of their texts; few enough ids are broadcast, others join by a shuffle."""
+        wanted = saved(wanted)
+        few = wanted.count() <= BROADCAST_ROWS
+        return texts.where("text is not null").join(F.broadcast(wanted) if few else wanted, "id")
+
+    wanted = unique.join(shared.select("set").distinct(), "set").select(F.col("least").alias("id"), "set")
+    sketched = with_texts(wanted).select("set", "text").mapInArrow(sketch_wanted, "set long, n long, sketch binary")
+    rows = shared.join(sketched, "set").select("bucket", "set", "n", "sketch").repartition(many, "bucket").sortWithinPartitions("bucket")
+    candidates = components(rows.mapInArrow(allow, "a long, b long"))
     members = saved(candidates.withColumnRenamed("node", "set").withColumnRenamed("root", "cluster").join(unique, "set"))
     # cells of large clusters: band and salt; a small cluster is one block
     cells = members
@@ -255,13 +338,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     above = F.transform(upto(F.col("up")), lambda s: entry(name("band", F.lit(1), F.col("salt"), s), F.lit(0)))
     below = F.transform(upto(F.col("down")), lambda s: entry(name(F.col("band") - 1, F.lit(1), s, F.col("salt")), F.lit(1)))
     blocks = F.when(F.col("all") <= BLOCK_ROWS, F.array(entry(name(F.lit(-1)), F.lit(2)))).otherwise(F.concat(own, above, below))
-    cells = cells.select("set", F.explode(blocks).alias("x")).select("set", "x.block", "x.side")
-    # the sets of one text for each candidate class
-    wanted = members.select(F.col("least").alias("id"), "set")
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = texts.where("text is not null").join(wanted, "id").select("set", "text").mapInArrow(elements, "set long, elements binary")
-    links = cells.join(found, "set").select("block", "set", "side", "elements").repartition(many, "block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long")
+    cells = cells.select(F.col("least").alias("id"), "set", blocks.alias("blocks"))
+    found = with_texts(cells).select("set", "text", "blocks").mapInArrow(elements, "block long, set long, side int, elements binary")
+    links = found.repartition(many, "block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long")
     linked = components(links)
     # each class takes the smallest id of its component
     label = linked.withColumnRenamed("node", "set").join(unique.select("set", "least"), "set")
