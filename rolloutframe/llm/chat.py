@@ -55,8 +55,9 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     path = ranked.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("distance"))
     for r in range(len(levels) - 1, -1, -1):
         b = levels[r].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        above = path.join(b, key("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + (1 << r)).alias("distance"))
-        path = path.unionByName(above)
+        # each message stays and brings its ancestor 2**r steps up; one reference to path keeps the plan linear
+        both = F.array(F.struct("node", "distance"), F.struct(F.col("up").alias("node"), (F.col("distance") + (1 << r)).alias("distance")))
+        path = path.join(b, key("tree", "t") & (F.col("node") == F.col("n")), "left").select("tree", "leaf", "rank", F.explode(both).alias("x")).select("tree", "leaf", "rank", "x.node", "x.distance").where("node is not null")
     out = saved(path)
     for x in levels:
         delete(x)
