@@ -15,10 +15,18 @@ of one id and text count apart, as every row gets a key of its own; other column
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from ._spark import bounded_batches
+from ._text import GOLDEN, LOWER, U64, mix64, range_hashes, slices, spans
+
+# words are runs of digits, ASCII letters and everything beyond ASCII
+NOT_WORD = np.ones(256, bool)
+for _r in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
+    NOT_WORD[list(_r)] = False
 K = 3
 MOST_TEMPLATE_GRAMS = 20_000
 
@@ -38,8 +46,19 @@ TEMPLATES = {
 }
 
 
-def _grams(words: list[str]) -> list[tuple[int, list[str]]]:
-    return [(i, words[i : i + K]) for i in range(len(words) - K + 1)]
+def kgrams(data: np.ndarray, offsets: np.ndarray):
+    """(text, first word, hash of each K-gram, words of each text) of a slice, A-Z lower-cased."""
+    starts, ends, doc = spans(data, offsets, NOT_WORD)
+    words = range_hashes(LOWER[data], starts, ends)
+    count = np.bincount(doc, minlength=len(offsets) - 1)
+    n = max(0, len(words) - K + 1)
+    with np.errstate(over="ignore"):
+        h = np.zeros(n, U64)
+        for j in range(K):
+            h = mix64(h * U64(31) + words[j : j + n] + GOLDEN)
+    same = doc[:n] == doc[K - 1 :] if n else np.zeros(0, bool)
+    pos = np.arange(n) - (np.cumsum(count) - count)[doc[:n]]
+    return doc[:n][same], pos[same], h[same], count
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, share: float = 0.7, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,31 +74,44 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             if len(words) < K:
                 raise ValueError(f"{text!r} has fewer than {K} words")
             size[kind, n] = len(words) - K + 1
-            rows += [(kind == "phrase", n, label, i, len(words) - K + 1, *w) for i, w in _grams(words)]
+            raw = np.frombuffer(text.encode(), np.uint8)
+            _, pos, h, _ = kgrams(raw, np.array([0, len(raw)]))
+            rows += [(kind == "phrase", n, label, i, len(words) - K + 1, x) for i, x in zip(pos.tolist(), h.view(np.int64).tolist(), strict=True)]
     if len(rows) > MOST_TEMPLATE_GRAMS:
         raise ValueError("too many template k-grams to broadcast")
-    t = spark.createDataFrame(rows, "exact boolean, template int, label string, at int, grams int, w0 string, w1 string, w2 string")
-    t = t.select("exact", "template", "label", "at", "grams", F.xxhash64("w0", "w1", "w2").alias("h"))
-    # only A-Z may change: the Kelvin sign is the one other character whose lower case is ASCII
-    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\ue000"))
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("w"))
-    gram = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    last = F.size("w") - K
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)).otherwise(F.array().cast("array<bigint>"))
-    # the null in front stands for the text itself, so that one pass serves texts with and without hits
-    grams = d.select("_row", "_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("pos", "h"))
-    hits = grams.withColumn("pos", F.col("pos") - 1).join(F.broadcast(t), "h", "left").where("pos < 0 or at is not null")
-    votes = hits.groupBy("_row", "exact", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("_id").alias("_id"), F.first("n_words").alias("n_words"))
-    rows = votes.where("template is null").select("_row", "_id", "n_words", *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("exact", "boolean"), ("first", "long"), ("last", "long"), ("score", "double"))])
-    exact = votes.where("exact and votes = grams").select("_row", "_id", "n_words", "label", "exact", F.col("diagonal").cast("long").alias("first"), (F.col("diagonal") + F.col("grams") + K - 2).cast("long").alias("last"), F.lit(1.0).alias("score"))
-    # neighbouring diagonals of one template merge
-    order = Window.partitionBy("_row", "template").orderBy("diagonal")
-    gap = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > slack).cast("int"), F.lit(0))
-    near = votes.where("not exact").withColumn("gap", gap).withColumn("band", F.sum("gap").over(order))
-    near = near.groupBy("_row", "template", "label", "grams", "band").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("_id").alias("_id"), F.first("n_words").alias("n_words"))
-    near = near.withColumn("score", F.size("ats") / F.col("grams")).where((F.col("score") >= share) & (F.col("last") - F.col("first") <= 2 * (F.col("grams") + slack)))
-    near = near.select("_row", "_id", "n_words", "label", F.lit(False).alias("exact"), F.col("first").cast("long").alias("first"), (F.col("last") + K - 1).cast("long").alias("last"), "score")
-    return rows.unionByName(exact).unionByName(near).withColumnRenamed("_id", id_col)
+    t = spark.createDataFrame(rows, "exact boolean, template int, label string, at int, grams int, h long")
+    bounded_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def grams(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                doc, pos, h, count = kgrams(data, offsets)
+                # the row at -1 stands for the text itself, so that one pass serves texts with and without hits
+                own = pa.concat_arrays([pa.array(np.arange(hi - lo)), pa.array(doc)])
+                part = batch.slice(lo, hi - lo)
+                n = pa.concat_arrays([pa.array(count), pa.nulls(len(doc), pa.int64())])
+                at = np.concatenate([np.full(hi - lo, -1, np.int32), pos.astype(np.int32)])
+                hashes = pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(h.view(np.int64))])
+                ids = pa.concat_arrays([part.column(1), pa.nulls(len(doc), part.column(1).type)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), ids, n, pa.array(at), hashes], names=["_row", "_id", "n_words", "pos", "h"])
+
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    every = d.mapInArrow(grams, f"_row long, _id {kind}, n_words long, pos int, h long")
+    hits = every.join(F.broadcast(t), "h", "left").where("pos < 0 or at is not null")
+    votes = hits.groupBy("_row", "exact", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("_id", True).alias("_id"), F.max("n_words").alias("n_words"))
+    # neighbouring diagonals of one template merge; a phrase's stay apart. All kinds of rows go through one plan, so the
+    # texts are read once.
+    order = Window.partitionBy("_row", "exact", "template").orderBy("diagonal")
+    gap = F.coalesce((F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > slack)).cast("int"), F.lit(0))
+    bands = votes.withColumn("gap", gap).withColumn("band", F.sum("gap").over(order))
+    places = bands.groupBy("_row", "exact", "template", "label", "grams", "band").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("_id", True).alias("_id"), F.max("n_words").alias("n_words"))
+    places = places.withColumn("score", F.when(F.col("template").isNotNull(), F.size("ats") / F.col("grams")))
+    whole = F.col("exact") & (F.col("score") == 1)
+    near = ~F.col("exact") & (F.col("score") >= share) & (F.col("last") - F.col("first") <= 2 * (F.col("grams") + slack))
+    places = places.where(F.col("template").isNull() | whole | near)
+    word = lambda c: F.when(F.col("template").isNotNull(), c.cast("long"))
+    return places.select("_row", F.col("_id").alias(id_col), "n_words", "label", "exact", word(F.col("first")).alias("first"), word(F.col("last") + K - 1).alias("last"), "score")
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -88,5 +120,5 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     labels = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
     own = F.when(F.col("exact"), F.col("label"))
     begin = F.when(F.col("exact"), F.col("first"))
-    found = places.groupBy("_row").agg(F.first("_id").alias(id_col), F.first("n_words").alias("n_words"), F.count(own).alias("n_base"), F.min(begin).alias("first_word"), F.max(begin).alias("last_word"), labels(own).alias("base_labels"), labels("label").alias("labels"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    found = places.groupBy("_row").agg(F.first("_id", True).alias(id_col), F.max("n_words").alias("n_words"), F.count(own).alias("n_base"), F.min(begin).alias("first_word"), F.max(begin).alias("last_word"), labels(own).alias("base_labels"), labels("label").alias("labels"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
     return found.drop("_row")
