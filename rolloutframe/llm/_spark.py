@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ONE_TASK = 500_000  # edges that one task may take: about 60 MB
+
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of this many rows, so that a Python worker holds a few MB of text at a time."""
@@ -43,15 +47,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def _forest(batches):
+    """(node, root) of the edges of one task, by union-find over arrays."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    names, place = np.unique(np.concatenate([x for pair in got for x in pair] or [np.zeros(0, np.int64)]), return_inverse=True)
+    up, at = list(range(len(names))), 0
+    for a, _ in got:
+        n = len(a)
+        for x, y in zip(place[at : at + n].tolist(), place[at + n : at + 2 * n].tolist(), strict=True):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            while up[y] != y:
+                up[y] = up[up[y]]
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        at += 2 * n
+    root = np.array(up, np.int64)
+    while len(root) and (root[root] != root).any():
+        root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node of ``edges``; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: only minima per node are aggregated, so a hub needs no list of its
-    neighbours. Each round is written to the shared folder; the loop ends when the edges stay the same.
+    neighbours. Each round is written to the shared folder; the loop ends when the edges stay the same. A graph that has
+    at most ``one_task`` edges, from the start or after a round, is finished by union-find in one task.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, last, old = saved(e), None, None
     for _ in range(rounds):
+        if e.count() <= one_task:
+            return saved(e.coalesce(1).mapInArrow(_forest, "node long, root long"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node go to the least of its neighbourhood

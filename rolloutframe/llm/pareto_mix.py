@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 4096
 MANY_SOURCES = 100_000  # (source, band) rows up to which the solved table is broadcast: a few MB
@@ -69,10 +71,9 @@ def pareto_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int
     solved = bands.join(sources, bands["_source"].eqNullSafe(sources["_source"]), "left").drop(sources["_source"]).select("_source", "_band", "source_size", "target")
     b = b.select(F.col("_source").alias("_s"), F.col("_band").alias("_b"), "whole", "p", "rest")
     solved = solved.join(b, solved["_source"].eqNullSafe(b["_s"]) & (solved["_band"] == b["_b"]), "left").select(F.col("_source").alias("_s"), F.col("_band").cast("int").alias("_b"), "source_size", "target", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("rest", F.lit(0.0)).alias("rest"))
-    rows = solved.collect()  # sources times bands
-    spark = docs.sparkSession
-    solved = spark.createDataFrame(rows, solved.schema)
-    if len(rows) <= MANY_SOURCES:
+    solved = saved(solved)  # sources times bands
+    few = solved.count() <= MANY_SOURCES
+    if few:
         solved = F.broadcast(solved)
     d = d.join(solved, d["_source"].eqNullSafe(solved["_s"]) & (d["_band"] == solved["_b"]), "left").drop("_s", "_b")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
@@ -82,7 +83,7 @@ def pareto_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int
     sums = d.where("range is not null").groupBy("_source", "range").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
     upto = F.sum("s").over(mine.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     cut = sums.withColumn("done", F.coalesce(upto, F.lit(0))).where("done < rest").groupBy("_source").agg(F.max(F.struct("range", "done")).alias("x")).select(F.col("_source").alias("_s"), F.col("x.range").alias("cut"), F.col("x.done").alias("done"))
-    if len(rows) <= MANY_SOURCES:
+    if few:
         cut = F.broadcast(cut)
     d = d.join(cut, d["_source"].eqNullSafe(cut["_s"]), "left").drop("_s")
     edge = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))

@@ -87,17 +87,17 @@ def part_keys(h: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndar
         with np.errstate(over="ignore"):
             salt = mix64(group.astype(U64) + U64(1000))
             key = mix64(mix64(words + salt[owner]) + (number.astype(U64) << U64(32)) + count.astype(U64))
-            owners.append(owner[count > 0])
-            keys.append(key[count > 0])
-            empty = count == 0
-            n = np.bincount(owner[empty], minlength=len(size))
+            weak = count == 0
+            owners.append(owner[~weak])
+            keys.append(key[~weak])
+            n = np.bincount(owner[weak], minlength=len(size))
             if (n > 1).any():
                 place = np.concatenate([[0], np.cumsum(n)])
-                hole = number[empty].astype(U64)
+                own = key[weak]
                 for i in np.flatnonzero(n > 1):
-                    x = hole[place[i] : place[i + 1]]
+                    x = own[place[i] : place[i + 1]]
                     a, b = np.triu_indices(len(x), 1)
-                    keys.append(mix64(mix64(salt[i] + x[a] * GOLDEN) + x[b] + U64(1)))
+                    keys.append(mix64(mix64(x[a]) + x[b]))
                     owners.append(np.full(len(a), i))
     return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
@@ -147,9 +147,9 @@ def buckets(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The parity sketch of each set, of a power of two of 64-bit words: at least about one bit for each element."""
+    """The parity sketch of each set, of a power of two of 64-bit words: at least one bit for two elements."""
     size = np.diff(offsets)
-    words = np.array([1 << max(2, (int(n) // 64).bit_length()) for n in size])
+    words = np.array([1 << max(2, (int(n) // 128).bit_length()) for n in size])
     base = np.concatenate([[0], np.cumsum(words)])
     out = np.zeros(base[-1], U64)
     owner = np.repeat(np.arange(len(size)), size)
@@ -292,9 +292,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         yield told()
 
     def near(rows):
-        rows = list({r[0]: r for r in rows}.values())  # a bucket may come from several tasks
         ids, size, raw = zip(*rows, strict=True)
-        return close_edges(np.array(ids), np.array(size), raw, bands) if len(ids) > 1 else []
+        return close_edges(np.array(ids), np.array(size), raw, bands)
 
     def linked_rows(rows):
         ids, side, sets = zip(*rows, strict=True)
@@ -307,9 +306,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         yield from grouped(batches, 4, linked_rows)
 
     classes = saved(texts.mapInArrow(classify, "id long, n long, band int, set long"))
-    many = 3 * partitions(spark)
+    many = partitions(spark)
     keys = texts.where("text is not null").select("text").mapInArrow(sketch, "key long, set long").repartition(many, "key")
-    shared = saved(keys.mapInArrow(share, "bucket long, set long"))
+    shared = saved(keys.mapInArrow(share, "bucket long, set long").distinct())  # copies share many parts, so many equal buckets
     unique = classes.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("band").alias("band"))
 
     def with_texts(wanted: DataFrame) -> DataFrame:
