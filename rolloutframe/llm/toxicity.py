@@ -27,7 +27,7 @@ from ._spark import bounded_batches
 from ._text import LOWER, U64, mix64, range_hashes, slices, spans
 from .pu_quality import sampled
 
-SAMPLE, LONGEST = 5_000, 60_000
+SAMPLE, LONGEST, FIT_SLICE = 4_000, 60_000, 1 << 19
 WINDOW, STRIDE = 32, 16
 HIDDEN, EPOCHS, BATCH, RATE = 8, 8, 128, 8e-3
 INPUTS = 10
@@ -176,10 +176,10 @@ class Network:
         """Scores of windows over the words' inputs, in blocks."""
         g = np.concatenate([self.gates(x), np.zeros((1, 6 * HIDDEN), np.float32)])
         out = np.zeros(len(place), np.float32)
-        for lo in range(0, len(place), 4096):
-            p = place[lo : lo + 4096].T
+        for lo in range(0, len(place), 2048):
+            p = place[lo : lo + 2048].T
             mask = p >= 0
-            out[lo : lo + 4096] = self.pool(self.states(g[p], mask), mask)[3]
+            out[lo : lo + 2048] = self.pool(self.states(g[p], mask), mask)[3]
         return out
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
@@ -240,66 +240,91 @@ class Network:
         return np.maximum.reduceat(logit, first), np.bincount(doc, minlength=n)
 
 
-def evidence(owner: np.ndarray, keys: np.ndarray, y: np.ndarray, least: int) -> Table:
-    """Log odds of toxic documents for the keys in at least ``least`` documents. owner: document of each key."""
-    order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    keys, owner = keys[new], owner[new]
-    unique, at, count = np.unique(keys, return_inverse=True, return_counts=True)
-    toxic = np.bincount(at, y[owner], len(unique))
-    share = y.mean()
-    # pseudo-documents at the base rate, so a key seen once or twice says little
-    odds = np.log((toxic + 2 * share) / (count - toxic + 2 * (1 - share))) - np.log(share / (1 - share))
-    z = np.abs(toxic - count * share) / np.sqrt(count * share * (1 - share))
-    pick = np.flatnonzero((count >= least) & (z > 3))
-    pick = pick[np.argsort(-z[pick], kind="stable")[:MOST_ENTRIES]]
-    return Table(unique[pick], odds[pick])
+class Evidence:
+    """Documents and toxic documents of each key, for both halves of the sample; grown slice by slice."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, U64), np.zeros((0, 4), np.int32)
+
+    def add(self, keys: np.ndarray, owner: np.ndarray, y: np.ndarray, half: np.ndarray):
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[new], owner[new]
+        unique, at = np.unique(keys, return_inverse=True)
+        own = np.zeros((len(unique), 4), np.int32)
+        for i, flag in enumerate((half[owner], half[owner] & (y[owner] > 0), ~half[owner], ~half[owner] & (y[owner] > 0))):
+            own[:, i] = np.bincount(at, flag, len(unique))
+        both, at = np.unique(np.concatenate([self.keys, unique]), return_inverse=True)
+        counts = np.zeros((len(both), 4), np.int32)
+        counts[at[: len(self.keys)]] = self.counts
+        counts[at[len(self.keys) :]] += own
+        self.keys, self.counts = both, counts
+
+    def table(self, halves: tuple[int, ...], share: float, least: int) -> Table:
+        """Log odds of toxic documents for the keys in at least ``least`` documents of the halves."""
+        count = sum(self.counts[:, 2 * h] for h in halves).astype(np.float64)
+        toxic = sum(self.counts[:, 2 * h + 1] for h in halves).astype(np.float64)
+        # pseudo-documents at the base rate, so a key seen once or twice says little
+        odds = np.log((toxic + 2 * share) / (count - toxic + 2 * (1 - share))) - np.log(share / (1 - share))
+        z = np.abs(toxic - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
+        pick = np.flatnonzero((count >= least) & (z > 3))
+        pick = pick[np.argsort(-z[pick], kind="stable")[:MOST_ENTRIES]]
+        return Table(self.keys[pick], odds[pick])
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 13) -> tuple[Network, list[Table]]:
-    """Evidence tables and a network from labelled texts."""
-    raw = [t.encode() for t in texts]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    words = Words(data, offsets)
+    """Evidence tables and a network from labelled texts, in passes over slices of the texts."""
     y = y.astype(np.float64)
-
-    def tables(some: np.ndarray) -> list[Table]:
-        number = np.cumsum(some) - 1
-        on = some[words.doc]
-        out = [evidence(number[words.doc[on]], words.hash[on], y[some], 2)]
-        for h, word, _ in words.grams:
-            d = words.doc[word]
-            on = some[d]
-            out.append(evidence(number[d[on]], h[on], y[some], 4))
-        return out
-
-    # the network sees evidence that its own document has not been counted in: two halves serve each other
+    share = float(y.mean())
     rng = np.random.default_rng(seed)
     half = rng.permutation(len(y)) % 2 == 0
-    place, doc = windows(words)
-    x = np.zeros((len(words.hash), INPUTS), np.float32)
-    for some in (half, ~half):
-        if 0 < y[some].sum() < some.sum():
-            own = inputs(words, tables(some))
-            x[~some[words.doc]] = own[~some[words.doc]]
-    padded = np.concatenate([x, np.zeros((1, INPUTS), np.float32)])
-    heat = np.maximum(padded[place][:, :, [0, 1, 3]], 0).sum(axis=2).max(axis=1)
-    rank = np.lexsort((rng.random(len(doc)), -heat, doc))
-    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    number = np.empty(len(doc), np.int64)
-    number[rank] = nth
-    extra = rng.random(len(doc)) < 0.15
-    use = np.flatnonzero((number == 0) | ((number <= 2) & (y[doc] == 0)) | (extra & (y[doc] == 0)))
-    p = place[use].T
-    target = y[doc[use]].astype(np.float32)
+    array = pa.array(texts, pa.large_string())
+    counts = [Evidence() for _ in range(3)]
+    for lo, hi, data, offsets in slices(array, FIT_SLICE):
+        words = Words(data, offsets)
+        counts[0].add(words.hash, words.doc, y[lo:hi], half[lo:hi])
+        for c, (h, word, _) in zip(counts[1:], words.grams, strict=True):
+            c.add(h, words.doc[word], y[lo:hi], half[lo:hi])
+    least = (2, 4, 4)
+    # the network sees evidence that its own document has not been counted in: the halves serve each other
+    other = [[c.table((h,), share, n) for c, n in zip(counts, least, strict=True)] for h in (1, 0)]
+    every = [c.table((0, 1), share, n) for c, n in zip(counts, least, strict=True)]
+    del counts
+
+    def passed():
+        """(first document, documents of the windows, inputs with an empty row at the end, windows) of each slice."""
+        for lo, hi, data, offsets in slices(array, FIT_SLICE):
+            words = Words(data, offsets)
+            mine = half[lo:hi][words.doc][:, None]
+            x = np.where(mine, inputs(words, other[0]), inputs(words, other[1]))
+            place, doc = windows(words)
+            yield lo, hi, doc, np.concatenate([x, np.zeros((1, INPUTS), np.float32)]), place
+
+    xs, masks, targets = [], [], []
+    for lo, _, doc, x, place in passed():
+        heat = np.maximum(x[place][:, :, [0, 1, 3]], 0).sum(axis=2).max(axis=1)
+        rank = np.lexsort((rng.random(len(doc)), -heat, doc))
+        number = np.empty(len(doc), np.int64)
+        number[rank] = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        clean = y[lo:][doc] == 0
+        use = np.flatnonzero((number == 0) | (clean & ((number <= 2) | (rng.random(len(doc)) < 0.05))))
+        p = place[use].T
+        xs.append(x[p])
+        masks.append(p >= 0)
+        targets.append(y[lo:][doc[use]])
+    x, mask, target = np.concatenate(xs, axis=1), np.concatenate(masks, axis=1), np.concatenate(targets).astype(np.float32)
+    del xs, masks
     weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())).astype(np.float32) * len(target)
     network = Network()
-    network.fit(padded[p], p >= 0, target, weight)
-    top, many = network.highest(x, place, doc, len(y))
+    network.fit(x, mask, target, weight)
+    del x, mask
+    top, many = np.zeros(len(y)), np.zeros(len(y))
+    for lo, hi, doc, x, place in passed():
+        top[lo:hi], many[lo:hi] = network.highest(x[:-1], place, doc, hi - lo)
     network.a, network.b, network.c = logistic(np.column_stack([top, np.log(many), np.ones(len(y))]), y)
-    return network, tables(np.ones(len(y), bool))
+    return network, every
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
