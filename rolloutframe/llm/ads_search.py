@@ -29,8 +29,9 @@ from ._vectors import best, clean, matrix, query_blocks, shards
 
 SAMPLE = 20_000
 LISTS = 64
-PROBES = 48
+PROBES = 56
 COLUMNS = 16
+TOGETHER = 256  # candidates from as many of the nearest lists that advance together
 EPSILON = 2.1
 
 
@@ -73,19 +74,28 @@ class Index:
         self.norms = [(b**2).sum(axis=1) for b in self.blocks]
         self.start = np.searchsorted(near[order], np.arange(len(centroids) + 1))
 
+    def candidates(self, probes: np.ndarray):
+        """Rows of the probed lists in their order, at least TOGETHER at a time."""
+        got, count = [], 0
+        for c in probes:
+            if self.start[c] < self.start[c + 1]:
+                got.append(np.arange(self.start[c], self.start[c + 1]))
+                count += len(got[-1])
+                if count >= TOGETHER:
+                    yield np.concatenate(got)
+                    got, count = [], 0
+        if got:
+            yield np.concatenate(got)
+
     def search(self, own: int, q: np.ndarray, turned: np.ndarray, probes: np.ndarray, k: int):
         dims, limit = turned.shape[0], np.inf
         best_at, best_d = np.zeros(0, np.int64), np.zeros(0)
-        for c in probes:
-            a, b = self.start[c], self.start[c + 1]
-            if a == b:
-                continue
-            at, partial, d = np.arange(a, b), np.zeros(b - a, np.float32), 0
+        for at in self.candidates(probes):
+            partial, d = np.zeros(len(at), np.float32), 0
             for block, norm in zip(self.blocks, self.norms, strict=True):
                 w = turned[d : d + block.shape[1]]
                 d += len(w)
-                whole = len(at) == b - a
-                partial = partial + (norm[a:b] if whole else norm[at]) + (w @ w) - 2 * ((block[a:b] if whole else block[at]) @ w)
+                partial = partial + norm[at] + (w @ w) - 2 * (block[at] @ w)
                 if d < dims and np.isfinite(limit):
                     live = partial * (dims / d) <= limit * (1 + EPSILON / np.sqrt(d)) ** 2
                     at, partial = at[live], partial[live]
