@@ -42,24 +42,28 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     n = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = n.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     n = n.join(known, key("tree", "t") & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), "score", F.lit(1).cast("long").alias("steps"))
-    levels = [saved(n)]
-    leaves = levels[0].select("tree", "node").join(levels[0].select(F.col("tree").alias("t"), F.col("up").alias("p")).where("p is not null").distinct(), key("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
-    rows = levels[0].count()
-    while levels[-1].where("up is not null").limit(1).count() and 1 << (len(levels) - 1) <= rows:
+    # levels[r]: messages with an ancestor 2**r steps up, their scores up to there; done: what has reached a root
+    first = saved(n)
+    levels, done = [first.where("up is not null")], first.where("up is null")
+    leaves = first.select("tree", "node").join(levels[0].select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct(), key("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
+    rows, tables = first.count(), [first]
+    while levels[-1].limit(1).count() and 1 << (len(levels) - 1) <= rows:
         a = levels[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("k2"))
-        a = a.join(b, key("tree", "t") & (F.col("up") == F.col("n")), "left")
-        levels.append(saved(a.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("k2", F.lit(0))).alias("steps"))))
-    ranked = leaves.alias("l").join(levels[-1].where("up is null").alias("r"), F.col("l.tree").eqNullSafe(F.col("r.tree")) & (F.col("l.node") == F.col("r.node"))).select("l.tree", "l.node", (F.col("score") / F.col("steps")).alias("score"))
+        b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("k2"))
+        a = a.join(b, key("tree", "t") & (F.col("up") == F.col("n")))
+        tables.append(saved(a.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("steps") + F.col("k2")).alias("steps"))))
+        levels.append(tables[-1].where("up is not null"))
+        done = done.unionByName(tables[-1].where("up is null"))
+    ranked = leaves.alias("l").join(done.alias("r"), F.col("l.tree").eqNullSafe(F.col("r.tree")) & (F.col("l.node") == F.col("r.node"))).select("l.tree", "l.node", (F.col("score") / F.col("steps")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     path = ranked.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("distance"))
     for r in range(len(levels) - 1, -1, -1):
-        b = levels[r].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        b = levels[r].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         # each message stays and brings its ancestor 2**r steps up; one reference to path keeps the plan linear
         both = F.array(F.struct("node", "distance"), F.struct(F.col("up").alias("node"), (F.col("distance") + (1 << r)).alias("distance")))
         path = path.join(b, key("tree", "t") & (F.col("node") == F.col("n")), "left").select("tree", "leaf", "rank", F.explode(both).alias("x")).select("tree", "leaf", "rank", "x.node", "x.distance").where("node is not null")
     out = saved(path)
-    for x in levels:
+    for x in tables:
         delete(x)
     return out
 
