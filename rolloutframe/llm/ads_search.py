@@ -31,7 +31,7 @@ SAMPLE = 20_000
 LISTS = 64
 PROBES = 56
 COLUMNS = 16
-TOGETHER = 256  # candidates from as many of the nearest lists that advance together
+TOGETHER = 1024  # candidates from as many of the nearest lists that advance together
 EPSILON = 2.1
 
 
