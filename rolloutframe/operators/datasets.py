@@ -86,6 +86,17 @@ def shuffled(rows: DataFrame, index: str, seed: Column) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(index), seed), index)
 
 
+def places(rows: DataFrame, buckets: list[str], order: list[str]) -> DataFrame:
+    """Adds place, each row's number from 0 in the order of buckets and then of order. Rows are numbered within their
+    bucket; the one ordered window over everything sees a row for each bucket."""
+    sizes = rows.groupBy(*buckets).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(b).alias(f"_{b}") for b in buckets], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    n = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*buckets).orderBy(*order)) - 1)
+    out = n.join(starts, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in buckets])
+    return out.withColumn("place", F.col("_start") + F.col("_i")).drop("_i", "_start", *[f"_{b}" for b in buckets])
+
+
 def log_sample(rows: DataFrame, ratio: float | None, key: str, seed: int = 0) -> DataFrame:
     """All rows for no ratio or one of at least 1, none for one of at most 0, else max(1, int(n * ratio)) of them."""
     if ratio is None or ratio >= 1:

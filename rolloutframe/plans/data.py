@@ -149,9 +149,9 @@ def f14(spark, d):
 
 @query("F15_expert_sort", "SELECT l_orderkey, l_suppkey % 16 AS expert, row_number() OVER (ORDER BY l_suppkey % 16, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem WHERE l_orderkey % 20 = 0")
 def f15(spark, d):
-    e = F.col("l_suppkey") % 16
-    w = Window.partitionBy(F.lit(0)).orderBy(e, "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", e.alias("expert"), (F.row_number().over(w) - 1).cast("long").alias("place"))
+    order = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, d, "lineitem").select(*order, (F.col("l_suppkey") % 16).alias("expert"), F.floor(F.col("l_orderkey") / 4096).alias("block"))
+    return datasets.places(rows, ["expert", "block"], order).select("l_orderkey", "expert", "place")
 
 
 @query("F16_top_k_experts", "WITH e AS (SELECT vec_id, i - 1 AS expert, embedding[i]::DOUBLE AS score, embedding[i]::DOUBLE + (i % 5) / 50.0::DOUBLE AS biased FROM embeddings, range(1, 17) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY biased DESC, expert) AS n FROM e) SELECT vec_id, expert, round(score, 6) + 0.0 AS score FROM r WHERE n <= 4")
@@ -361,7 +361,7 @@ def i19(spark, d):
 
 @query("J03_strip", "SELECT doc_id, length(regexp_replace(chr(9) || ' ' || text || chr(10), '^\\s+|\\s+$', '', 'g'))::INT AS n FROM documents WHERE lang = 'en'")
 def j03(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.length(S.strip(F.concat(F.lit("\t "), F.col("text"), F.lit("\n")))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(S.strip(F.concat(F.lit("\t "), F.col("text"), F.lit("\n")))).alias("n"))
 
 
 @query("J06_example_hash", """SELECT p_partkey, sha256('["' || p_brand || '","' || p_type || '"]') AS hash FROM part""")
@@ -376,12 +376,12 @@ def j08(spark, d):
 
 @query("J09_human_time", "SELECT o_orderkey, CASE WHEN o_custkey * 7 >= 3600 THEN format('{:.2f}h', o_custkey * 7 / 3600.0::DOUBLE) WHEN o_custkey * 7 >= 60 THEN format('{:.2f}m', o_custkey * 7 / 60.0::DOUBLE) ELSE format('{:.2f}s', (o_custkey * 7)::DOUBLE) END AS t FROM orders WHERE o_custkey % 9 = 0")
 def j09(spark, d):
-    return table(spark, d, "orders").where("o_custkey % 9 = 0").select("o_orderkey", S.human_time(F.col("o_custkey") * 7).alias("t"))
+    return table(spark, d, "orders").select("o_orderkey", S.human_time(F.col("o_custkey") * 7).alias("t"))
 
 
 @query("J10_human_number", "SELECT o_orderkey, CASE WHEN o_custkey * 7777 >= 1e6 THEN format('{:.2f}M', o_custkey * 7777 / 1e6) WHEN o_custkey * 7777 >= 1e3 THEN format('{:.2f}K', o_custkey * 7777 / 1e3) ELSE (o_custkey * 7777)::VARCHAR END AS n FROM orders WHERE o_custkey % 9 = 0")
 def j10(spark, d):
-    return table(spark, d, "orders").where("o_custkey % 9 = 0").select("o_orderkey", S.human_number(F.col("o_custkey") * 7777).alias("n"))
+    return table(spark, d, "orders").select("o_orderkey", S.human_number(F.col("o_custkey") * 7777).alias("n"))
 
 
 @query("J11_capitalize", "SELECT n_nationkey, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) AS name FROM nation")
