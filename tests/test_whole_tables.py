@@ -49,3 +49,10 @@ def test_human_number(spark, small, con):
     got = rows(spark, small, "J10_human_number", "o_orderkey", "n")
     assert got == sorted((k, show(c * 7777)) for k, c in con.sql("SELECT o_orderkey, o_custkey FROM orders").fetchall())
     assert registered(con, "J10_human_number", "o_orderkey", "n") <= set(got)
+
+
+def test_label_shift(spark, small, con):
+    got = rows(spark, small, "E15_label_shift", "seq_id", "pos", "target", "previous")
+    ids = con.sql("SELECT doc_id, list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % 128000) FROM documents").fetchall()
+    assert got == sorted((i, p, t[p + 1] if p + 1 < len(t) else 0, t[p - 1] if p else -1) for i, t in ids for p in range(len(t)))
+    assert registered(con, "E15_label_shift", "seq_id", "pos", "target", "previous") <= set(got)
