@@ -2,8 +2,8 @@
 
 Every rolling k-word hash of a text joins the positions of the same hash in the license templates. A match votes for a
 diagonal (text position less template position). Votes are counted for each text, template and diagonal; diagonals of
-one template that lie at most ``slack`` words apart, in neighbouring places, merge into one candidate span; and the span
-is verified: the distinct template k-grams that voted must cover at least ``share`` of the template. A phrase is a
+one template that lie at most ``slack`` words apart, in neighbouring places, merge into one candidate span; a span of
+more words than a place may have is cut into stretches that do not exceed it; and the span is verified: the distinct template k-grams that voted must cover at least ``share`` of the template. A phrase is a
 template whose k-grams must all vote on one diagonal, which is an exact occurrence.
 
 The template side of the join is a fixed table of at most MOST_TEMPLATE_GRAMS rows, checked before it is broadcast, so
@@ -105,10 +105,27 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     order = Window.partitionBy("_row", "exact", "template").orderBy("diagonal")
     gap = F.coalesce((F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > slack)).cast("int"), F.lit(0))
     bands = votes.withColumn("gap", gap).withColumn("band", F.sum("gap").over(order))
-    places = bands.groupBy("_row", "exact", "template", "label", "grams", "band").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("_id", True).alias("_id"), F.max("n_words").alias("n_words"))
+    # a band of more words than a place may span is taken apart into its hits; every stretch of that many words is
+    # verified, and of the stretches that begin in one such length of the band the best is a place
+    most = 2 * (F.col("grams") + slack)
+    whole_band = Window.partitionBy("_row", "exact", "template", "band")
+    begin = F.min("first").over(whole_band)
+    bands = bands.withColumn("begin", begin).withColumn("long", F.coalesce(~F.col("exact") & (F.max("last").over(whole_band) - begin > most), F.lit(False)))
+    one = F.array(F.struct(F.col("first").alias("pos"), F.lit(None).cast("int").alias("at")))
+    each = F.transform("ats", lambda x: F.struct((F.col("diagonal") + x).cast("int").alias("pos"), x.alias("at")))
+    hit = bands.withColumn("hit", F.explode(F.when(F.col("long"), each).otherwise(one))).select("*", "hit.pos", "hit.at")
+    # the frame is ``most`` words, which differs between templates, so positions count in units of it
+    ahead = whole_band.orderBy(F.col("pos") / (most + 0.5)).rangeBetween(0, 1)
+    hit = hit.withColumn("near", F.collect_set("at").over(ahead)).withColumn("upto", F.max("pos").over(ahead))
+    hit = hit.withColumn("cell", F.when(F.col("long"), F.floor((F.col("pos") - F.col("begin")) / (most + 1))))
+    best = F.max(F.struct(F.size("near").alias("n"), (-F.col("pos")).alias("back"), "near", "upto")).alias("best")
+    short = F.when(~F.col("long"), F.col("ats"))
+    places = hit.groupBy("_row", "exact", "template", "label", "grams", "band", "cell").agg(F.array_distinct(F.flatten(F.collect_list(short))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), best, F.first("_id", True).alias("_id"), F.max("n_words").alias("n_words"))
+    cut = lambda name, c: F.when(F.col("cell").isNotNull(), c).otherwise(F.col(name)).alias(name)
+    places = places.select("_row", "_id", "exact", "template", "label", "grams", "n_words", cut("ats", F.col("best.near")), cut("first", -F.col("best.back")), cut("last", F.col("best.upto")))
     places = places.withColumn("score", F.when(F.col("template").isNotNull(), F.size("ats") / F.col("grams")))
     whole = F.col("exact") & (F.col("score") == 1)
-    near = ~F.col("exact") & (F.col("score") >= share) & (F.col("last") - F.col("first") <= 2 * (F.col("grams") + slack))
+    near = ~F.col("exact") & (F.col("score") >= share) & (F.col("last") - F.col("first") <= most)
     places = places.where(F.col("template").isNull() | whole | near)
     word = lambda c: F.when(F.col("template").isNotNull(), c.cast("long"))
     return places.select("_row", F.col("_id").alias(id_col), "n_words", "label", "exact", word(F.col("first")).alias("first"), word(F.col("last") + K - 1).alias("last"), "score")
