@@ -261,7 +261,7 @@ def h03(spark, d):
 @query("H13_lengths", "WITH t AS (SELECT conv_id, turn, role, len(string_split(text, ' ')) AS n FROM conversations), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT conv_id AS rollout_id, arg_min(before, turn)::INT AS prompt_len, arg_max(before + n, turn)::INT AS seq_len FROM b WHERE role = 'assistant' AND conv_id % 5 <> 0 GROUP BY conv_id")
 def h13(spark, d):
     p, s, _ = trajectory.lengths(F.col("steps.prompt_ids"), F.col("steps.completion_ids"))
-    return steps(spark, d).where("rollout_id % 5 <> 0").select("rollout_id", p.alias("prompt_len"), s.alias("seq_len"))
+    return steps(spark, d).select("rollout_id", p.alias("prompt_len"), s.alias("seq_len"))
 
 
 @query("H07_admission_trim", "SELECT vec_id, list_sum(list_transform(embedding[1:3] || embedding[6:20] || embedding[31:64], lambda x: x::DOUBLE))::DOUBLE IS NOT NULL AS kept, 52 AS n FROM embeddings")

@@ -208,7 +208,7 @@ def h02(spark, d):
 
 @query("H05_errored_rollouts_train_nothing", "SELECT count(*) AS samples FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 11 = 0 AND conv_id % 5 <> 0)")
 def h05(spark, d):
-    s = trajectory.interleave(steps(spark, d).where("error and rollout_id % 5 <> 0"))
+    s = trajectory.interleave(steps(spark, d).where("error"))
     return s.where(~F.exists("completion_mask", lambda x: x)).agg(F.count("*").alias("samples"))
 
 

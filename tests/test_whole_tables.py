@@ -56,3 +56,27 @@ def test_label_shift(spark, small, con):
     ids = con.sql("SELECT doc_id, list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % 128000) FROM documents").fetchall()
     assert got == sorted((i, p, t[p + 1] if p + 1 < len(t) else 0, t[p - 1] if p else -1) for i, t in ids for p in range(len(t)))
     assert registered(con, "E15_label_shift", "seq_id", "pos", "target", "previous") <= set(got)
+
+
+def test_lengths(spark, small, con):
+    got = rows(spark, small, "H13_lengths", "rollout_id", "prompt_len", "seq_len")
+    want = []
+    turns = con.sql("SELECT conv_id, list((turn, role, len(string_split(text, ' '))) ORDER BY turn) FROM conversations GROUP BY conv_id").fetchall()
+    for conv, messages in turns:
+        before, calls = 0, []
+        for turn, role, n in messages:
+            if role == "assistant":
+                prompt = min(before, 3) if conv % 5 == 0 and turn >= 5 else before
+                calls.append((prompt, prompt + n))
+            before += n
+        if calls:
+            want.append((conv, calls[0][0], calls[-1][1]))
+    assert got == sorted(want)
+    assert registered(con, "H13_lengths", "rollout_id", "prompt_len", "seq_len") <= set(got)
+
+
+def test_errored_rollouts(spark, small, con):
+    # a rollout has one sample for its calls on everything before them, and one for each shortened prompt
+    alike = "role = 'assistant' AND NOT (conv_id % 5 = 0 AND turn >= 5)"
+    want = con.sql(f"SELECT count(DISTINCT CASE WHEN {alike} THEN conv_id END) + count(*) FILTER (WHERE role = 'assistant' AND conv_id % 5 = 0 AND turn >= 5) FROM conversations WHERE conv_id % 11 = 0").fetchall()
+    assert rows(spark, small, "H05_errored_rollouts_train_nothing", "samples") == want
