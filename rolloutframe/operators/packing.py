@@ -131,22 +131,21 @@ def shard(array: Column, rank: Column, ranks: int) -> Column:
 
 
 def round_robin(queues: dict[str, list[tuple[int, int]]], budget: int, start: int = 0) -> tuple[list[tuple[str, int]], int]:
-    """(chosen (run, sample), next position): one run a turn, drained while its head fits the token budget. The first
-    oversize sample of an empty selection is dropped."""
+    """(chosen (run, sample), next position): one run a turn, drained while its head fits the token budget; the first
+    head that does not fit ends the selection. Oversize samples before the first choice are dropped."""
     runs, chosen, left, at, idle = sorted(queues), [], budget, start, 0
-    while runs and idle < len(runs):
+    while left > 0 and idle < len(runs):
         run = runs[at % len(runs)]
-        q, took = queues[run], False
+        q = queues[run]
+        idle = 0 if q else idle + 1
+        at += 1
         while q:
             if q[0][1] <= left:
                 sample, n = q.pop(0)
                 chosen.append((run, sample))
                 left -= n
-                took = True
-            elif not chosen and q[0][1] > budget:
+            elif left == budget:
                 q.pop(0)
             else:
-                break
-        idle = 0 if took else idle + 1
-        at += 1
+                return chosen, at % len(runs)
     return chosen, at % max(1, len(runs))

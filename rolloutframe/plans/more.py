@@ -164,12 +164,18 @@ def f04(spark, d):
 
 @query("F17_fair_selection")
 def f17(spark, d):
-    rows = view(spark, d, "rollouts").where("client <= 5").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), F.col("example_id"), (F.col("completion_len") + F.col("prompt_len")).alias("n"))
+    budget = 65_536
+    n = F.col("completion_len") + F.col("prompt_len")
+    rows = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), "example_id", "rollout_idx", n.alias("n"))
+    # what stands in a run's queue behind more tokens than the budget never comes to its head
+    w = Window.partitionBy("run").orderBy("example_id", "rollout_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("n") <= budget, F.col("n"))).over(w), F.lit(0))
+    rows = rows.withColumn("before", before).where(F.col("before") <= budget).drop("before")
 
     def run(pdf):
-        pdf = pdf.sort_values(["run", "example_id"], kind="stable")
+        pdf = pdf.sort_values(["run", "example_id", "rollout_idx"])
         queues = {k: list(zip(g["example_id"], g["n"], strict=True)) for k, g in pdf.groupby("run")}
-        chosen, _ = packing.round_robin(queues, 65_536)
+        chosen, _ = packing.round_robin(queues, budget)
         return type(pdf)({"run": [r for r, _ in chosen], "example_id": [int(e) for _, e in chosen]})
 
     return rows.groupBy(F.lit(0).alias("step")).applyInPandas(run, "run string, example_id long").groupBy("run").agg(F.count("*").alias("n"))

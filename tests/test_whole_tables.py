@@ -80,3 +80,38 @@ def test_errored_rollouts(spark, small, con):
     alike = "role = 'assistant' AND NOT (conv_id % 5 = 0 AND turn >= 5)"
     want = con.sql(f"SELECT count(DISTINCT CASE WHEN {alike} THEN conv_id END) + count(*) FILTER (WHERE role = 'assistant' AND conv_id % 5 = 0 AND turn >= 5) FROM conversations WHERE conv_id % 11 = 0").fetchall()
     assert rows(spark, small, "H05_errored_rollouts_train_nothing", "samples") == want
+
+
+def plain_selection(buffers, budget):
+    """Round robin as in the packer of the trainer, over whole queues of token counts; the number chosen by run."""
+    chosen, tokens, at, names = dict.fromkeys(buffers, 0), 0, 0, sorted(buffers)
+    while tokens < budget and any(buffers.values()):
+        while not buffers[names[at]]:
+            at = (at + 1) % len(names)
+        run, at = names[at], (at + 1) % len(names)
+        while buffers[run]:
+            n = buffers[run][0]
+            if tokens + n > budget:
+                if tokens:
+                    return chosen
+                buffers[run].pop(0)
+                continue
+            tokens += n
+            chosen[run] += 1
+            buffers[run].pop(0)
+    return chosen
+
+
+@pytest.mark.parametrize("most", [90, 200, None])
+def test_fair_selection(spark, small, con, tmp_path, most):
+    # the first rows of the table leave room for many runs; in the whole table the first run fills the budget
+    con.sql(f"SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT {most or 'ALL'}").write_parquet(str(tmp_path / "lineitem.parquet"))
+    con.sql("SELECT * FROM orders").write_parquet(str(tmp_path / "orders.parquet"))
+    rollouts = con.sql(f"SELECT l_suppkey, 16 + l_partkey % 48 + l_quantity::BIGINT * 20 FROM '{tmp_path}/lineitem.parquet' JOIN orders ON o_orderkey = l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate").fetchall()
+    buffers = {}
+    for client, n in rollouts:
+        buffers.setdefault(f"run_{client}", []).append(n)
+    assert len(buffers) > 5
+    want = {k: n for k, n in plain_selection(buffers, 65_536).items() if n}
+    assert dict(rows(spark, str(tmp_path), "F17_fair_selection", "run", "n")) == want
+    assert most is None or any(int(k[4:]) > 5 for k in want)
