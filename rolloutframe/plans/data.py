@@ -144,7 +144,8 @@ def f09(spark, d):
 
 @query("F14_epoch_shuffle")
 def f14(spark, d):
-    return datasets.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", F.lit(3)).limit(100)
+    rows = table(spark, d, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h"))
+    return datasets.places(rows.withColumn("bucket", F.shiftright("h", 52)), ["bucket"], ["h", "doc_id"]).select("doc_id", "place")
 
 
 @query("F15_expert_sort", "SELECT l_orderkey, l_suppkey % 16 AS expert, row_number() OVER (ORDER BY l_suppkey % 16, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem WHERE l_orderkey % 20 = 0")

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rolloutframe.operators import datasets
 from rolloutframe.sources.carriers import TABLES
 
 
@@ -115,3 +117,15 @@ def test_fair_selection(spark, small, con, tmp_path, most):
     want = {k: n for k, n in plain_selection(buffers, 65_536).items() if n}
     assert dict(rows(spark, str(tmp_path), "F17_fair_selection", "run", "n")) == want
     assert most is None or any(int(k[4:]) > 5 for k in want)
+
+
+def test_epoch_shuffle(spark, small, con):
+    got = rows(spark, small, "F14_epoch_shuffle", "place", "doc_id")
+    ids = [i for (i,) in con.sql("SELECT doc_id FROM documents ORDER BY doc_id").fetchall()]
+    assert [p for p, _ in got] == list(range(len(ids)))
+    order = [i for _, i in got]
+    assert sorted(order) == ids
+    assert order != ids
+    whole = datasets.shuffled(spark.read.parquet(f"{small}/documents.parquet").select("doc_id").repartition(7), "doc_id", F.lit(3))
+    assert order == [r.doc_id for r in whole.collect()]
+    assert got == rows(spark, small, "F14_epoch_shuffle", "place", "doc_id")
