@@ -28,7 +28,7 @@ from ._text import LOWER, U64, mix64, range_hashes, slices, spans
 from .pu_quality import sampled
 
 SAMPLE, LONGEST, FIT_SLICE = 4_000, 60_000, 1 << 19
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 1
 HIDDEN, EPOCHS, BATCH, RATE = 8, 8, 128, 8e-3
 INPUTS = 10
 MOST_ENTRIES = 20_000  # of each evidence table
