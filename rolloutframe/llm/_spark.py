@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a temporary folder only where none is set, as in local tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -70,7 +72,7 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node of ``edges``; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: only minima per node are aggregated, so a hub needs no list of its
@@ -79,9 +81,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, o
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, last, old = saved(e), None, None
-    for _ in range(rounds):
+    while True:
         if e.count() <= one_task:
-            return saved(e.coalesce(1).mapInArrow(_forest, "node long, root long"))
+            out = saved(e.coalesce(1).mapInArrow(_forest, "node long, root long"))
+            for x in (e, old):
+                if x is not None:
+                    delete(x)
+            return out
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node go to the least of its neighbourhood
@@ -95,6 +101,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, o
             delete(old)
         old, e = e, new
         if mark == last:
+            delete(old)
             break
         last = mark
     leaf = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -6,6 +6,8 @@ text forms a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,9 +15,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_POW = np.ones(1, U64)
-_INV = np.ones(1, U64)
+ODD = U64(0x5851F42D4C957F2D)
+LONG_RANGE = 256  # bytes
 
 # bytes 0x09-0x0D and 0x20 separate words
 IS_SPACE = np.zeros(256, bool)
@@ -35,17 +36,6 @@ def mix64(x):
     return x
 
 
-def _powers(n: int):
-    if len(_POW) < n:
-        size = 1 << int(n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            for name, base in (("_POW", _BASE), ("_INV", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(size, base, U64)
-                factors[0] = 1
-                globals()[name] = np.cumprod(factors, dtype=U64)
-    return _POW, _INV
-
-
 def buffers(array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string or binary Arrow array; a null is an empty text."""
     if isinstance(array, pa.ChunkedArray):
@@ -85,14 +75,28 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE):
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial hash by prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    power, inverse = _powers(len(data) + 1)
+    """A 64-bit hash of each byte range: 8 bytes at a time are mixed in, all ranges together.
+
+    Ranges of at most 8 bytes and one length have different hashes. Ranges of more than LONG_RANGE bytes are hashed by
+    BLAKE2, so that a text without breaks takes no step of its own for each 8 bytes.
+    """
+    size = ends - starts
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * GOLDEN)
+        out = mix64(size.astype(U64) * GOLDEN + U64(1))
+        if not len(starts):
+            return out
+        raw = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", raw.data, strides=(1,))  # the 8 bytes from each place on
+        live, at = np.flatnonzero((size > 0) & (size <= LONG_RANGE)), 0
+        while len(live):
+            left = size[live] - at
+            x = eight[starts[live] + at] & (~U64(0) >> (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64))))
+            out[live] = mix64(out[live] * ODD ^ x)
+            live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_RANGE).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, U64)[0]
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int):

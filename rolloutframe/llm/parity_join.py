@@ -1,25 +1,32 @@
 """Near-duplicate classes of shingle sets by a parity-sketch join.
 
-Sets A and B with intersection at least 0.85 of the union differ in at most 15/185 of |A| + |B| elements. Each element
-of a set flips one bit of the set's parity sketch (the XOR of the elements' one-bit words), so the Hamming distance of
-two sketches is a lower bound of the symmetric difference.
+Sets A and B with intersection at least t = num / den of the union differ in at most (1 - t) / (1 + t) of |A| + |B|
+elements. Parity sketches XOR words of the elements together, so the Hamming distance of two sketches is a lower bound
+of the symmetric difference. There are two kinds: sketches of 64-bit symbols, of which elements flip whole symbols, to
+find candidates; and sketches of bits, of which an element flips one bit, to compare them.
 
 1. Exact classes: a set's 64-bit hash stands for all texts that have it. Each task sends a class once.
-2. Size bands grow by 1/0.85, so linked sets are in the same or neighbouring bands. In the bands' common group at most
-   d elements differ. The group's sketches have d + 2 parts of 64 bits: at least two parts of linked sets agree. A class
-   sends one key for each part that holds elements (the part's number, bits and element count). A part without elements
-   says little; since two parts agree, linked sets that share no other part share a pair of empty ones, and such pairs
-   are keys too. Nothing is capped, and all links are among classes that share a key.
-3. Keys with the same classes are one bucket. The whole sketches of a bucket's classes are compared, and classes whose
-   distance allows a link are joined by union-find; a task passes on a spanning forest, never the pairs of a bucket, and
-   connected components make the clusters in Spark.
-4. A cluster's sets meet in blocks: small clusters whole, large ones as a grid of (band, salt) cells of about
-   BLOCK_ROWS sets, each pair of cells of equal or neighbouring bands once. A block compares sketches again, counts
-   common elements of what remains (exactly, unless already linked) and passes on a spanning forest.
+2. Size bands grow by 1/t, so linked sets are in the same or neighbouring bands. In the bands' common group at most d
+   elements differ. The group's sketches have d + r symbols, each the XOR of the hashes of its elements: at least r
+   symbols of linked sets agree. A class sends a key for each symbol that holds elements. Where it has r or more
+   symbols without elements, linked sets could agree in those alone, so it sends the keys of another sketch, with
+   elements dealt anew, as well: if one such set is left without a common key in one turn, both take the next. r is
+   such that few sets need a second turn. Sets that need more than TURNS share one key of their group. Nothing is
+   capped, and all links are among classes that share a key.
+3. Keys with the same classes are one bucket. Bit sketches, wide enough that unrelated sets lie at least DEVIATIONS
+   standard deviations beyond the bound, are compared among a bucket's classes; those whose distance allows a link are
+   joined by union-find; a task passes on a spanning forest, never the pairs of a bucket, and connected components make
+   the clusters in Spark.
+4. A cluster's sets meet with their elements; a block counts common elements of what its sketches allow (exactly,
+   unless already linked) and passes on a spanning forest.
+
+Buckets and clusters of more than BLOCK_ROWS classes are dealt to a grid of salted cells, each pair of cells once, so no
+task gathers more than two cells. Classes with many copies are joined back by broadcast (at most HOT_CLASSES of them).
 
 Edge cases: a null or empty text has no shingles, a component of its own and no links; a text of fewer words than a
 shingle is one shingle; repeated rows give repeated rows of one component; a text that only rows with null ids have links
 nothing, other rows with null ids get their text's component; other columns are ignored; an empty table gives no rows.
+A similarity below 0.75 is refused: its parts would hold too few elements.
 """
 
 from __future__ import annotations
@@ -29,24 +36,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, components, partitions, saved
+from ._spark import bounded_batches, components, delete, partitions, saved
 from ._text import GOLDEN, U64, mix64, shingles, slices
 
 BLOCK_ROWS = 2048
 BROADCAST_ROWS = 1_000_000  # candidates up to which their list is broadcast (about 100 MB); beyond, a shuffle join
+TURNS = 12
+DEVIATIONS = 7
+HOT_CLASSES = 4096
 
 
 class Bands:
-    """Size bands and the number of parts of each group, for a similarity of num / den."""
+    """Size bands, and the symbols of each group's sketches, for a similarity of num / den."""
 
     def __init__(self, num: int, den: int):
+        if 4 * num < 3 * den or num > den:
+            raise ValueError("similarity must be from 0.75 to 1")
         self.num, self.den = num, den
         low = [1]
         while low[-1] < 1 << 40:
             low.append(low[-1] * den // num + 1)
         self.low = np.array(low)
-        # a group g holds the sets of bands g - 1 and g that may be linked with one of band g
-        self.parts = (den - num) * 2 * (self.low[1:] - 1) // (den + num) + 2
+        # a group g holds the sets of bands g - 1 and g that may be linked with one of band g: of so many elements
+        self.least = np.concatenate([[1], -(-self.low[1:-1] * num // den)])
+        differ = (den - num) * 2 * (self.low[1:] - 1) // (den + num)
+        self.spare = np.array([self._spare(int(d), int(n)) for d, n in zip(differ, self.least, strict=True)])
+        self.parts = np.where(differ > 0, differ + self.spare, 0)  # sets that may not differ are equal
+        self.words = np.array([self._words(int(n)) for n in self.low[1:] - 1])
+
+    @staticmethod
+    def _spare(d: int, n: int) -> int:
+        """How many symbols of linked sets must agree: more than the smallest set is likely to have empty."""
+        r = 1
+        while d:
+            empty = (d + r) * np.exp(-n / (d + r))
+            if empty + 2 * np.sqrt(empty) < r + 0.5:
+                return r
+            r = max(r + 1, int(r * 1.02))
+        return r
+
+    def _words(self, n: int) -> int:
+        """64-bit words of a bit sketch of n elements: chance lies DEVIATIONS beyond what two linked sets differ in."""
+        words = 4
+        while True:
+            bits = 64 * words
+            chance, bound = bits / 2 * -np.expm1(-4 * n / bits), 2 * n * (self.den - self.num) / (self.den + self.num)
+            if chance - bound >= DEVIATIONS * np.sqrt(bits) / 2 or bits >= 8 * n:
+                return words
+            words *= 2
 
     def of(self, size):
         return np.searchsorted(self.low, size, "right") - 1
@@ -66,39 +103,36 @@ def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def part_keys(h: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set of each key, key) for both groups of every set."""
     size = np.diff(offsets)
-    sets = np.arange(len(size))
+    value = mix64(h + U64(5))
     owners, keys = [], []
-    element = np.repeat(sets, size)
-    bit = U64(1) << (h & U64(63))
-    spread = mix64(h + GOLDEN) >> U64(32)
     for up in (0, 1):
         group = bands.of(np.maximum(size, 1)) + up
-        parts = bands.parts[group]
-        # with one part, all elements must agree: the exact class
-        parts = np.where((size > 0) & (parts > 2), parts, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        live = parts[element] > 0
-        e = element[live]
-        cell = base[e] + ((spread[live] * parts[e].astype(U64)) >> U64(32)).astype(np.int64)
-        words, count = np.zeros(base[-1], U64), np.bincount(cell, minlength=base[-1])
-        np.bitwise_xor.at(words, cell, bit[live])
-        owner = np.repeat(sets, parts)
-        number = np.arange(base[-1]) - base[owner]
-        with np.errstate(over="ignore"):
-            salt = mix64(group.astype(U64) + U64(1000))
-            key = mix64(mix64(words + salt[owner]) + (number.astype(U64) << U64(32)) + count.astype(U64))
-            weak = count == 0
-            owners.append(owner[~weak])
-            keys.append(key[~weak])
-            n = np.bincount(owner[weak], minlength=len(size))
-            if (n > 1).any():
-                place = np.concatenate([[0], np.cumsum(n)])
-                own = key[weak]
-                for i in np.flatnonzero(n > 1):
-                    x = own[place[i] : place[i + 1]]
-                    a, b = np.triu_indices(len(x), 1)
-                    keys.append(mix64(mix64(x[a]) + x[b]))
-                    owners.append(np.full(len(a), i))
+        live = np.flatnonzero((size > 0) & (bands.parts[group] > 0) & (size >= bands.least[group]))
+        for turn in range(TURNS + 1):
+            if not len(live):
+                break
+            salt = mix64((group[live] * 64 + turn).astype(U64) + U64(1000))
+            if turn == TURNS:
+                owners.append(live)
+                keys.append(mix64(salt + U64(1)))
+                break
+            n, parts = size[live], bands.parts[group[live]]
+            base = np.concatenate([[0], np.cumsum(parts)])
+            own = np.repeat(np.arange(len(live)), n)
+            at = np.arange(int(n.sum())) + np.repeat(offsets[:-1][live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            spread = mix64(h[at] ^ mix64(np.array([turn + 99], U64))) >> U64(32)
+            cell = base[own] + ((spread * parts[own].astype(U64)) >> U64(32)).astype(np.int64)
+            symbols, held = np.zeros(base[-1], U64), np.zeros(base[-1], bool)
+            np.bitwise_xor.at(symbols, cell, value[at])
+            held[cell] = True
+            owner = np.repeat(np.arange(len(live)), parts)
+            number = np.arange(base[-1]) - base[owner]
+            full = np.flatnonzero(held)
+            owners.append(live[owner[full]])
+            keys.append(mix64(mix64(symbols[full] + salt[owner[full]]) + number[full].astype(U64)))
+            live = live[np.bincount(owner[~held], minlength=len(live)) >= bands.spare[group[live]]]
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
 
@@ -123,33 +157,64 @@ class Forest:
         return True
 
 
-def buckets(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, id) of the keys that several ids share; keys with the same ids are one bucket."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    many = np.diff(np.append(first, len(keys)))
-    shared = np.repeat(many > 1, many)
-    ids, many = ids[shared], many[many > 1]
-    if not len(ids):
-        return np.zeros(0, np.int64), ids
-    first = np.cumsum(many) - many
-    with np.errstate(over="ignore"):
-        name = mix64(np.add.reduceat(mix64(ids.view(U64)), first) + many.astype(U64) * GOLDEN)
-    _, once = np.unique(name, return_index=True)
-    keep = np.zeros(len(many), bool)
-    keep[once] = True
-    rows = np.repeat(keep, many)
-    return np.repeat(name, many)[rows].view(np.int64), ids[rows]
-
-
-def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The parity sketch of each set, of a power of two of 64-bit words: at least one bit for two elements."""
+def buckets(runs, most: int):
+    """Yield (bucket, id) arrays from runs of (key, id) sorted by both: the keys that several ids share.
+
+    Keys with the same ids are one bucket, named by the ids and yielded once in a run. A key of more than ``most`` ids
+    is a bucket of its own, named by the key, and passed on as it comes.
+    """
+    key, held, long = None, [], False
+
+    def whole(keys, ids):
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        many = np.diff(np.append(first, len(keys)))
+        shared = np.repeat(many > 1, many)
+        ids, many = ids[shared], many[many > 1]
+        if len(ids):
+            first = np.cumsum(many) - many
+            with np.errstate(over="ignore"):
+                name = mix64(np.add.reduceat(mix64(ids.view(U64)), first) + many.astype(U64) * GOLDEN)
+            _, once = np.unique(name, return_index=True)
+            keep = np.zeros(len(many), bool)
+            keep[once] = True
+            rows = np.repeat(keep, many)
+            yield np.repeat(name, many)[rows].view(np.int64), ids[rows]
+
+    def distinct(keys, ids):
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        return keys[new], ids[new]
+
+    def last():
+        if held and not long:
+            ids = np.unique(np.concatenate(held))
+            yield from whole(np.full(len(ids), key), ids)
+
+    for keys, ids in runs:
+        if not len(keys):
+            continue
+        if keys[0] == key:
+            end = int(np.searchsorted(keys, key, "right"))
+            held.append(ids[:end])
+            if not long and sum(map(len, held)) > most and len(np.unique(np.concatenate(held))) > most:
+                long = True
+            if long:
+                ids_ = np.unique(np.concatenate(held))
+                yield np.full(len(ids_), key), ids_
+                held = []
+            keys, ids = keys[end:], ids[end:]
+        if len(keys):
+            yield from last()
+            begin = int(np.searchsorted(keys, keys[-1], "left"))
+            yield from whole(*distinct(keys[:begin], ids[:begin]))
+            key, held, long = keys[-1], [ids[begin:]], False
+    yield from last()
+
+
+def sketches(h: np.ndarray, offsets: np.ndarray, bands: Bands) -> list[bytes]:
+    """The bit sketch of each set, as wide as its band asks for (a power of two of 64-bit words)."""
     size = np.diff(offsets)
-    words = np.array([1 << max(2, (int(n) // 128).bit_length()) for n in size])
+    words = bands.words[np.minimum(bands.of(np.maximum(size, 1)), len(bands.words) - 1)]
     base = np.concatenate([[0], np.cumsum(words)])
     out = np.zeros(base[-1], U64)
     owner = np.repeat(np.arange(len(size)), size)
@@ -164,14 +229,14 @@ def folded(raw: list[bytes]) -> np.ndarray:
     return np.array([np.bitwise_xor.reduce(np.frombuffer(r, U64).reshape(-1, width), axis=0) for r in raw])
 
 
-def close_edges(ids: np.ndarray, size: np.ndarray, raw: list[bytes], bands: Bands) -> list[tuple[int, int]]:
-    """A spanning forest of a bucket's classes whose sizes and sketches allow a link."""
+def close_edges(ids: np.ndarray, size: np.ndarray, raw: list[bytes], side: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
+    """A spanning forest of a block's classes whose sizes and sketches allow a link. side: as for link_block."""
     order = np.argsort(size, kind="stable")
-    ids, size, sketch = ids[order], size[order], folded([raw[i] for i in order])
+    ids, size, side, sketch = ids[order], size[order], side[order], folded([raw[i] for i in order])
     out, root = [], np.arange(len(ids))
     for i in range(len(ids) - 1):
         hi = int(np.searchsorted(size, size[i] * bands.den // bands.num, "right"))
-        far = np.flatnonzero(root[i + 1 : hi] != root[i]) + i + 1  # the others are linked already
+        far = np.flatnonzero((root[i + 1 : hi] != root[i]) & ((side[i] == 2) | (side[i + 1 : hi] != side[i]))) + i + 1  # the others are linked already
         if len(far):
             distance = np.bitwise_count(sketch[far] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             for j in far[distance <= bands.far(size[i], size[far])].tolist():
@@ -187,7 +252,7 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bands:
     order = np.argsort(size, kind="stable")
     ids, side, size, sets = ids[order], side[order], size[order], [sets[i] for i in order]
     n, out, forest = len(ids), [], Forest(len(ids))
-    words = max(4, 1 << (int(size[-1]) // 32).bit_length())  # of a sketch: at least twice the elements in bits
+    words = int(bands.words[min(int(bands.of(size[-1])), len(bands.words) - 1)])
     sketch = np.zeros((n, words), U64)
     every = np.concatenate(sets)
     row = np.repeat(np.arange(n), size)
@@ -224,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
             for lo, hi, data, offsets in slices(batch.column(1)):
                 h, place = shingles(data, offsets, words)
                 n[lo:hi], own[lo:hi] = np.diff(place), set_ids(h, place)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(bands.of(n).astype(np.int32)), pa.array(own)], names=["id", "n", "band", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(own)], names=["id", "n", "set"])
 
     def sketch(batches):
         sent = np.zeros(0, np.int64)
@@ -241,9 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[first][owner])], names=["key", "set"])
 
     def share(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if got:
-            a, b = buckets(*map(np.concatenate, zip(*got, strict=True)))
+        for a, b in buckets(((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches), BLOCK_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["bucket", "set"])
 
     def read(batches):
@@ -258,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
 
     def sketch_wanted(batches):
         for part, pick, h, place in read(batches):
-            own = sketches(h, place)
+            own = sketches(h, place, bands)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(place)[pick]), pa.array([own[i] for i in pick], pa.binary())], names=["set", "n", "sketch"])
 
     def elements(batches):
@@ -292,59 +355,67 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         yield told()
 
     def near(rows):
-        ids, size, raw = zip(*rows, strict=True)
-        return close_edges(np.array(ids), np.array(size), raw, bands)
+        ids, side, size, raw = zip(*rows, strict=True)
+        return close_edges(np.array(ids), np.array(size), raw, np.array(side), bands)
 
     def linked_rows(rows):
         ids, side, sets = zip(*rows, strict=True)
         return link_block(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), bands)
 
     def allow(batches):
-        yield from grouped(batches, 4, near)
+        yield from grouped(batches, 5, near)
 
     def verify(batches):
         yield from grouped(batches, 4, linked_rows)
 
-    classes = saved(texts.mapInArrow(classify, "id long, n long, band int, set long"))
+    classes = saved(texts.mapInArrow(classify, "id long, n long, set long"))
     many = partitions(spark)
-    keys = texts.where("text is not null").select("text").mapInArrow(sketch, "key long, set long").repartition(many, "key")
-    shared = saved(keys.mapInArrow(share, "bucket long, set long").distinct())  # copies share many parts, so many equal buckets
-    unique = classes.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("band").alias("band"))
+    keys = texts.where("text is not null").select("text").mapInArrow(sketch, "key long, set long").repartition(many, "key").sortWithinPartitions("key", "set")
+    shared = saved(keys.mapInArrow(share, "bucket long, set long").distinct())  # copies share many symbols, so many equal buckets
+    unique = classes.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
 
-    def with_texts(wanted: DataFrame) -> DataFrame:
+    def with_texts(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The wanted sets with one of their texts; few enough ids are broadcast, others join by a shuffle."""
         wanted = saved(wanted)
         few = wanted.count() <= BROADCAST_ROWS
-        return texts.where("text is not null").join(F.broadcast(wanted) if few else wanted, "id")
+        return texts.where("text is not null").join(F.broadcast(wanted) if few else wanted, "id"), wanted
 
     wanted = unique.join(shared.select("set").distinct(), "set").select(F.col("least").alias("id"), "set")
-    sketched = with_texts(wanted).select("set", "text").mapInArrow(sketch_wanted, "set long, n long, sketch binary")
-    rows = shared.join(sketched, "set").select("bucket", "set", "n", "sketch").repartition(many, "bucket").sortWithinPartitions("bucket")
+    some, wanted = with_texts(wanted)
+    sketched = some.select("set", "text").mapInArrow(sketch_wanted, "set long, n long, sketch binary")
+    cells = blocks(shared, "bucket")
+    rows = cells.join(sketched, "set").select("block", "set", "side", "n", "sketch").repartition(many, "block").sortWithinPartitions("block")
     candidates = components(rows.mapInArrow(allow, "a long, b long"))
-    members = saved(candidates.withColumnRenamed("node", "set").withColumnRenamed("root", "cluster").join(unique, "set"))
-    # cells of large clusters: band and salt; a small cluster is one block
-    cells = members
-    whole = cells.groupBy("cluster").agg(F.count("*").alias("all"))
-    per_band = cells.groupBy("cluster", "band").agg(F.count("*").alias("c")).select("cluster", "band", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("salts"))
-    after = per_band.select("cluster", (F.col("band") - 1).alias("band"), F.col("salts").alias("up"))
-    before = per_band.select("cluster", (F.col("band") + 1).alias("band"), F.col("salts").alias("down"))
-    plan = per_band.join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left").join(whole, "cluster")
-    cells = cells.join(plan, ["cluster", "band"]).withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int"))
-    name = lambda *x: F.xxhash64("cluster", *x)
-    entry = lambda block, side: F.struct(block.alias("block"), side.cast("int").alias("side"))
-    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("salts")), lambda s: entry(name("band", F.lit(0), F.least("salt", s), F.greatest("salt", s)), F.when(s == F.col("salt"), 2).otherwise((s < F.col("salt")).cast("int"))))
-    above = F.transform(upto(F.col("up")), lambda s: entry(name("band", F.lit(1), F.col("salt"), s), F.lit(0)))
-    below = F.transform(upto(F.col("down")), lambda s: entry(name(F.col("band") - 1, F.lit(1), s, F.col("salt")), F.lit(1)))
-    blocks = F.when(F.col("all") <= BLOCK_ROWS, F.array(entry(name(F.lit(-1)), F.lit(2)))).otherwise(F.concat(own, above, below))
-    cells = cells.select(F.col("least").alias("id"), "set", blocks.alias("blocks"))
-    found = with_texts(cells).select("set", "text", "blocks").mapInArrow(elements, "block long, set long, side int, elements binary")
+    members = saved(candidates.withColumnRenamed("node", "set").withColumnRenamed("root", "cluster").join(unique.select("set", "least"), "set"))
+    entries = blocks(members.select("cluster", "set"), "cluster").groupBy("set").agg(F.collect_list(F.struct("block", "side")).alias("blocks"))
+    some, own = with_texts(members.join(entries, "set").select(F.col("least").alias("id"), "set", "blocks"))
+    found = some.select("set", "text", "blocks").mapInArrow(elements, "block long, set long, side int, elements binary")
     links = found.repartition(many, "block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long")
     linked = components(links)
     # each class takes the smallest id of its component
     label = linked.withColumnRenamed("node", "set").join(unique.select("set", "least"), "set")
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.select("set", "root").join(least, "root").select("set", "component_id")
-    all_classes = unique.join(label, "set", "left").select(F.col("set").alias("s"), F.coalesce("component_id", "least").alias("component_id"))
-    out = classes.join(all_classes, (F.col("set") == F.col("s")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    labelled = unique.join(label, "set", "left").select(F.col("set").alias("s"), "least", F.coalesce("component_id", "least").alias("component_id"), "copies")
+    labelled = saved(labelled.where("copies > 1 or component_id <> least"))  # any other class is one row of its own
+    for x in (shared, wanted, members, own, candidates, linked):
+        delete(x)
+    # a class with more than one in HOT_CLASSES of all rows would land in one task; there are at most so many
+    hot = max(1000, classes.count() // HOT_CLASSES)
+    common = labelled.where(F.col("copies") > hot).select(F.col("s").alias("h"), F.col("component_id").alias("of_hot"))
+    rare = labelled.where(F.col("copies") <= hot).select("s", "component_id")
+    rows = classes.join(F.broadcast(common), (F.col("set") == F.col("h")) & (F.col("n") > 0), "left")
+    found = rows.where("h is null and n > 0").join(rare, F.col("set") == F.col("s"), "left").select("id", "n", "component_id")
+    out = found.unionByName(rows.where("h is not null or n = 0").select("id", "n", F.col("of_hot").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def blocks(rows: DataFrame, group: str) -> DataFrame:
+    """(block, set, side) of rows (group, set): a group of up to BLOCK_ROWS sets is one block of side 2; a larger one is
+    dealt to salted cells, and each pair of cells is a block with sides 0 and 1, each cell one of side 2."""
+    salts = saved(rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")).where("salts > 1"))
+    salted = rows.join(F.broadcast(salts) if salts.count() <= BROADCAST_ROWS else salts, group, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    pairs = salted.withColumn("other", other)
+    side = F.when(F.col("salt") == F.col("other"), 2).otherwise((F.col("salt") < F.col("other")).cast("int"))
+    return pairs.select(F.xxhash64(group, F.least("salt", "other"), F.greatest("salt", "other")).alias("block"), "set", side.alias("side"))

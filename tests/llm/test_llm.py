@@ -200,20 +200,72 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
-def test_pairs_within_the_bound_share_a_key():
-    bands = parity_join.Bands(85, 100)
+@pytest.mark.parametrize("num", [80, 85])
+def test_pairs_within_the_bound_share_a_key(num):
+    bands = parity_join.Bands(num, 100)
     r = np.random.default_rng(4)
-    for n in (6, 7, 9, 13, 20, 47, 100, 333, 2000):
-        for _ in range(20):
+    seen = 0
+    for n in (4, 5, 6, 7, 9, 13, 20, 47, 100, 333, 2000, 40_000):
+        for _ in range(200 if n < 50 else 20):
             a = r.integers(0, 1 << 63, n).astype(np.uint64)
-            drop = r.integers(0, 3 * n // 20 + 1)
-            b = np.concatenate([a[drop // 2 :], r.integers(0, 1 << 63, drop - drop // 2).astype(np.uint64)])
+            drop = r.integers(0, 9 * n // 40 + 1)
+            b = np.concatenate([a[drop // 2 :], r.integers(0, 1 << 63, int(r.integers(0, drop - drop // 2 + 1))).astype(np.uint64)])
             both = len(np.intersect1d(a, b))
-            if 100 * both < 85 * (len(a) + len(b) - both) or set(a) == set(b):
+            if 100 * both < num * (len(a) + len(b) - both) or set(a) == set(b):
                 continue
+            seen += 1
             h = np.concatenate([np.sort(a), np.sort(b)])
             owner, key = parity_join.part_keys(h, np.array([0, len(a), len(a) + len(b)]), bands)
             assert set(key[owner == 0]) & set(key[owner == 1])
+    assert seen > 300
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_unrelated_sketches_lie_beyond_the_bound(num):
+    bands = parity_join.Bands(num, 100)
+    r = np.random.default_rng(5)
+    for n in (40, 150, 600, 5000):
+        h = r.integers(0, 1 << 63, 30 * n).astype(np.uint64)
+        raw = parity_join.sketches(h, np.arange(31) * n, bands)
+        m = parity_join.folded(raw)
+        far = np.bitwise_count(m[:, None] ^ m[None]).sum(axis=2)[np.triu_indices(30, 1)]
+        assert far.min() > bands.far(n, n)
+
+
+def test_similarities_that_are_refused():
+    for num in (74, 101):
+        with pytest.raises(ValueError, match="similarity"):
+            parity_join.Bands(num, 100)
+
+
+def test_buckets_of_sorted_runs():
+    r = np.random.default_rng(2)
+    keys, ids = r.integers(0, 40, 900), r.integers(0, 60, 900)
+    keys[:200] = 7
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    cut = [0, 3, 250, 251, 600, 900]
+    got = defaultdict(set)
+    for b, i in parity_join.buckets(((keys[x:y], ids[x:y]) for x, y in zip(cut, cut[1:])), 30):
+        for u, v in zip(b.tolist(), i.tolist()):
+            got[u].add(v)
+    want = {frozenset(ids[keys == k].tolist()) for k in set(keys.tolist())}
+    assert {frozenset(x) for x in got.values()} == {w for w in want if len(w) > 1}
+
+
+def test_words_of_equal_polynomials_have_different_hashes():
+    from rolloutframe.llm._text import range_hashes
+
+    t = np.zeros(1, np.uint8)
+    while len(t) < 4096:
+        t = np.concatenate([t, 1 - t])
+    for n in (8, 64, 256, 1024, 4096):
+        data = np.concatenate([t[:n], 1 - t[:n]]) + 97
+        a, b = range_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+    same = range_hashes(np.frombuffer(b"xabcabc" + b"y" * 300 + b" " + b"y" * 300, np.uint8), np.array([1, 4, 7, 308]), np.array([4, 7, 307, 608]))
+    assert same[0] == same[1]
+    assert same[2] == same[3]
 
 
 @pytest.mark.parametrize("one_task", [0, 1000])
