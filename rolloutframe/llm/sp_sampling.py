@@ -29,9 +29,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
 from ._spark import bounded_batches
-from ._text import GOLDEN, U64, mix64, slices
+from ._text import GOLDEN, ODD, U64, mix64, range_hashes, slices
 
 SIGN = "\u2581"
 SIGN_POINT = 0x110000  # a U+2581 that stands in a text: no code point, so no piece holds it
@@ -60,6 +59,8 @@ class Lattice:
         if crossing := [p for _, _, p in pieces if " " in p.lstrip(" ") or "\n" in p]:
             raise ValueError(f"pieces cross segments: {crossing[:5]}")
         self.longest = max(len(p) for _, _, p in pieces)
+        if self.longest > 512:
+            raise ValueError("a piece is too long for its hash")
         self.byte_weight = -alpha * np.log(len(pieces) + 2.0)
         points = np.array([ord(c) for _, _, p in pieces for c in p])
         ends = np.cumsum([len(p) for _, _, p in pieces])
@@ -77,7 +78,6 @@ class Lattice:
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_size)])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
-
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h of the hashes that pieces have, their rows)."""
         at = (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
@@ -98,10 +98,26 @@ class Lattice:
 
 
 class Hashes:
-    """64-bit hashes of ranges of code points, by prefix sums."""
+    """64-bit polynomial hashes of short ranges of code points, by prefix sums: pieces are looked up with them.
+
+    Modulo 2**64 strings from some 1,000 characters on can be made to collide, so segments are told apart by range_hashes.
+    """
+
+    power = inverse = np.ones(1, U64)
+
+    @classmethod
+    def powers(cls, n: int):
+        if len(cls.power) < n:
+            size = 1 << int(n - 1).bit_length()
+            with np.errstate(over="ignore"):
+                for name, base in (("power", int(ODD)), ("inverse", pow(int(ODD), -1, 1 << 64))):
+                    factors = np.full(size, base, U64)
+                    factors[0] = 1
+                    setattr(cls, name, np.cumprod(factors, dtype=U64))
+        return cls.power, cls.inverse
 
     def __init__(self, points: np.ndarray):
-        power, self.inverse = _text._powers(len(points) + 1)
+        power, self.inverse = self.powers(len(points) + 1)
         with np.errstate(over="ignore"):
             self.total = np.zeros(len(points) + 1, U64)
             np.cumsum((points.astype(U64) + U64(1)) * power[: len(points)], out=self.total[1:])
@@ -134,7 +150,7 @@ def encode_slice(own: Lattice, data: np.ndarray, offsets: np.ndarray, seeds: np.
     size = np.diff(np.append(start, len(points)))
     text_of = full[np.searchsorted(begin, start, "right") - 1]
     hashes = Hashes(points)
-    _, pick, which = np.unique(hashes(start, size), return_index=True, return_inverse=True)
+    _, pick, which = np.unique(range_hashes(points.astype("<u4").view(np.uint8), 4 * start, 4 * (start + size)), return_index=True, return_inverse=True)
     ends, entry, keys, back, piece = lattices(own, points, hashes, start[pick], size[pick])
     count = np.bincount(text_of, minlength=n)
     offset = np.concatenate([[0], np.cumsum(count)])
