@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ._spark import bounded_batches, components, delete, partitions, saved
 from ._text import GOLDEN, U64, mix64, shingles, slices
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 BROADCAST_ROWS = 1_000_000  # candidates up to which their list is broadcast (about 100 MB); beyond, a shuffle join
 TURNS = 12
 DEVIATIONS = 7
