@@ -8,9 +8,13 @@ A byte-level BPE tokenizer is two deterministic transducers in a row.
   prefix scan, which gives the state in which every chunk begins, and a second pass emits the piece starts of all
   chunks at once.
 * Merging is a transducer over the bytes of a piece. Its state is the longest suffix that begins a vocabulary entry,
-  with the last token and the token count at the places inside that suffix. A byte leads to the next suffix; the last
-  token there is the longest vocabulary suffix that is compatible with the last token before it, and the transition
-  emits one token more than the place where that token begins. All distinct pieces of a slice advance together.
+  with the last token at the places inside that suffix. A byte leads to the next suffix; the last token there is the
+  longest vocabulary suffix that is compatible with the last token before it, and the transition emits one token more
+  than the place where that token begins. All distinct pieces of a slice advance together. A piece of more than LONG
+  bytes is cut into chunks of STRETCH bytes that advance together, too. A chunk's state map is kept for the states that
+  it was entered with: the first is guessed from a run over the bytes in front of it, and a scan composes the maps from
+  left to right; where a chunk is entered with a state that its map doesn't hold yet, the map is extended, for all such
+  chunks at once, until the scan meets none. Token counts add up over the chunks.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated rows; other columns are ignored.
 A special token inside a text counts as one token and ends the pieces around it, the library's default.
@@ -33,6 +37,7 @@ STATES = "B L N O W P A r v l C".split()
 START, PREVIOUS = 1, 2
 CHUNK = 128
 AREA = 1 << 20  # cells of the tables in which pieces advance together
+LONG, STRETCH = 2048, 1024  # bytes
 MOST_KNOWN = 4_000_000  # piece counts that a worker keeps: 64 MB
 
 
@@ -168,6 +173,7 @@ class Merger:
                 tokens[a + b] = len(tokens)
         self.left, self.right = np.array(left), np.array(right)
         self.length = np.array([len(t) for t in tokens])
+        self.longest = int(self.length.max())
         made = np.arange(256, len(left))
         keys = self.left[256:] << 20 | self.right[256:]
         order = np.argsort(keys)
@@ -229,30 +235,96 @@ class Merger:
             node[live] = self.fail[node[live]]
         return out
 
-    def run(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Token counts of pieces, all advancing one byte at a time."""
-        order = np.argsort(-size, kind="stable")
-        starts, size = starts[order], size[order]
-        width = int(size[0]) + 1
+    def advance_all(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last tokens, token counts) at every place of byte ranges, all advancing one byte at a time; longest first.
+
+        ``known``: the last tokens at the first places, -1 where a piece begins.
+        """
+        width, skip = int(size[0]) + 1, known.shape[1] - 1
         last, count = np.full((len(size), width), -1, np.int32), np.zeros((len(size), width), np.int32)
+        last[:, : skip + 1] = known
         node, row = np.zeros(len(size), np.int64), np.arange(len(size))
         for t in range(width - 1):
-            n = int(np.searchsorted(-size, -t, "left"))  # pieces longer than t
+            n = int(np.searchsorted(-size, -t, "left"))  # ranges longer than t
             node = self.advance(node[:n], data[starts[:n] + t].astype(np.int64))
+            if t < skip:
+                continue
             at, live = np.where(self.token[node] >= 0, node, self.shorter[node]), row[:n]
             while len(live):
                 token = self.token[at]
                 begin = t + 1 - self.length[token]
                 before = last[live, begin]
                 good = self.alone[token].copy()
-                inner = np.flatnonzero(good & (begin > 0))
+                inner = np.flatnonzero(good & (before >= 0))
                 good[inner] = self.compatible(before[inner].astype(np.int64), token[inner])
                 done = live[good]
                 last[done, t + 1] = token[good]
                 count[done, t + 1] = count[done, begin[good]] + 1
                 live, at = live[~good], self.shorter[at[~good]]
+        return last, count
+
+    def run(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Token counts of pieces."""
+        order = np.argsort(-size, kind="stable")
+        _, count = self.advance_all(data, starts[order], size[order], np.full((len(size), 1), -1, np.int32))
         out = np.empty(len(size), np.int64)
-        out[order] = count[row, size]
+        out[order] = count[np.arange(len(size)), size[order]]
+        return out
+
+    def run_long(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Token counts of pieces of more than STRETCH bytes, by chunks; chunks of the same bytes share a map."""
+        many = -(-size // STRETCH)
+        first = np.cumsum(many) - many
+        piece = np.repeat(np.arange(len(size)), many)
+        front = (np.arange(len(piece)) - first[piece]) * STRETCH  # of each chunk in its piece
+        at, width = starts[piece] + front, np.minimum(STRETCH, size[piece] - front)
+        back = self.longest  # a state: the last tokens at so many places, which tell their bytes too
+        lead = np.where(front > 0, back, 0)
+        content = range_hashes(data, at, at + width).tolist()
+        maps: dict[int, dict] = {c: {} for c in content}  # bytes of a chunk -> state of its front -> (state of its end, last tokens)
+        guess: list = [None] * len(piece)
+
+        def extend(chunks: np.ndarray, entry: np.ndarray | None):
+            """Run chunks from a guess (their state ``back`` bytes in front taken for a piece's front) or from known states."""
+            step = max(1, AREA // (2 * STRETCH))
+            for lo in range(0, len(chunks), step):
+                some = chunks[lo : lo + step]
+                order = np.argsort(-(lead[some] + width[some]), kind="stable")
+                some = some[order]
+                known = np.full((len(some), 1), -1, np.int32) if entry is None else entry[lo : lo + step][order]
+                last, _ = self.advance_all(data, at[some] - lead[some], lead[some] + width[some], known)
+                for i, (c, a) in enumerate(zip(some.tolist(), lead[some].tolist(), strict=True)):
+                    end = a + int(width[c])
+                    state = last[i, max(0, a - back + 1) : a + 1].tobytes() if front[c] else b""
+                    maps[content[c]][state] = (last[i, max(0, end - back + 1) : end + 1].tobytes(), last[i, a + 1 : end + 1].copy())
+                    guess[c] = state
+
+        context = range_hashes(data, at - lead, at + width)
+        _, once, same = np.unique(np.column_stack([context, lead.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True)
+        extend(once, None)
+        for c, u in enumerate(same.ravel().tolist()):
+            guess[c] = guess[once[u]]
+        asked = {(): 0}
+        while asked:
+            asked = {}
+            for c in range(len(piece)):  # the scan; a chunk without the state asked for goes on from the last one it knows
+                state = maps[content[c - 1]][guess[c - 1]][0] if front[c] else b""
+                if state in maps[content[c]]:
+                    guess[c] = state
+                else:
+                    asked.setdefault((content[c], state), c)
+            if asked:
+                entry = np.full((len(asked), back + 1), -1, np.int32)
+                for i, (_, state) in enumerate(asked):
+                    entry[i, 1:] = np.frombuffer(state, np.int32)
+                extend(np.array(list(asked.values())), entry)
+        out = np.zeros(len(size), np.int64)
+        for p in range(len(size)):
+            tokens = np.concatenate([maps[content[c]][guess[c]][1] for c in range(first[p], first[p] + many[p])])
+            step, place = self.length[tokens].tolist(), int(size[p])
+            while place:
+                place -= step[place - 1]
+                out[p] += 1
         return out
 
     def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -270,7 +342,10 @@ class Merger:
             begin, size = starts[where[new]], (ends - starts)[where[new]]
             counts = np.zeros(len(new), np.int64)
             order = np.argsort(size, kind="stable")
-            lo = 0
+            lo, short = 0, int(np.searchsorted(size[order], LONG, "right"))
+            if short < len(order):
+                counts[order[short:]] = self.run_long(data, begin[order[short:]], size[order[short:]])
+                order = order[:short]
             while lo < len(order):  # blocks of similar length, of a bounded area
                 hi = lo + max(1, int(np.searchsorted(np.arange(1, len(order) - lo + 1) * (size[order[lo:]] + 1), AREA, "right")))
                 some = order[lo:hi]
