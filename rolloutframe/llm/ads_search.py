@@ -1,38 +1,40 @@
 """Approximate nearest neighbours by adaptive dimension scan.
 
-Index: centroids come from k-means on a bounded sample (SAMPLE rows, the smallest hashes of the id); every row is
-indexed, in the list of its nearest centroid, list by list inside each shard. Inner product search becomes distance
-search by one more dimension that gives all vectors one length. A random rotation spreads a vector's length evenly over
-its dimensions, and rotated vectors are held in column blocks.
-
-Search: a query probes the lists of its nearest centroids, nearest first. In each list the squared distances grow block
-by block. After d of D dimensions a candidate is given up when its partial distance, scaled by D / d, is above
-(1 + EPSILON / sqrt(d))**2 times the distance of the k-th best so far: the hypothesis that its whole distance is
-smaller is then rejected at a level that EPSILON sets. Survivors are scored on the original vectors in double
-precision, component by component in order, so equal vectors have equal scores.
+Index: centroids come from k-means on a bounded sample (SAMPLE rows, the smallest hashes of the id), as many as the
+square root of the rows, from 64 to MOST_LISTS; every row is indexed, in the list of its nearest centroid, list by list
+inside each shard. Inner product search becomes distance search by one more dimension that gives all vectors one length.
+A random rotation spreads a vector's length evenly over its dimensions, and rotated vectors are held in column blocks.
+How many lists a query probes is measured on the sample: the fewest, at most all, that hold RECALL of the true nearest
+of up to 256 sampled queries. Vectors with structure need few, directions drawn at random need most.
+
+Search: queries probe the lists of their nearest centroids in three steps, nearest first. In each list the squared
+distances of all queries that probe it grow block by block. After d of D dimensions a candidate is given up when its
+partial distance, scaled by D / d, is above (1 + EPSILON / sqrt(d))**2 times the distance of the k-th best of the steps
+before: the hypothesis that its whole distance is smaller is then rejected at a level that EPSILON sets. Survivors are
+scored on the original vectors in double precision, component by component in order, so equal vectors have equal scores.
 
 Recall against brute force is measured by the tests and stated in the README. Edge cases: vectors that are null, zero
-or hold null or non-finite components take no part, nor do rows with a null id; repeated rows of an id are vectors of
-their own, of which a query's own id is never a result, and as a query an id has the least of its vectors; fewer candidates than k are all that are found; other columns
-are ignored; an empty table gives no rows. All vectors must have one length.
+or hold null or non-finite components, or have another length than most, take no part, nor do rows with a null id;
+repeated rows of an id are vectors of their own, of which a query's own id is never a result, and as a query an id has
+the least of its vectors; fewer candidates than k are all that are found; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches
-from ._vectors import best, clean, matrix, query_blocks, shards
+from ._vectors import best, clean, matrix, searched, shards
 
 SAMPLE = 20_000
-LISTS = 64
-PROBES = 56
+MOST_LISTS = 1024
+RECALL = 0.97
 COLUMNS = 16
-TOGETHER = 1024  # candidates from as many of the nearest lists that advance together
 EPSILON = 2.1
+CHUNK = 1024  # queries that advance together
 
 
 def fit(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -52,67 +54,99 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(axis=1) - 2 * x @ centroids.T, axis=1)
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products, summed in the order of the components."""
-    total = np.zeros(len(x))
-    for d in range(len(q)):
-        total += x[:, d] * q[d]
-    return total
+def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float = RECALL, asked: int = 256) -> int:
+    """The fewest lists to probe that hold ``recall`` of the k nearest of sampled queries; last columns are the lengths' rest."""
+    q = np.column_stack([sample[:asked, :-1], np.zeros(min(asked, len(sample)))])
+    far = (sample**2).sum(axis=1) - 2 * q @ sample.T
+    far[np.arange(len(q)), np.arange(len(q))] = np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(centroids)
+    true = np.argpartition(far, k - 1, axis=1)[:, :k]
+    order = np.argsort((centroids**2).sum(axis=1) - 2 * q @ centroids.T, axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centroids))[None], axis=1)
+    own = np.take_along_axis(rank, nearest(sample, centroids)[true], axis=1)
+    return int(np.quantile(own, recall, method="higher")) + 1
 
 
 class Index:
     """The lists of one shard."""
 
-    def __init__(self, ids, x, longest, rotation, centroids):
+    def __init__(self, ids, x, longest, rotation, centroids, probes, k):
         extra = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0))
         y = np.column_stack([x, extra])
         near = nearest(y, centroids)
         order = np.lexsort((ids, near))
+        self.k, self.probes, self.rotation, self.centroids = k, probes, rotation, centroids
         self.ids, self.x = ids[order], x[order]
         y = (y[order] @ rotation).astype(np.float32)
-        self.blocks = [np.ascontiguousarray(y[:, d : d + COLUMNS]) for d in range(0, y.shape[1], COLUMNS)]
+        self.dims = y.shape[1]
+        self.blocks = [np.ascontiguousarray(y[:, d : d + COLUMNS]) for d in range(0, self.dims, COLUMNS)]
         self.norms = [(b**2).sum(axis=1) for b in self.blocks]
         self.start = np.searchsorted(near[order], np.arange(len(centroids) + 1))
 
-    def candidates(self, probes: np.ndarray):
-        """Rows of the probed lists in their order, at least TOGETHER at a time."""
-        got, count = [], 0
-        for c in probes:
-            if self.start[c] < self.start[c + 1]:
-                got.append(np.arange(self.start[c], self.start[c + 1]))
-                count += len(got[-1])
-                if count >= TOGETHER:
-                    yield np.concatenate(got)
-                    got, count = [], 0
-        if got:
-            yield np.concatenate(got)
-
-    def search(self, own: int, q: np.ndarray, turned: np.ndarray, probes: np.ndarray, k: int):
-        dims, limit = turned.shape[0], np.inf
-        best_at, best_d = np.zeros(0, np.int64), np.zeros(0)
-        for at in self.candidates(probes):
-            partial, d = np.zeros(len(at), np.float32), 0
-            for block, norm in zip(self.blocks, self.norms, strict=True):
-                w = turned[d : d + block.shape[1]]
-                d += len(w)
-                partial = partial + norm[at] + (w @ w) - 2 * (block[at] @ w)
-                if d < dims and np.isfinite(limit):
-                    live = partial * (dims / d) <= limit * (1 + EPSILON / np.sqrt(d)) ** 2
-                    at, partial = at[live], partial[live]
-                    if not len(at):
-                        break
-            keep = (partial <= limit * 1.0001 + 1e-4) & (self.ids[at] != own)
-            best_at, best_d = np.concatenate([best_at, at[keep]]), np.concatenate([best_d, partial[keep]])
-            if len(best_d) >= k:
-                limit = np.partition(best_d, k - 1)[k - 1]
-                keep = best_d <= limit * 1.0001 + 1e-4  # ties of the last place, and what float32 can't tell apart
-                best_at, best_d = best_at[keep], best_d[keep]
-        score = exact(self.x[best_at], q)
-        top = np.lexsort((self.ids[best_at], -score))[:k]
-        return best_at[top], score[top]
-
-
-def adaptive_search(vectors: DataFrame, queries: Column, k: int = 20, lists: int = LISTS, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
+    def scan(self, c: int, turned: np.ndarray, limit: np.ndarray):
+        """(query numbers, rows, squared distances) of the candidates of list c that no test gives up."""
+        lo, hi = self.start[c], self.start[c + 1]
+        whole, d, pairs = np.zeros((len(turned), hi - lo), np.float32), 0, None
+        for block, norm in zip(self.blocks, self.norms, strict=True):
+            w = turned[:, d : d + block.shape[1]]
+            d += block.shape[1]
+            level = limit * ((1 + EPSILON / np.sqrt(d)) ** 2 * d / self.dims if d < self.dims else 1.0001) + 1e-4
+            if pairs is None:  # most candidates are alive: whole products
+                whole += norm[lo:hi] + (w**2).sum(axis=1)[:, None] - 2 * (w @ block[lo:hi].T)
+                live = whole <= level[:, None]
+                if d == self.dims or np.count_nonzero(live) < live.size // 8:
+                    q, row = np.nonzero(live)
+                    pairs, partial = (q, row + lo), whole[q, row]
+            else:
+                q, row = pairs
+                partial = partial + norm[row] + (w**2).sum(axis=1)[q] - 2 * np.einsum("ij,ij->i", block[row], w[q])
+                live = partial <= level[q]
+                pairs, partial = (q[live], row[live]), partial[live]
+        return *pairs, partial
+
+    def chunk(self, ids: np.ndarray, q: np.ndarray):
+        padded = np.column_stack([q, np.zeros(len(q))])
+        turned = (padded @ self.rotation).astype(np.float32)
+        order = np.argsort((self.centroids**2).sum(axis=1) - 2 * padded @ self.centroids.T, axis=1)[:, : self.probes]
+        limit = np.full(len(q), np.inf, np.float32)
+        who, row, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        cuts = sorted({0, *(min(x, self.probes) for x in (4, 16, self.probes))})
+        for lo, hi in zip(cuts, cuts[1:]):
+            found = [(who, row, far)]
+            probed = order[:, lo:hi]
+            by = np.argsort(probed.ravel(), kind="stable")
+            queries, at = by // probed.shape[1], np.searchsorted(probed.ravel()[by], np.arange(len(self.centroids) + 1))
+            for c in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.start) > 0)).tolist():
+                some = queries[at[c] : at[c + 1]]
+                n, r, f = self.scan(c, turned[some], limit[some])
+                n = some[n]
+                away = self.ids[r] != ids[n]
+                found.append((n[away], r[away], f[away]))
+            who, row, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            rank = np.lexsort((far, who))
+            who, row, far = who[rank], row[rank], far[rank]
+            first = np.searchsorted(who, np.arange(len(q) + 1))
+            full = np.flatnonzero(np.diff(first) >= self.k)
+            limit[full] = far[first[full] + self.k - 1]
+            keep = far <= limit[who] * 1.0001 + 1e-4  # ties of the last place, and what float32 can't tell apart
+            who, row, far = who[keep], row[keep], far[keep]
+        score = np.zeros(len(who))
+        for d in range(q.shape[1]):
+            score += self.x[row, d] * q[who, d]
+        rank = np.lexsort((self.ids[row], -score, who))
+        who, row, score = who[rank], row[rank], score[rank]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        return who[keep], self.ids[row[keep]], score[keep]
+
+    def search(self, ids: np.ndarray, q: np.ndarray):
+        found = [(lo, *self.chunk(ids[lo : lo + CHUNK], q[lo : lo + CHUNK])) for lo in range(0, len(ids), CHUNK)]
+        return np.concatenate([lo + w for lo, w, _, _ in found]), np.concatenate([i for _, _, i, _ in found]), np.concatenate([s for _, _, _, s in found])
+
+
+def adaptive_search(vectors: DataFrame, queries: Column, k: int = 20, lists: int | None = None, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query of the stated set."""
     spark = vectors.sparkSession
     bounded_batches(spark, 10_000)
@@ -122,29 +156,11 @@ def adaptive_search(vectors: DataFrame, queries: Column, k: int = 20, lists: int
     empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     if not count:
         return empty
-    sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v"))
+    sample = matrix(rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").toArrow().column("v"))
     sample = np.column_stack([sample, np.sqrt(np.maximum(longest**2 - (sample**2).sum(axis=1), 0))])
-    centroids = fit(sample, lists, seed=seed)
+    centroids = fit(sample, lists or min(max(64, int(count**0.5)), MOST_LISTS), seed=seed)
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((sample.shape[1],) * 2))[0]
     asked = rows.withColumn(id_col, F.col("id")).where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    spread, out = shards(rows, count), None
-    for ids, block in query_blocks(asked):
-        sent = spark.sparkContext.broadcast((ids, block, rotation, centroids))
-
-        def run(batches, sent=sent):
-            got = [(b.column(0).to_numpy(), matrix(b.column(1))) for b in batches if b.num_rows]
-            if not got:
-                return
-            q_ids, q, rotation, centroids = sent.value
-            index = Index(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), longest, rotation, centroids)
-            padded = np.column_stack([q, np.zeros(len(q))])
-            turned = (padded @ rotation).astype(np.float32)
-            order = np.argsort((centroids**2).sum(axis=1) - 2 * padded @ centroids.T, axis=1)[:, :probes]
-            found = [index.search(i, w, t, o, k) for i, w, t, o in zip(q_ids.tolist(), q, turned, order, strict=True)]
-            size = [len(at) for at, _ in found]
-            at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(index.ids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-        part = spread.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return empty if out is None else best(out, k, id_col, F.desc("score"))
+    sent = spark.sparkContext.broadcast((longest, rotation, centroids, probes or probes_for(sample, centroids, k)))
+    found = searched(shards(rows, count), asked, lambda ids, x: Index(ids, x, *sent.value, k), "double")
+    return empty if found is None else best(found, k, id_col, F.desc("score"))

@@ -60,6 +60,26 @@ def test_splitter_scan_equals_single_steps():
     assert (split.starts(cls.astype(np.intp)) == begin).all()
 
 
+def test_token_counts_of_long_pieces():
+    """Pieces that no break cuts, in chunks: also where the guessed states are wrong, and the same chunks come again."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = ["ha" * 3000, "abc" * 3000, "=" * 999 + "-" * 2500, " " * 7001, "the" * 2000 + "ing" * 1500, "一二" * 2000, "aab" * 2777 + "x" * 1025, word("etaoin", 2049), word("ab", 6000), word("etaoinshrdlu", 100_000)]
+    library = Tokenizer.from_file(BPE)
+    own = token_counts.counter(BPE)
+    for t in texts:
+        ((_, _, data, offsets),) = slices(pa.array([t]))
+        assert own.count(data, offsets)[0] == len(library.encode(t, add_special_tokens=False).ids)
+    ((_, _, data, offsets),) = slices(pa.array([word("etaoinshrdlu", 1_000_000)]))
+    begin = time.time()
+    own.count(data, offsets)
+    assert time.time() - begin < 20
+
+
 def test_token_counts_empty(spark):
     assert token_counts.token_counts(docs(spark, []), BPE).count() == 0
 
@@ -123,6 +143,42 @@ def test_maxscore_is_exact(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("block", [3, 16_384])
+def test_searches_with_repeated_ids_and_other_lengths(spark, monkeypatch, block):
+    """A query's own rows are never results, however many there are; odd lengths take no part; blocks of queries agree."""
+    from rolloutframe.llm import _vectors
+
+    monkeypatch.setattr(_vectors, "QUERY_BLOCK", block)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((400, 12)).astype(np.float32)
+    ids = np.concatenate([np.arange(390), [0, 50, 50, 50, 50, 50, 50, 50, 100, 0]])
+    x[390:] = x[ids[390:]] * 1.5  # larger products than any other row's
+    rows = [(int(i), [float(c) for c in v], "x") for i, v in zip(ids, x, strict=True)] + [(500, [1.0] * 5, "y"), (550, [9.0] * 30, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    q = np.floor(256 * x.astype(np.float64))
+    got, near = defaultdict(list), defaultdict(list)
+    for row in maxscore.maxscore(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    for row in ads_search.adaptive_search(df, F.col("vec_id") % 50 == 0, k=20).orderBy("query_id", "rank").collect():
+        near[row.query_id].append(row.vec_id)
+    assert set(got) == set(near) == {0, 50, 100, 150, 200, 250, 300, 350}
+    for i in got:
+        own = min((tuple(v) for j, v in zip(ids, q, strict=True) if j == i))
+        want = sorted(((int(j), int(np.dot(own, v))) for j, v in zip(ids, q, strict=True) if j != i), key=lambda p: (-p[1], p[0]))[:5]
+        assert got[i] == want
+        assert len(near[i]) == 20
+        assert i not in near[i]
+
+
+def test_probes_follow_the_structure_of_the_vectors():
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((64, 16)) * 6
+    for x, most in ((centres[r.integers(0, 64, 4000)] + r.standard_normal((4000, 16)) * 0.1, 24), (r.standard_normal((4000, 16)), 64)):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        sample = np.column_stack([x, np.zeros(len(x))])
+        assert ads_search.probes_for(sample, ads_search.fit(sample, 64), 20) <= most
+
+
 def test_adaptive_search_recall(spark):
     df, x = vectors(spark, 3000, 32, 2)
     x64 = x.astype(np.float64)
@@ -414,31 +470,14 @@ def test_quality_held_out(labelled):
     rest = crc(labelled.doc_id, 5)
     train, test = labelled[rest != 0], labelled[rest == 0]
     features = lambda t: np.concatenate([pu_quality.features(data, offsets) for _, _, data, offsets in slices(pa.array(t.tolist()))])
-    network = pu_quality.fit(features(train.text[train.quality == 1]), features(train.text), train.quality.mean())
+    positive, web = features(train.text[train.quality == 1]), features(train.text)
+    prior = pu_quality.estimated_prior(positive, web)
+    assert abs(prior - train.quality.mean()) < 0.03
+    network = pu_quality.fit(positive, web, prior)
     y = test.quality.to_numpy()
     assert ((network.scores(features(test.text)) >= 0.3) == y).mean() > 0.95
 
 
-def test_gradients_of_the_recurrent_network():
-    r = np.random.default_rng(1)
-    net = toxicity.Network()
-    x, mask = r.standard_normal((6, 4, toxicity.INPUTS)).astype(np.float32), np.ones((6, 4), bool)
-    mask[4:, 1] = False
-    y, w = np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32)
-    loss = lambda: float((np.logaddexp(0, net.pool(net.states(net.gates(x), mask), mask)[3].astype(np.float64)) - y * net.pool(net.states(net.gates(x), mask), mask)[3]).mean())
-    grad = net.gradients(x, mask, y, w)
-    for name in ("wxf", "whb", "bf", "wa", "va", "wo"):
-        p = net.p[name]
-        at = tuple(r.integers(0, n) for n in p.shape)
-        old, e = p[at], 1e-2
-        p[at] = old + e
-        up = loss()
-        p[at] = old - e
-        down = loss()
-        p[at] = old
-        assert grad[name][at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
-
-
 def test_scores_without_labels_and_odd_texts(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, ODD, extra=False)
