@@ -3,16 +3,21 @@
 Trusted positives are documents labelled good; the unlabelled set is web text of the same corpus, labels unseen. The
 model, a network with one hidden layer over document statistics, minimises the non-negative unbiased risk
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss; where a batch's second term falls below zero, the step
-goes against it. The class prior pi is estimated as the smoothed share of good documents among the labelled rows that may
-be learned from; labels of bad documents serve nothing else.
+goes against it. Labels of bad documents serve nothing at all.
+
+The class prior pi, the share of good documents among the unlabelled, is estimated from the two samples alone. A network
+that tells positives from unlabelled ones is fitted on one half of both. On the other half, the share of the unlabelled
+that score at least c over the share of the positives that do is an upper bound of pi for every c, and near it where only
+good documents score so high; the estimate is the ratio at the c whose upper confidence bound is the least.
 
 Statistics of a whole text: frequencies of neighbouring byte classes, repeated neighbours, distinct words, the most
 frequent word's share, lengths. Fitting takes bounded samples (POSITIVES and UNLABELLED rows by hash of the id) and runs
 on the driver; scoring is one pass without a shuffle and covers every row.
 
-Edge cases: null and empty texts have statistics of zero and a score like any; without a label to learn from, every
-score is the prior; several labels of one id count once each; rows with a null id are scored and never learned from;
-repeated rows score alike; other columns are ignored; an empty table gives no rows.
+Edge cases: null and empty texts have statistics of zero and a score like any; without a positive or an unlabelled
+document to learn from, every score is 0.5; several labels of one id count once each; of repeated rows of an id the least
+text is learned from; rows with a null id are scored and never learned from; repeated rows score alike; other columns
+stay, but one named like the score is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from ._spark import bounded_batches
 from ._text import GOLDEN, LOWER, U64, mix64, range_hashes, slices, spans
 
 POSITIVES, UNLABELLED = 6_000, 8_000
-HIDDEN, EPOCHS, BATCH, RATE = 16, 40, 512, 3e-3
+HIDDEN, EPOCHS, BATCH, RATE = 16, 40, 2048, 3e-3
 
 # byte classes: lower, upper, digit, blank, line break, stops, quotes and hyphen, other signs, bars and brackets, !, beyond ASCII, control
 CLASS = np.full(256, 11, np.intp)
@@ -74,8 +79,29 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> Network:
-    """Minimise the non-negative risk. Logistic loss: l(+) = log(1 + e**-g), l(-) = log(1 + e**g)."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 4, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the two samples."""
+    rng = np.random.default_rng(seed)
+    halves = []
+    for x in (positive, unlabelled):
+        order = rng.permutation(len(x))
+        halves.append((x[order[: (len(x) + 1) // 2]], x[order[len(x) // 2 :]]))
+    (p, p_rest), (u, u_rest) = halves
+    apart = fit(p, u, 0.5, seed, unbiased=False)
+    at_p, at_u = np.sort(apart.logits(p_rest)), np.sort(apart.logits(u_rest))
+    cut = np.unique(np.concatenate([at_p, at_u]))
+    share_p, share_u = (1 - np.searchsorted(x, cut, "left") / len(x) for x in (at_p, at_u))
+    slack = np.sqrt(np.log(4 / doubt) / 2 / len(p_rest)) + np.sqrt(np.log(4 / doubt) / 2 / len(u_rest))
+    some = share_p > 0
+    best = np.argmin((share_u[some] + slack) / share_p[some])
+    return float(np.clip(share_u[some][best] / share_p[some][best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3, unbiased: bool = True) -> Network:
+    """Minimise the non-negative risk. Logistic loss: l(+) = log(1 + e**-g), l(-) = log(1 + e**g).
+
+    Without ``unbiased`` the unlabelled are taken for negatives: the network tells the two samples apart.
+    """
     rng = np.random.default_rng(seed)
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-2
     d = unlabelled.shape[1]
@@ -93,7 +119,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             up = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # derivative of l(-); that of l(+) is up - 1
             gp, gu = g[: len(p)], g[len(p) :]
             rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if rest >= 0:
+            if not unbiased:
+                dg = np.concatenate([(up[: len(p)] - 1) / len(p), up[len(p) :] / len(u)]) / 2
+            elif rest >= 0:
                 dg = np.concatenate([prior * (up[: len(p)] - 1) / len(p) - prior * up[: len(p)] / len(p), up[len(p) :] / len(u)])
             else:
                 dg = np.concatenate([prior * up[: len(p)] / len(p), -up[len(p) :] / len(u)])
@@ -114,18 +142,19 @@ def sampled(rows: DataFrame, count: int, most: int, id_col: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * most / count))
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """The least text of each key: an id of many rows is brought down to one before anything is collected."""
+    return rows.groupBy(*keys).agg(F.min("_text").alias("_text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Network | None, float]:
     """(network, class prior). ``learn``: a condition on id_col of the rows whose labels may be learned from."""
     bounded_batches(docs.sparkSession)
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(learn).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
-    seen, good = own.agg(F.count("*"), F.coalesce(F.sum((F.col("_y") == 1).cast("long")), F.lit(0))).first()
-    prior = (good + 1) / (seen + 2)
-    if not good:
-        return None, prior
-    trusted = sampled(own.where("_y = 1"), good, POSITIVES, "_id").select("_id").distinct()
+    good = labels.where(F.col(id_col).isNotNull() & (F.col(label_col) == 1)).where(learn).select(F.col(id_col).alias("_id")).distinct()
+    good = sampled(good, good.count(), POSITIVES, "_id")
     d = docs.where(F.col(id_col).isNotNull()).where(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     web = sampled(d, docs.count(), UNLABELLED, "_id").withColumn("_p", F.lit(False))
-    both = d.join(F.broadcast(trusted), "_id", "left_semi").withColumn("_p", F.lit(True)).unionByName(web).select("_p", "_text")
+    both = one_text(d.join(F.broadcast(good), "_id", "left_semi").withColumn("_p", F.lit(True)).unionByName(web), "_id", "_p").select("_p", "_text")
 
     def run(batches):
         for batch in batches:
@@ -139,24 +168,30 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     order = np.lexsort(x.T[-7:])  # the same fit whatever the order in which rows came
     flag, x = flag[order], x[order]
     if not flag.any() or flag.all():
-        return None, prior
+        return None, 0.5
+    prior = estimated_prior(x[flag], x[~flag])
     return fit(x[flag], x[~flag], prior), prior
 
 
+def with_scores(docs: DataFrame, text_col: str, score_col: str, scores) -> DataFrame:
+    """``docs`` with score_col, in place of a column of that name. ``scores(bytes, offsets)``: of the texts of a slice."""
+    rows = docs.select(F.col(text_col).alias("_text_"), *[c for c in docs.columns if c != score_col])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:]), f"`{score_col}` double"])
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for lo, hi, data, offsets in slices(batch.column(0)):
+                out[lo:hi] = scores(data, offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], names=[*batch.schema.names[1:], score_col])
+
+    return rows.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: tuple[Network | None, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row."""
     network, prior = model
     if network is None:
         return docs.withColumn(score_col, F.lit(float(prior)))
     bounded_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{score_col}` double"])
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in slices(batch.column(at)):
-                out[lo:hi] = network.scores(features(data, offsets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, score_col])
-
-    return docs.mapInArrow(run, schema)
+    return with_scores(docs, text_col, score_col, lambda data, offsets: network.scores(features(data, offsets)))
