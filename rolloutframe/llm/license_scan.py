@@ -1,13 +1,15 @@
 """License scans by diagonal voting.
 
-Every rolling k-word hash of a text joins the positions of the same hash in the license templates. A match votes for a
-diagonal (text position less template position). Votes are counted for each text, template and diagonal; diagonals of
-one template that lie at most ``slack`` words apart, in neighbouring places, merge into one candidate span; a span of
-more words than a place may have is cut into stretches that do not exceed it; and the span is verified: the distinct template k-grams that voted must cover at least ``share`` of the template. A phrase is a
-template whose k-grams must all vote on one diagonal, which is an exact occurrence.
+Every rolling k-word hash of a text joins the positions of the same hash in the license templates, and a match counts
+only where the k words themselves are the template's. A match votes for a diagonal (text position less template
+position). Votes are counted for each text, template and diagonal; diagonals of one template that lie at most ``slack``
+words apart, in neighbouring places, merge into one candidate span; a span of more words than a place may have is cut
+into stretches that do not exceed it; and the span is verified: the distinct template k-grams whose words stand in it
+must cover at least ``share`` of the template. A phrase is a template whose k-grams must all vote on one diagonal, which
+is an exact occurrence.
 
-The template side of the join is a fixed table of at most MOST_TEMPLATE_GRAMS rows, checked before it is broadcast, so
-the k-grams of the texts never shuffle; only votes do.
+The template side of the join is broadcast up to MOST_TEMPLATE_GRAMS rows, so the k-grams of the texts never shuffle,
+only votes do; a larger one is joined by a shuffle.
 
 Edge cases: null and empty texts have 0 words and no label; texts with fewer than k words have no k-gram; repeated rows
 of one id and text count apart, as every row gets a key of its own; other columns are ignored.
@@ -47,7 +49,7 @@ TEMPLATES = {
 
 
 def kgrams(data: np.ndarray, offsets: np.ndarray):
-    """(text, first word, hash of each K-gram, words of each text) of a slice, A-Z lower-cased."""
+    """(text, first word, hash, first byte, end of each K-gram; words of each text) of a slice, A-Z lower-cased."""
     starts, ends, doc = spans(data, offsets, NOT_WORD)
     words = range_hashes(LOWER[data], starts, ends)
     count = np.bincount(doc, minlength=len(offsets) - 1)
@@ -58,7 +60,13 @@ def kgrams(data: np.ndarray, offsets: np.ndarray):
             h = mix64(h * U64(31) + words[j : j + n] + GOLDEN)
     same = doc[:n] == doc[K - 1 :] if n else np.zeros(0, bool)
     pos = np.arange(n) - (np.cumsum(count) - count)[doc[:n]]
-    return doc[:n][same], pos[same], h[same], count
+    return doc[:n][same], pos[same], h[same], starts[:n][same], ends[K - 1 :][same], count
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The words of byte ranges, A-Z lower-cased, with one blank in between."""
+    low = np.where(NOT_WORD[data], np.uint8(32), LOWER[data]).tobytes()
+    return [" ".join(x for x in low[a:b].decode().split(" ") if x) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, share: float = 0.7, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,30 +83,35 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 raise ValueError(f"{text!r} has fewer than {K} words")
             size[kind, n] = len(words) - K + 1
             raw = np.frombuffer(text.encode(), np.uint8)
-            _, pos, h, _ = kgrams(raw, np.array([0, len(raw)]))
-            rows += [(kind == "phrase", n, label, i, len(words) - K + 1, x) for i, x in zip(pos.tolist(), h.view(np.int64).tolist(), strict=True)]
-    if len(rows) > MOST_TEMPLATE_GRAMS:
-        raise ValueError("too many template k-grams to broadcast")
-    t = spark.createDataFrame(rows, "exact boolean, template int, label string, at int, grams int, h long")
+            _, pos, h, first, last, _ = kgrams(raw, np.array([0, len(raw)]))
+            rows += [(kind == "phrase", n, label, i, len(words) - K + 1, x, g) for i, x, g in zip(pos.tolist(), h.view(np.int64).tolist(), spelled(raw, first, last), strict=True)]
+    t = spark.createDataFrame(rows, "exact boolean, template int, label string, at int, grams int, h long, gram string")
+    known = np.unique(np.array([r[5] for r in rows], np.int64))
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def grams(batches):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
-                doc, pos, h, count = kgrams(data, offsets)
+                doc, pos, h, first, last, count = kgrams(data, offsets)
+                signed = h.view(np.int64)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, signed), len(known) - 1)] == signed)
+                words = np.full(len(doc), len(hit), np.int64)
+                words[hit] = np.arange(len(hit))
+                words = pa.array([*spelled(data, first[hit], last[hit]), None], pa.string()).take(pa.array(words))
                 # the row at -1 stands for the text itself, so that one pass serves texts with and without hits
                 own = pa.concat_arrays([pa.array(np.arange(hi - lo)), pa.array(doc)])
                 part = batch.slice(lo, hi - lo)
                 n = pa.concat_arrays([pa.array(count), pa.nulls(len(doc), pa.int64())])
                 at = np.concatenate([np.full(hi - lo, -1, np.int32), pos.astype(np.int32)])
-                hashes = pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(h.view(np.int64))])
+                hashes = pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(signed)])
+                words = pa.concat_arrays([pa.nulls(hi - lo, pa.string()), words])
                 ids = pa.concat_arrays([part.column(1), pa.nulls(len(doc), part.column(1).type)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), ids, n, pa.array(at), hashes], names=["_row", "_id", "n_words", "pos", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), ids, n, pa.array(at), hashes, words], names=["_row", "_id", "n_words", "pos", "h", "gram"])
 
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    every = d.mapInArrow(grams, f"_row long, _id {kind}, n_words long, pos int, h long")
-    hits = every.join(F.broadcast(t), "h", "left").where("pos < 0 or at is not null")
+    every = d.mapInArrow(grams, f"_row long, _id {kind}, n_words long, pos int, h long, gram string")
+    hits = every.join(F.broadcast(t) if len(rows) <= MOST_TEMPLATE_GRAMS else t, ["h", "gram"], "left").where("pos < 0 or at is not null")
     votes = hits.groupBy("_row", "exact", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("_id", True).alias("_id"), F.max("n_words").alias("n_words"))
     # neighbouring diagonals of one template merge; a phrase's stay apart. All kinds of rows go through one plan, so the
     # texts are read once.
