@@ -34,6 +34,7 @@ def pareto_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int
     """id, size, source_size, target, copies, taken and the columns of ``keep`` for every document."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     d = d.withColumn("_band", F.when(F.col("size") > 0, F.length(F.conv(F.col("size").cast("string"), 10, 2))).otherwise(F.lit(0)))
+    d = saved(d)  # the texts are read once; each pass below reads the columns that it needs
     # a table of sources and bands: bounded by the sources, not by the rows
     bands = d.groupBy("_source", "_band").agg(F.sum("size").alias("s")).withColumn("_band", F.col("_band").cast("double"))
     sources = bands.groupBy("_source").agg(F.sum("s").alias("source_size"))
