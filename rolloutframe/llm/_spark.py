@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 ONE_TASK = 500_000  # edges that one task may take: about 60 MB
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of this many rows, so that a Python worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, so that a Python worker holds a few MB of text at a time: one value for all."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,20 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table under the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def delete(df: DataFrame) -> None:
     """Remove a table that saved() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, f)
+
+
+def saved_alone(make, spark: SparkSession) -> DataFrame:
+    """The result of ``make()`` as a table, without the tables that were saved on the way to it."""
+    before = len(_WRITTEN)
+    out = saved(make())
+    for path in _WRITTEN[before:-1]:
+        _remove(spark, path)
+    del _WRITTEN[before:-1]
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -42,7 +42,7 @@ def shards(rows: DataFrame, count: int, least: int = 8192, most: int = 1 << 18)
     return rows.repartition(max(1, -(-count // size)), F.xxhash64("id", F.monotonically_increasing_id()))
 
 
-def searched(spread: DataFrame, asked: DataFrame, make, score: str, batch_rows: int = 10_000) -> DataFrame | None:
+def searched(spread: DataFrame, asked: DataFrame, make, score: str) -> DataFrame | None:
     """query_id, vec_id, score of every shard's best for every query; None without queries.
 
     ``make(ids, x)`` builds a shard's index, whose ``search(ids, q)`` returns (query numbers, vector ids, scores).

@@ -94,7 +94,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(parts, cut)).withColumn("loss", loss)
 
 
-def conversation_nodes(rows: DataFrame, extra=()) -> DataFrame:
+def conversation_nodes(rows: DataFrame) -> DataFrame:
     """Conversations by turn as reply trees: each turn replies to the one before (ties by role, then text)."""
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     return rows.select("conv_id", "turn", "role", "text").withColumn("node", at.cast("long")).select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")

@@ -108,7 +108,7 @@ def maxscore(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256,
 
     ``queries``: a condition on id_col that states the query set.
     """
-    bounded_batches(vectors.sparkSession, 10_000)
+    bounded_batches(vectors.sparkSession)
     rows = clean(vectors, id_col, vector_col, zero=True)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     asked = rows.withColumn(id_col, F.col("id")).where(queries).groupBy("id").agg(F.min("v").alias("v"))
