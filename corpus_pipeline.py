@@ -1,7 +1,12 @@
 """Corpus pipeline: quality, toxicity, near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet under the shared folder and
-reads it again as the next one's documents. All stages but the last return the columns of ``documents``.
+reads it again as the next one's documents, and deletes what no later stage reads. All stages but the last return the
+columns of ``documents``.
+
+Edge cases: a null or empty text is scored like any; it is no near duplicate, takes no part in the mix and so ends there;
+rows with a null id go through every stage, repeated rows of an id that stay are one document's copies; other columns
+than those of ``documents`` are dropped; empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloutframe.llm import pareto_mix, parity_join, pu_quality, sp_sampling, toxicity
-from rolloutframe.llm._spark import saved
+from rolloutframe.llm._spark import delete, saved_alone
 from rolloutframe.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,9 +57,12 @@ STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", unique)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = saved_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark)
+        if last is not None:
+            delete(last)
+        last = docs
     return docs
 
 
