@@ -109,3 +109,9 @@ def boxed_answer(answer: Column) -> Column:
     """The number after ####, else the whole answer, in \\boxed{}."""
     number = F.regexp_extract(answer, r"####\s*([-0-9.,]+)", 1)
     return F.concat(F.lit("\\boxed{"), F.when(number != "", number).otherwise(answer), F.lit("}"))
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A reproducible number in [0, 1) of a key: 52 bits of its MD5, which other engines can compute as well."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

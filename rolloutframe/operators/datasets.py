@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
+from .ordering import numbered
+
 
 def with_provenance(rows: DataFrame, subset: str | None, split: str, order: list[str]) -> DataFrame:
     """Adds __subset, __split and __index, the row number from 0 in a total order."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return rows.withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split)).withColumn("__index", (F.row_number().over(w) - 1).cast("long"))
+    return numbered(rows, order, "__index").withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split))
 
 
 def resolve_subsets(subsets: list[str] | None, splits: list[str] | None) -> list[tuple[str | None, str]]:
@@ -26,8 +28,8 @@ def resolve_subsets(subsets: list[str] | None, splits: list[str] | None) -> list
 
 
 def number(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """Adds _i, the row number of a source from 0."""
-    return rows.withColumn("_i", F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1)
+    """Adds _i, the row number of a source from 0; a source of any size is dealt to many tasks."""
+    return numbered(rows, order, "_i", (source,))
 
 
 def interleave_first(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
@@ -42,7 +44,7 @@ def interleave_first(rows: DataFrame, source: str, order: list[str]) -> DataFram
 
 def interleave_all(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     """Round-robin until the longest source ends; shorter ones start again. Each row says at which turns it comes, so the
-    result is one explode of the rows and no join on positions."""
+    result is one explode of the rows and no join on positions. A single source passes through in its order."""
     n = number(rows, source, order)
     sizes = rows.groupBy(source).agg(F.count("*").alias("n"))
     rank = sizes.withColumn("_s", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(source)) - 1)
@@ -60,7 +62,7 @@ def interleave_weighted(rows: DataFrame, source: str, order: list[str], probabil
     for k in names:
         run += probabilities[k] / total
         upto.append(run)
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = uniform(F.col("id"), seed)
     pick = F.lit(names[-1])
     for k, hi in reversed(list(zip(names, upto, strict=True))[:-1]):
         pick = F.when(u < hi, F.lit(k)).otherwise(pick)
@@ -81,9 +83,28 @@ def epoch(step: Column, n: int) -> tuple[Column, Column]:
     return F.floor((step - 1) / n).cast("long"), F.pmod(step - 1, F.lit(n))
 
 
-def shuffled(rows: DataFrame, index: str, seed: Column) -> DataFrame:
-    """The rows in a reproducible random order of a seed."""
-    return rows.orderBy(F.xxhash64(F.col(index), seed), index)
+def shuffled(rows: DataFrame, index: str, seed: int, name: str = "place") -> DataFrame:
+    """The rows with their place, from 0, in a reproducible random order of a seed."""
+    h = F.md5(F.concat(F.col(index).cast("string"), F.lit(f"-{seed}")))
+    out = places(rows.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 3)), ["_bucket"], ["_h", index])
+    return out.drop("_h", "_bucket").withColumnRenamed("place", name)
+
+
+def sample_examples(draws: DataFrame, examples: DataFrame, order: list, seed: int = 0, draw: str = "draw") -> DataFrame:
+    """For each draw one of the examples, all alike, with replacement: the one whose number a hash of the draw names."""
+    n = numbered(examples, order, "_i")
+    size = examples.agg(F.count("*").alias("_n"))
+    at = F.floor(uniform(F.col(draw), seed) * F.col("_n")).cast("long")
+    return draws.join(F.broadcast(size)).withColumn("_i", at).join(n, "_i").drop("_i", "_n")
+
+
+def fake_batches(spark: SparkSession, ranks: int, batches: int, size: int, seq_len: int, vocab: int = 120_000) -> DataFrame:
+    """rank, batch, i, seed, input_ids of made-up micro-batches; a seed is rank * 1e6 + batch * 1e3 + i and decides the ids."""
+    d = spark.range(ranks * batches * size)
+    rank, batch, i = F.floor(F.col("id") / (batches * size)), F.pmod(F.floor(F.col("id") / size), F.lit(batches)), F.pmod("id", F.lit(size))
+    d = d.select(rank.alias("rank"), batch.alias("batch"), i.alias("i"), (rank * 1_000_000 + batch * 1_000 + i).alias("seed"))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)), lambda k: F.floor(uniform(F.concat_ws(":", F.col("seed"), k), 0) * vocab).cast("int"))
+    return d.withColumn("input_ids", ids)
 
 
 def places(rows: DataFrame, buckets: list[str], order: list[str]) -> DataFrame:
@@ -103,7 +124,7 @@ def log_sample(rows: DataFrame, ratio: float | None, key: str, seed: int = 0) ->
         return rows
     if ratio <= 0:
         return rows.where(F.lit(False))
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max(1, int(rows.count() * ratio)))
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(max(1, int(rows.count() * ratio)))
 
 
 def collapse_tools(messages: DataFrame, key: str, order: str) -> DataFrame:
@@ -125,7 +146,7 @@ def trainable(role: Column, roles: tuple[str, ...] = ("assistant",), known: tupl
 def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
     """key and its index in first-seen order, from 0."""
     g = rows.groupBy(key).agg(F.min(position).alias("_p"))
-    return g.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_p", key)) - 1).drop("_p")
+    return numbered(g, ["_p", key], "index").drop("_p")
 
 
 def dual_prompts(rows: DataFrame, prompt: str, truth: str, template: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import framed
+
 ONE = F.lit
 
 
@@ -95,9 +97,28 @@ def running_totals(steps: DataFrame, values: list[str], order: str = "step") ->
 
 def rolling_throughput(steps: DataFrame, window: int, tokens: str, time: str, order: str) -> DataFrame:
     """Tokens after the first of the last ``window`` steps over the time between first and last; null for one step."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(-(window - 1), 0)
+    rows, w = framed(steps, [order], window - 1)
     spent = F.col(time) - F.first(time).over(w)
-    return steps.withColumn("throughput", (F.sum(tokens).over(w) - F.first(tokens).over(w)) / F.when(F.count("*").over(w) > 1, F.nullif(spent, F.lit(0.0))))
+    rate = (F.sum(tokens).over(w) - F.first(tokens).over(w)) / F.when(F.count("*").over(w) > 1, F.nullif(spent, F.lit(0.0)))
+    return rows.withColumn("throughput", rate).where("_own").drop("_own", "_block", "_place")
+
+
+def validation_mean(batches: DataFrame, loss: str = "loss_sum", tokens: str = "n_tokens", keys: tuple[str, ...] = ()) -> DataFrame:
+    """mean, nan_count: loss over tokens of the batches without a NaN, which leave both sums; NaN without a token."""
+    bad = F.isnan(loss)
+    n = F.coalesce(F.sum(F.when(~bad, F.col(tokens))), F.lit(0))
+    mean = F.when(n > 0, F.sum(F.when(~bad, F.col(loss))) / F.nullif(n, F.lit(0))).otherwise(F.lit(float("nan")))
+    return batches.groupBy(*keys).agg(mean.alias("mean"), F.count_if(bad).alias("nan_count"))
+
+
+def log_z(rollouts: DataFrame, reward: Column, reference: Column, own: Column, beta: float, key: str = "example_id") -> DataFrame:
+    """Mean over an example's rollouts of reward + beta * (reference - own), both summed log probabilities under one mask."""
+    return rollouts.groupBy(key).agg(F.avg(reward + beta * (reference - own)).alias("log_z"))
+
+
+def spread(rows: DataFrame, metrics: str, names: list[str]) -> DataFrame:
+    """Metrics of a JSON object as columns of their own row."""
+    return rows.select("*", *[F.get_json_object(metrics, f"$.{n}").try_cast("double").alias(n) for n in names])
 
 
 def normalize(value: Column, w) -> Column:
@@ -131,3 +152,13 @@ def describe_after_first(rows: DataFrame, value: str, order: str, keys: tuple[st
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
     rest = rows.withColumn("_n", F.row_number().over(w)).where("_n > 1")
     return rest.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def kept_key(key: Column, dropped_prefixes: tuple[str, ...], kept_suffixes: tuple[str, ...]) -> Column:
+    """Whether a metric is kept: none of the prefixes, one of the suffixes."""
+    out = F.lit(False)
+    for x in kept_suffixes:
+        out |= key.endswith(x)
+    for x in dropped_prefixes:
+        out &= ~key.startswith(x)
+    return out

@@ -41,17 +41,24 @@ def before_first_bad(samples: DataFrame, bad: Column, key: str = "run_id", order
 
 
 def first_fit(lengths: list[int], seq_len: int, alone: list[bool] | None = None) -> list[int]:
-    """The bin of each length, in the given order; ``alone`` ones get a bin of their own."""
-    room, out, closed = [], [], set()
+    """The bin of each length, in the given order; ``alone`` ones get a bin of their own, as do lengths above seq_len.
+
+    A tree of the largest room below each node finds the first bin with room in a logarithm of the bins.
+    """
+    leaves = 1 << max(0, len(lengths) - 1).bit_length()
+    room, out, opened = [seq_len] * (2 * leaves), [], 0
     for i, n in enumerate(lengths):
-        own = bool(alone and alone[i])
-        at = len(room) if own else next((b for b, r in enumerate(room) if b not in closed and r >= n), len(room))
-        if at == len(room):
-            room.append(seq_len)
-            if own:
-                closed.add(at)
-        room[at] -= n
-        out.append(at)
+        own = bool(alone and alone[i]) or n > seq_len
+        at = 1
+        while at < leaves and not own:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        at = leaves + opened if own else at
+        opened = max(opened, at - leaves + 1)
+        room[at] = -1 if own else room[at] - n
+        out.append(at - leaves)
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return out
 
 
@@ -130,18 +137,23 @@ def shard(array: Column, rank: Column, ranks: int) -> Column:
     return F.slice(array, rank * size + 1, size)
 
 
-def round_robin(queues: dict[str, list[tuple[int, int]]], budget: int, start: int = 0) -> tuple[list[tuple[str, int]], int]:
+def round_robin(queues: dict[str, list[tuple]], budget: int, start: int = 0, progress: dict[str, int] | None = None) -> tuple[list[tuple[str, int]], int]:
     """(chosen (run, sample), next position): one run a turn, drained while its head fits the token budget; the first
-    head that does not fit ends the selection. Oversize samples before the first choice are dropped."""
+    head that does not fit ends the selection. Oversize samples before the first choice are dropped.
+
+    Queues hold (sample, tokens) or (sample, tokens, step); with ``progress``, the step of each run, samples of later
+    steps wait, and so does what stands behind them.
+    """
     runs, chosen, left, at, idle = sorted(queues), [], budget, start, 0
+    waits = lambda run: progress is not None and queues[run][0][2] > progress.get(run, 0)
     while left > 0 and idle < len(runs):
         run = runs[at % len(runs)]
         q = queues[run]
-        idle = 0 if q else idle + 1
+        idle = 0 if q and not waits(run) else idle + 1
         at += 1
-        while q:
+        while q and not waits(run):
             if q[0][1] <= left:
-                sample, n = q.pop(0)
+                sample, n = q.pop(0)[:2]
                 chosen.append((run, sample))
                 left -= n
             elif left == budget:
@@ -149,3 +161,67 @@ def round_robin(queues: dict[str, list[tuple[int, int]]], budget: int, start: in
             else:
                 return chosen, at % len(runs)
     return chosen, at % max(1, len(runs))
+
+
+def single_pack(samples: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
+    """keys, sample_id, bin, worker, slot of one run's steps; dummy bins have no sample and is_dummy."""
+    packed = pack(samples, seq_len, keys, length)
+    laid = distribute(packed.select(*keys, "bin").distinct(), workers, keys=keys)
+    real = packed.join(laid.where("not is_dummy"), [*keys, "bin"])
+    dummy = laid.where("is_dummy").withColumn("sample_id", F.lit(None).cast(samples.schema["sample_id"].dataType))
+    names = [*keys, "sample_id", "bin", "worker", "slot", "is_dummy"]
+    return real.select(*names).unionByName(dummy.select(*names))
+
+
+def candidates(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], run: str = "run", length: str = "n_tokens") -> DataFrame:
+    """The samples that a selection under ``budget`` can reach: those of steps that are due, with at most that many tokens
+    in front of them in their run. What stands behind more never comes to a queue's head."""
+    due = queue.join(progress.select(run, F.col("step").alias("_due")), run).where(F.col("step") <= F.col("_due"))
+    w = Window.partitionBy(run).orderBy("step", *order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col(length) <= budget, F.col(length))).over(w), F.lit(0))
+    return due.withColumn("_before", before).where(F.col("_before") <= budget).drop("_before")
+
+
+def select_fair(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int = 0, run: str = "run", length: str = "n_tokens") -> DataFrame:
+    """run, order, turn of the samples that round robin takes under a token budget. The budget bounds each run's
+    candidates; they are folded in one task, ids and lengths only."""
+    types = {f.name: f.dataType.simpleString() for f in queue.schema}
+    rows = candidates(queue, progress, budget, order, run, length).select(run, "step", *order, length, F.col("_due"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([run, "step", *order]).reset_index(drop=True)
+        queues = {k: list(zip(g.index.tolist(), g[length].tolist(), g["step"].tolist(), strict=True)) for k, g in pdf.groupby(run)}
+        chosen, _ = round_robin(queues, budget, start, dict(zip(pdf[run], pdf["_due"], strict=True)))
+        got = pdf.loc[[i for _, i in chosen], [run, "step", *order, length]]
+        return got.assign(turn=range(len(got)))
+
+    names = [run, "step", *order, length]
+    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(fold, ", ".join([*(f"`{n}` {types[n]}" for n in names), "turn int"]))
+
+
+def advance_progress(queue: DataFrame, chosen: DataFrame, progress: DataFrame, order: list[str], run: str = "run", length: str = "n_tokens") -> DataFrame:
+    """``progress`` (run, step, total_samples, total_tokens) after a selection: totals grow by what was taken, and a run's
+    step goes on by one when nothing of it or of earlier steps is left in its queue."""
+    taken = chosen.groupBy(run).agg(F.count("*").alias("_samples"), F.sum(length).alias("_tokens"))
+    rest = queue.join(chosen, [run, "step", *order], "left_anti").groupBy(run).agg(F.min("step").alias("_next"))
+    out = progress.join(taken, run, "left").join(rest, run, "left")
+    done = F.col("_samples").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col("step")))
+    add = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).cast("long").alias(c)
+    return out.select(run, (F.col("step") + done.cast("int")).alias("step"), add("total_samples", "_samples"), add("total_tokens", "_tokens"), done.alias("ready"))
+
+
+def multi_pack(queue: DataFrame, progress: DataFrame, seq_len: int, workers: int, order: list[str], start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(grid, progress): a selection of seq_len * workers tokens over the runs, each run packed and laid out by itself.
+
+    ``queue``: run, step, sample_id, lora_idx, n_tokens and the columns of ``order``.
+    """
+    chosen = select_fair(queue, progress, seq_len * workers, order)
+    samples = chosen.join(queue.select("run", "step", *order, "sample_id", "lora_idx"), ["run", "step", *order])
+    return single_pack(samples, seq_len, workers, keys=("run",)), advance_progress(queue, chosen, progress, order)
+
+
+def enough_at(rows: DataFrame, order: list, length: str, threshold: int) -> DataFrame:
+    """The rows up to and with the one at which ``threshold`` tokens are reached."""
+    from .ordering import running_sum
+
+    return running_sum(rows, order, F.col(length), "_before", inclusive=False).where(F.col("_before") < threshold).drop("_before")

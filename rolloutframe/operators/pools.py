@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
+
 
 def assign(rollouts: DataFrame, easy: float | None, hard: float | None, reward: str = "reward") -> DataFrame:
     """env_name, example_id, avg_reward, pool: easy is tested before hard."""
@@ -79,7 +81,7 @@ def sample_envs(draws: DataFrame, probabilities_: DataFrame, seed: int = 0) -> D
     w = Window.partitionBy(F.lit(0)).orderBy("env_name")
     p = probabilities_.withColumn("hi", F.sum("probability").over(w)).withColumn("lo", F.col("hi") - F.col("probability"))
     p = p.agg(F.sort_array(F.collect_list(F.struct("hi", "env_name"))).alias("p"))
-    u = F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = uniform(F.col("draw"), seed)
     pick = F.coalesce(F.get(F.filter("p", lambda x: x["hi"] > F.col("u")), F.lit(0))["env_name"], F.element_at("p", -1)["env_name"])
     return draws.withColumn("u", u).join(F.broadcast(p)).select("draw", pick.alias("env_name"))
 

@@ -106,6 +106,11 @@ def top_mismatch(tokens: DataFrame, n: int, scope: str = "mask", key: str | None
     return t.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def merged_top(records: DataFrame, n: int, rank: str) -> DataFrame:
+    """The n records of the largest mismatch KL over all ranks: each rank's own n first, then the best of those."""
+    return top_mismatch(top_mismatch(records, n, "mask", rank), n)
+
+
 def log_softmax_at(logits: Column, label: Column) -> Column:
     """Log probability at a label (from 0) of an array of logits."""
     top = F.array_max(logits)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import datasets, packing, trajectory
+from ..operators import datasets, metrics, packing, runs, trajectory
+from ..operators.ordering import numbered
 from ..sources.carriers import table, view
 from .registry import query, r6
 
@@ -18,8 +19,8 @@ def a04(spark, d):
 
 @query("A05_example_ids", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS example_id, p_name AS prompt, p_brand AS env_name FROM part WHERE p_name IS NOT NULL")
 def a05(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("p_partkey")
-    return table(spark, d, "part").where("p_name is not null").select((F.row_number().over(w) - 1).cast("long").alias("example_id"), F.col("p_name").alias("prompt"), F.col("p_brand").alias("env_name"))
+    rows = numbered(table(spark, d, "part").where("p_name is not null"), ["p_partkey"], "example_id")
+    return rows.select("example_id", F.col("p_name").alias("prompt"), F.col("p_brand").alias("env_name"))
 
 
 @query("A07_eval_limit", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 37")
@@ -40,7 +41,7 @@ def a27(spark, d):
 @query("A25_run_discovery", "SELECT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def a25(spark, d):
     evicted = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("run"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("run")).join(evicted, "run", "left_anti")
+    return runs.discovered(table(spark, d, "customer").select(F.col("c_custkey").alias("run")), evicted)
 
 
 @query("A29_future_steps", "SELECT o_orderkey AS step FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) / 2 FROM orders)")
@@ -86,8 +87,7 @@ def b10(spark, d):
 
 @query("B11_rank_shard", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 4 = 2")
 def b11(spark, d):
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("doc_id", i.alias("i")).where(datasets.rank_shard(F.col("i"), 2, 4)).select("doc_id")
+    return numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i").where(datasets.rank_shard(F.col("i"), 2, 4)).select("doc_id")
 
 
 @query("B19_interval_gate", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0")
@@ -95,10 +95,10 @@ def b19(spark, d):
     return table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey")
 
 
-@query("B18_metric_keys", "SELECT p_type AS key FROM part WHERE p_type NOT LIKE 'STANDARD%' AND (p_type LIKE '%TIN' OR p_type LIKE '%STEEL') GROUP BY p_type")
+@query("B18_metric_keys", "SELECT DISTINCT p_type AS key FROM part WHERE p_type NOT LIKE 'STANDARD%' AND (p_type LIKE '%LL' OR p_type LIKE '%MO')")
 def b18(spark, d):
-    k = F.col("p_type")
-    return table(spark, d, "part").where(~k.startswith("STANDARD") & (k.endswith("TIN") | k.endswith("STEEL"))).select(k.alias("key")).distinct()
+    keys = table(spark, d, "part").select(F.col("p_type").alias("key")).distinct()
+    return keys.where(metrics.kept_key(F.col("key"), ("STANDARD",), ("LL", "MO")))
 
 
 @query("B24_role_mask", "SELECT conv_id, turn, role = 'assistant' AS trained FROM conversations")
@@ -128,27 +128,27 @@ def c09(spark, d):
 
 @query("F08_benchmark_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_type, p_size, p_retailprice DESC, p_brand, p_partkey) AS place FROM part")
 def f08(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("p_type", "p_size", F.desc("p_retailprice"), "p_brand", "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    order = ["p_type", "p_size", F.desc("p_retailprice"), "p_brand", "p_partkey"]
+    return numbered(table(spark, d, "part"), order).select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 @query("F07_oldest_pending_step", "SELECT o_custkey AS run, min(o_orderkey) AS step, arg_min(o_totalprice, o_orderkey) AS batch FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
 def f07(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("run")).agg(F.min("o_orderkey").alias("step"), F.min_by("o_totalprice", "o_orderkey").alias("batch"))
+    waiting = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("batch"))
+    return runs.oldest_pending(waiting, "batch")
 
 
-@query("F09_log_sample_size", "SELECT greatest(1, floor(count(*) * 0.1)::BIGINT) AS n FROM documents")
+@query("F09_log_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-0'), doc_id LIMIT (SELECT greatest(1, floor(count(*) * 0.1)::BIGINT) FROM documents)")
 def f09(spark, d):
-    return datasets.log_sample(table(spark, d, "documents").select("doc_id"), 0.1, "doc_id").agg(F.count("*").alias("n"))
+    return datasets.log_sample(table(spark, d, "documents").select("doc_id"), 0.1, "doc_id")
 
 
-@query("F14_epoch_shuffle")
+@query("F14_epoch_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '-3'), doc_id) - 1 AS place FROM documents")
 def f14(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    return datasets.places(rows.withColumn("bucket", F.shiftright("h", 52)), ["bucket"], ["h", "doc_id"]).select("doc_id", "place")
+    return datasets.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 3).select("doc_id", "place")
 
 
-@query("F15_expert_sort", "SELECT l_orderkey, l_suppkey % 16 AS expert, row_number() OVER (ORDER BY l_suppkey % 16, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("F15_expert_sort", "SELECT l_orderkey, l_suppkey % 16 AS expert, row_number() OVER (ORDER BY l_suppkey % 16, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem")
 def f15(spark, d):
     order = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
     rows = table(spark, d, "lineitem").select(*order, (F.col("l_suppkey") % 16).alias("expert"), F.floor(F.col("l_orderkey") / 4096).alias("block"))
@@ -176,8 +176,7 @@ def f19(spark, d):
 
 @query("F20_round_robin_clients", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS client FROM documents")
 def f20(spark, d):
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("doc_id", F.pmod(i, F.lit(5)).cast("long").alias("client"))
+    return numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i").select("doc_id", F.pmod("i", F.lit(5)).alias("client"))
 
 
 @query("G01_interleave_first_exhausted", "WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents), s AS (SELECT lang, count(*) AS c, row_number() OVER (ORDER BY lang) - 1 AS s FROM documents GROUP BY lang) SELECT n.doc_id, i * (SELECT count(*) FROM s) + s.s AS position FROM n JOIN s USING (lang) WHERE i < (SELECT min(c) FROM s)")
@@ -190,7 +189,7 @@ def g02(spark, d):
     return datasets.interleave_all(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).select("doc_id", F.col("position").cast("long").alias("position"))
 
 
-@query("G03_interleave_weighted")
+@query("G03_interleave_weighted", "WITH u AS (SELECT r.range AS position, ('0x' || substr(md5(r.range || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM range(5000) r) SELECT CASE WHEN u < 0.3::DOUBLE THEN 'de' ELSE 'en' END AS lang, count(*) AS n, max(position) AS last FROM u GROUP BY 1")
 def g03(spark, d):
     out = datasets.interleave_weighted(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], {"en": 0.7, "de": 0.3}, 5000)
     return out.groupBy("lang").agg(F.count("*").alias("n"), F.max("position").alias("last"))
@@ -259,7 +258,7 @@ def h03(spark, d):
     return s.groupBy("rollout_id").agg(F.count("*").alias("samples"), F.sum(F.size("prompt_ids")).alias("prompt_tokens"), F.sum(F.size("completion_ids")).alias("completion_tokens"), F.sum(trained).alias("trained_tokens"))
 
 
-@query("H13_lengths", "WITH t AS (SELECT conv_id, turn, role, len(string_split(text, ' ')) AS n FROM conversations), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT conv_id AS rollout_id, arg_min(before, turn)::INT AS prompt_len, arg_max(before + n, turn)::INT AS seq_len FROM b WHERE role = 'assistant' AND conv_id % 5 <> 0 GROUP BY conv_id")
+@query("H13_lengths", "WITH t AS (SELECT conv_id, turn, role, len(string_split(text, ' ')) AS n FROM conversations), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT conv_id AS rollout_id, arg_min(shown, turn)::INT AS prompt_len, arg_max(shown + n, turn)::INT AS seq_len FROM (SELECT *, CASE WHEN conv_id % 5 = 0 AND turn >= 5 THEN least(before, 3) ELSE before END AS shown FROM b) WHERE role = 'assistant' GROUP BY conv_id")
 def h13(spark, d):
     p, s, _ = trajectory.lengths(F.col("steps.prompt_ids"), F.col("steps.completion_ids"))
     return steps(spark, d).select("rollout_id", p.alias("prompt_len"), s.alias("seq_len"))
@@ -288,8 +287,10 @@ def h19(spark, d):
 
 @query("J04_common_prefix", "WITH p AS (SELECT doc_id, string_split(text, ' ') AS a, lead(string_split(text, ' ')) OVER (ORDER BY doc_id) AS b FROM documents) SELECT doc_id, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))::INT AS prefix FROM p WHERE b IS NOT NULL")
 def j04(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("doc_id")
-    p = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a")).withColumn("b", F.lead("a").over(w)).where("b is not null")
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a"))
+    n = numbered(docs.select("doc_id"), ["doc_id"], "i")
+    after = n.select(F.col("doc_id").alias("next"), (F.col("i") - 1).alias("i"))
+    p = docs.join(n.join(after, "i"), "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("a").alias("b")), "next")
     return p.select("doc_id", trajectory.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
 
 
@@ -336,8 +337,7 @@ def i06(spark, d):
 
 @query("E13_strided_placement", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 6 AS worker, (row_number() OVER (ORDER BY doc_id) - 1) // 6 AS slot FROM documents")
 def e13(spark, d):
-    i = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1).cast("long")
-    return table(spark, d, "documents").select("doc_id", F.pmod(i, F.lit(6)).alias("worker"), F.expr("(row_number() over (partition by 0 order by doc_id) - 1) div 6").alias("slot"))
+    return numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i").select("doc_id", F.pmod("i", F.lit(6)).alias("worker"), F.expr("i div 6").alias("slot"))
 
 
 @query("I14_cat_packing", """WITH RECURSIVE s AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, len(string_split(text, ' ')) AS n FROM documents),
@@ -360,7 +360,7 @@ def i19(spark, d):
     return e.select("vec_id", F.col("r").cast("long").alias("rank"), F.size(x).alias("n"), r6(F.get(x, F.lit(0)).cast("double")).alias("first"))
 
 
-@query("J03_strip", "SELECT doc_id, length(regexp_replace(chr(9) || ' ' || text || chr(10), '^\\s+|\\s+$', '', 'g'))::INT AS n FROM documents WHERE lang = 'en'")
+@query("J03_strip", "SELECT doc_id, length(regexp_replace(chr(9) || ' ' || text || chr(10), '^\\s+|\\s+$', '', 'g'))::INT AS n FROM documents")
 def j03(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(S.strip(F.concat(F.lit("\t "), F.col("text"), F.lit("\n")))).alias("n"))
 
@@ -375,12 +375,12 @@ def j08(spark, d):
     return table(spark, d, "pages").select("page_id", F.substring(F.sha2("html", 256), 1, 16).alias("key"))
 
 
-@query("J09_human_time", "SELECT o_orderkey, CASE WHEN o_custkey * 7 >= 3600 THEN format('{:.2f}h', o_custkey * 7 / 3600.0::DOUBLE) WHEN o_custkey * 7 >= 60 THEN format('{:.2f}m', o_custkey * 7 / 60.0::DOUBLE) ELSE format('{:.2f}s', (o_custkey * 7)::DOUBLE) END AS t FROM orders WHERE o_custkey % 9 = 0")
+@query("J09_human_time", "SELECT o_orderkey, CASE WHEN o_custkey * 7 >= 3600 THEN format('{:.2f}h', o_custkey * 7 / 3600.0::DOUBLE) WHEN o_custkey * 7 >= 60 THEN format('{:.2f}m', o_custkey * 7 / 60.0::DOUBLE) ELSE format('{:.2f}s', (o_custkey * 7)::DOUBLE) END AS t FROM orders")
 def j09(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.human_time(F.col("o_custkey") * 7).alias("t"))
 
 
-@query("J10_human_number", "SELECT o_orderkey, CASE WHEN o_custkey * 7777 >= 1e6 THEN format('{:.2f}M', o_custkey * 7777 / 1e6) WHEN o_custkey * 7777 >= 1e3 THEN format('{:.2f}K', o_custkey * 7777 / 1e3) ELSE (o_custkey * 7777)::VARCHAR END AS n FROM orders WHERE o_custkey % 9 = 0")
+@query("J10_human_number", "SELECT o_orderkey, CASE WHEN o_custkey * 7777 >= 1e6 THEN format('{:.2f}M', o_custkey * 7777 / 1e6) WHEN o_custkey * 7777 >= 1e3 THEN format('{:.2f}K', o_custkey * 7777 / 1e3) ELSE (o_custkey * 7777)::VARCHAR END AS n FROM orders")
 def j10(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.human_number(F.col("o_custkey") * 7777).alias("n"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import datasets, packing, trajectory
+from ..operators import datasets, packing, runs, trajectory
 from ..operators import tokens as T
+from ..operators.ordering import numbered
 from ..sources.carriers import table, view
 from .data import steps
 from .registry import query, r6
@@ -57,9 +58,9 @@ def b20(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k")).where("k is not null")
 
 
-@query("B21_rollouts_with_tokens", "SELECT count(DISTINCT conv_id) AS n FROM conversations WHERE role = 'assistant'")
+@query("B21_rollouts_with_tokens", "SELECT DISTINCT conv_id AS rollout_id FROM conversations WHERE role = 'assistant'")
 def b21(spark, d):
-    return trajectory.interleave(steps(spark, d)).agg(F.count_distinct("rollout_id").alias("n"))
+    return trajectory.interleave(steps(spark, d)).select("rollout_id").distinct()
 
 
 @query("C05_zip_rollout_advantage", "SELECT example_id, rollout_idx, round(reward - avg(reward) OVER (PARTITION BY example_id), 6) + 0.0 AS advantage, completion_len FROM groups4", ("groups4",))
@@ -79,11 +80,12 @@ def c07(spark, d):
     return both.where(trajectory.extends(F.col("b.ids"), F.col("a.ids"))).select("a.conv_id", F.col("a.turn").alias("prefix"), F.col("b.turn").alias("step"))
 
 
-@query("C12_adapter_match", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false WHEN c_nationkey > 12 THEN c_nationkey = c_custkey % 25 ELSE c_mktsegment = 'BUILDING' END AS loaded FROM customer")
+@query("C12_adapter_match", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false WHEN c_custkey % 4 = 2 THEN c_nationkey = c_custkey % 25 ELSE c_mktsegment = 'BUILDING' END AS loaded FROM customer")
 def c12(spark, d):
     k = F.col("c_custkey") % 4
-    match = F.when(F.col("c_nationkey") > 12, F.col("c_nationkey") == F.col("c_custkey") % 25).otherwise(F.col("c_mktsegment") == "BUILDING")
-    return table(spark, d, "customer").select("c_custkey", F.when(k == 0, F.lit(True)).when(k == 1, F.lit(False)).otherwise(match).alias("loaded"))
+    path, name = F.when((k == 1) | (k == 2), F.col("c_nationkey").cast("string")), F.when(k == 3, F.col("c_mktsegment"))
+    there = F.when(k != 1, (F.col("c_custkey") % 25).cast("string"))
+    return table(spark, d, "customer").select("c_custkey", runs.adapter_matches(path, name, there, F.when(k != 1, F.lit("BUILDING"))).alias("loaded"))
 
 
 @query("C14_samples_by_run", "SELECT client AS run_id, count(*) AS samples, sum(completion_len + prompt_len)::BIGINT AS tokens FROM rollouts GROUP BY client", ("rollouts",))
@@ -164,27 +166,16 @@ def f04(spark, d):
 
 @query("F17_fair_selection")
 def f17(spark, d):
-    budget = 65_536
     n = F.col("completion_len") + F.col("prompt_len")
-    rows = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), "example_id", "rollout_idx", n.alias("n"))
-    # what stands in a run's queue behind more tokens than the budget never comes to its head
-    w = Window.partitionBy("run").orderBy("example_id", "rollout_idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("n") <= budget, F.col("n"))).over(w), F.lit(0))
-    rows = rows.withColumn("before", before).where(F.col("before") <= budget).drop("before")
+    queue = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), F.lit(0).cast("long").alias("step"), "example_id", "rollout_idx", n.alias("n_tokens"))
+    progress = queue.select("run").distinct().withColumn("step", F.lit(0).cast("long"))
+    return packing.select_fair(queue, progress, 65_536, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["run", "example_id", "rollout_idx"])
-        queues = {k: list(zip(g["example_id"], g["n"], strict=True)) for k, g in pdf.groupby("run")}
-        chosen, _ = packing.round_robin(queues, budget)
-        return type(pdf)({"run": [r for r, _ in chosen], "example_id": [int(e) for _, e in chosen]})
 
-    return rows.groupBy(F.lit(0).alias("step")).applyInPandas(run, "run string, example_id long").groupBy("run").agg(F.count("*").alias("n"))
-
-
-@query("G05_run_set_difference", "SELECT s_nationkey AS run FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
+@query("G05_run_set_difference", "SELECT s_nationkey AS run FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
 def g05(spark, d):
-    s, c = table(spark, d, "supplier").select(F.col("s_nationkey").alias("run")).distinct(), table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("run"))
-    return s.join(c, "run", "left_anti")
+    s, c = table(spark, d, "supplier").select(F.col("s_nationkey").alias("run")).distinct(), table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("run"))
+    return runs.discovered(s, c)
 
 
 @query("G06_union_of_keys", "SELECT n_name AS key FROM nation UNION SELECT r_name FROM region")
@@ -201,7 +192,7 @@ def g07(spark, d):
 @query("G10_ordered_concat", "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents")
 def g10(spark, d):
     rank = F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "doc_id")).cast("long").alias("place"))
+    return numbered(table(spark, d, "documents").select("doc_id", rank.alias("kind")), ["kind", "doc_id"]).select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 @query("H02_split_by_common_prefix", "SELECT conv_id, sum(len(string_split(text, ' '))) FILTER (WHERE turn = 0)::BIGINT AS prompt, sum(len(string_split(text, ' '))) FILTER (WHERE turn > 0)::BIGINT AS completion FROM conversations GROUP BY conv_id")
@@ -212,10 +203,10 @@ def h02(spark, d):
     return c.select("conv_id", n.cast("long").alias("prompt"), F.when(F.size("full") > n, F.size("full") - n).cast("long").alias("completion"))
 
 
-@query("H05_errored_rollouts_train_nothing", "SELECT count(*) AS samples FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 11 = 0 AND conv_id % 5 <> 0)")
+@query("H05_errored_rollouts_train_nothing", "SELECT DISTINCT conv_id AS rollout_id, conv_id % 11 <> 0 AS trains FROM conversations WHERE role = 'assistant'")
 def h05(spark, d):
-    s = trajectory.interleave(steps(spark, d).where("error"))
-    return s.where(~F.exists("completion_mask", lambda x: x)).agg(F.count("*").alias("samples"))
+    s = trajectory.interleave(steps(spark, d))
+    return s.groupBy("rollout_id").agg(F.bool_or(F.exists("completion_mask", lambda x: x)).alias("trains"))
 
 
 @query("H11_routed_expert_padding", "SELECT vec_id, 80 AS n FROM embeddings")

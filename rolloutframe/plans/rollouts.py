@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import advantage, metrics, pools
+from ..operators import advantage, metrics, packing, pools, runs
 from ..sources.carriers import table, view
 from .registry import query, r6
 
@@ -95,7 +95,7 @@ def f13(spark, d):
     return pools.return_fraction(p, 0.3).groupBy("pool").agg(F.count("*").alias("n"))
 
 
-@query("F10_weighted_env_draws")
+@query("F10_weighted_env_draws", "WITH u AS (SELECT ('0x' || substr(md5(r.range || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM range(10000) r) SELECT CASE WHEN u < 0.8::DOUBLE THEN '1-URGENT' ELSE '2-HIGH' END AS env_name, count(*) AS n FROM u GROUP BY 1")
 def f10(spark, d):
     ex = view(spark, d, "rollouts").select("env_name", "example_id").distinct()
     draws = spark.range(10_000).withColumnRenamed("id", "draw")
@@ -131,7 +131,8 @@ def c03(spark, d):
 def c04(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("run"))
     known, present = c.where("run % 3 = 0"), c.where("run % 2 = 0")
-    return known.join(present, "run", "left_anti").select(F.lit("deleted").alias("kind"), "run").unionByName(present.join(known, "run", "left_anti").select(F.lit("new").alias("kind"), "run"))
+    gone, new = runs.changed(known, present)
+    return gone.select(F.lit("deleted").alias("kind"), "run").unionByName(new.select(F.lit("new").alias("kind"), "run"))
 
 
 VALUES = ["completion_len", "prompt_len", "generation_ms", "reward"]
@@ -343,8 +344,7 @@ def e10(spark, d):
 
 @query("E11_checkpoint_retention", "SELECT o_custkey AS run, o_orderkey AS step FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n <= 2 OR o_orderkey % 10 = 0")
 def e11(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
-    return table(spark, d, "orders").withColumn("n", F.row_number().over(w)).where("n <= 2 or o_orderkey % 10 = 0").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"))
+    return runs.retained(table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step")), 2, 10)
 
 
 @query("B15_staleness_filter", "SELECT example_id, rollout_idx, version + 1 AS version FROM (SELECT *, max(version) OVER (PARTITION BY example_id) AS m FROM rollouts) WHERE m < 6", ("rollouts",))
@@ -361,5 +361,4 @@ def b14(spark, d):
 
 @query("F06_token_target_cut", "SELECT example_id, rollout_idx FROM (SELECT *, coalesce(sum(completion_len) OVER (ORDER BY example_id, rollout_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rollouts) WHERE before < 100000", ("rollouts",))
 def f06(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("example_id", "rollout_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return view(spark, d, "rollouts").withColumn("b", F.coalesce(F.sum("completion_len").over(w), F.lit(0))).where("b < 100000").select("example_id", "rollout_idx")
+    return packing.enough_at(view(spark, d, "rollouts"), ["example_id", "rollout_idx"], "completion_len", 100_000).select("example_id", "rollout_idx")

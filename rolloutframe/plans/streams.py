@@ -31,10 +31,10 @@ def k06(spark, d):
     return O.drain(O.in_step_order(s), _name())
 
 
-@query("K03_staleness_in_versions", "SELECT count(*) AS kept FROM events WHERE 10 - user_id % 20 <= 4")
+@query("K03_staleness_in_versions", "SELECT event_id FROM events WHERE 10 - user_id % 20 <= 4")
 def k03(spark, d):
     s = _events(spark, d).withColumn("version", F.col("user_id") % 20)
-    return O.drain(O.staleness_filter(s, 10, 4).select("event_id"), _name()).agg(F.count("*").alias("kept"))
+    return O.drain(O.staleness_filter(s, 10, 4).select("event_id"), _name())
 
 
 @query("K11_pools_as_rollouts_arrive", "SELECT event_type AS env_name, user_id AS example_id, count(*) AS n, CASE WHEN avg((value > 50)::INT) >= 1 THEN 'easy' WHEN avg((value > 50)::INT) <= 0 THEN 'hard' ELSE 'normal' END AS pool FROM events GROUP BY event_type, user_id")
@@ -53,3 +53,16 @@ def k12(spark, d):
 def x01(spark, d):
     out = O.drain(O.windowed(_events(spark, d), "ts", "1 hour", "1 day", "value", "event_type"), _name(), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("K01_continuous_batches", "WITH n AS (SELECT user_id % 4 AS run_id, event_id AS idx, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 4) AS c FROM events) SELECT run_id, i // 16 AS batch, idx FROM n WHERE i // 16 < c // 16")
+def k01(spark, d):
+    s = _events(spark, d).select((F.col("user_id") % 4).alias("run_id"), F.col("event_id").alias("idx"), F.lit(1).cast("long").alias("n"))
+    return O.drain(O.continuous_batches(s, rows=16), _name())
+
+
+@query("K07_exactly_once", "SELECT event_id % 4 AS run_id, event_id // 4 AS step, event_type AS payload FROM events")
+def k07(spark, d):
+    s = _events(spark, d).select((F.col("event_id") % 4).alias("run_id"), F.floor(F.col("event_id") / 4).cast("long").alias("step"), F.col("event_type").alias("payload"))
+    # every batch is delivered twice
+    return O.drain(O.in_step_order(s.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")), _name())

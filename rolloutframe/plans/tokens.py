@@ -136,7 +136,7 @@ def f05(spark, d):
     return a.select("seq_id", r6(F.aggregate("top", F.lit(0.0), lambda s, x: s + F.exp(x))).alias("mass"), r6(F.get("top", F.lit(0))).alias("best"))
 
 
-@query("E15_label_shift", f"WITH {SQL} SELECT seq_id, pos::INT AS pos, lead(token_id, 1, 0) OVER w AS target, lag(token_id, 1, -1) OVER w AS previous FROM tokens WHERE seq_id % 10 = 3 WINDOW w AS (PARTITION BY seq_id ORDER BY pos)")
+@query("E15_label_shift", f"WITH {SQL} SELECT seq_id, pos::INT AS pos, lead(token_id, 1, 0) OVER w AS target, lag(token_id, 1, -1) OVER w AS previous FROM tokens WINDOW w AS (PARTITION BY seq_id ORDER BY pos)")
 def e15(spark, d):
     t = tokens(spark, d)
     return t.select("seq_id", "pos", T.shift("token_id", 1, 0).alias("target"), T.shift("token_id", -1, -1).alias("previous"))

@@ -65,9 +65,9 @@ def write_sample_log(log: DataFrame, path: str) -> None:
 BENCHMARK = "config struct<success: boolean, type: string, hardware: string, model: string, seq_len: long>, metrics struct<mfu: double, throughput: double, step_time: struct<mean: double, std: double, min: double, max: double>, peak_memory: struct<gib: double, pct: double>>"
 
 
-def read_benchmarks(spark: SparkSession, path: str, schema: str = BENCHMARK) -> DataFrame:
-    """Benchmark records of a tree of JSON files; files that can't be parsed are skipped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+def read_benchmarks(spark: SparkSession, path: str, schema: str = BENCHMARK, whole_files: bool = True) -> DataFrame:
+    """Benchmark records of a tree of JSON files, one a file or one a line; what can't be parsed is skipped."""
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
 
 
 def checkpoint_steps(steps: DataFrame, stable_only: bool = True) -> DataFrame:
@@ -78,3 +78,111 @@ def checkpoint_steps(steps: DataFrame, stable_only: bool = True) -> DataFrame:
 def latest_step(steps: DataFrame) -> int | None:
     """The last stable step, or none."""
     return steps.where("stable").agg(F.max("step")).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file through Hadoop's file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_subset(spark: SparkSession, root: str, subset: str | None, split: str, kind: str = "parquet") -> DataFrame:
+    """The rows of one (subset, split) of a dataset laid out as root/subset/split, with __subset and __split."""
+    path = "/".join(x for x in (root, subset, split) if x)
+    return read_dataset(spark, path, kind).withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split))
+
+
+def load_dataset(spark: SparkSession, root: str, subsets: list[str] | None = None, splits: list[str] | None = None, kind: str = "parquet") -> DataFrame:
+    """A dataset saved whole, where its folder holds dataset_info.json; else the union of its subsets and splits."""
+    from ..operators.datasets import resolve_subsets
+
+    if exists(spark, f"{root}/dataset_info.json"):
+        return spark.read.option("pathGlobFilter", f"*.{kind}").format(kind).load(root)
+    out = None
+    for subset, split in resolve_subsets(subsets, splits):
+        part = read_subset(spark, root, subset, split, kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def save_pools(examples: DataFrame, rollouts: DataFrame, path: str) -> None:
+    """Easy and hard examples (by column pool) and the rollout buffer as JSON lines."""
+    for pool in ("easy", "hard"):
+        write_jsonl(examples.where(F.col("pool") == pool), f"{path}/{pool}_examples")
+    write_jsonl(rollouts, f"{path}/rollout_buffer")
+
+
+def load_pools(spark: SparkSession, path: str, current: DataFrame, hash_keys: list[str], schema: str, rollout_schema: str) -> tuple[DataFrame, DataFrame]:
+    """(env_name, example_id, pool of the current examples that a saved one matches; saved rollouts of known environments)."""
+    from ..operators import pools
+
+    saved = None
+    for n, pool in enumerate(("easy", "hard")):  # the hard ones are moved last
+        part = read_jsonl(spark, f"{path}/{pool}_examples", schema).withColumn("pool", F.lit(pool)).withColumn("saved_order", F.lit(n))
+        saved = part if saved is None else saved.unionByName(part)
+    return pools.restore(saved, current, hash_keys), known_envs(read_jsonl(spark, f"{path}/rollout_buffer", rollout_schema), current)
+
+
+def known_envs(rollouts: DataFrame, examples: DataFrame) -> DataFrame:
+    """The rollouts whose environment has examples."""
+    return rollouts.join(examples.select("env_name").distinct(), "env_name", "left_semi")
+
+
+def write_rollouts(rollouts: DataFrame, path: str, step: int) -> None:
+    """Rollouts of a step as Parquet files with names of their own."""
+    rollouts.write.mode("append").parquet(f"{path}/step_{step}")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """``rows`` with the sha256 of each as JSON."""
+    return rows.withColumn("sha256", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+
+
+def sample_table(rollouts: DataFrame) -> DataFrame:
+    """rollout_id, input_ids (the last step's prompt and completion) and the events of every step as JSON; rollouts
+    without a step are left out. Columns in: rollout_id, steps (structs with prompt_ids, completion_ids and, where there are any,
+    compaction_events)."""
+    last = F.element_at("steps", -1)
+    names = rollouts.schema["steps"].dataType.elementType.fieldNames()
+    events = F.transform("steps", lambda s: s["compaction_events"]) if "compaction_events" in names else F.transform("steps", lambda s: F.lit(None).cast("array<int>"))
+    return rollouts.where(F.size("steps") > 0).select("rollout_id", F.concat(last["prompt_ids"], last["completion_ids"]).alias("input_ids"), F.to_json(events).alias("compaction_events"))
+
+
+def eval_sample_table(rollouts: DataFrame, env: str, step: int, completion: str = "completion") -> DataFrame:
+    """``rollouts`` with env and step, without those whose completion is empty."""
+    return rollouts.where(F.length(completion) > 0).withColumn("env", F.lit(env)).withColumn("step", F.lit(step).cast("long"))
+
+
+def final_summary(metrics: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The last value of each metric."""
+    return metrics.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def write_benchmarks(records: DataFrame, path: str) -> None:
+    """Benchmark records (config, metrics) as JSON, one a line."""
+    records.write.mode("overwrite").json(path)
+
+
+def successful(records: DataFrame) -> DataFrame:
+    """The benchmark records of runs that succeeded."""
+    return records.where(F.col("config.success"))
+
+
+def save_checkpoint(progress: DataFrame, buffer: DataFrame, path: str, step: int) -> None:
+    """Progress and rollout buffer of a step; the mark of a stable step is written last."""
+    progress.write.mode("overwrite").parquet(f"{path}/step_{step}/progress")
+    buffer.write.mode("overwrite").parquet(f"{path}/step_{step}/buffer")
+    write_text(progress.sparkSession, f"{path}/step_{step}/STABLE", "")
+
+
+def load_checkpoint(spark: SparkSession, path: str, step: int) -> tuple[DataFrame, DataFrame]:
+    if not exists(spark, f"{path}/step_{step}/STABLE"):
+        raise FileNotFoundError(f"{path}/step_{step} is not stable")
+    return spark.read.parquet(f"{path}/step_{step}/progress"), spark.read.parquet(f"{path}/step_{step}/buffer")

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.io import exists
+from ..sources.shared import new_path
+
 
 class GroupCompletion(StatefulProcessor):
     """Emits an example once all its ``n`` rollouts have arrived; failed ones do not count."""
@@ -131,20 +134,69 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, *keys: str) ->
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
 
 
+class BatchEmitter(StatefulProcessor):
+    """Emits a run's waiting rows as a batch once there are ``rows`` of them, or ``tokens`` tokens where that is given."""
+
+    def __init__(self, rows: int | None, tokens: int | None):
+        self.rows, self.tokens = rows, tokens
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "idx long, n long")
+        self.batch = handle.getValueState("batch", "batch long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [(int(i), int(n)) for i, n in self.waiting.get()]
+        batch = self.batch.get()[0] if self.batch.exists() else 0
+        out = []
+        for i, n in sorted((int(i), int(n)) for pdf in rows for i, n in zip(pdf["idx"], pdf["n"], strict=True)):
+            held.append((i, n))
+            full = len(held) >= self.rows if self.tokens is None else sum(x for _, x in held) >= self.tokens
+            if full:
+                out += [(batch, j) for j, _ in held]
+                held, batch = [], batch + 1
+        self.waiting.put(held) if held else self.waiting.clear()
+        self.batch.update((batch,))
+        if out:
+            yield pd.DataFrame({"run_id": [key[0]] * len(out), "batch": [b for b, _ in out], "idx": [j for _, j in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def continuous_batches(stream: DataFrame, rows: int | None = None, tokens: int | None = None) -> DataFrame:
+    """run_id, batch, idx of a stream of (run_id, idx, n): batches of a row or a token target, in the order of idx."""
+    return stream.groupBy("run_id").transformWithStateInPandas(BatchEmitter(rows, tokens), "run_id long, batch long, idx long", "Append", "None")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over what is available and returns its result as a table; for checks and tests."""
+    """Runs a streaming query over what is available and returns its result as a table of the shared folder.
+
+    Every micro-batch is written to a folder of its own number, so one that is run again replaces itself; in complete
+    mode the last one is the result.
+    """
     spark: SparkSession = stream.sparkSession
+    path = f"{new_path(spark)}/{name}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return spark.table(name)
+    if not exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(stream.schema).parquet(f"{path}/rows/*")
+    if mode == "complete":
+        numbers = [int(f.rsplit("batch=", 1)[1].split("/", 1)[0]) for f in out.inputFiles()]
+        out = spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={max(numbers)}")
+    return out.select(*stream.columns)
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
