@@ -115,3 +115,50 @@ def uniform(key: Column, seed: int) -> Column:
     """A reproducible number in [0, 1) of a key: 52 bits of its MD5, which other engines can compute as well."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def image_key(data: Column) -> Column:
+    """The first 16 hex digits of an image's sha256."""
+    return F.substring(F.sha2(data, 256), 1, 16)
+
+
+def image_file(data: Column) -> Column:
+    """The file that an image is written to, once whatever the number of its uses."""
+    return F.concat(image_key(data), F.lit(".png"))
+
+
+def teacher_logprob(logprob: Column) -> Column:
+    """A teacher's log probability; the first token has none, which counts as 0."""
+    return F.coalesce(logprob, F.lit(0.0))
+
+
+def gathered(values: Column, label: Column) -> Column:
+    """The value at a label, counted from 0."""
+    return F.element_at(values, label + 1)
+
+
+def json_or_empty(value: Column) -> Column:
+    """JSON of a value, an empty text for null."""
+    return F.coalesce(F.to_json(value), F.lit(""))
+
+
+def hardware_label(count: Column, name: Column) -> Column:
+    return F.concat(count.cast("string"), F.lit("x"), name)
+
+
+def sampling_args(**args: Column) -> Column:
+    """The arguments that are given as JSON; null ones are left out."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in args.items()]))
+
+
+def step_seed(seed: int, step: Column) -> Column:
+    return seed + step * 1_000_000
+
+
+def batch_seed(address: Column, batch: int, step: Column) -> Column:
+    return address * batch + step
+
+
+def payload_number(payload: Column, name: str) -> Column:
+    """A whole number of a JSON payload; null where it is missing or malformed."""
+    return F.get_json_object(payload, f"$.{name}").try_cast("bigint")

@@ -154,3 +154,111 @@ def dual_prompts(rows: DataFrame, prompt: str, truth: str, template: str) -> Dat
     private = F.replace(F.replace(F.lit(template), F.lit("{prompt}"), F.col(prompt)), F.lit("{ground_truth}"), F.col(truth))
     both = F.array(F.struct(F.lit(False).alias("privileged"), F.col(prompt).alias("text")), F.struct(F.lit(True).alias("privileged"), private.alias("text")))
     return rows.withColumn("_x", F.explode(both)).select("*", "_x.privileged", "_x.text").drop("_x")
+
+
+def example_source(rows: DataFrame, prompt: str, order: list, example_id: str | None = None) -> DataFrame:
+    """Rows with a prompt, and example_id: the given column, else the row number in ``order``."""
+    good = rows.where(F.col(prompt).isNotNull())
+    return good.withColumn("example_id", F.col(example_id)) if example_id else numbered(good, order, "example_id")
+
+
+def head(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows in order; all of them for -1."""
+    return rows if n < 0 else rows.orderBy(*order).limit(n)
+
+
+def fake_samples(spark: SparkSession, n: int, length: Column) -> DataFrame:
+    """sample, ids of made-up samples with increasing ids; ``length`` is an expression of sample."""
+    ids = F.sequence(F.lit(0).cast("long"), length - 1)
+    return spark.range(n).withColumnRenamed("id", "sample").withColumn("ids", ids)
+
+
+def task_prompt(task: Column, index: Column, question: Column) -> tuple[Column, Column]:
+    """(id, prompt) of a reasoning task's row."""
+    return F.concat_ws("_", task, index), F.concat(F.lit("Task "), task, F.lit(": "), question)
+
+
+def shorter(length: Column, most: int) -> Column:
+    """Whether a sample is kept: at most ``most`` tokens."""
+    return length <= most
+
+
+def cyclic(offset: int, j: Column, n: Column) -> Column:
+    """The j-th index of a dataset that begins again after n rows, from an offset on."""
+    return F.pmod(j + offset, n)
+
+
+def dealt(rows: DataFrame, order: list, workers: int) -> DataFrame:
+    """worker and slot of every row, dealt in order: worker i % workers, slot i div workers."""
+    n = numbered(rows, order, "_at")
+    return n.withColumn("worker", F.pmod("_at", F.lit(workers))).withColumn("slot", F.floor(F.col("_at") / workers).cast("long")).drop("_at")
+
+
+def ordered_concat(rows: DataFrame, kind: Column, order: list) -> DataFrame:
+    """Rows with their place, from 0, one kind after another."""
+    return numbered(rows.withColumn("_kind", kind), ["_kind", *order]).drop("_kind")
+
+
+def expert_sort(rows: DataFrame, expert: str, order: list, block: Column) -> DataFrame:
+    """Token-expert rows with their place in the order of experts, stable in ``order``; ``block`` cuts an expert's rows
+    into runs of the order."""
+    return places(rows.withColumn("_block", block), [expert, "_block"], order).drop("_block")
+
+
+def top_experts(scores: Column, bias: Column, k: int) -> Column:
+    """The k experts of the largest biased scores with their own scores, ties to the smaller number."""
+    both = F.transform(F.arrays_zip(scores.alias("s"), bias.alias("b")), lambda x, i: F.struct((-(x["s"] + x["b"])).alias("o"), i.alias("expert"), x["s"].alias("score")))
+    return F.transform(F.slice(F.array_sort(both), 1, k), lambda x: F.struct(x["expert"].alias("expert"), x["score"].alias("score")))
+
+
+def packed_chunk(position: Column, window) -> Column:
+    """The number of the sequence that a token of a packed row belongs to: one begins where the position is 0 after
+    another value and 1 follows."""
+    begins = (position == 0) & (F.coalesce(F.lag(position).over(window), F.lit(1)) != 0) & (F.coalesce(F.lead(position).over(window), F.lit(-1)) == 1)
+    return begins
+
+
+def split_packed(rows: DataFrame, key: str, order: str, begins: Column, value: str) -> DataFrame:
+    """key, chunk, values of the chunks that begin where ``begins``, values in order."""
+    w = Window.partitionBy(key).orderBy(order)
+    chunks = rows.withColumn("chunk", F.sum(begins.cast("int")).over(w))
+    return chunks.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_v")).select(key, "chunk", F.col(f"_v.{value}").alias("values"))
+
+
+def prefix_offset(rows: DataFrame, keys: list[str], order: list[str], value: Column, inclusive: bool = False) -> Column:
+    """The sum of ``value`` over a key's rows before this one (and it, if inclusive)."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def key_union(*tables: DataFrame) -> DataFrame:
+    """The distinct keys of several one-column tables."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out.distinct()
+
+
+def labelled_union(kind: str = "kind", **parts: DataFrame) -> DataFrame:
+    """Several tables of the same columns as one, with the name of each as ``kind``."""
+    out = None
+    for name, part in parts.items():
+        own = part.withColumn(kind, F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def distinct_images(uses: DataFrame, image: Column, first: str) -> DataFrame:
+    """image, uses, first of every distinct image."""
+    return uses.groupBy(image.alias("image")).agg(F.count("*").alias("uses"), F.min(first).alias("first"))
+
+
+def to_columns(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows of each key as one row of lists."""
+    x = rows.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_x"))
+    return x.select(key, *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+
+def to_rows(columns_: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The inverse of to_columns."""
+    return columns_.select(key, F.explode(F.arrays_zip(*columns)).alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in columns])

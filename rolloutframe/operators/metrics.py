@@ -162,3 +162,96 @@ def kept_key(key: Column, dropped_prefixes: tuple[str, ...], kept_suffixes: tupl
     for x in dropped_prefixes:
         out &= ~key.startswith(x)
     return out
+
+
+def dropped_counts(rollouts: DataFrame, empty: Column, errored: Column, keys: tuple[str, ...] = ("env_name",)) -> DataFrame:
+    """Empty, errored and kept rollouts of each environment."""
+    return rollouts.groupBy(*keys).agg(F.count_if(empty).alias("empty"), F.count_if(errored).alias("errored"), F.count_if(~empty & ~errored).alias("kept"))
+
+
+def success(rollouts: DataFrame, reward: str = "reward", key: str = "task") -> DataFrame:
+    """Mean reward, and share of rewards of at least 1, of each task."""
+    return rollouts.groupBy(key).agg(F.avg(reward).alias("success"), F.avg((F.col(reward) >= 1).cast("double")).alias("hard_success"))
+
+
+def loss_scale(tokens: Column, counted: Column) -> Column:
+    """Counted tokens, at least 1."""
+    return F.greatest(F.sum(F.when(counted, tokens)), F.lit(1))
+
+
+def token_totals(rollouts: DataFrame, prompt: str, completion: str, keys: tuple[str, ...] = ("env_name",)) -> DataFrame:
+    """Decoded and prefilled tokens."""
+    return rollouts.groupBy(*keys).agg(F.sum(completion).alias("decode_tokens"), F.sum(prompt).alias("prefill_tokens"))
+
+
+def scheduler_rates(rollouts: DataFrame, empty: Column, errored: Column, off_policy: str) -> DataFrame:
+    """Empty and errored shares and off-policy steps of each environment, and (env_name null) of all."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    return rollouts.rollup("env_name").agg((F.count_if(empty) / n).alias("empty"), (F.count_if(errored) / n).alias("errored"), F.max(off_policy).alias("off_policy_max"), F.avg(off_policy).alias("off_policy_mean"))
+
+
+def subset_shares(samples: DataFrame, subset: str, tokens: str) -> DataFrame:
+    """Shares of samples and tokens of each subset; no rows for a single subset."""
+    w = Window.partitionBy(F.lit(0))
+    g = samples.groupBy(subset).agg(F.count("*").alias("_n"), F.sum(tokens).alias("_t")).withColumn("_k", F.count("*").over(w))
+    return g.where("_k >= 2").select(subset, (F.col("_n") / F.sum("_n").over(w)).alias("sample_share"), (F.col("_t") / F.sum("_t").over(w)).alias("token_share"))
+
+
+def eviction_counts(events: Column) -> tuple[Column, Column]:
+    """(number of events, evicted tokens) of an array of events."""
+    return F.size(events).cast("long"), F.aggregate(events, F.lit(0).cast("long"), lambda s, x: s + x["tokens_evicted"])
+
+
+def even_odd(rollouts: DataFrame, value: str, index: str) -> DataFrame:
+    """Means of the even rows (off-policy) and of the odd ones (on-policy)."""
+    even = F.pmod(index, F.lit(2)) == 0
+    return rollouts.agg(F.avg(F.when(even, F.col(value))).alias("off_policy"), F.avg(F.when(~even, F.col(value))).alias("on_policy"))
+
+
+def task_means(rollouts: DataFrame, batch: str, reward: str = "reward", task: str = "task") -> DataFrame:
+    """Mean reward of each task in each batch."""
+    return rollouts.groupBy(batch, task).agg(F.avg(reward).alias(reward))
+
+
+def throughput(rollouts: DataFrame, key: str, tokens: str, milliseconds: str) -> DataFrame:
+    """tokens_per_s, samples_per_min, mean_len of each key."""
+    s = F.sum(milliseconds)
+    return rollouts.groupBy(key).agg((F.sum(tokens) / (s / 1000)).alias("tokens_per_s"), (F.count("*") / (s / 60000)).alias("samples_per_min"), F.avg(tokens).alias("mean_len"))
+
+
+def zero_ratio(tracked: DataFrame, value: str, key: str) -> DataFrame:
+    """Share of zeros among the tracked values."""
+    return tracked.groupBy(key).agg((F.count_if(F.col(value) == 0) / F.greatest(F.count("*"), F.lit(1))).alias("zero_ratio"))
+
+
+def mean_or_zero(value: Column) -> Column:
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def pad_ratio(length: str) -> tuple[Column, Column]:
+    """(useful, padded) shares of a stack's area: aggregates over its rows."""
+    useful = F.sum(length) / (F.max(length) * F.count("*"))
+    return useful, 1 - useful
+
+
+def over_ranks(rows: DataFrame, index: str, length: str, stackable: Column) -> DataFrame:
+    """The longest length, and whether all ranks can stack, at each index."""
+    return rows.groupBy(index).agg(F.max(length).alias("length"), F.bool_and(stackable).alias("stackable"))
+
+
+def longest_streak(rows: DataFrame, key: str, order: str, hot: Column) -> DataFrame:
+    """The longest run of hot rows of each key, by gaps and islands."""
+    w = Window.partitionBy(key).orderBy(order)
+    r = rows.withColumn("_hot", hot.cast("int")).withColumn("_island", F.sum(F.when(hot, 0).otherwise(1)).over(w))
+    streak = F.sum("_hot").over(Window.partitionBy(key, "_island").orderBy(order))
+    return r.withColumn("_s", streak).groupBy(key).agg(F.max("_s").alias("longest"))
+
+
+def first_detection(rows: DataFrame, key: str, index: str, detected: Column) -> DataFrame:
+    """The first index of each key that is detected; null where none is."""
+    return rows.groupBy(key).agg(F.min(F.when(detected, F.col(index))).alias("index"))
+
+
+def first_over(records: DataFrame, value: str, threshold: float, call: Column, start: str) -> DataFrame:
+    """The first record at or above a threshold, by call (nulls last) and start."""
+    return records.where(F.col(value) >= threshold).orderBy(call.asc_nulls_last(), start).limit(1)

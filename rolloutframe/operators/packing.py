@@ -6,7 +6,11 @@ afterwards. Everything else is expressions and windows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +67,52 @@ def first_fit(lengths: list[int], seq_len: int, alone: list[bool] | None = None)
 
 
 def pack(samples: DataFrame, seq_len: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
-    """keys, sample_id, bin: first-fit decreasing by (lora_idx, -length, arrival) under seq_len."""
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=-pdf[length]).sort_values(["lora_idx", "_n", "sample_id"], kind="stable")
-        bins = []
-        for _, part in pdf.groupby("lora_idx", sort=False):
-            start = max(bins, default=-1) + 1
-            bins += [start + b for b in first_fit([min(n, seq_len) for n in part[length]], seq_len)]
-        return pdf.assign(bin=bins)[[*keys, "sample_id", "bin"]]
+    """keys, sample_id, bin: first-fit decreasing by (lora_idx, -length, arrival) under seq_len.
 
-    rows = samples.select(*keys, "sample_id", "lora_idx", length)
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"sample_id {kinds['sample_id']}", "bin int"]))
+    Spark sorts ids and lengths by key; a task folds one key after another, and holds one key and adapter at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def rows():
+            for b in batches:
+                types[:] = [f.type for f in b.schema][: k + 1]
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(columns[-1], pa.int32())], names=[*keys, "sample_id", "bin"])
+
+        out: list[tuple] = []
+        for _, own in groupby(rows(), key=lambda r: r[:k]):
+            start = 0
+            for _, part in groupby(own, key=lambda r: r[k + 1]):
+                part = list(part)
+                bins = first_fit([min(r[k + 2], seq_len) for r in part], seq_len)
+                out += [(*r[: k + 1], start + b) for r, b in zip(part, bins, strict=True)]
+                start += max(bins) + 1
+            if len(out) > 10_000:
+                yield told(out)
+                out = []
+        if out:
+            yield told(out)
+
+    rows = samples.select(*keys, "sample_id", "lora_idx", length).repartition(*keys).sortWithinPartitions(*keys, "lora_idx", F.desc(length), "sample_id")
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"sample_id {kinds['sample_id']}", "bin int"]))
 
 
 def pad_to_multiple(array: Column, multiple: int, value: Column) -> Column:
     return F.concat(array, F.array_repeat(value, F.pmod(-F.size(array), F.lit(multiple))))
 
 
+def padded_to(array: Column, length: int, value: Column) -> Column:
+    """An array of at most ``length`` values, padded to it."""
+    return F.concat(array, F.array_repeat(value, length - F.size(array)))
+
+
 def distribute(bins: DataFrame, workers: int, order: str = "bin", keys: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
     """worker and slot of every bin, with copies of a class's first bin as dummies (is_dummy) until each class divides by
     the number of workers; a slot holds one class over all workers."""

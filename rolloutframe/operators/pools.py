@@ -89,3 +89,19 @@ def sample_envs(draws: DataFrame, probabilities_: DataFrame, seed: int = 0) -> D
 def latest(rollouts: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The last n rollouts in arrival order; n = 0 returns all of them, as taking an empty tail does in the original."""
     return rollouts if n == 0 else rollouts.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def solve_rate_between(rollouts: DataFrame, low: float, high: float, reward: str = "reward", key: str = "example_id") -> DataFrame:
+    """key, rate of the examples whose mean reward is between both bounds, inclusive."""
+    return rollouts.groupBy(key).agg(F.avg(reward).alias("rate")).where(F.col("rate").between(low, high))
+
+
+def fresh(rollouts: DataFrame, most: int, version: str = "version", key: str = "example_id") -> DataFrame:
+    """Without the groups that have a request at ``most`` or more off-policy steps; the others are one step older."""
+    oldest = F.max(version).over(Window.partitionBy(key))
+    return rollouts.withColumn("_m", oldest).where(F.col("_m") < most).drop("_m").withColumn(version, F.col(version) + 1)
+
+
+def unmatched(saved: DataFrame, current: DataFrame, on: Column) -> DataFrame:
+    """The number of saved rows that match no current one."""
+    return saved.join(current, on, "left_anti").agg(F.count("*").alias("unmatched"))

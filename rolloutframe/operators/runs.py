@@ -120,3 +120,29 @@ def full_batches(rows: DataFrame, order: list, size: int, by: tuple[str, ...] =
     n = n.join(F.broadcast(last), list(by)) if by else n.join(F.broadcast(last))
     batch = F.floor(F.col("_place") / size)
     return n.withColumn("batch", batch.cast("long")).where(F.col("batch") < F.floor(F.col("_all") / size)).drop("_place", "_all")
+
+
+def stable_steps(steps: DataFrame, stable_only: bool = True) -> DataFrame:
+    """Checkpoint steps, ascending. Columns in: step, stable."""
+    return (steps.where("stable") if stable_only else steps).select("step").orderBy("step")
+
+
+def steps_after(steps: DataFrame, resume: DataFrame) -> DataFrame:
+    """The steps beyond the resume step (a table of one row), which a resume removes."""
+    return steps.join(F.broadcast(resume.toDF("_resume"))).where("step > _resume").drop("_resume")
+
+
+def due_samples(samples: DataFrame, progress: DataFrame, step: str, key: str = "run") -> DataFrame:
+    """The samples of steps that their run has come to."""
+    p = progress.select(key, F.col("step").alias("_due"))
+    return samples.join(p, key).where(F.col(step) <= F.col("_due")).drop("_due")
+
+
+def sample_totals(samples: DataFrame, tokens: Column, key: str = "run") -> DataFrame:
+    """Samples and tokens of each run: a micro-batch holds one run's."""
+    return samples.groupBy(key).agg(F.count("*").alias("samples"), F.sum(tokens).alias("tokens"))
+
+
+def every(step: Column, interval: int) -> Column:
+    """Whether a step is one that is logged."""
+    return step % interval == 0

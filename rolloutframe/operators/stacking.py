@@ -5,7 +5,10 @@ Folds see ids and lengths of one key only; arrays are collected per group afterw
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +17,51 @@ from .packing import buckets_down
 TIMEOUT = 10  # emitted batches
 
 
+class Grouper:
+    """The groups of a sequence of micro-batches, one after another."""
+
+    def __init__(self, size: int, budget: int | None = None, horizontal: bool = False):
+        self.size, self.budget, self.horizontal = max(1, size), None if budget is None else max(1, budget), horizontal
+        self.number, self.kind, self.count, self.longest, self.total = -1, None, 0, 0, 0
+
+    def add(self, kind, length) -> int:
+        n = max(1, int(length))
+        area = self.total + n if self.horizontal and kind == "flex_compaction" else (self.count + 1) * max(self.longest, n)
+        if kind is not None and kind == self.kind and self.count < self.size and (self.budget is None or area <= self.budget):
+            self.count, self.longest, self.total = self.count + 1, max(self.longest, n), self.total + n
+        else:
+            self.number, self.kind, self.count, self.longest, self.total = self.number + 1, kind, 1, n, n
+        return self.number
+
+
 def group_numbers(kinds: list, lengths: list[int], size: int, budget: int | None = None, horizontal: bool = False) -> list[int]:
     """The group of each micro-batch: neighbours of one kind stay together up to ``size`` of them and, where there is a
     budget, as long as rows times the longest (or, for "flex_compaction" laid out horizontally, the sum) is within it. A
     batch without a kind is alone."""
-    out, number = [], -1
-    kind, count, longest, total = None, 0, 0, 0
-    for k, n in zip(kinds, lengths, strict=True):
-        n = max(1, int(n))
-        area = total + n if horizontal and k == "flex_compaction" else (count + 1) * max(longest, n)
-        joins = k is not None and k == kind and count < max(1, size) and (budget is None or area <= max(1, budget))
-        if joins:
-            count, longest, total = count + 1, max(longest, n), total + n
-        else:
-            number, kind, count, longest, total = number + 1, k, 1, n, n
-        out.append(number)
-    return out
+    g = Grouper(size, budget, horizontal)
+    return [g.add(k, n) for k, n in zip(kinds, lengths, strict=True)]
 
 
 def adjacent_groups(rows: DataFrame, key: str, order: list[str], kind: str, length: str, size: int, budget: int | None = None, horizontal: bool = False) -> DataFrame:
-    """key, order, group of micro-batches in their order. Lengths are the longest over the ranks, so that all agree."""
+    """key, order, group of micro-batches in their order. Lengths are the longest over the ranks, so that all agree.
+
+    Spark sorts by key and order; a task goes through its rows once and holds the state of one group.
+    """
     names = [key, *order]
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kinds = [None if pd.isna(k) else k for k in pdf[kind]]
-        return pdf[names].assign(group=group_numbers(kinds, pdf[length].tolist(), size, budget, horizontal))
-
-    return rows.select(*names, kind, length).groupBy(key).applyInPandas(run, ", ".join([*(f"`{n}` {types[n]}" for n in names), "group int"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, g = object(), None
+        for b in batches:
+            out = []
+            for k, what, n in zip(b.column(0).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
+                if g is None or k != last:
+                    last, g = k, Grouper(size, budget, horizontal)
+                out.append(g.add(what, n))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.int32())], names=[*names, "group"])
+
+    dealt = rows.select(*names, kind, length).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(run, ", ".join([*(f"`{n}` {types[n]}" for n in names), "group int"]))
 
 
 def _gathered(rows: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:

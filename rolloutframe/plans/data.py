@@ -19,23 +19,23 @@ def a04(spark, d):
 
 @query("A05_example_ids", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS example_id, p_name AS prompt, p_brand AS env_name FROM part WHERE p_name IS NOT NULL")
 def a05(spark, d):
-    rows = numbered(table(spark, d, "part").where("p_name is not null"), ["p_partkey"], "example_id")
-    return rows.select("example_id", F.col("p_name").alias("prompt"), F.col("p_brand").alias("env_name"))
+    return datasets.example_source(table(spark, d, "part"), "p_name", ["p_partkey"]).select("example_id", F.col("p_name").alias("prompt"), F.col("p_brand").alias("env_name"))
 
 
 @query("A07_eval_limit", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 37")
 def a07(spark, d):
-    return table(spark, d, "part").select("p_partkey").orderBy("p_partkey").limit(37)
+    return datasets.head(table(spark, d, "part").select("p_partkey"), ["p_partkey"], 37)
 
 
 @query("A26_latest_stable_step", "SELECT max(o_orderkey) AS step FROM orders WHERE o_orderstatus = 'F'")
 def a26(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("step"))
+    steps_ = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") == "F").alias("stable"))
+    return runs.stable_steps(steps_).agg(F.max("step").alias("step"))
 
 
 @query("A27_stable_steps", "SELECT o_orderkey AS step FROM orders WHERE o_orderstatus = 'F'")
 def a27(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("step")).orderBy("step")
+    return runs.stable_steps(table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") == "F").alias("stable")))
 
 
 @query("A25_run_discovery", "SELECT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -47,14 +47,13 @@ def a25(spark, d):
 @query("A29_future_steps", "SELECT o_orderkey AS step FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) / 2 FROM orders)")
 def a29(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"))
-    half = o.agg((F.max("step") / 2).alias("resume"))
-    return o.join(F.broadcast(half)).where("step > resume").select("step")
+    return runs.steps_after(o, o.agg(F.max("step") / 2))
 
 
 @query("A30_fake_increasing", "SELECT r.range AS sample, list_sum(range(r.range % 16 + 1))::BIGINT AS id_sum, r.range % 16 + 1 AS length FROM range(500) r")
 def a30(spark, d):
-    ids = F.sequence(F.lit(0).cast("long"), F.col("id") % 16)
-    return spark.range(500).select(F.col("id").alias("sample"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.size(ids).cast("long").alias("length"))
+    f = datasets.fake_samples(spark, 500, F.col("sample") % 16 + 1)
+    return f.select("sample", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.size("ids").cast("long").alias("length"))
 
 
 @query("A32_boxed_answer", "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'so the total is #### ' || o_custkey ELSE 'answer ' || o_custkey END AS answer FROM orders) SELECT o_orderkey, '\\boxed{' || CASE WHEN regexp_extract(answer, '####\\s*([-0-9.,]+)', 1) <> '' THEN regexp_extract(answer, '####\\s*([-0-9.,]+)', 1) ELSE answer END || '}' AS boxed FROM a")
@@ -67,12 +66,12 @@ def a32(spark, d):
 @query("A34_image_offload", "SELECT substr(sha256(p_name), 1, 16) || '.png' AS file, count(*) AS uses FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY file")
 def a34(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return table(spark, d, "lineitem").join(p, "l_partkey").groupBy(F.concat(F.substring(F.sha2("p_name", 256), 1, 16), F.lit(".png")).alias("file")).agg(F.count("*").alias("uses"))
+    return table(spark, d, "lineitem").join(p, "l_partkey").groupBy(S.image_file(F.col("p_name")).alias("file")).agg(F.count("*").alias("uses"))
 
 
 @query("A38_teacher_null_to_zero", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 0) AS logprob FROM events")
 def a38(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.lit(0.0)).alias("logprob"))
+    return table(spark, d, "events").select("event_id", S.teacher_logprob(F.when(F.col("event_id") % 3 != 0, F.col("value"))).alias("logprob"))
 
 
 @query("A17_rollout_log_rows", "SELECT example_id AS problem_id, round(avg(reward), 6) AS reward, sum(prompt_len)::BIGINT AS num_input_tokens, sum(completion_len)::BIGINT AS num_output_tokens FROM rollouts WHERE stop_condition IS NOT NULL GROUP BY example_id", ("rollouts",))
@@ -82,7 +81,7 @@ def a17(spark, d):
 
 @query("B10_max_examples", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50")
 def b10(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(50)
+    return datasets.head(table(spark, d, "documents").select("doc_id"), ["doc_id"], 50)
 
 
 @query("B11_rank_shard", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 4 = 2")
@@ -92,7 +91,7 @@ def b11(spark, d):
 
 @query("B19_interval_gate", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0")
 def b19(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey")
+    return table(spark, d, "orders").where(runs.every(F.col("o_orderkey"), 10)).select("o_orderkey")
 
 
 @query("B18_metric_keys", "SELECT DISTINCT p_type AS key FROM part WHERE p_type NOT LIKE 'STANDARD%' AND (p_type LIKE '%LL' OR p_type LIKE '%MO')")
@@ -151,16 +150,16 @@ def f14(spark, d):
 @query("F15_expert_sort", "SELECT l_orderkey, l_suppkey % 16 AS expert, row_number() OVER (ORDER BY l_suppkey % 16, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS place FROM lineitem")
 def f15(spark, d):
     order = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-    rows = table(spark, d, "lineitem").select(*order, (F.col("l_suppkey") % 16).alias("expert"), F.floor(F.col("l_orderkey") / 4096).alias("block"))
-    return datasets.places(rows, ["expert", "block"], order).select("l_orderkey", "expert", "place")
+    rows = table(spark, d, "lineitem").select(*order, (F.col("l_suppkey") % 16).alias("expert"))
+    return datasets.expert_sort(rows, "expert", order, F.floor(F.col("l_orderkey") / 4096)).select("l_orderkey", "expert", "place")
 
 
 @query("F16_top_k_experts", "WITH e AS (SELECT vec_id, i - 1 AS expert, embedding[i]::DOUBLE AS score, embedding[i]::DOUBLE + (i % 5) / 50.0::DOUBLE AS biased FROM embeddings, range(1, 17) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY biased DESC, expert) AS n FROM e) SELECT vec_id, expert, round(score, 6) + 0.0 AS score FROM r WHERE n <= 4")
 def f16(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("expert", "s"))
-    e = e.withColumn("score", F.col("s").cast("double")).withColumn("biased", F.col("score") + ((F.col("expert") + 1) % 5) / F.lit(50.0))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("biased"), "expert")
-    return e.withColumn("n", F.row_number().over(w)).where("n <= 4").select("vec_id", F.col("expert").cast("long").alias("expert"), r6("score").alias("score"))
+    scores = F.slice("embedding", 1, 16).cast("array<double>")
+    bias = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (i % 5) / F.lit(50.0))
+    e = table(spark, d, "embeddings").select("vec_id", F.explode(datasets.top_experts(scores, bias, 4)).alias("x"))
+    return e.select("vec_id", F.col("x.expert").cast("long").alias("expert"), r6("x.score").alias("score"))
 
 
 @query("F18_policy_pick")
@@ -171,12 +170,12 @@ def f18(spark, d):
 @query("F19_cyclic_indices", "SELECT j.range AS j, (17 + j.range) % (SELECT count(*) FROM supplier) AS index FROM range(300) j")
 def f19(spark, d):
     n = table(spark, d, "supplier").agg(F.count("*").alias("n"))
-    return spark.range(300).join(F.broadcast(n)).select(F.col("id").alias("j"), F.pmod(F.col("id") + 17, F.col("n")).alias("index"))
+    return spark.range(300).join(F.broadcast(n)).select(F.col("id").alias("j"), datasets.cyclic(17, F.col("id"), F.col("n")).alias("index"))
 
 
 @query("F20_round_robin_clients", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS client FROM documents")
 def f20(spark, d):
-    return numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i").select("doc_id", F.pmod("i", F.lit(5)).alias("client"))
+    return datasets.dealt(table(spark, d, "documents").select("doc_id"), ["doc_id"], 5).select("doc_id", F.col("worker").alias("client"))
 
 
 @query("G01_interleave_first_exhausted", "WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents), s AS (SELECT lang, count(*) AS c, row_number() OVER (ORDER BY lang) - 1 AS s FROM documents GROUP BY lang) SELECT n.doc_id, i * (SELECT count(*) FROM s) + s.s AS position FROM n JOIN s USING (lang) WHERE i < (SELECT min(c) FROM s)")
@@ -202,13 +201,13 @@ def g08(spark, d):
 
 @query("G09_image_dedup", "SELECT sha256(p_type) AS image, count(*) AS uses, min(p_partkey) AS first FROM part GROUP BY p_type")
 def g09(spark, d):
-    return table(spark, d, "part").groupBy(F.sha2("p_type", 256).alias("image")).agg(F.count("*").alias("uses"), F.min("p_partkey").alias("first"))
+    return datasets.distinct_images(table(spark, d, "part"), F.sha2("p_type", 256), "p_partkey")
 
 
 @query("E08_exclusive_prefix", "SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents")
 def e08(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", datasets.prefix_offset(docs, ["lang"], ["doc_id"], F.col("n_chars")).alias("start"))
 
 
 @query("E16_generation_prompt", "SELECT conv_id, turn, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS generate FROM conversations")
@@ -231,9 +230,8 @@ def e18(spark, d):
 @query("E05_packed_boundaries", "WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn % 3 AS p FROM conversations), b AS (SELECT *, (p = 0 AND coalesce(lag(p) OVER w, 1) <> 0 AND coalesce(lead(p) OVER w, -1) = 1)::INT AS b FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY n)) SELECT conv_id, turn, sum(b) OVER (PARTITION BY conv_id ORDER BY n)::BIGINT AS chunk FROM b")
 def e05(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    p = F.col("turn") % 3
-    b = ((p == 0) & (F.coalesce(F.lag(p).over(w), F.lit(1)) != 0) & (F.coalesce(F.lead(p).over(w), F.lit(-1)) == 1)).cast("int")
-    return table(spark, d, "conversations").withColumn("b", b).select("conv_id", "turn", F.sum("b").over(w).alias("chunk"))
+    begins = datasets.packed_chunk(F.col("turn") % 3, w)
+    return table(spark, d, "conversations").withColumn("b", begins.cast("int")).select("conv_id", "turn", F.sum("b").over(w).alias("chunk"))
 
 
 def steps(spark, d) -> DataFrame:
@@ -337,7 +335,7 @@ def i06(spark, d):
 
 @query("E13_strided_placement", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 6 AS worker, (row_number() OVER (ORDER BY doc_id) - 1) // 6 AS slot FROM documents")
 def e13(spark, d):
-    return numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i").select("doc_id", F.pmod("i", F.lit(6)).alias("worker"), F.expr("i div 6").alias("slot"))
+    return datasets.dealt(table(spark, d, "documents").select("doc_id"), ["doc_id"], 6)
 
 
 @query("I14_cat_packing", """WITH RECURSIVE s AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, len(string_split(text, ' ')) AS n FROM documents),
@@ -372,7 +370,7 @@ def j06(spark, d):
 
 @query("J08_image_key", "SELECT page_id, substr(sha256(html), 1, 16) AS key FROM pages")
 def j08(spark, d):
-    return table(spark, d, "pages").select("page_id", F.substring(F.sha2("html", 256), 1, 16).alias("key"))
+    return table(spark, d, "pages").select("page_id", S.image_key(F.col("html")).alias("key"))
 
 
 @query("J09_human_time", "SELECT o_orderkey, CASE WHEN o_custkey * 7 >= 3600 THEN format('{:.2f}h', o_custkey * 7 / 3600.0::DOUBLE) WHEN o_custkey * 7 >= 60 THEN format('{:.2f}m', o_custkey * 7 / 60.0::DOUBLE) ELSE format('{:.2f}s', (o_custkey * 7)::DOUBLE) END AS t FROM orders")

@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import datasets, packing, runs, trajectory
+from ..operators import datasets, metrics, packing, runs, stacking, trajectory
 from ..operators import tokens as T
-from ..operators.ordering import numbered
 from ..sources.carriers import table, view
 from .data import steps
 from .registry import query, r6
@@ -23,7 +22,8 @@ def _words(spark, d):
 
 @query("A33_task_prompts", "SELECT p_type || '_' || p_partkey AS id, 'Task ' || p_type || ': ' || p_name AS prompt FROM part")
 def a33(spark, d):
-    return table(spark, d, "part").select(F.format_string("%s_%d", "p_type", "p_partkey").alias("id"), F.format_string("Task %s: %s", "p_type", "p_name").alias("prompt"))
+    i, prompt = datasets.task_prompt(F.col("p_type"), F.col("p_partkey"), F.col("p_name"))
+    return table(spark, d, "part").select(i.alias("id"), prompt.alias("prompt"))
 
 
 @query("A03_subset_split_pairs", "SELECT lang AS __subset, 'train' AS __split, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang")
@@ -37,7 +37,7 @@ def a03(spark, d):
 
 @query("B07_prompt_length_filter", f"SELECT doc_id FROM documents WHERE {WORDS} <= 300")
 def b07(spark, d):
-    return _words(spark, d).where("n <= 300").select("doc_id")
+    return _words(spark, d).where(datasets.shorter(F.col("n"), 300)).select("doc_id")
 
 
 @query("B08_trainable_within_seq_len", "WITH t AS (SELECT conv_id, turn, role, coalesce(sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations) SELECT DISTINCT conv_id FROM t WHERE role = 'assistant' AND start < 64")
@@ -49,13 +49,12 @@ def b08(spark, d):
 
 @query("B09_longer_than_seq_len", f"SELECT doc_id FROM documents WHERE {WORDS} > 1024")
 def b09(spark, d):
-    return _words(spark, d).where("n > 1024").select("doc_id")
+    return _words(spark, d).where(~datasets.shorter(F.col("n"), 1024)).select("doc_id")
 
 
 @query("B20_malformed_payloads", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL")
 def b20(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return table(spark, d, "events").select("event_id", k.alias("k")).where("k is not null")
+    return table(spark, d, "events").select("event_id", S.payload_number(F.col("props"), "k").alias("k")).where("k is not null")
 
 
 @query("B21_rollouts_with_tokens", "SELECT DISTINCT conv_id AS rollout_id FROM conversations WHERE role = 'assistant'")
@@ -90,30 +89,31 @@ def c12(spark, d):
 
 @query("C14_samples_by_run", "SELECT client AS run_id, count(*) AS samples, sum(completion_len + prompt_len)::BIGINT AS tokens FROM rollouts GROUP BY client", ("rollouts",))
 def c14(spark, d):
-    return view(spark, d, "rollouts").groupBy(F.col("client").alias("run_id")).agg(F.count("*").alias("samples"), F.sum(F.col("completion_len") + F.col("prompt_len")).alias("tokens"))
+    return runs.sample_totals(view(spark, d, "rollouts").withColumnRenamed("client", "run_id"), F.col("completion_len") + F.col("prompt_len"), "run_id")
 
 
 @query("D22_loss_scale", "SELECT lang, greatest(sum(n_chars) FILTER (WHERE n_chars > 100), 1)::BIGINT AS loss_scale FROM documents GROUP BY lang")
 def d22(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.greatest(F.sum(F.when(F.col("n_chars") > 100, F.col("n_chars"))), F.lit(1)).alias("loss_scale"))
+    return table(spark, d, "documents").groupBy("lang").agg(metrics.loss_scale(F.col("n_chars"), F.col("n_chars") > 100).alias("loss_scale"))
 
 
 @query("D32_eviction_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS events, coalesce(sum(floor(value)) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS tokens_evicted FROM events GROUP BY user_id")
 def d32(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "click", F.struct(F.floor("value").alias("tokens_evicted")))).alias("e"))
-    return g.select("user_id", F.size("e").cast("long").alias("events"), F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["tokens_evicted"]).alias("tokens_evicted"))
+    n, evicted = metrics.eviction_counts(F.col("e"))
+    return g.select("user_id", n.alias("events"), evicted.alias("tokens_evicted"))
 
 
 @query("D35_log_z", "SELECT example_id, round(avg(reward + 0.1::DOUBLE * (ln(1 + completion_len) - ln(1 + prompt_len))), 6) + 0.0 AS log_z FROM rollouts GROUP BY example_id", ("rollouts",))
 def d35(spark, d):
-    ref, own = F.log(1 + F.col("completion_len")), F.log(1 + F.col("prompt_len"))
-    return view(spark, d, "rollouts").groupBy("example_id").agg(r6(F.avg(F.col("reward") + 0.1 * (ref - own))).alias("log_z"))
+    z = metrics.log_z(view(spark, d, "rollouts"), F.col("reward"), F.log(1 + F.col("completion_len")), F.log(1 + F.col("prompt_len")), 0.1)
+    return z.select("example_id", r6("log_z").alias("log_z"))
 
 
 @query("D46_pad_ratio", f"WITH n AS (SELECT lang, {WORDS} AS n, max({WORDS}) OVER (PARTITION BY lang) AS m FROM documents) SELECT lang, round(sum(n)::DOUBLE / sum(m), 6) AS useful, round(1 - sum(n)::DOUBLE / sum(m), 6) AS padded FROM n GROUP BY lang")
 def d46(spark, d):
-    g = _words(spark, d).groupBy("lang").agg(F.sum("n").alias("s"), (F.max("n") * F.count("*")).alias("all"))
-    return g.select("lang", r6(F.col("s") / F.col("all")).alias("useful"), r6(1 - F.col("s") / F.col("all")).alias("padded"))
+    useful, padded = metrics.pad_ratio("n")
+    return _words(spark, d).groupBy("lang").agg(r6(useful).alias("useful"), r6(padded).alias("padded"))
 
 
 @query("D47_call_mismatch", LOSS + " SELECT seq_id, count(*) AS n, round(avg(kl), 6) + 0.0 AS mean_kl, round(max(kl), 6) + 0.0 AS max_kl, round(avg(abs(de)), 6) + 0.0 AS mean_abs, min(CASE WHEN round(kl, 9) = m THEN pos END)::INT AS worst FROM (SELECT *, max(round(kl, 9)) OVER (PARTITION BY seq_id) AS m FROM c) GROUP BY seq_id")
@@ -124,26 +124,25 @@ def d47(spark, d):
 
 @query("D48_max_over_ranks", f"SELECT doc_id % 50 AS idx, max({WORDS})::INT AS length, bool_and({WORDS} < 2000) AS stackable FROM documents GROUP BY idx")
 def d48(spark, d):
-    return _words(spark, d).groupBy((F.col("doc_id") % 50).alias("idx")).agg(F.max("n").alias("length"), F.bool_and(F.col("n") < 2000).alias("stackable"))
+    return metrics.over_ranks(_words(spark, d).withColumn("idx", F.col("doc_id") % 50), "idx", "n", F.col("n") < 2000)
 
 
 @query("E03_first_detection", "SELECT user_id, min(event_id) FILTER (WHERE value > 90) AS index FROM events GROUP BY user_id")
 def e03(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("value") > 90, F.col("event_id"))).alias("index"))
+    return metrics.first_detection(table(spark, d, "events"), "user_id", "event_id", F.col("value") > 90)
 
 
 @query("E06_split_packed_values", "WITH b AS (SELECT user_id, event_id, value, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS chunk FROM events) SELECT user_id, chunk::BIGINT AS chunk, count(*) AS n, round(arg_min(value, event_id), 6) AS first, round(arg_max(value, event_id), 6) AS last FROM b GROUP BY user_id, chunk")
 def e06(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    b = table(spark, d, "events").withColumn("chunk", F.sum((F.col("event_type") == "view").cast("int")).over(w))
-    g = b.groupBy("user_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    return g.select("user_id", "chunk", F.size("v").cast("long").alias("n"), r6(F.get("v.value", F.lit(0))).alias("first"), r6(F.element_at("v.value", -1)).alias("last"))
+    g = datasets.split_packed(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view", "value")
+    return g.select("user_id", "chunk", F.size("values").cast("long").alias("n"), r6(F.get("values", F.lit(0))).alias("first"), r6(F.element_at("values", -1)).alias("last"))
 
 
 @query("E07_eviction_offset", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS offset FROM conversations")
 def e07(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", F.length("text")).otherwise(0)).over(w).alias("offset"))
+    c = table(spark, d, "conversations")
+    evicted = F.when(F.col("role") == "user", F.length("text")).otherwise(0)
+    return c.select("conv_id", "turn", datasets.prefix_offset(c, ["conv_id"], ["turn"], evicted, inclusive=True).alias("offset"))
 
 
 @query("E12_async_retention", "SELECT o_orderkey AS step, greatest(o_orderkey - 3, 0) AS candidate, greatest(o_orderkey - 3, 0) % 5 = 0 AS kept FROM orders")
@@ -161,7 +160,7 @@ def f01(spark, d):
 @query("F04_first_over_threshold", "SELECT event_id, round(value, 6) AS value FROM events WHERE value >= 95 ORDER BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END NULLS LAST, event_id LIMIT 1")
 def f04(spark, d):
     call = F.when(F.col("event_id") % 3 != 0, F.col("user_id"))
-    return table(spark, d, "events").where("value >= 95").orderBy(call.asc_nulls_last(), "event_id").limit(1).select("event_id", r6("value").alias("value"))
+    return metrics.first_over(table(spark, d, "events"), "value", 95, call, "event_id").select("event_id", r6("value").alias("value"))
 
 
 @query("F17_fair_selection")
@@ -180,19 +179,20 @@ def g05(spark, d):
 
 @query("G06_union_of_keys", "SELECT n_name AS key FROM nation UNION SELECT r_name FROM region")
 def g06(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("key")).union(table(spark, d, "region").select("r_name")).distinct()
+    return datasets.key_union(table(spark, d, "nation").select(F.col("n_name").alias("key")), table(spark, d, "region").select("r_name"))
 
 
 @query("G07_regular_and_summary", "SELECT kind, count(*) AS n FROM (SELECT 'regular' AS kind FROM conversations WHERE role = 'assistant' UNION ALL SELECT 'summary' FROM conversations WHERE role = 'system') GROUP BY kind")
 def g07(spark, d):
     c = table(spark, d, "conversations")
-    return c.where("role = 'assistant'").select(F.lit("regular").alias("kind")).unionByName(c.where("role = 'system'").select(F.lit("summary").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    both = datasets.labelled_union(regular=c.where("role = 'assistant'").select("conv_id"), summary=c.where("role = 'system'").select("conv_id"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("G10_ordered_concat", "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents")
 def g10(spark, d):
     rank = F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    return numbered(table(spark, d, "documents").select("doc_id", rank.alias("kind")), ["kind", "doc_id"]).select("doc_id", (F.col("place") + 1).alias("place"))
+    return datasets.ordered_concat(table(spark, d, "documents"), rank, ["doc_id"]).select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 @query("H02_split_by_common_prefix", "SELECT conv_id, sum(len(string_split(text, ' '))) FILTER (WHERE turn = 0)::BIGINT AS prompt, sum(len(string_split(text, ' '))) FILTER (WHERE turn > 0)::BIGINT AS completion FROM conversations GROUP BY conv_id")
@@ -229,21 +229,23 @@ def i05(spark, d):
 
 @query("I11_vertical_stack", f"SELECT doc_id % 100 AS grp, count(*) AS rows, max({WORDS})::INT AS width, (count(*) * max({WORDS}))::BIGINT AS area FROM documents GROUP BY grp")
 def i11(spark, d):
-    n = _words(spark, d).withColumn("grp", F.col("doc_id") % 100)
-    n = n.withColumn("width", F.max("n").over(Window.partitionBy("grp"))).withColumn("row", F.concat(F.split("text", " "), F.array_repeat(F.lit(""), F.col("width") - F.col("n"))))
-    return n.groupBy("grp").agg(F.count("*").alias("rows"), F.max("width").alias("width"), F.sum(F.size("row")).alias("area"))
+    rows = _words(spark, d).select((F.col("doc_id") % 100).alias("grp"), "doc_id", F.split("text", " ").alias("ids"))
+    s = stacking.vertical_stack(rows, ["grp"], "doc_id", {"ids": ""})
+    width = F.size(F.get("ids", F.lit(0)))
+    return s.select("grp", F.size("ids").cast("long").alias("rows"), width.alias("width"), F.size(F.flatten("ids")).cast("long").alias("area"))
 
 
 @query("I13_horizontal_pack", f"SELECT doc_id, coalesce(sum({WORDS}) OVER (PARTITION BY doc_id % 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, {WORDS}::INT AS length FROM documents")
 def i13(spark, d):
-    w = Window.partitionBy(F.col("doc_id") % 100).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _words(spark, d).select("doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"), F.col("n").alias("length"))
+    rows = _words(spark, d).select((F.col("doc_id") % 100).alias("grp"), "doc_id", F.split("text", " ").alias("ids"), F.array("doc_id").alias("doc"))
+    p = stacking.horizontal_pack(rows, ["grp"], "doc_id", ["ids", "doc"])
+    return p.select(F.explode(F.arrays_zip("doc", "sequence_offsets", "sequence_lengths")).alias("x")).select(F.col("x.doc").alias("doc_id"), F.col("x.sequence_offsets").cast("long").alias("start"), F.col("x.sequence_lengths").alias("length"))
 
 
 @query("I17_pad_or_drop", f"SELECT doc_id, 512 AS n FROM documents WHERE {WORDS} <= 512")
 def i17(spark, d):
-    w = _words(spark, d).where("n <= 512")
-    return w.select("doc_id", F.size(F.concat(F.split("text", " "), F.array_repeat(F.lit(""), 512 - F.col("n")))).alias("n"))
+    w = _words(spark, d).where(datasets.shorter(F.col("n"), 512))
+    return w.select("doc_id", F.size(packing.padded_to(F.split("text", " "), 512, F.lit(""))).alias("n"))
 
 
 @query("J12_privileged_prompt", "SELECT o_orderkey, 'Q: ' || o_orderpriority || ' A: ' || o_orderstatus AS text FROM orders")
@@ -254,12 +256,12 @@ def j12(spark, d):
 
 @query("J14_json_or_empty", """SELECT p_partkey, CASE WHEN p_size > 25 THEN '{"size":' || p_size || '}' ELSE '' END AS info FROM part""")
 def j14(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.to_json(F.when(F.col("p_size") > 25, F.struct(F.col("p_size").alias("size")))), F.lit("")).alias("info"))
+    return table(spark, d, "part").select("p_partkey", S.json_or_empty(F.when(F.col("p_size") > 25, F.struct(F.col("p_size").alias("size")))).alias("info"))
 
 
 @query("J15_hardware_labels", "SELECT s_suppkey, (s_suppkey % 8 + 1) || 'x' || split_part(s_name, '#', 1) AS label FROM supplier")
 def j15(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.concat((F.col("s_suppkey") % 8 + 1).cast("string"), F.lit("x"), F.split_part("s_name", F.lit("#"), F.lit(1))).alias("label"))
+    return table(spark, d, "supplier").select("s_suppkey", S.hardware_label(F.col("s_suppkey") % 8 + 1, F.split_part("s_name", F.lit("#"), F.lit(1))).alias("label"))
 
 
 @query("J21_peak_flops", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 989e12 WHEN 1 THEN 2250e12 WHEN 2 THEN 312e12 ELSE 154.8e12 END::DOUBLE AS peak FROM part")
@@ -271,16 +273,16 @@ def j21(spark, d):
 
 @query("J23_sampling_args", """SELECT p_partkey, '{' || CASE WHEN p_size % 2 = 0 THEN '"temperature":' || p_size ELSE '' END || '}' AS args FROM part""")
 def j23(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("temperature"))).alias("args"))
+    return table(spark, d, "part").select("p_partkey", S.sampling_args(temperature=F.when(F.col("p_size") % 2 == 0, F.col("p_size"))).alias("args"))
 
 
 @query("J25_seeds", "SELECT o_orderkey, 42 + o_custkey * 1000000 AS seed, o_custkey * 64 + o_orderkey AS batch_seed FROM orders")
 def j25(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", (42 + F.col("o_custkey") * 1_000_000).alias("seed"), (F.col("o_custkey") * 64 + F.col("o_orderkey")).alias("batch_seed"))
+    return table(spark, d, "orders").select("o_orderkey", S.step_seed(42, F.col("o_custkey")).alias("seed"), S.batch_seed(F.col("o_custkey"), 64, F.col("o_orderkey")).alias("batch_seed"))
 
 
 @query("J27_rows_to_columns", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
 def j27(spark, d):
-    cols = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k"), F.collect_list("o_totalprice").alias("p"))
-    back = cols.select("o_custkey", F.explode(F.arrays_zip("k", "p")).alias("x"))
-    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("x.p"), 2).alias("total"))
+    names = ["o_orderkey", "o_totalprice"]
+    back = datasets.to_rows(datasets.to_columns(table(spark, d, "orders"), "o_custkey", names), "o_custkey", names)
+    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

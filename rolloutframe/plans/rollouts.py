@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import advantage, metrics, packing, pools, runs
+from ..sources import io
 from ..sources.carriers import table, view
 from .registry import query, r6
 
@@ -74,7 +75,7 @@ def b05(spark, d):
 
 @query("B06_solve_rate_filter", "SELECT example_id, round(avg(reward_bin), 6) AS rate FROM rollouts GROUP BY example_id HAVING avg(reward_bin) BETWEEN 0.25 AND 0.75", ("rollouts",))
 def b06(spark, d):
-    return view(spark, d, "rollouts").groupBy("example_id").agg(F.avg("reward_bin").alias("r")).where(F.col("r").between(0.25, 0.75)).select("example_id", r6("r").alias("rate"))
+    return pools.solve_rate_between(view(spark, d, "rollouts"), 0.25, 0.75, "reward_bin").select("example_id", r6("rate").alias("rate"))
 
 
 @query("F12_env_probabilities", "SELECT env_name, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS probability FROM (SELECT DISTINCT env_name, example_id FROM rollouts) GROUP BY env_name", ("rollouts",))
@@ -118,13 +119,13 @@ def c01(spark, d):
 @query("C02_unmatched_count", "SELECT count(*) AS unmatched FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def c02(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").agg(F.count("*").alias("unmatched"))
+    return pools.unmatched(c, o, c["c_custkey"] == o["o_custkey"])
 
 
 @query("C03_known_envs_semi_join", "SELECT env_name, count(*) AS n FROM rollouts WHERE env_name IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_totalprice > 400000) GROUP BY env_name", ("rollouts",))
 def c03(spark, d):
-    known = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderpriority").alias("env_name")).distinct()
-    return view(spark, d, "rollouts").join(known, "env_name", "left_semi").groupBy("env_name").agg(F.count("*").alias("n"))
+    known = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderpriority").alias("env_name"))
+    return io.known_envs(view(spark, d, "rollouts"), known).groupBy("env_name").agg(F.count("*").alias("n"))
 
 
 @query("C04_run_diff", "SELECT 'deleted' AS kind, c_custkey AS run FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'new', c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
@@ -224,7 +225,8 @@ def d15(spark, d):
 
 @query("D16_task_success", "SELECT task, round(avg(reward), 6) AS success, round(avg((reward >= 1)::INT), 6) AS hard_success FROM rollouts GROUP BY task", ("rollouts",))
 def d16(spark, d):
-    return view(spark, d, "rollouts").groupBy("task").agg(r6(F.avg("reward")).alias("success"), r6(F.avg((F.col("reward") >= 1).cast("double"))).alias("hard_success"))
+    m = metrics.success(view(spark, d, "rollouts"))
+    return m.select("task", r6("success").alias("success"), r6("hard_success").alias("hard_success"))
 
 
 @query("D17_distribution", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_disc(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
@@ -241,7 +243,7 @@ def d29(spark, d):
 
 @query("D26_token_counts", "SELECT env_name, sum(completion_len)::BIGINT AS decode_tokens, sum(prompt_len)::BIGINT AS prefill_tokens FROM rollouts GROUP BY env_name", ("rollouts",))
 def d26(spark, d):
-    return view(spark, d, "rollouts").groupBy("env_name").agg(F.sum("completion_len").alias("decode_tokens"), F.sum("prompt_len").alias("prefill_tokens"))
+    return metrics.token_totals(view(spark, d, "rollouts"), "prompt_len", "completion_len")
 
 
 @query("D27_running_totals", "WITH s AS (SELECT version AS step, sum(completion_len)::BIGINT AS tokens, count(*) AS samples FROM rollouts GROUP BY version) SELECT step, tokens, samples, sum(tokens) OVER (ORDER BY step)::BIGINT AS total_tokens, sum(samples) OVER (ORDER BY step)::BIGINT AS total_samples FROM s", ("rollouts",))
@@ -252,8 +254,8 @@ def d27(spark, d):
 
 @query("D28_error_rates", "SELECT env_name, round(count(*) FILTER (WHERE completion_len <= 40)::DOUBLE / greatest(count(*), 1), 6) AS empty, round(count(*) FILTER (WHERE scoring_ms > 80)::DOUBLE / greatest(count(*), 1), 6) AS errored, max(version) AS off_policy_max, round(avg(version), 6) AS off_policy_mean FROM rollouts GROUP BY ROLLUP (env_name)", ("rollouts",))
 def d28(spark, d):
-    n = F.greatest(F.count("*"), F.lit(1))
-    return view(spark, d, "rollouts").rollup("env_name").agg(r6(F.count_if(F.col("completion_len") <= 40) / n).alias("empty"), r6(F.count_if(F.col("scoring_ms") > 80) / n).alias("errored"), F.max("version").alias("off_policy_max"), r6(F.avg("version")).alias("off_policy_mean"))
+    m = metrics.scheduler_rates(view(spark, d, "rollouts"), F.col("completion_len") <= 40, F.col("scoring_ms") > 80, "version")
+    return m.select("env_name", r6("empty").alias("empty"), r6("errored").alias("errored"), "off_policy_max", r6("off_policy_mean").alias("off_policy_mean"))
 
 
 @query("D30_benchmark_describe", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM r WHERE n > 1 GROUP BY event_type")
@@ -264,9 +266,8 @@ def d30(spark, d):
 
 @query("D31_subset_shares", "SELECT lang, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS sample_share, round(sum(n_chars)::DOUBLE / sum(sum(n_chars)) OVER (), 6) AS token_share FROM documents GROUP BY lang")
 def d31(spark, d):
-    w = Window.partitionBy(F.lit(0))
-    g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
-    return g.select("lang", r6(F.col("n") / F.sum("n").over(w)).alias("sample_share"), r6(F.col("c") / F.sum("c").over(w)).alias("token_share"))
+    m = metrics.subset_shares(table(spark, d, "documents"), "lang", "n_chars")
+    return m.select("lang", r6("sample_share").alias("sample_share"), r6("token_share").alias("token_share"))
 
 
 @query("D33_load_balance", "WITH t AS (SELECT l_shipdate::DATE AS layer, l_suppkey % 8 AS expert, count(*) AS tokens FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY tokens DESC, expert) AS n FROM t) SELECT layer, round((max(tokens) - avg(tokens)) / avg(tokens), 6) AS violation FROM r WHERE n > 1 GROUP BY layer")
@@ -282,8 +283,8 @@ def d34(spark, d):
 
 @query("D37_even_odd_means", "SELECT round(avg(reward) FILTER (WHERE rollout_idx % 2 = 0), 6) AS off_policy, round(avg(reward) FILTER (WHERE rollout_idx % 2 = 1), 6) AS on_policy FROM rollouts", ("rollouts",))
 def d37(spark, d):
-    even = F.pmod("rollout_idx", F.lit(2)) == 0
-    return view(spark, d, "rollouts").agg(r6(F.avg(F.when(even, F.col("reward")))).alias("off_policy"), r6(F.avg(F.when(~even, F.col("reward")))).alias("on_policy"))
+    m = metrics.even_odd(view(spark, d, "rollouts"), "reward", "rollout_idx")
+    return m.select(r6("off_policy").alias("off_policy"), r6("on_policy").alias("on_policy"))
 
 
 @query("D38_privileged_means", "SELECT round(coalesce(sum(reward) FILTER (WHERE is_truncated), 0) / greatest(count(*) FILTER (WHERE is_truncated), 1), 6) AS privileged, round(coalesce(sum(reward) FILTER (WHERE NOT is_truncated), 0) / greatest(count(*) FILTER (WHERE NOT is_truncated), 1), 6) AS regular FROM rollouts", ("rollouts",))
@@ -293,13 +294,13 @@ def d38(spark, d):
 
 @query("D39_task_mean_rewards", "SELECT version, task, round(avg(reward), 6) AS reward FROM rollouts GROUP BY version, task", ("rollouts",))
 def d39(spark, d):
-    return view(spark, d, "rollouts").groupBy("version", "task").agg(r6(F.avg("reward")).alias("reward"))
+    return metrics.task_means(view(spark, d, "rollouts"), "version").select("version", "task", r6("reward").alias("reward"))
 
 
 @query("D40_throughput", "SELECT version, round(sum(completion_len) / (sum(generation_ms) / 1000), 6) AS tokens_per_s, round(count(*) / (sum(generation_ms) / 60000), 6) AS samples_per_min, round(avg(completion_len), 6) AS mean_len FROM rollouts GROUP BY version", ("rollouts",))
 def d40(spark, d):
-    s = F.sum("generation_ms")
-    return view(spark, d, "rollouts").groupBy("version").agg(r6(F.sum("completion_len") / (s / 1000)).alias("tokens_per_s"), r6(F.count("*") / (s / 60000)).alias("samples_per_min"), r6(F.avg("completion_len")).alias("mean_len"))
+    m = metrics.throughput(view(spark, d, "rollouts"), "version", "completion_len", "generation_ms")
+    return m.select("version", *[r6(c).alias(c) for c in m.columns[1:]])
 
 
 @query("D41_distinct_examples", "SELECT env_name, count(DISTINCT example_id) AS examples, count(DISTINCT client) AS clients FROM rollouts GROUP BY env_name", ("rollouts",))
@@ -309,7 +310,7 @@ def d41(spark, d):
 
 @query("D42_zero_ratio", "SELECT l_returnflag, round(count(*) FILTER (WHERE l_discount = 0)::DOUBLE / greatest(count(*), 1), 6) AS zero_ratio FROM lineitem GROUP BY l_returnflag")
 def d42(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.count_if(F.col("l_discount") == 0) / F.greatest(F.count("*"), F.lit(1))).alias("zero_ratio"))
+    return metrics.zero_ratio(table(spark, d, "lineitem"), "l_discount", "l_returnflag").select("l_returnflag", r6("zero_ratio").alias("zero_ratio"))
 
 
 @query("D43_least_loaded_client", "WITH n AS (SELECT s_suppkey AS client, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linestatus = 'O' GROUP BY s_suppkey) SELECT client, n FROM n ORDER BY n, client LIMIT 1")
@@ -326,7 +327,8 @@ def d44(spark, d):
 
 @query("D45_mean_or_zero", "SELECT round(coalesce(avg(reward), 0), 6) AS mean, coalesce(avg(reward) FILTER (WHERE completion_len < 0), 0)::DOUBLE AS empty_mean FROM rollouts", ("rollouts",))
 def d45(spark, d):
-    return view(spark, d, "rollouts").agg(r6(F.coalesce(F.avg("reward"), F.lit(0.0))).alias("mean"), F.coalesce(F.avg(F.when(F.col("completion_len") < 0, F.col("reward"))), F.lit(0.0)).alias("empty_mean"))
+    empty = F.when(F.col("completion_len") < 0, F.col("reward"))
+    return view(spark, d, "rollouts").agg(r6(metrics.mean_or_zero(F.col("reward"))).alias("mean"), metrics.mean_or_zero(empty).alias("empty_mean"))
 
 
 @query("E04_rolling_throughput", """
@@ -349,14 +351,12 @@ def e11(spark, d):
 
 @query("B15_staleness_filter", "SELECT example_id, rollout_idx, version + 1 AS version FROM (SELECT *, max(version) OVER (PARTITION BY example_id) AS m FROM rollouts) WHERE m < 6", ("rollouts",))
 def b15(spark, d):
-    m = F.max("version").over(Window.partitionBy("example_id"))
-    return view(spark, d, "rollouts").withColumn("m", m).where("m < 6").select("example_id", "rollout_idx", (F.col("version") + 1).alias("version"))
+    return pools.fresh(view(spark, d, "rollouts"), 6).select("example_id", "rollout_idx", "version")
 
 
 @query("B14_dropped_rollouts", "SELECT env_name, count(*) FILTER (WHERE completion_len <= 40) AS empty, count(*) FILTER (WHERE scoring_ms > 80) AS errored, count(*) FILTER (WHERE completion_len > 40 AND scoring_ms <= 80) AS kept FROM rollouts GROUP BY env_name", ("rollouts",))
 def b14(spark, d):
-    empty, err = F.col("completion_len") <= 40, F.col("scoring_ms") > 80
-    return view(spark, d, "rollouts").groupBy("env_name").agg(F.count_if(empty).alias("empty"), F.count_if(err).alias("errored"), F.count_if(~empty & ~err).alias("kept"))
+    return metrics.dropped_counts(view(spark, d, "rollouts"), F.col("completion_len") <= 40, F.col("scoring_ms") > 80)
 
 
 @query("F06_token_target_cut", "SELECT example_id, rollout_idx FROM (SELECT *, coalesce(sum(completion_len) OVER (ORDER BY example_id, rollout_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rollouts) WHERE before < 100000", ("rollouts",))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import packing
+from ..functions import scalars as S
+from ..operators import metrics, packing, runs
 from ..operators import tokens as T
 from ..sources.carriers import table, view
 from .registry import query, r6
@@ -44,12 +45,15 @@ REP = f"{math.log(0.01)!r}"
 @query("B02_repetition_filter", f"""WITH {SQL}, h AS (SELECT seq_id, pos, (inference > {REP})::INT AS hot, sum(CASE WHEN inference > {REP} THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM tokens),
 s AS (SELECT *, sum(hot) OVER (PARTITION BY seq_id, island ORDER BY pos) AS streak FROM h) SELECT seq_id, min(CASE WHEN streak >= 4 THEN pos END)::INT AS index FROM s GROUP BY seq_id""")
 def b02(spark, d):
-    return T.first_repetition(tokens(spark, d), 4, 0.01).select("seq_id", F.col("index").cast("int").alias("index"))
+    a = _arrays(spark, d)
+    return a.select("seq_id", T.repetition_index(F.col("lp"), 4, 0.01).alias("index"))
 
 
 def _arrays(spark, d):
-    t = tokens(spark, d).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id", "logprob"))).alias("t"))
-    return t.select("seq_id", F.col("t.token_id").alias("ids"), F.col("t.logprob").alias("lp"), F.transform("t", lambda x: F.lit(True)).alias("completion_mask"), F.lit(None).cast("string").alias("stop_condition"))
+    """A document's tokens as arrays of its own row."""
+    ids = F.transform(F.split("text", " "), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 128000)
+    t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("seq_id"), ids.alias("ids"))
+    return t.select("seq_id", "ids", F.transform("ids", lambda x: -(x % 1000) / F.lit(100.0)).alias("lp"), F.transform("ids", lambda x: F.lit(True)).alias("completion_mask"), F.lit(None).cast("string").alias("stop_condition"))
 
 
 @query("B04_filters_in_order", f"""WITH {SQL}, g AS (SELECT seq_id, min(CASE WHEN token_id > 100000 AND inference < {GIB_LIMIT!r} THEN pos END) AS i, count(*) AS n FROM tokens GROUP BY seq_id),
@@ -162,15 +166,12 @@ def j18(spark, d):
 
 @query("C11_gather_logprob", "SELECT vec_id, round(embedding[label % 64 + 1]::DOUBLE, 6) + 0.0 AS value FROM embeddings")
 def c11(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", r6(F.element_at("embedding", F.col("label") % 64 + 1).cast("double")).alias("value"))
+    return table(spark, d, "embeddings").select("vec_id", r6(S.gathered(F.col("embedding"), F.col("label") % 64).cast("double")).alias("value"))
 
 
 @query("E02_streaks_over_events", "WITH h AS (SELECT user_id, event_id, (value > 50)::INT AS hot, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events), s AS (SELECT *, sum(hot) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM h) SELECT user_id, max(streak)::BIGINT AS longest FROM s GROUP BY user_id")
 def e02(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    hot = F.col("value") > 50
-    e = table(spark, d, "events").withColumn("hot", hot.cast("int")).withColumn("island", F.sum(F.when(hot, 0).otherwise(1)).over(w))
-    return e.withColumn("streak", F.sum("hot").over(Window.partitionBy("user_id", "island").orderBy("event_id"))).groupBy("user_id").agg(F.max("streak").alias("longest"))
+    return metrics.longest_streak(table(spark, d, "events"), "user_id", "event_id", F.col("value") > 50)
 
 
 VALID = """SELECT *, CASE WHEN l_partkey % 97 = 0 THEN 'prompt_mask' WHEN l_partkey % 89 = 0 THEN 'completion_mask' WHEN l_suppkey % 83 = 0 THEN 'logprobs' WHEN l_suppkey % 79 = 0 THEN 'temperatures' WHEN l_quantity = 1 THEN 'empty' WHEN l_quantity + l_partkey % 50 > 90 THEN 'too_long' WHEN l_partkey % 61 = 0 THEN 'teacher' END AS reason FROM lineitem"""
@@ -197,4 +198,5 @@ def b13(spark, d):
 @query("B16_step_gate", "SELECT client AS run_id, count(*) AS n, sum(completion_len)::BIGINT AS tokens FROM rollouts WHERE version <= client % 7 + 1 GROUP BY client", ("rollouts",))
 def b16(spark, d):
     progress = table(spark, d, "supplier").select(F.col("s_suppkey").alias("client"), (F.col("s_suppkey") % 7 + 1).alias("step"))
-    return view(spark, d, "rollouts").join(progress, "client").where("version <= step").groupBy(F.col("client").alias("run_id")).agg(F.count("*").alias("n"), F.sum("completion_len").alias("tokens"))
+    due = runs.due_samples(view(spark, d, "rollouts"), progress, "version", "client")
+    return due.groupBy(F.col("client").alias("run_id")).agg(F.count("*").alias("n"), F.sum("completion_len").alias("tokens"))

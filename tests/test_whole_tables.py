@@ -78,10 +78,8 @@ def test_lengths(spark, small, con):
 
 
 def test_errored_rollouts(spark, small, con):
-    # a rollout has one sample for its calls on everything before them, and one for each shortened prompt
-    alike = "role = 'assistant' AND NOT (conv_id % 5 = 0 AND turn >= 5)"
-    want = con.sql(f"SELECT count(DISTINCT CASE WHEN {alike} THEN conv_id END) + count(*) FILTER (WHERE role = 'assistant' AND conv_id % 5 = 0 AND turn >= 5) FROM conversations WHERE conv_id % 11 = 0").fetchall()
-    assert rows(spark, small, "H05_errored_rollouts_train_nothing", "samples") == want
+    want = con.sql("SELECT DISTINCT conv_id, conv_id % 11 <> 0 FROM conversations WHERE role = 'assistant'").fetchall()
+    assert rows(spark, small, "H05_errored_rollouts_train_nothing", "rollout_id", "trains") == sorted(want)
 
 
 def plain_selection(buffers, budget):
