@@ -13,6 +13,11 @@ executors give the same pieces.
 The vocabulary's scores of a BPE model are negated merge ranks; a piece of rank r weighs (r + 2) ** -alpha (Zipf), a
 byte piece as the last rank. A large alpha favours early merges and few pieces.
 
+A segment of more than LONG characters is filtered in chunks of CHUNK that advance together: a chunk's map from the
+weights at the places in front of it to those at its end is a matrix; the matrices are applied from left to right, and
+the chunks then run again from the weights that they begin with. Its random numbers hash the place instead of the step,
+so that all places draw at once and only the path is followed one piece after another.
+
 Decoding concatenates the pieces' bytes and drops the blank in front; it returns every text exactly.
 
 Edge cases: a null text is encoded as an empty one, which has no pieces; repeated rows get the same pieces; a null key is
@@ -35,6 +40,7 @@ from ._text import GOLDEN, ODD, U64, mix64, range_hashes, slices
 SIGN = "\u2581"
 SIGN_POINT = 0x110000  # a U+2581 that stands in a text: no code point, so no piece holds it
 BUCKET_BITS = 20
+LONG, CHUNK = 4096, 512  # characters: of segments whose places are filtered in chunks, and of a chunk
 
 
 class Lattice:
@@ -156,8 +162,13 @@ def encode_slice(own: Lattice, data: np.ndarray, offsets: np.ndarray, seeds: np.
     offset = np.concatenate([[0], np.cumsum(count)])
     with np.errstate(over="ignore"):
         state = mix64(mix64(seeds[text_of] + GOLDEN) + (np.arange(len(start)) - offset[text_of]).astype(U64) * U64(0xD1342543DE82EF95))
-        node, live, steps = ends[which], np.arange(len(start)), []
+        long = np.flatnonzero(size > LONG)
+        node, live, steps = ends[which], np.flatnonzero(size <= LONG), []
+        node, state_of = node[live], state
+        state = state[live]
         pieces = np.zeros(len(start), np.int64)
+        paths = [walked(own, state_of[i], int(ends[which[i]]), int(size[i]), entry, keys, back, piece) for i in long.tolist()]
+        pieces[long] = [len(x) for x in paths]
         while len(live):
             state = state + GOLDEN
             u = (mix64(state) >> U64(11)).astype(np.float64) * 2.0**-53
@@ -174,18 +185,77 @@ def encode_slice(own: Lattice, data: np.ndarray, offsets: np.ndarray, seeds: np.
             live, node, state = live[on], node[on], state[on]
     at = np.concatenate([[0], np.cumsum(pieces)])
     out, end = np.zeros(int(at[-1]), np.int32), at[1:].copy()
+    for i, x in zip(long.tolist(), paths, strict=True):
+        out[at[i] : at[i + 1]] = x[::-1]
     for live, p in steps:
         plain = p >= 0
         out[end[live[plain]] - 1] = p[plain]
         end[live[plain]] -= 1
         for x, q in zip(live[~plain].tolist(), p[~plain].tolist(), strict=True):
-            c = -1 - q
-            spelled = own.byte[list((SIGN if c == SIGN_POINT else chr(c)).encode())]
-            out[end[x] - len(spelled) : end[x]] = spelled
-            end[x] -= len(spelled)
+            ids = spelled(own, q)
+            out[end[x] - len(ids) : end[x]] = ids
+            end[x] -= len(ids)
     return out, at[offset]
 
 
+def spelled(own: Lattice, piece: int) -> list[int]:
+    """The byte pieces of a character, -1 - code point."""
+    c = -1 - piece
+    return own.byte[list((SIGN if c == SIGN_POINT else chr(c)).encode())].tolist()
+
+
+def walked(own: Lattice, state: np.uint64, last: int, size: int, entry, keys, back, piece) -> list[int]:
+    """The sampled pieces of one segment, from its end to its front."""
+    lo = last - size + 1
+    node = np.arange(lo, last + 1)
+    u = (mix64(state + (node - lo).astype(U64) * GOLDEN) >> U64(11)).astype(np.float64) * 2.0**-53
+    first, end = entry[lo], entry[last + 1] if last + 1 < len(entry) else len(keys)
+    arc = np.minimum(first + np.searchsorted(keys[first:end], node + u * (1 - 1e-9), "right"), end - 1)
+    before, ids, at, out = back[arc].tolist(), piece[arc].tolist(), last, []
+    while at >= 0:
+        p = ids[at - lo]
+        if p >= 0:
+            out.append(p)
+        else:
+            out += spelled(own, p)[::-1]
+        at = before[at - lo]
+    return out
+
+
+def forward(weight: np.ndarray) -> np.ndarray:
+    """Log sums of all ways to each place of a segment. weight: (places, longest piece) log weights of the pieces that end
+    there, by length; -inf where there is none."""
+    n, k = weight.shape
+    chunks = -(-n // CHUNK)
+    p = np.zeros((chunks * CHUNK, k))
+    p[:n] = np.exp(weight)
+    p[n:, 0] = 1.0
+    p = p.reshape(chunks, CHUNK, k)
+    # maps: row j of a chunk's matrix is the weight j places back, as a mix of the k weights in front of the chunk
+    maps, scale = np.broadcast_to(np.eye(k), (chunks, k, k)).copy(), np.zeros(chunks)
+    for t in range(CHUNK):
+        new = np.matmul(p[:, t, None, :], maps)
+        maps = np.concatenate([new, maps[:, :-1]], axis=1)
+        if t % 8 == 7:
+            top = maps.max(axis=(1, 2))
+            maps /= top[:, None, None]
+            scale += np.log(top)
+    # the weights in front of each chunk, scaled
+    begin, logs = np.zeros((chunks, k)), np.zeros(chunks)
+    begin[0, 0] = 1.0
+    for c in range(1, chunks):
+        v = maps[c - 1] @ begin[c - 1]
+        top = v.max()
+        begin[c], logs[c] = v / top, logs[c - 1] + scale[c - 1] + np.log(top)
+    out = np.empty((CHUNK, chunks))
+    for t in range(CHUNK):
+        new = (p[:, t] * begin).sum(axis=1)
+        logs = logs + np.log(new)
+        out[t] = logs
+        begin = np.concatenate([np.ones((chunks, 1)), begin[:, :-1] / new[:, None]], axis=1)
+    return out.T.ravel()[:n]
+
+
 def spelled_size(point: np.ndarray) -> np.ndarray:
     """UTF-8 bytes of a code point."""
     return np.where(point == SIGN_POINT, 3, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000))
@@ -223,7 +293,31 @@ def lattices(own: Lattice, points, hashes, start, size):
     to, length, ids, weight = to[order], length[order], ids[order], weight[order]
     back = np.where(place[to] + 1 == length, -1, to - length)
     total, value = np.zeros(nodes + 1), np.empty(len(to))  # total[-1]: the front
-    level = np.searchsorted(place[to], np.arange(int(size.max()) + 1))
+    far = np.repeat(size > LONG, size)[to]
+    for i in np.flatnonzero(size > LONG).tolist():
+        here = np.flatnonzero(far & (to >= base[i]) & (to < base[i + 1]))
+        w = np.full((int(size[i]), own.longest), -np.inf)
+        w[to[here] - base[i], length[here] - 1] = weight[here]
+        total[base[i] : base[i + 1]] = forward(w)
+        value[here] = np.exp(total[back[here]] + weight[here] - total[to[here]])
+    near = np.flatnonzero(~far)
+    if len(near):
+        value[near] = filtered(total, place[to[near]], to[near], back[near], weight[near])
+    order = np.argsort(to, kind="stable")
+    to, back, ids, value = to[order], back[order], ids[order], value[order]
+    run = np.cumsum(value)
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    run -= np.repeat(run[first] - value[first], np.diff(np.append(first, len(to))))
+    keys = to + np.minimum(run, 1 - 1e-9)
+    last = np.append(first[1:], len(to)) - 1
+    keys[last] = to[last] + 1.0
+    return base[1:] - 1, first, keys, back, ids
+
+
+def filtered(total, place, to, back, weight) -> np.ndarray:
+    """Probabilities of arcs, place by place for all segments together; fills in ``total``."""
+    value = np.empty(len(to))
+    level = np.searchsorted(place, np.arange(int(place[-1]) + 2))
     for lo, hi in zip(level[:-1], level[1:], strict=True):
         v = total[back[lo:hi]] + weight[lo:hi]
         new = np.flatnonzero(np.concatenate([[True], to[lo + 1 : hi] != to[lo : hi - 1]]))
@@ -234,15 +328,7 @@ def lattices(own: Lattice, points, hashes, start, size):
         s = np.add.reduceat(e, new)
         total[to[lo:hi][new]] = top + np.log(s)
         value[lo:hi] = e / np.repeat(s, many)
-    order = np.argsort(to, kind="stable")
-    to, back, ids, value = to[order], back[order], ids[order], value[order]
-    run = np.cumsum(value)
-    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-    run -= np.repeat(run[first] - value[first], np.diff(np.append(first, len(to))))
-    keys = to + np.minimum(run, 1 - 1e-9)
-    last = np.append(first[1:], len(to)) - 1
-    keys[last] = to[last] + 1.0
-    return base[1:] - 1, first, keys, back, ids
+    return value
 
 
 def decode_ids(lattice: Lattice, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

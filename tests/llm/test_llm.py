@@ -378,6 +378,40 @@ def test_sentencepiece_probabilities():
         assert abs(seen[way] - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 1
 
 
+def test_sentencepiece_long_segments(monkeypatch):
+    """Chunks give the same sums as place by place, and segments without a blank stay lossless and quick."""
+    import time
+
+    own = sp_sampling.lattice(PIECES, 1.0)
+    r = np.random.default_rng(6)
+    w = np.where(r.random((1500, 6)) < 0.5, -3 * r.random((1500, 6)), -np.inf)
+    w[:, 0] = -9.0
+    want = np.zeros(1501)
+    for t in range(1500):
+        want[t + 1] = np.logaddexp.reduce([want[t + 1 - k] + w[t, k - 1] for k in range(1, 7) if t + 1 - k >= 0])
+    assert np.allclose(sp_sampling.forward(w), want[1:])
+    rnd = random.Random(3)
+    texts = ["x" * 5000, "".join(rnd.choice("etaoinshé漢▁") for _ in range(9000)), "a b " * 10 + "".join(rnd.choice("etaoin") for _ in range(6000)) + " c"]
+    ((_, _, data, offsets),) = slices(pa.array(texts))
+    seeds = np.arange(3, dtype=np.uint64)
+    ids, at = sp_sampling.encode_slice(own, data, offsets, seeds)
+    raw, place = sp_sampling.decode_ids(own, ids.astype(np.int64), at)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(place[:-1], place[1:], strict=True)] == texts
+    assert (sp_sampling.encode_slice(own, data, offsets, seeds)[0] == ids).all()
+    ((_, _, data, offsets),) = slices(pa.array(["".join(rnd.choice("etaoin") for _ in range(500_000))]))
+    begin = time.time()
+    sp_sampling.encode_slice(own, data, offsets, seeds[:1])
+    assert time.time() - begin < 20
+    # as many pieces on average as when the same text is filtered place by place
+    short = "".join(rnd.choice("etaoin") for _ in range(4500))
+    ((_, _, data, offsets),) = slices(pa.array([short] * 20))
+    sizes = []
+    for most in (4096, 10_000):
+        monkeypatch.setattr(sp_sampling, "LONG", most)
+        sizes.append(np.diff(sp_sampling.encode_slice(own, data, offsets, np.arange(20, dtype=np.uint64))[1]).mean())
+    assert abs(sizes[0] / sizes[1] - 1) < 0.01
+
+
 # mixing
 
 
