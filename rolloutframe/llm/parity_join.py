@@ -20,8 +20,10 @@ find candidates; and sketches of bits, of which an element flips one bit, to com
 4. A cluster's sets meet with their elements; a block counts common elements of what its sketches allow (exactly,
    unless already linked) and passes on a spanning forest.
 
-Buckets and clusters of more than BLOCK_ROWS classes are dealt to a grid of salted cells, each pair of cells once, so no
-task gathers more than two cells. Classes with many copies are joined back by broadcast (at most HOT_CLASSES of them).
+A bucket or cluster of more than BLOCK_ROWS classes is dealt to cells of about that many, so no task gathers more than
+two cells. Each cell has the least class of the group besides, which joins near copies of one text in one pass; classes
+that are not in the largest component by then meet the cells of all others. Classes with many copies are joined back
+by broadcast (at most HOT_CLASSES of them).
 
 Edge cases: a null or empty text has no shingles, a component of its own and no links; a text of fewer words than a
 shingle is one shingle; repeated rows give repeated rows of one component; a text that only rows with null ids have links
@@ -382,15 +384,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
 
     wanted = unique.join(shared.select("set").distinct(), "set").select(F.col("least").alias("id"), "set")
     some, wanted = with_texts(wanted)
-    sketched = some.select("set", "text").mapInArrow(sketch_wanted, "set long, n long, sketch binary")
-    cells = blocks(shared, "bucket")
-    rows = cells.join(sketched, "set").select("block", "set", "side", "n", "sketch").repartition(many, "block").sortWithinPartitions("block")
-    candidates = components(rows.mapInArrow(allow, "a long, b long"))
+    sketched = saved(some.select("set", "text").mapInArrow(sketch_wanted, "set long, n long, sketch binary"))
+    candidates = components(met(shared, "bucket", lambda cells: cells.join(sketched, "set").select("block", "set", "side", "n", "sketch"), allow))
     members = saved(candidates.withColumnRenamed("node", "set").withColumnRenamed("root", "cluster").join(unique.select("set", "least"), "set"))
-    entries = blocks(members.select("cluster", "set"), "cluster").groupBy("set").agg(F.collect_list(F.struct("block", "side")).alias("blocks"))
-    some, own = with_texts(members.join(entries, "set").select(F.col("least").alias("id"), "set", "blocks"))
-    found = some.select("set", "text", "blocks").mapInArrow(elements, "block long, set long, side int, elements binary")
-    links = found.repartition(many, "block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long")
+    spent = [shared, wanted, sketched, members, candidates]
+
+    def with_elements(cells: DataFrame) -> DataFrame:
+        entries = cells.groupBy("set").agg(F.collect_list(F.struct("block", "side")).alias("blocks"))
+        some, own = with_texts(members.join(entries, "set").select(F.col("least").alias("id"), "set", "blocks"))
+        spent.append(own)
+        return some.select("set", "text", "blocks").mapInArrow(elements, "block long, set long, side int, elements binary")
+
+    links = met(members.select("cluster", "set"), "cluster", with_elements, verify)
     linked = components(links)
     # each class takes the smallest id of its component
     label = linked.withColumnRenamed("node", "set").join(unique.select("set", "least"), "set")
@@ -398,7 +403,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     label = label.select("set", "root").join(least, "root").select("set", "component_id")
     labelled = unique.join(label, "set", "left").select(F.col("set").alias("s"), "least", F.coalesce("component_id", "least").alias("component_id"), "copies")
     labelled = saved(labelled.where("copies > 1 or component_id <> least"))  # any other class is one row of its own
-    for x in (shared, wanted, members, own, candidates, linked):
+    for x in (*spent, linked):
         delete(x)
     # a class with more than one in HOT_CLASSES of all rows would land in one task; there are at most so many
     hot = max(1000, classes.count() // HOT_CLASSES)
@@ -410,12 +415,45 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def blocks(rows: DataFrame, group: str) -> DataFrame:
-    """(block, set, side) of rows (group, set): a group of up to BLOCK_ROWS sets is one block of side 2; a larger one is
-    dealt to salted cells, and each pair of cells is a block with sides 0 and 1, each cell one of side 2."""
-    salts = saved(rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")).where("salts > 1"))
-    salted = rows.join(F.broadcast(salts) if salts.count() <= BROADCAST_ROWS else salts, group, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    pairs = salted.withColumn("other", other)
-    side = F.when(F.col("salt") == F.col("other"), 2).otherwise((F.col("salt") < F.col("other")).cast("int"))
-    return pairs.select(F.xxhash64(group, F.least("salt", "other"), F.greatest("salt", "other")).alias("block"), "set", side.alias("side"))
+def met(rows: DataFrame, group: str, attach, compare) -> DataFrame:
+    """(a, b): edges that join what ``compare`` finds linked within the groups of rows (group, set).
+
+    ``attach`` gives cells (block, set, side) what ``compare`` needs of each set; a block is compared in one task. A group
+    of up to BLOCK_ROWS sets is one block. The sets of a larger one are dealt to cells of about that many, each with the
+    group's least set besides, so near copies of one text are all joined in one pass. What is then not in the group's
+    largest component meets everything else of the group: its cells pair with each other and with those of the rest.
+    """
+    many = partitions(rows.sparkSession)
+
+    def compared(cells: DataFrame) -> DataFrame:
+        return saved(attach(cells).repartition(many, "block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long"))
+
+    def small(df: DataFrame) -> DataFrame:
+        df = saved(df)
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    salt = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
+    block = lambda kind, *x: F.xxhash64(group, F.lit(kind), *x).alias("block")
+    upto = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+    two = F.lit(2).alias("side")
+    cells_of = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    large = small(rows.groupBy(group).agg(F.count("*").alias("n"), F.min("set").alias("pivot")).where(F.col("n") > BLOCK_ROWS).select(group, "pivot", cells_of(F.col("n")).alias("salts")))
+    if not large.count():
+        return compared(rows.select(block(0), "set", two))
+    r = rows.join(large, group, "left")
+    own = r.where("pivot is null or set <> pivot").select(F.when(F.col("pivot").isNull(), block(0)).otherwise(block(1, salt(F.col("salts")))).alias("block"), "set", two)
+    pivots = large.select(group, F.col("pivot").alias("set"), upto(F.col("salts")).alias("s")).select(block(1, F.col("s")), "set", two)
+    first = compared(own.unionByName(pivots))
+    root = components(first)
+    held = rows.join(large.select(group), group, "left_semi").join(root, F.col("set") == F.col("node"), "left")
+    held = saved(held.select(group, "set", F.coalesce("root", "set").alias("c")))
+    top = held.groupBy(group, "c").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("c", "n").alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n"))
+    top = small(top.where("n > in_main").select(group, "main", cells_of(F.col("n") - F.col("in_main")).alias("o"), cells_of(F.col("in_main")).alias("m")))
+    rest = held.join(top, group)
+    other, main = rest.where(F.col("c") != F.col("main")).withColumn("s", salt(F.col("o"))), rest.where(F.col("c") == F.col("main")).withColumn("s", salt(F.col("m")))
+    among = other.withColumn("t", upto(F.col("o"))).select(block(2, F.least("s", "t"), F.greatest("s", "t")), "set", F.when(F.col("s") == F.col("t"), 2).otherwise((F.col("s") < F.col("t")).cast("int")).alias("side"))
+    across = other.withColumn("t", upto(F.col("m"))).select(block(3, "s", "t"), "set", F.lit(0).alias("side"))
+    back = main.withColumn("t", upto(F.col("o"))).select(block(3, "t", "s"), "set", F.lit(1).alias("side"))
+    second = compared(among.unionByName(across).unionByName(back))
+    delete(root)
+    return first.unionByName(second)

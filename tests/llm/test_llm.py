@@ -256,6 +256,23 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_large_group_of_near_copies_beside_others(spark, monkeypatch):
+    """One group above the size of a block with members that its least one does not link, and texts that share a passage."""
+    monkeypatch.setattr(parity_join, "BLOCK_ROWS", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(r.randint(0, 4)):
+            own[r.randint(0, 59)] = f"e{r.randint(0, 99)}"
+        texts.append(" ".join(own))
+    texts += [" ".join([f"u{i}-{j}" for j in range(25)] + base[:30]) for i in range(20)]
+    assert len(set(texts)) > 60
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 @pytest.mark.parametrize("num", [80, 85])
 def test_pairs_within_the_bound_share_a_key(num):
     bands = parity_join.Bands(num, 100)
