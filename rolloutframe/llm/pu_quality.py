@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 def with_scores(docs: DataFrame, text_col: str, score_col: str, scores) -> DataFrame:
     """``docs`` with score_col, in place of a column of that name. ``scores(bytes, offsets)``: of the texts of a slice."""
-    rows = docs.select(F.col(text_col).alias("_text_"), *[c for c in docs.columns if c != score_col])
+    rows = docs.select(F.col(f"`{text_col}`").alias("_text_"), *[F.col(f"`{c}`") for c in docs.columns if c != score_col])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:]), f"`{score_col}` double"])
 
     def run(batches):

@@ -375,7 +375,7 @@ def _sampled(docs, path, alpha, seed, key_col, text_col, schema, columns, names)
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col and c not in names]
     spark_schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), schema])
-    rows = docs.select(F.xxhash64(F.col(key_col), F.lit(seed)).alias("_seed"), F.col(text_col).alias("_text"), *keep)
+    rows = docs.select(F.xxhash64(F.col(key_col), F.lit(seed)).alias("_seed"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches):
         own = lattice(path, alpha)
@@ -405,4 +405,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", text_col: str
             texts = [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, text_col])
 
-    return rows.select(*keep, ids_col).mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in keep], ids_col).mapInArrow(run, schema)
