@@ -21,8 +21,8 @@ find candidates; and sketches of bits, of which an element flips one bit, to com
    unless already linked) and passes on a spanning forest.
 
 A bucket or cluster of more than BLOCK_ROWS classes is dealt to cells of about that many, so no task gathers more than
-two cells. Each cell has the least class of the group besides, which joins near copies of one text in one pass; classes
-that are not in the largest component by then meet the cells of all others. Classes with many copies are joined back
+two cells. Each cell has one class of the group besides, another for each group, which joins near copies of one text in
+one pass; classes that are not in the largest component by then meet the cells of all others. Classes with many copies are joined back
 by broadcast (at most HOT_CLASSES of them).
 
 Edge cases: a null or empty text has no shingles, a component of its own and no links; a text of fewer words than a
@@ -419,8 +419,8 @@ def met(rows: DataFrame, group: str, attach, compare) -> DataFrame:
     """(a, b): edges that join what ``compare`` finds linked within the groups of rows (group, set).
 
     ``attach`` gives cells (block, set, side) what ``compare`` needs of each set; a block is compared in one task. A group
-    of up to BLOCK_ROWS sets is one block. The sets of a larger one are dealt to cells of about that many, each with the
-    group's least set besides, so near copies of one text are all joined in one pass. What is then not in the group's
+    of up to BLOCK_ROWS sets is one block. The sets of a larger one are dealt to cells of about that many, each with one
+    set of the group besides, by a hash of both, so near copies of one text are all joined in one pass. What is then not in the group's
     largest component meets everything else of the group: its cells pair with each other and with those of the rest.
     """
     many = partitions(rows.sparkSession)
@@ -437,7 +437,7 @@ def met(rows: DataFrame, group: str, attach, compare) -> DataFrame:
     upto = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
     two = F.lit(2).alias("side")
     cells_of = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    large = small(rows.groupBy(group).agg(F.count("*").alias("n"), F.min("set").alias("pivot")).where(F.col("n") > BLOCK_ROWS).select(group, "pivot", cells_of(F.col("n")).alias("salts")))
+    large = small(rows.groupBy(group).agg(F.count("*").alias("n"), F.min_by("set", F.xxhash64("set", group)).alias("pivot")).where(F.col("n") > BLOCK_ROWS).select(group, "pivot", cells_of(F.col("n")).alias("salts")))
     if not large.count():
         return compared(rows.select(block(0), "set", two))
     r = rows.join(large, group, "left")
