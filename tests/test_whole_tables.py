@@ -124,6 +124,6 @@ def test_epoch_shuffle(spark, small, con):
     order = [i for _, i in got]
     assert sorted(order) == ids
     assert order != ids
-    whole = datasets.shuffled(spark.read.parquet(f"{small}/documents.parquet").select("doc_id").repartition(7), "doc_id", F.lit(3))
-    assert order == [r.doc_id for r in whole.collect()]
+    whole = datasets.shuffled(spark.read.parquet(f"{small}/documents.parquet").select("doc_id").repartition(7), "doc_id", 3)
+    assert order == [r.doc_id for r in whole.orderBy("place").collect()]
     assert got == rows(spark, small, "F14_epoch_shuffle", "place", "doc_id")
