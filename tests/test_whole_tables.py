@@ -4,7 +4,6 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rolloutframe.operators import datasets
