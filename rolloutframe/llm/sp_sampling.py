@@ -289,22 +289,21 @@ def lattices(own: Lattice, points, hashes, start, size):
             ids.append(-1 - points[at[other]])
             weight.append(own.byte_weight * spelled_size(points[at[other]]))
     to, length, ids, weight = map(np.concatenate, (to, length, ids, weight))
-    order = np.lexsort((length, to, place[to]))  # by place, then node
+    order = np.argsort(to, kind="stable")  # lengths ascend already
     to, length, ids, weight = to[order], length[order], ids[order], weight[order]
     back = np.where(place[to] + 1 == length, -1, to - length)
     total, value = np.zeros(nodes + 1), np.empty(len(to))  # total[-1]: the front
     far = np.repeat(size > LONG, size)[to]
     for i in np.flatnonzero(size > LONG).tolist():
-        here = np.flatnonzero(far & (to >= base[i]) & (to < base[i + 1]))
+        here = np.arange(*np.searchsorted(to, base[i : i + 2]))
         w = np.full((int(size[i]), own.longest), -np.inf)
         w[to[here] - base[i], length[here] - 1] = weight[here]
         total[base[i] : base[i + 1]] = forward(w)
         value[here] = np.exp(total[back[here]] + weight[here] - total[to[here]])
     near = np.flatnonzero(~far)
-    if len(near):
+    if len(near):  # by place, then node; places of short segments fit 16 bits
+        near = near[np.argsort(place[to[near]].astype(np.uint16), kind="stable")]
         value[near] = filtered(total, place[to[near]], to[near], back[near], weight[near])
-    order = np.argsort(to, kind="stable")
-    to, back, ids, value = to[order], back[order], ids[order], value[order]
     run = np.cumsum(value)
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     run -= np.repeat(run[first] - value[first], np.diff(np.append(first, len(to))))
