@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ads_search, chat, license_scan, maxscore, pareto_mix, parity_join, pu_quality, sp_sampling, token_counts, toxicity
+from . import ads_search, chat, divergence_audit, language_id, license_scan, maxscore, pareto_mix, parity_join, pu_quality, sp_sampling, token_counts, toxicity, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -104,10 +104,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language_id.train(docs.select("doc_id", "text", "lang"), fold != 1)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    own = (op1_token_counts, op2_chat_format, op3_maxscore, op4_parity_join, op5_toxicity, op6_sentencepiece, op7_pu_quality, op8_adaptive_search, op9_pareto_mix, op10_license_scan)
+    own = (op1_token_counts, op2_chat_format, op3_maxscore, op4_parity_join, op5_toxicity, op6_sentencepiece, op7_pu_quality, op8_adaptive_search, op9_pareto_mix, op10_license_scan, op11_divergence_audit, op12_whitening, op13_language_id)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2, "op3_maxscore": OP3, "op4_parity_join": OP4, "op9_pareto_mix": pareto_mix.ORACLE}
+    return {"op2_chat_format": OP2, "op3_maxscore": OP3, "op4_parity_join": OP4, "op9_pareto_mix": pareto_mix.ORACLE, "op11_divergence_audit": divergence_audit.ORACLE}
