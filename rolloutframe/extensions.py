@@ -11,6 +11,7 @@ from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .operators import tokens
 from .sources import io
@@ -206,27 +207,33 @@ class TableSender(Sender):
 
 
 class TableReceiver(Receiver):
-    """The next expected batch of each run, each once."""
+    """The next expected batch of each run, each once. With a schema the folder may still be without batches."""
 
-    def __init__(self, spark: SparkSession, path: str, start: dict | None = None):
-        self.spark, self.path, self.steps = spark, path, dict(start or {})
+    def __init__(self, spark: SparkSession, path: str, start: dict | None = None, schema: StructType | None = None):
+        self.spark, self.path, self.steps, self.schema = spark, path, dict(start or {}), schema
 
     def receive(self) -> DataFrame:
-        rows = self.spark.read.parquet(self.path)
-        there = {(r.run_id, r.step) for r in rows.select("run_id", "step").distinct().collect()}  # a row for each batch folder
-        due = sorted((r, self.steps.get(r, 0)) for r in {r for r, _ in there} if (r, self.steps.get(r, 0)) in there)
-        on = F.lit(False)
-        for run, step in due:
-            on |= (F.col("run_id") == run) & (F.col("step") == step)
-            self.steps[run] = step + 1
-        return rows.where(on)
-
-
-def make_transport(kind: str, spark: SparkSession, path: str, micro: bool = False) -> tuple[Sender, Receiver]:
-    """Sender and receiver of a kind; "filesystem" is the one there is."""
+        rows = io.read_batches(self.spark, self.path, schema=self.schema)
+        kinds = {c: rows.schema[c].dataType.simpleString() for c in ("run_id", "step")}
+        expected = self.spark.createDataFrame(list(self.steps.items()), f"run_id {kinds['run_id']}, _next {kinds['step']}")
+        there = rows.select("run_id", "step").distinct().join(F.broadcast(expected), "run_id", "left")
+        # the batches that are due: one at most for each run that has sent something
+        due = there.where(F.col("step") == F.coalesce("_next", F.lit(0))).select("run_id", "step").collect()
+        self.steps |= {r.run_id: r.step + 1 for r in due}
+        due = self.spark.createDataFrame(due, f"run_id {kinds['run_id']}, step {kinds['step']}")
+        return rows.join(F.broadcast(due), ["run_id", "step"], "left_semi")
+
+
+def make_transport(kind: str, spark: SparkSession, path: str, micro: bool = False, schema: StructType | None = None) -> tuple[Sender, Receiver]:
+    """Sender and receiver of a kind: "filesystem", where ``path`` is a folder, or "socket", where it is the address of a
+    mailbox (host:port)."""
+    if kind == "socket":
+        from .sources.mailbox import SocketReceiver, SocketSender
+
+        return SocketSender(path, micro), SocketReceiver(spark, path, schema, micro)
     if kind != "filesystem":
         raise ValueError(f"unknown transport {kind}")
-    return TableSender(path, micro), TableReceiver(spark, path)
+    return TableSender(path, micro), TableReceiver(spark, path, schema=schema)
 
 
 # run hooks and configuration

@@ -9,8 +9,11 @@ from ..functions.scalars import uniform
 from .ordering import numbered
 
 
-def with_provenance(rows: DataFrame, subset: str | None, split: str, order: list[str]) -> DataFrame:
-    """Adds __subset, __split and __index, the row number from 0 in a total order."""
+def with_provenance(rows: DataFrame, subset: str | None, split: str, order: list[str], by: str | None = None) -> DataFrame:
+    """Adds __subset, __split and __index, the row number from 0 in a total order; with ``by``, a column, its values are
+    the subsets, each with numbers of its own."""
+    if by is not None:
+        return numbered(rows.withColumn("__subset", F.col(by)), order, "__index", ("__subset",)).withColumn("__split", F.lit(split))
     return numbered(rows, order, "__index").withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split))
 
 
@@ -27,6 +30,11 @@ def resolve_subsets(subsets: list[str] | None, splits: list[str] | None) -> list
     return list(zip(subsets, splits, strict=True))
 
 
+def subset_pairs(subsets: DataFrame) -> DataFrame:
+    """``subsets`` (column __subset) with the split that resolve_subsets() gives to subsets alone."""
+    return subsets.withColumn("__split", F.lit(resolve_subsets(["any"], None)[0][1]))
+
+
 def number(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     """Adds _i, the row number of a source from 0; a source of any size is dealt to many tasks."""
     return numbered(rows, order, "_i", (source,))

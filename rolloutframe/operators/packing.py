@@ -6,14 +6,20 @@ afterwards. Everything else is expressions and windows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .ordering import numbered, running_sum
+
+PACK_BLOCK = 2048  # samples of a block of concatenation packing
+
 
 def prepare(sample: DataFrame, seq_len: int) -> DataFrame:
     """Prompt and completion as one sequence, cut to seq_len: ids, mask, per-token advantage, logprobs, temperatures, positions."""
@@ -128,21 +134,86 @@ def distribute(bins: DataFrame, workers: int, order: str = "bin", keys: tuple[st
     return every.withColumn("_p", place).withColumn("worker", F.pmod("_p", F.lit(workers))).withColumn("slot", F.floor(F.col("_p") / workers).cast("int")).drop("_n", "_all", "_p")
 
 
-def cat_pack(samples: DataFrame, seq_len: int, key: str, order: str = "idx", length: str = "n_tokens") -> DataFrame:
-    """key, pack, n_samples, n_tokens of full packs: samples append until seq_len is reached; the excess and an unfinished
-    tail are dropped."""
-    kind = samples.schema[key].dataType.simpleString()
+def carried(sizes: np.ndarray, seq_len: int) -> tuple[list[int], list[int], list[int], int | None]:
+    """What a block of samples does to a pack that comes with c tokens, for every c from 0 to seq_len - 1: (c from which a
+    piece holds, tokens that go on from the block, packs that end in it), and the block's tokens if a pack with few
+    enough can pass without ending, for c below the first piece; it then goes on with c more.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, total, count = [], 0, 0
-        for n in pdf.sort_values(order)[length]:
-            total, count = total + n, count + 1
-            if total >= seq_len:
-                out.append((len(out), count, total))
-                total, count = 0, 0
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "pack": [o[0] for o in out], "n_samples": [o[1] for o in out], "n_tokens": [o[2] for o in out]})
+    Only the place at which the first pack ends depends on c; from there on the ends are the same. Neighbouring pieces
+    with the same results are one, and soon all are.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(sizes)
+    first = np.searchsorted(total, total[:-1] + seq_len) - 1  # at which a pack that begins at each sample ends; n: not here
+    rest, packs = (total[n] - total).tolist(), [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        j = int(first[i]) + 1
+        if j <= n:
+            rest[i], packs[i] = rest[j], packs[j] + 1
+    lows, outs, ends = [], [], []
+    last = min(int(np.searchsorted(total, seq_len)), n)  # behind the sample at which a pack without tokens ends
+    for i in range(last, 0, -1):
+        low, high = max(0, seq_len - int(total[i])), seq_len - int(total[i - 1])
+        if low < high and not (lows and outs[-1] == rest[i] and ends[-1] == packs[i] + 1):
+            lows.append(low)
+            outs.append(rest[i])
+            ends.append(packs[i] + 1)
+    return lows, outs, ends, int(total[n]) if total[n] < seq_len else None
+
+
+def cat_pack(samples: DataFrame, seq_len: int, key: str, order: str = "idx", length: str = "n_tokens", block: int = PACK_BLOCK) -> DataFrame:
+    """key, pack, n_samples, n_tokens of full packs: samples append until seq_len is reached; the excess and an unfinished
+    tail are dropped.
 
-    return samples.select(key, order, length).groupBy(key).applyInPandas(run, f"{key} {kind}, pack int, n_samples int, n_tokens long")
+    A key's samples are cut to blocks. Every block tells, by itself, what it does to each pack that may come into it
+    (carried()); one row a block is then followed in order, and with what really comes the blocks cut their packs, again
+    each by itself.
+    """
+    kind = samples.schema[key].dataType.simpleString()
+    rows = numbered(samples.select(key, order, F.col(length).cast("long").alias("_n")), [order], "_place", (key,))
+    place = F.struct("_place", "_n")
+    blocks = rows.groupBy(key, F.floor(F.col("_place") / block).alias("_block")).agg(F.sort_array(F.collect_list(place))["_n"].alias("_sizes"))
+    blocks = written(blocks)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [carried(x.values.to_numpy(), seq_len) for x in b.column(2)]
+            columns = [pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array([g[3] for g in got], pa.int64())], names=[key, "_block", "lows", "outs", "ends", "through"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, pack = None, 0, 0
+        for b in batches:
+            came, number = [], []
+            for k, lows, outs, ends, through in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if now is None or k != now[0]:
+                    now, tokens, pack = (k,), 0, 0
+                came.append(tokens)
+                number.append(pack)
+                i = bisect_right(lows, tokens) - 1
+                tokens, pack = (outs[i], pack + ends[i]) if i >= 0 else (tokens + through, pack)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(came, pa.int64()), pa.array(number, pa.int64())], names=[key, "_block", "_came", "_pack"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, packs, counts, sums = [], [], [], []
+            for row, (sizes, came, pack) in enumerate(zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                total = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+                i = 0
+                while i < len(total) - 1:
+                    j = min(int(np.searchsorted(total, total[i] + seq_len - came)), len(total) - 1)
+                    at.append(row)
+                    packs.append(pack)
+                    counts.append(j - i)
+                    sums.append(int(total[j] - total[i]))
+                    i, pack, came = j, pack + 1, 0
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(packs, pa.int32()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=[key, "pack", "n", "t"])
+
+    told = blocks.mapInArrow(maps, f"`{key}` {kind}, _block long, lows array<long>, outs array<long>, ends array<long>, through long")
+    told = told.repartition(key).sortWithinPartitions(key, "_block").mapInArrow(follow, f"`{key}` {kind}, _block long, _came long, _pack long").withColumnRenamed(key, "_key")
+    both = blocks.join(told.withColumnRenamed("_block", "_b"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b"))).select(key, "_sizes", "_came", "_pack")
+    parts = both.mapInArrow(cut, f"`{key}` {kind}, pack int, n long, t long")
+    return parts.groupBy(key, "pack").agg(F.sum("n").alias("n_samples"), F.sum("t").alias("n_tokens")).where(F.col("n_tokens") >= seq_len)
 
 
 def bucket_of(length: Column, buckets: list[int]) -> Column:
@@ -168,32 +239,6 @@ def shard(array: Column, rank: Column, ranks: int) -> Column:
     return F.slice(array, rank * size + 1, size)
 
 
-def round_robin(queues: dict[str, list[tuple]], budget: int, start: int = 0, progress: dict[str, int] | None = None) -> tuple[list[tuple[str, int]], int]:
-    """(chosen (run, sample), next position): one run a turn, drained while its head fits the token budget; the first
-    head that does not fit ends the selection. Oversize samples before the first choice are dropped.
-
-    Queues hold (sample, tokens) or (sample, tokens, step); with ``progress``, the step of each run, samples of later
-    steps wait, and so does what stands behind them.
-    """
-    runs, chosen, left, at, idle = sorted(queues), [], budget, start, 0
-    waits = lambda run: progress is not None and queues[run][0][2] > progress.get(run, 0)
-    while left > 0 and idle < len(runs):
-        run = runs[at % len(runs)]
-        q = queues[run]
-        idle = 0 if q and not waits(run) else idle + 1
-        at += 1
-        while q and not waits(run):
-            if q[0][1] <= left:
-                sample, n = q.pop(0)[:2]
-                chosen.append((run, sample))
-                left -= n
-            elif left == budget:
-                q.pop(0)
-            else:
-                return chosen, at % len(runs)
-    return chosen, at % max(1, len(runs))
-
-
 def single_pack(samples: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
     """keys, sample_id, bin, worker, slot of one run's steps; dummy bins have no sample and is_dummy."""
     packed = pack(samples, seq_len, keys, length)
@@ -204,30 +249,48 @@ def single_pack(samples: DataFrame, seq_len: int, workers: int, keys: tuple[str,
     return real.select(*names).unionByName(dummy.select(*names))
 
 
-def candidates(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], run: str = "run", length: str = "n_tokens") -> DataFrame:
-    """The samples that a selection under ``budget`` can reach: those of steps that are due, with at most that many tokens
-    in front of them in their run. What stands behind more never comes to a queue's head."""
-    due = queue.join(progress.select(run, F.col("step").alias("_due")), run).where(F.col("step") <= F.col("_due"))
-    w = Window.partitionBy(run).orderBy("step", *order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col(length) <= budget, F.col(length))).over(w), F.lit(0))
-    return due.withColumn("_before", before).where(F.col("_before") <= budget).drop("_before")
+def _reached(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int, run: str, length: str) -> DataFrame:
+    """The due samples of the runs that a selection comes to, with _turn (of their run, from ``start``), _fits, _ahead (the
+    fitting tokens in front of a sample) and _end (the _ahead of the first oversize sample behind a fitting one).
 
+    Runs are visited in turn and drained, so a selection is a prefix of the due samples by turn, step and order, without
+    the oversize ones in front of all that fit. Sums of whole runs leave out the runs behind the budget.
+    """
+    runs = numbered(progress.select(run, F.col("step").alias("_due")), [run], "_place")
+    count = runs.agg(F.count("*").alias("_runs"))
+    runs = runs.join(F.broadcast(count)).withColumn("_turn", F.pmod(F.col("_place") - start, F.col("_runs"))).drop("_place", "_runs")
+    fits = F.col(length) <= budget
+    due = queue.join(runs, run).where(F.col("step") <= F.col("_due")).withColumn("_fits", fits)
+    tokens = F.when(F.col("_fits"), F.col(length)).otherwise(0).cast("long")
+    whole = running_sum(due.groupBy("_turn").agg(F.sum(tokens).alias("_tokens")), ["_turn"], F.col("_tokens"), "_first", inclusive=False)
+    near = whole.where(F.col("_first") <= budget).select("_turn")
+    rows = due.join(near, "_turn").select(run, "step", *order, length, "_turn", "_fits")
+    rows = running_sum(rows, ["_turn", "step", *order], tokens, "_ahead", inclusive=False)
+    end = rows.where(~F.col("_fits") & (F.col("_ahead") > 0)).agg(F.min("_ahead").alias("_end"))
+    return written(rows.join(F.broadcast(end)))
+
+
+def fair_selection(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int = 0, run: str = "run", length: str = "n_tokens") -> tuple[DataFrame, int]:
+    """(run, step, order, length, turn of the samples that round robin takes under a token budget; next start).
+
+    Runs stand in a ring by name, and ``start`` is the place of the first one. A run is drained of its due samples while
+    its head fits; the first head that does not fit ends the selection. Oversize samples in front of all that fit are
+    passed over. The next selection starts behind the last run that was visited.
+    """
+    rows = _reached(queue, progress, budget, order, start, run, length)
+    open_ = F.col("_ahead") < F.coalesce(F.col("_end"), F.lit(budget + 1))
+    taken = rows.where(F.col("_fits") & open_ & (F.col("_ahead") + F.col(length) <= budget))
+    chosen = numbered(taken.select(run, "step", *order, length, "_turn"), ["_turn", "step", *order], "turn").withColumn("turn", F.col("turn").cast("int"))
+    stop = F.least(F.coalesce(F.col("_end"), F.lit(budget)), F.lit(budget))
+    ends = F.min(F.when(~F.col("_fits") & (F.col("_ahead") > 0) & (F.col("_ahead") == F.col("_end")) & (F.col("_end") < budget), F.col("_turn")))
+    last = rows.agg(F.coalesce(ends, F.max(F.when(F.col("_ahead") < stop, F.col("_turn")))).alias("at")).first()["at"]
+    count = progress.count()
+    return chosen.drop("_turn"), start % max(count, 1) if last is None else (start + last + 1) % count
 
-def select_fair(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int = 0, run: str = "run", length: str = "n_tokens") -> DataFrame:
-    """run, order, turn of the samples that round robin takes under a token budget. The budget bounds each run's
-    candidates; they are folded in one task, ids and lengths only."""
-    types = {f.name: f.dataType.simpleString() for f in queue.schema}
-    rows = candidates(queue, progress, budget, order, run, length).select(run, "step", *order, length, F.col("_due"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([run, "step", *order]).reset_index(drop=True)
-        queues = {k: list(zip(g.index.tolist(), g[length].tolist(), g["step"].tolist(), strict=True)) for k, g in pdf.groupby(run)}
-        chosen, _ = round_robin(queues, budget, start, dict(zip(pdf[run], pdf["_due"], strict=True)))
-        got = pdf.loc[[i for _, i in chosen], [run, "step", *order, length]]
-        return got.assign(turn=range(len(got)))
 
-    names = [run, "step", *order, length]
-    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(fold, ", ".join([*(f"`{n}` {types[n]}" for n in names), "turn int"]))
+def select_fair(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int = 0, run: str = "run", length: str = "n_tokens") -> DataFrame:
+    """The samples of fair_selection()."""
+    return fair_selection(queue, progress, budget, order, start, run, length)[0]
 
 
 def advance_progress(queue: DataFrame, chosen: DataFrame, progress: DataFrame, order: list[str], run: str = "run", length: str = "n_tokens") -> DataFrame:
@@ -241,18 +304,17 @@ def advance_progress(queue: DataFrame, chosen: DataFrame, progress: DataFrame, o
     return out.select(run, (F.col("step") + done.cast("int")).alias("step"), add("total_samples", "_samples"), add("total_tokens", "_tokens"), done.alias("ready"))
 
 
-def multi_pack(queue: DataFrame, progress: DataFrame, seq_len: int, workers: int, order: list[str], start: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(grid, progress): a selection of seq_len * workers tokens over the runs, each run packed and laid out by itself.
+def multi_pack(queue: DataFrame, progress: DataFrame, seq_len: int, workers: int, order: list[str], start: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """(grid, progress, next start): a selection of seq_len * workers tokens over the runs from ``start`` on, each run
+    packed and laid out by itself.
 
     ``queue``: run, step, sample_id, lora_idx, n_tokens and the columns of ``order``.
     """
-    chosen = select_fair(queue, progress, seq_len * workers, order)
+    chosen, following = fair_selection(queue, progress, seq_len * workers, order, start)
     samples = chosen.join(queue.select("run", "step", *order, "sample_id", "lora_idx"), ["run", "step", *order])
-    return single_pack(samples, seq_len, workers, keys=("run",)), advance_progress(queue, chosen, progress, order)
+    return single_pack(samples, seq_len, workers, keys=("run",)), advance_progress(queue, chosen, progress, order), following
 
 
 def enough_at(rows: DataFrame, order: list, length: str, threshold: int) -> DataFrame:
     """The rows up to and with the one at which ``threshold`` tokens are reached."""
-    from .ordering import running_sum
-
     return running_sum(rows, order, F.col(length), "_before", inclusive=False).where(F.col("_before") < threshold).drop("_before")

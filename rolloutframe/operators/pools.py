@@ -77,13 +77,14 @@ def return_fraction(pooled: DataFrame, fraction: float, seed: int = 0) -> DataFr
 
 
 def sample_envs(draws: DataFrame, probabilities_: DataFrame, seed: int = 0) -> DataFrame:
-    """An environment for each draw (column ``draw``), with replacement, by the inverse of the cumulated probabilities."""
+    """An environment for each draw (column ``draw``), with replacement, by the inverse of the cumulated probabilities.
+    Without an environment there are no rows."""
     w = Window.partitionBy(F.lit(0)).orderBy("env_name")
     p = probabilities_.withColumn("hi", F.sum("probability").over(w)).withColumn("lo", F.col("hi") - F.col("probability"))
     p = p.agg(F.sort_array(F.collect_list(F.struct("hi", "env_name"))).alias("p"))
     u = uniform(F.col("draw"), seed)
-    pick = F.coalesce(F.get(F.filter("p", lambda x: x["hi"] > F.col("u")), F.lit(0))["env_name"], F.element_at("p", -1)["env_name"])
-    return draws.withColumn("u", u).join(F.broadcast(p)).select("draw", pick.alias("env_name"))
+    pick = F.coalesce(F.get(F.filter("p", lambda x: x["hi"] > F.col("u")), F.lit(0))["env_name"], F.try_element_at("p", F.lit(-1))["env_name"])
+    return draws.withColumn("u", u).join(F.broadcast(p.where(F.size("p") > 0))).select("draw", pick.alias("env_name"))
 
 
 def latest(rollouts: DataFrame, n: int, order: list[str]) -> DataFrame:

@@ -89,7 +89,8 @@ def silences(beats: DataFrame, key: str, time: str, minutes: int = 30) -> DataFr
 
 def after_state(rows: DataFrame, index: str, step: int, n: int) -> DataFrame:
     """The rows of the current epoch that an iterator at ``step`` (rows given so far) over ``n`` rows has still to give."""
-    return rows.where(F.col(index) >= step % n).withColumn("epoch", F.lit(step // n).cast("long"))
+    epoch, given = divmod(step, max(n, 1))
+    return rows.where(F.col(index) >= given).withColumn("epoch", F.lit(epoch).cast("long"))
 
 
 def gauges(stats: DataFrame, known: DataFrame, key: str = "run") -> DataFrame:

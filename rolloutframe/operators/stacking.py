@@ -6,13 +6,13 @@ Folds see ids and lengths of one key only; arrays are collected per group afterw
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import buckets_down
+from .packing import bucket_of, buckets_down
 
 TIMEOUT = 10  # emitted batches
 
@@ -119,50 +119,69 @@ def collate(rows: DataFrame, batch: list[str], order: str, columns: list[str]) -
     return g.select(*batch, *[F.when(F.array_min(sizes(n)) == F.array_max(sizes(n)), _field(n)).otherwise(bad(n)).alias(n) for n in columns])
 
 
-def stacked(lengths: list[int], max_area: int, timeout: int = TIMEOUT) -> list[tuple[int, list[int | None], str]]:
-    """(row length, samples or None for a dummy, reason) of the batches that samples give in their order.
+class Shelf:
+    """Rows that wait in levels of growing width; a level of width w is full at area / w rows.
 
-    Buckets hold rows of max_area, max_area / 2 and so on. A bucket is emitted when its rows fill the area, or when more
-    than ``timeout`` batches have been emitted since it last began; in the latter case it first moves up as long as the
-    next bucket stays unfilled with it, and dummies fill it. What remains at the end is not emitted.
+    A level is due at the first sample that comes to it after its deadline: ``timeout`` emitted batches beyond the one at
+    which it began. Levels that are due rise over the neighbours above that they leave unfilled, and the rows of all of
+    them go out as one batch of the highest one's width, filled up with dummies (None).
     """
-    sizes = sorted(buckets_down(max_area))
-    held: list[list[int | None]] = [[] for _ in sizes]
-    since: list[int | None] = [None] * len(sizes)
-    out: list[tuple[int, list[int | None], str]] = []
-    for i, n in enumerate(lengths):
-        b = next((k for k, s in enumerate(sizes) if min(n, max_area) <= s), len(sizes) - 1)
-        held[b].append(i)
-        late = since[b] is not None and since[b] + timeout < len(out)
-        full = sizes[b] * len(held[b]) >= max_area
-        if late:
-            while b + 1 < len(sizes) and sizes[b + 1] * (len(held[b]) + len(held[b + 1])) < max_area:
-                held[b + 1] += held[b]
-                held[b], since[b] = [], None
-                b += 1
-            held[b] += [None] * max(0, -(-max_area // sizes[b]) - len(held[b]))
-        if late or full:
-            out.append((sizes[b], held[b], "timeout" if late else "full"))
-            held[b], since[b] = [], None
-        elif since[b] is None:
-            since[b] = len(out)
-    return out
+
+    def __init__(self, widths: list[int], area: int, timeout: int):
+        self.widths, self.room, self.timeout = widths, [-(-area // w) for w in widths], timeout
+        self.rows: list[list] = [[] for _ in widths]
+        self.deadline: dict[int, int] = {}
+        self.emitted = 0
+
+    def _risen(self, level: int) -> int:
+        """The level at which one that is due goes out."""
+        for above, waiting in enumerate(accumulate(map(len, self.rows[level:])), level):
+            # the sum holds the neighbour; it stays below if that would fill it
+            if above > level and waiting >= self.room[above]:
+                return above - 1
+        return len(self.rows) - 1
+
+    def add(self, level: int, row) -> tuple[int, list, str] | None:
+        """(width, rows, reason) of the batch that goes out with this row, if one does."""
+        self.rows[level].append(row)
+        due = self.emitted > self.deadline.get(level, self.emitted)
+        if not due and len(self.rows[level]) < self.room[level]:
+            self.deadline.setdefault(level, self.emitted + self.timeout)
+            return None
+        top = self._risen(level) if due else level
+        out = [x for k in range(top, level - 1, -1) for x in self.rows[k]]
+        for k in range(level, top + 1):
+            self.rows[k] = []
+            self.deadline.pop(k, None)
+        self.emitted += 1
+        return self.widths[top], out + [None] * (self.room[top] - len(out)), "timeout" if due else "full"
 
 
 def stack_pack(samples: DataFrame, max_area: int, key: str, order: str, length: str, timeout: int = TIMEOUT) -> DataFrame:
     """key, batch, slot, width, order (null for a dummy row), tokens (kept of the sample), reason of the emitted batches.
 
-    A key is one stream of samples, whose order decides; its ids and lengths are folded in one task.
+    Buckets hold rows of max_area, max_area / 2 and so on; what remains in them at the end is not emitted. A key is one
+    stream of samples, and whether a bucket is late depends on all batches before, so a stream is followed in order by one
+    task; Spark sorts it, and the task holds the rows that wait in the buckets, fewer than 2 * max_area / 256, however
+    long the stream.
     """
     types = {f.name: f.dataType.simpleString() for f in samples.schema}
+    widths = sorted(buckets_down(max_area))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        ids, sizes = pdf[order].tolist(), pdf[length].tolist()
-        rows = [(b, s, width, None if i is None else ids[i], 1 if i is None else min(sizes[i], max_area), why) for b, (width, members, why) in enumerate(stacked(sizes, max_area, timeout)) for s, i in enumerate(members)]
-        out = pd.DataFrame(rows, columns=["batch", "slot", "width", order, "tokens", "reason"])
-        out[order] = out[order].astype("Int64")
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
-
-    return samples.select(key, order, length).groupBy(key).applyInPandas(run, f"`{key}` {types[key]}, batch int, slot int, width int, `{order}` {types[order]}, tokens int, reason string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shelf = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for k, i, n, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or k != now[0]:
+                    now, shelf = (k,), Shelf(widths, max_area, timeout)
+                full = shelf.add(widths.index(width), (i, n))
+                if full:
+                    out += [(k, shelf.emitted - 1, slot, full[0], *(row or (None, 1)), full[2]) for slot, row in enumerate(full[1])]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), b.schema.field(1).type, pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "batch", "slot", "width", order, "tokens", "reason"])
+
+    kept = F.least(F.col(length).cast("int"), F.lit(max_area))
+    dealt = samples.select(key, order, kept.alias("_n"), bucket_of(kept, widths).alias("_width")).repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, f"`{key}` {types[key]}, batch int, slot int, width int, `{order}` {types[order]}, tokens int, reason string")

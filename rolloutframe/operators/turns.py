@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,69 +27,53 @@ def pad_after_end(ids: Column, end: int, block: int, start: Column | int = 0, fi
     return F.flatten(F.zip_with(pieces, pads, lambda p, k: F.concat(F.slice(ids, p["a"] + 1, p["b"] - p["a"]), F.array_repeat(F.lit(filler), k))))
 
 
-CALL = "struct<submitted_prompt_ids: array<int>, completion_ids: array<int>, trailing_pad: int, tokens_evicted: int, position_offset_after: int, num_prompt_tokens: int, evict_start: int, new_user_fragment_len: int, last_turn_evicted: int, num_turns_evicted_after: int>"
-
-
-def padded(ids: list[int], end: int, block: int, start: int, filler: int) -> list[int]:
-    out: list[int] = []
-    for x in ids:
-        out.append(x)
-        if x == end:
-            out += [filler] * (-(start + len(out)) % block)
-    return out
-
-
-def evicted_turns(turns: list[dict], max_turns: int, stride: int, block: int, end: int, protected: int = 0, filler: int = FILLER) -> tuple[list[int], list[bool], list[dict]]:
-    """(ids, mask, calls) of a conversation whose cache keeps at most ``max_turns`` turns.
-
-    ``turns``: user_ids (the first one's is everything in front of the first answer), completion_ids, trainable. A turn
-    that comes when the cache is full first evicts the ``stride`` oldest ones behind the protected prefix, which ends at
-    the block of the first end token unless its length is given. A turn's own tokens are padded to a block.
-    """
-    ids, mask, calls = [], [], []
-    cache: list[int] = []
-    held: list[int] = []
-    offset = 0
-    for i, turn in enumerate(turns):
-        fragment = padded(list(turn["user_ids"]), end, block, len(cache), filler)
-        if i == 0 and not protected:
-            protected = -(-(fragment.index(end) + 1) // block) * block
-        submitted = cache + fragment
-        fresh = len(fragment) - (protected if i == 0 else 0)
-        call = {"submitted_prompt_ids": submitted, "completion_ids": list(turn["completion_ids"]), "tokens_evicted": 0, "position_offset_after": offset, "num_prompt_tokens": len(submitted), "evict_start": 0, "new_user_fragment_len": 0, "last_turn_evicted": -1, "num_turns_evicted_after": 0}
-        kept = submitted
-        if len(held) >= max_turns:
-            gone = min(stride, len(held))
-            size = sum(held[:gone])
-            if size > 0:
-                kept = submitted[:protected] + submitted[protected + size :]
-                held, offset = held[gone:], offset + size
-                call |= {"tokens_evicted": size, "position_offset_after": offset, "num_prompt_tokens": len(kept), "evict_start": protected, "new_user_fragment_len": max(1, fresh), "last_turn_evicted": gone - 1, "num_turns_evicted_after": gone}
-        answer = list(turn["completion_ids"])
-        call["trailing_pad"] = -(len(kept) + len(answer)) % block
-        tail = [filler] * call["trailing_pad"]
-        ids += fragment + answer + tail
-        mask += [False] * len(fragment) + [bool(turn["trainable"])] * len(answer) + [False] * len(tail)
-        held.append(fresh + len(answer) + len(tail))
-        cache = kept + answer + tail
-        calls.append(call)
-    return ids, mask, calls
-
-
 def turn_eviction(conversations: DataFrame, max_turns: int, stride: int, block: int, end: int, protected: int = 0, key: str = "conv_id") -> DataFrame:
-    """key, ids, mask, calls of conversations (key, turns as for evicted_turns). A conversation is one row, so nothing
-    shuffles; one without a turn is dropped."""
-    kind = conversations.schema[key].dataType.simpleString()
-    arrow = pa.struct([("submitted_prompt_ids", pa.list_(pa.int32())), ("completion_ids", pa.list_(pa.int32())), *((n, pa.int32()) for n in ("trailing_pad", "tokens_evicted", "position_offset_after", "num_prompt_tokens", "evict_start", "new_user_fragment_len", "last_turn_evicted", "num_turns_evicted_after"))])
+    """key, ids, mask, calls of conversations whose cache keeps at most ``max_turns`` turns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, out = [], []
-            for i, turns in enumerate(batch.column(1).to_pylist()):
-                if turns:
-                    keep.append(i)
-                    out.append(evicted_turns(turns, max_turns, stride, block, end, protected))
-            columns = [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.bool_())), pa.array([o[2] for o in out], pa.list_(arrow))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "mask", "calls"])
+    ``conversations``: key, turns (user_ids, of the first one everything in front of the first answer; completion_ids;
+    trainable). A turn that comes when the cache is full first evicts the ``stride`` oldest ones behind the protected
+    prefix, which ends at the block of the first end token unless its length is given; without an end token nothing is
+    protected. A turn's own tokens are padded to a block. One without a turn is dropped.
 
-    return conversations.select(key, "turns").mapInArrow(run, f"`{key}` {kind}, ids array<int>, mask array<boolean>, calls array<{CALL}>")
+    Which turns go is fixed by their numbers: with w = min(stride, max_turns), turn max_turns + k * w evicts the turns
+    from k * w on, w of them. So all tokens are laid out once, and the cache that a call sees is two slices of them: the
+    protected prefix, and what begins behind the last evicted turn. All are array expressions on one row.
+    """
+    w = min(stride, max_turns)
+    fill = lambda ids, n: F.concat(ids, F.array_repeat(F.lit(FILLER), n))
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.size("turns") - 1), f)
+    c = conversations.where(F.size("turns") > 0).select(key, "turns", F.transform("turns", lambda t: pad_after_end(t["user_ids"], end, block)).alias("_front"))
+    guard = F.ceil(F.array_position(F.get("_front", F.lit(0)), end) / block) * block
+    c = c.withColumn("_guard", (F.lit(protected) if protected else guard).cast("int"))
+    # the eviction at a turn: its number, or null
+    nth = lambda i: F.when((i >= max_turns) & (F.pmod(i - max_turns, F.lit(w)) == 0), F.floor((i - max_turns) / w).cast("int"))
+    answer = lambda i: F.get("turns", i)["completion_ids"]
+    # a length beside the blocks goes round with every max_turns // w evictions, if the guard is not of whole blocks
+    odd = lambda i: F.when(F.pmod(nth(i), F.lit(max(max_turns // w, 1))) == 0, F.col("_guard")).otherwise(F.lit(0))
+    c = c.withColumn("_pad", each(lambda i: F.pmod(-(F.size(F.get("_front", i)) + F.size(answer(i)) + odd(i)), F.lit(block))))
+    c = c.withColumn("_whole", each(lambda i: fill(F.concat(F.get("_front", i), answer(i)), F.get("_pad", i))))
+    # where each turn begins among all tokens
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    c = c.withColumn("_at", F.aggregate("_whole", none, lambda s, x: F.struct((s["at"] + F.size(x)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"])
+    c = c.withColumn("ids", F.flatten("_whole"))
+    gone = lambda i: F.when(i >= max_turns, w * (F.floor((i - max_turns) / w).cast("int") + 1)).otherwise(F.lit(0))
+    # the first token behind the protected prefix and the turns that are gone
+    behind = lambda e: F.when(e == 0, F.col("_guard")).otherwise(F.get("_at", e))
+
+    def call(i: Column) -> Column:
+        before = gone(i - 1)
+        event = nth(i).isNotNull()
+        size = F.when(event, behind(gone(i)) - behind(before)).otherwise(F.lit(0))
+        front = F.size(F.get("_front", i))
+        begin = behind(before)
+        seen = F.concat(F.slice("ids", F.lit(1), F.col("_guard")), F.slice("ids", begin + 1, F.greatest(F.get("_at", i) + front - begin, F.lit(0))))
+        only = lambda x, other: F.when(event, x).otherwise(F.lit(other)).cast("int")
+        fields = {
+            "submitted_prompt_ids": F.when(i == 0, F.get("_front", i)).otherwise(seen), "completion_ids": answer(i), "trailing_pad": F.get("_pad", i).cast("int"), "tokens_evicted": size.cast("int"),
+            "position_offset_after": (behind(gone(i)) - F.col("_guard")).cast("int"), "num_prompt_tokens": (F.when(i == 0, front).otherwise(F.size(seen)) - size).cast("int"), "evict_start": only(F.col("_guard"), 0),
+            "new_user_fragment_len": only(F.greatest(F.lit(1), front), 0), "last_turn_evicted": only(F.lit(w - 1), -1), "num_turns_evicted_after": only(F.lit(w), 0),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    trained = each(lambda i: F.concat(F.array_repeat(F.lit(False), F.size(F.get("_front", i))), F.array_repeat(F.get("turns", i)["trainable"], F.size(answer(i))), F.array_repeat(F.lit(False), F.get("_pad", i))))
+    return c.select(key, "ids", F.flatten(trained).alias("mask"), each(call).alias("calls"))

@@ -12,9 +12,9 @@ from ..sources.carriers import table, view
 from .registry import query, r6
 
 
-@query("A04_provenance", "SELECT doc_id, 'fr' AS __subset, 'train' AS __split, row_number() OVER (ORDER BY doc_id) - 1 AS __index FROM documents WHERE lang = 'fr'")
+@query("A04_provenance", "SELECT doc_id, lang AS __subset, 'train' AS __split, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS __index FROM documents")
 def a04(spark, d):
-    return datasets.with_provenance(table(spark, d, "documents").where("lang = 'fr'").select("doc_id"), "fr", "train", ["doc_id"])
+    return datasets.with_provenance(table(spark, d, "documents").select("doc_id", "lang"), None, "train", ["doc_id"], "lang").drop("lang")
 
 
 @query("A05_example_ids", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS example_id, p_name AS prompt, p_brand AS env_name FROM part WHERE p_name IS NOT NULL")

@@ -10,6 +10,7 @@ from ..operators import datasets, metrics, packing, runs, stacking, trajectory
 from ..operators import tokens as T
 from ..sources.carriers import table, view
 from .data import steps
+from .records import _fair
 from .registry import query, r6
 from .tokens import LOSS, tokens
 
@@ -26,13 +27,11 @@ def a33(spark, d):
     return table(spark, d, "part").select(i.alias("id"), prompt.alias("prompt"))
 
 
-@query("A03_subset_split_pairs", "SELECT lang AS __subset, 'train' AS __split, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang")
+@query("A03_subset_split_pairs", "SELECT lang AS __subset, 'train' AS __split, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def a03(spark, d):
-    docs, out = table(spark, d, "documents"), None
-    for subset, split in datasets.resolve_subsets(["de", "fr"], None):
-        part = docs.where(F.col("lang") == subset).agg(F.count("*").alias("n")).select(F.lit(subset).alias("__subset"), F.lit(split).alias("__split"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    docs = table(spark, d, "documents").where("lang is not null")
+    pairs = datasets.subset_pairs(docs.select(F.col("lang").alias("__subset")).distinct())
+    return docs.join(pairs, docs["lang"] == pairs["__subset"]).groupBy("__subset", "__split").agg(F.count("*").alias("n"))
 
 
 @query("B07_prompt_length_filter", f"SELECT doc_id FROM documents WHERE {WORDS} <= 300")
@@ -163,12 +162,12 @@ def f04(spark, d):
     return metrics.first_over(table(spark, d, "events"), "value", 95, call, "event_id").select("event_id", r6("value").alias("value"))
 
 
-@query("F17_fair_selection")
+@query("F17_fair_selection", _fair(524_288, 0, "", "SELECT run, samples AS n FROM t", "'run_' || client"), ("rollouts",))
 def f17(spark, d):
     n = F.col("completion_len") + F.col("prompt_len")
     queue = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), F.lit(0).cast("long").alias("step"), "example_id", "rollout_idx", n.alias("n_tokens"))
     progress = queue.select("run").distinct().withColumn("step", F.lit(0).cast("long"))
-    return packing.select_fair(queue, progress, 65_536, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
+    return packing.select_fair(queue, progress, 524_288, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
 
 
 @query("G05_run_set_difference", "SELECT s_nationkey AS run FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")

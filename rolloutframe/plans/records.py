@@ -289,23 +289,44 @@ def _queue(spark, d) -> tuple[DataFrame, DataFrame]:
     return r, r.groupBy("run").agg((F.min("step") + F.col("run") % 2).alias("step")).withColumns({"total_samples": zero, "total_tokens": zero})
 
 
-@query("I08_multi_run_packer")
+def _fair(budget: int, start: int, due: str, columns: str, run: str = "client", order: str = "client") -> str:
+    """SQL of a fair selection over the rollouts: ``due``, an expression of the first step and the run."""
+    return f"""WITH q AS (SELECT {run} AS run, {order} AS ring, {'0' if not due else 'version'} AS step, example_id, rollout_idx, completion_len + prompt_len AS n FROM rollouts),
+p AS (SELECT run, ring, {due or '0'} AS due, (row_number() OVER (ORDER BY run) - 1 - {start} + count(*) OVER ()) % count(*) OVER () AS turn FROM q GROUP BY run, ring),
+d AS (SELECT q.*, p.due, turn, n <= {budget} AS fits FROM q JOIN p USING (run) WHERE step <= due),
+b AS (SELECT *, coalesce(sum(CASE WHEN fits THEN n END) OVER (ORDER BY turn, step, example_id, rollout_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+e AS (SELECT min(before) AS edge FROM b WHERE NOT fits AND before > 0),
+s AS (SELECT b.*, row_number() OVER (ORDER BY turn, step, example_id, rollout_idx) - 1 AS place FROM b, e WHERE fits AND before < coalesce(edge, {budget} + 1) AND before + n <= {budget}),
+t AS (SELECT run, count(*) AS samples, sum(n)::BIGINT AS tokens FROM s GROUP BY run)
+{columns}"""
+
+
+FIRST_STEP = "min(step) + ring % 2"
+TURNS_START = 3
+
+
+@query("I08_multi_run_packer", _fair(262_144, TURNS_START, FIRST_STEP, "SELECT run, samples, tokens, true AS even FROM t"), ("rollouts",))
 def i08(spark, d):
     queue, progress = _queue(spark, d)
-    grid, _ = packing.multi_pack(queue, progress, 4096, 8, ["example_id", "rollout_idx"])
-    return grid.groupBy("run", "worker").agg(F.count("sample_id").alias("samples"), F.count_distinct("slot").alias("slots"), F.count_if("is_dummy").alias("dummies"))
+    grid, _, _ = packing.multi_pack(queue, progress, 4096, 64, ["example_id", "rollout_idx"], TURNS_START)
+    sizes = queue.select("run", "sample_id", "n_tokens")
+    bins = grid.join(sizes, ["run", "sample_id"], "left").groupBy("run", "worker", "slot").agg(F.count("sample_id").alias("c"), F.sum("n_tokens").alias("t"), F.count_distinct("bin", "is_dummy").alias("k"))
+    # every worker has as many bins of a run, a bin is in one place and holds what fits
+    return bins.groupBy("run").agg(F.sum("c").alias("samples"), F.sum("t").cast("long").alias("tokens"), ((F.count("*") == 64 * (F.max("slot") + 1)) & (F.max("k") == 1) & (F.max("t") <= 4096)).alias("even"))
 
 
-@query("I09_run_progress")
+@query("I09_run_progress", _fair(262_144, TURNS_START, FIRST_STEP, """, r AS (SELECT q.run, min(q.step) AS next FROM q LEFT JOIN s ON q.run = s.run AND q.step = s.step AND q.example_id = s.example_id AND q.rollout_idx = s.rollout_idx WHERE s.run IS NULL GROUP BY q.run)
+SELECT p.run, (p.due + CASE WHEN t.run IS NOT NULL AND (r.next IS NULL OR r.next > p.due) THEN 1 ELSE 0 END)::BIGINT AS step, coalesce(t.samples, 0)::BIGINT AS total_samples, coalesce(t.tokens, 0)::BIGINT AS total_tokens, t.run IS NOT NULL AND (r.next IS NULL OR r.next > p.due) AS ready
+FROM p LEFT JOIN t USING (run) LEFT JOIN r USING (run)"""), ("rollouts",))
 def i09(spark, d):
     queue, progress = _queue(spark, d)
-    return packing.multi_pack(queue, progress, 4096, 8, ["example_id", "rollout_idx"])[1]
+    return packing.multi_pack(queue, progress, 4096, 64, ["example_id", "rollout_idx"], TURNS_START)[1]
 
 
-@query("K08_run_queues")
+@query("K08_run_queues", _fair(262_144, 0, FIRST_STEP, "SELECT run, step, example_id, rollout_idx, place::INT AS turn FROM s"), ("rollouts",))
 def k08(spark, d):
     queue, progress = _queue(spark, d)
-    return packing.select_fair(queue, progress, 32_768, ["example_id", "rollout_idx"]).select("run", "step", "example_id", "rollout_idx", "turn")
+    return packing.select_fair(queue, progress, 262_144, ["example_id", "rollout_idx"]).select("run", "step", "example_id", "rollout_idx", "turn")
 
 
 @query("K10_enough_tokens", "WITH b AS (SELECT event_id, coalesce(sum(floor(value)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT event_id FROM b WHERE before < 5000")

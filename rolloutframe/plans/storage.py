@@ -16,13 +16,11 @@ from .registry import query, r6
 from .tokens import GIB, GIB_LIMIT, LOSS, REP, SQL, _arrays, tokens
 
 
-@query("A01_dataset_scan", "SELECT doc_id, lang AS __subset, 'train' AS __split FROM documents WHERE lang IN (SELECT DISTINCT lang FROM documents)")
+@query("A01_dataset_scan", "SELECT doc_id, lang AS __subset, 'train' AS __split FROM documents WHERE lang IS NOT NULL")
 def a01(spark, d):
     docs, root = table(spark, d, "documents").select("doc_id", "lang"), new_path(spark)
-    names = sorted(r.lang for r in docs.select("lang").distinct().collect())  # one for each subset
-    for name in names:
-        docs.where(F.col("lang") == name).select("doc_id").write.parquet(f"{root}/{name}/train")
-    return io.load_dataset(spark, root, names).select("doc_id", "__subset", "__split")
+    io.write_subsets(docs, root, "lang")
+    return io.read_subsets(spark, root, docs.select("doc_id").schema)
 
 
 @query("A02_local_dataset", "SELECT p_partkey, p_brand FROM part")
@@ -95,16 +93,18 @@ def _batches(spark, d):
 @query("A10_batch_sink", "SELECT o_custkey % 5 AS run_id, o_orderkey % 7 AS step, o_orderkey AS sample FROM orders")
 def a10(spark, d):
     path = new_path(spark)
-    extensions.make_transport("filesystem", spark, path)[0].send(_batches(spark, d))
-    b = io.read_batches(spark, path)
+    batches = _batches(spark, d)
+    extensions.make_transport("filesystem", spark, path)[0].send(batches)
+    b = io.read_batches(spark, path, schema=batches.schema)
     return b.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("long").alias("step"), "sample")
 
 
 @query("A16_next_batches_once", "SELECT o_custkey % 5 AS run_id, o_orderkey % 7 AS step, o_orderkey AS sample FROM orders WHERE o_orderkey % 7 < 2")
 def a16(spark, d):
     path = new_path(spark)
-    sender, receiver = extensions.make_transport("filesystem", spark, path)
-    sender.send(_batches(spark, d))
+    batches = _batches(spark, d)
+    sender, receiver = extensions.make_transport("filesystem", spark, path, schema=batches.schema)
+    sender.send(batches)
     b = receiver.receive().unionByName(receiver.receive())  # steps 0, then steps 1
     return b.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("long").alias("step"), "sample")
 
@@ -116,15 +116,17 @@ def _grid(spark, d):
 @query("A12_micro_batch_sink", "SELECT o_custkey % 3 AS step, o_orderkey % 4 AS worker, count(*) AS n FROM orders GROUP BY ALL")
 def a12(spark, d):
     path = new_path(spark)
-    extensions.TableSender(path, micro=True).send(_grid(spark, d))
-    return spark.read.parquet(path).groupBy(F.col("step").cast("long").alias("step"), F.col("worker").cast("long").alias("worker")).agg(F.count("*").alias("n"))
+    grid = _grid(spark, d)
+    extensions.TableSender(path, micro=True).send(grid)
+    return io.read_dataset(spark, path, schema=grid.schema).groupBy(F.col("step").cast("long").alias("step"), F.col("worker").cast("long").alias("worker")).agg(F.count("*").alias("n"))
 
 
 @query("A13_micro_batch_source", "SELECT o_orderkey AS slot FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 4 = 2")
 def a13(spark, d):
     path = new_path(spark)
-    io.write_micro_batches(_grid(spark, d), path)
-    return io.read_micro_batches(spark, path, 2, 1).select("slot")
+    grid = _grid(spark, d)
+    io.write_micro_batches(grid, path)
+    return io.read_micro_batches(spark, path, 2, 1, grid.schema).select("slot")
 
 
 @query("A11_next_expected_batches", "SELECT o_custkey % 50 AS run, o_orderkey % 7 AS step, o_orderkey FROM orders WHERE o_orderkey % 7 = (o_custkey % 50) % 4 AND (o_custkey % 50) % 3 <> 0")

@@ -29,9 +29,9 @@ def write_batches(samples: DataFrame, path: str) -> None:
     samples.write.mode("append").partitionBy("run_id", "step").parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, run_id=None, step=None) -> DataFrame:
-    """All samples, or those of a run and a step by partition pruning."""
-    df = spark.read.parquet(path)
+def read_batches(spark: SparkSession, path: str, run_id=None, step=None, schema: T.StructType | None = None) -> DataFrame:
+    """All samples, or those of a run and a step by partition pruning. With a schema the folder may be without files."""
+    df = read_dataset(spark, path, schema=schema)
     if run_id is not None:
         df = df.where(F.col("run_id") == run_id)
     return df if step is None else df.where(F.col("step") == step)
@@ -41,8 +41,8 @@ def write_micro_batches(grid: DataFrame, path: str) -> None:
     grid.write.mode("append").partitionBy("step", "worker").parquet(path)
 
 
-def read_micro_batches(spark: SparkSession, path: str, worker: int, step: int) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("step") == step) & (F.col("worker") == worker)).orderBy("slot")
+def read_micro_batches(spark: SparkSession, path: str, worker: int, step: int, schema: T.StructType | None = None) -> DataFrame:
+    return read_dataset(spark, path, schema=schema).where((F.col("step") == step) & (F.col("worker") == worker)).orderBy("slot")
 
 
 def sample_log(rollouts: DataFrame, run_id: str, step: int, tag: str) -> DataFrame:
@@ -99,6 +99,26 @@ def read_subset(spark: SparkSession, root: str, subset: str | None, split: str,
     return read_dataset(spark, path, kind).withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split))
 
 
+def write_subsets(rows: DataFrame, root: str, subset: str, split: str = "train") -> None:
+    """A dataset by subset and split, written in one pass: ``subset`` is a column."""
+    rows.withColumn("__subset", F.col(subset)).withColumn("__split", F.lit(split)).write.partitionBy("__subset", "__split").parquet(root)
+
+
+def read_subsets(spark: SparkSession, root: str, schema: T.StructType, subsets: list[str] | None = None, splits: list[str] | None = None) -> DataFrame:
+    """The rows that write_subsets() wrote of the subsets and splits (all subsets, if none is named) in one scan, with
+    __subset and __split; other folders are not read."""
+    from ..operators.datasets import resolve_subsets
+
+    every = T.StructType([*schema.fields, T.StructField("__subset", T.StringType()), T.StructField("__split", T.StringType())])
+    rows = read_dataset(spark, root, schema=every)
+    if subsets is None:
+        return rows.where(F.col("__subset").isNotNull() & F.col("__split").isin(splits or ["train"]))
+    own = F.lit(False)
+    for name, split in resolve_subsets(subsets, splits):
+        own |= (F.col("__subset") == name) & (F.col("__split") == split)
+    return rows.where(own)
+
+
 def load_dataset(spark: SparkSession, root: str, subsets: list[str] | None = None, splits: list[str] | None = None, kind: str = "parquet") -> DataFrame:
     """A dataset saved whole, where its folder holds dataset_info.json; else the union of its subsets and splits."""
     from ..operators.datasets import resolve_subsets

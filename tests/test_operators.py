@@ -168,13 +168,6 @@ def test_distribute(spark, n, w, slots):
     assert out.where("is_dummy").count() == slots * w - n
 
 
-def test_round_robin():
-    chosen, at = packing.round_robin({"a": [(1, 5), (2, 5)], "b": [(3, 5)], "c": [(9, 100)]}, 12)
-    assert chosen == [("a", 1), ("a", 2)]
-    chosen, _ = packing.round_robin({"a": [(1, 5)], "b": [(3, 5)]}, 12, 1)
-    assert chosen[0] == ("b", 3)
-
-
 def test_interleave_datasets(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1)], "s string, i long")
     one = [(r.s, r.i) for r in datasets.interleave_first(df, "s", ["i"]).orderBy("position").collect()]

@@ -70,37 +70,57 @@ def test_completion_delta_and_trim(spark):
     assert [len(x.completion_ids) for x in df.select(events.trim_last_call(F.col("c"), F.lit(0))).first()[0]] == [3, 3]
 
 
+def padded(ids, end, block, start=0, filler=0):
+    out = []
+    for x in ids:
+        out.append(x)
+        while x == end and (start + len(out)) % block:
+            out.append(filler)
+    return out
+
+
 def test_padding_behind_end_tokens(spark):
     r = random.Random(1)
     cases = [[], [7], [1, 7], [1, 2, 3, 4, 7, 5], [7, 7, 1]] + [[r.choice([1, 2, 7]) for _ in range(r.randint(0, 30))] for _ in range(30)]
     df = spark.createDataFrame([(i, c, r.randint(0, 9)) for i, c in enumerate(cases)], "i int, ids array<int>, start int")
     for row in df.select("ids", "start", turns.pad_after_end(F.col("ids"), 7, 4, F.col("start"), 0).alias("p")).collect():
-        assert row.p == turns.padded(row.ids, 7, 4, row.start, 0)
-
-
-def test_turn_eviction_keeps_a_block_aligned_cache():
-    r = random.Random(2)
-    for _ in range(50):
-        t = [{"user_ids": [r.randint(10, 99) for _ in range(r.randint(1, 20))] + [7], "completion_ids": [r.randint(10, 99) for _ in range(r.randint(1, 9))] + [7], "trainable": r.random() > 0.2} for _ in range(r.randint(1, 8))]
-        most, stride = r.randint(1, 3), r.randint(1, 3)
-        ids, mask, calls = turns.evicted_turns(t, most, stride, 8, 7)
-        assert len(ids) == len(mask) == sum(len(x) for x in (ids,))
-        assert sum(mask) == sum(len(x["completion_ids"]) for x in t if x["trainable"])
-        cache, held = [], 0
-        for i, (c, x) in enumerate(zip(calls, t, strict=True)):
-            assert c["submitted_prompt_ids"][: len(cache)] == cache
-            kept = c["submitted_prompt_ids"]
-            if c["tokens_evicted"]:
-                assert held >= most
-                kept = kept[: c["evict_start"]] + kept[c["evict_start"] + c["tokens_evicted"] :]
-                held -= c["num_turns_evicted_after"]
+        assert row.p == padded(row.ids, 7, 4, row.start)
+
+
+@pytest.mark.parametrize(("most", "stride", "guard"), [(1, 1, 0), (2, 1, 0), (3, 1, 0), (3, 2, 0), (2, 5, 0), (4, 3, 16), (1, 1, 5), (3, 2, 5), (5, 2, 3)])
+def test_turn_eviction_keeps_a_block_aligned_cache(spark, most, stride, guard):
+    r = random.Random(most * 100 + stride * 10 + guard)
+    talks = [[([r.randint(10, 99) for _ in range(r.randint(16, 30))] + [7], [r.randint(10, 99) for _ in range(r.randint(1, 9))] + [7], r.random() > 0.2) for _ in range(r.randint(1, 14))] for _ in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*talks, [], None])], "conv_id long, turns array<struct<user_ids: array<int>, completion_ids: array<int>, trainable: boolean>>")
+    got = {x.conv_id: x for x in turns.turn_eviction(df, most, stride, 8, 7, guard).collect()}
+    assert sorted(got) == list(range(12))
+    for n, talk in enumerate(talks):
+        row, cache, sizes, begin, offset, ids, mask = got[n], [], [], 0, 0, [], []
+        assert len(row.calls) == len(talk)
+        for i, (c, (user, answer, trainable)) in enumerate(zip(row.calls, talk, strict=True)):
+            fragment = padded(user, 7, 8, 0, turns.FILLER)
+            safe = guard or len(padded(user[: user.index(7) + 1], 7, 8)) if i == 0 else safe
+            assert c.submitted_prompt_ids == cache + fragment and c.completion_ids == answer
+            here = [k for k in range(begin, i)]
+            if len(here) >= most:  # full: the oldest turns go
+                gone = here[: min(stride, len(here))]
+                size = sum(sizes[k] for k in gone)
+                begin += len(gone)
+                assert (c.evict_start, c.num_turns_evicted_after, c.last_turn_evicted, c.new_user_fragment_len) == (safe, len(gone), len(gone) - 1, len(fragment))
             else:
-                assert held < most
-            held += 1
-            assert len(kept) == c["num_prompt_tokens"]
-            cache = kept + x["completion_ids"] + [turns.FILLER] * c["trailing_pad"]
-            assert len(cache) % 8 == 0
-        assert [c["position_offset_after"] for c in calls] == [sum(x["tokens_evicted"] for x in calls[: i + 1]) for i in range(len(calls))]
+                size = 0
+                assert (c.evict_start, c.num_turns_evicted_after, c.last_turn_evicted, c.new_user_fragment_len) == (0, 0, -1, 0)
+            offset += size
+            kept = c.submitted_prompt_ids[:safe] + c.submitted_prompt_ids[safe + size :]
+            tail = [turns.FILLER] * (-(len(kept) + len(answer)) % 8)
+            assert (c.tokens_evicted, c.position_offset_after, c.num_prompt_tokens, c.trailing_pad) == (size, offset, len(kept), len(tail))
+            cache = kept + answer + tail
+            ids += fragment + answer + tail
+            mask += [False] * len(fragment) + [trainable] * len(answer) + [False] * len(tail)
+            sizes.append(len(fragment) + len(answer) + len(tail) - (safe if i == 0 else 0))
+        assert (row.ids, row.mask) == (ids, mask)
+    plan = turns.turn_eviction(df, most, stride, 8, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_message_containers(spark):
@@ -119,17 +139,78 @@ def test_groups_of_neighbours():
     assert stacking.group_numbers(["s", "s"], [99, 99], 1, budget=4) == [0, 1]
 
 
-def test_stacked_batches_fill_their_area():
+def test_levels_that_are_late_rise():
+    shelf = stacking.Shelf([256, 512, 1024], 1024, 0)
+    assert shelf.add(0, "a") is None and shelf.add(1, "b") is None
+    assert shelf.add(2, "c") == (1024, ["c"], "full")
+    # one batch since a and b came: with another row the lowest level is late; its two rows and b's level would fill
+    assert shelf.add(0, "d") == (256, ["a", "d", None, None], "timeout")
+    assert shelf.add(1, "e") == (512, ["b", "e"], "timeout")
+    assert shelf.add(0, "f") is None and shelf.add(2, "g") == (1024, ["g"], "full")
+    # one row rises over an empty level: two of 512 would not be filled by it, one of 1024 would
+    late = stacking.Shelf([256, 512, 1024], 1024, -1)
+    assert late.add(0, "x") is None
+    assert late.add(0, "y") == (256, ["x", "y", None, None], "timeout")
+    assert late.add(0, "z") is None
+    late.rows[0] = []
+    assert late.add(0, "z") == (512, ["z", None], "timeout")
+
+
+def test_stacked_batches_fill_their_area(spark):
     r = random.Random(3)
-    sizes = [r.choice([10, 200, 300, 600, 1000, 5000]) for _ in range(400)]
-    out = stacking.stacked(sizes, 2048, timeout=3)
-    seen = [i for _, members, _ in out for i in members if i is not None]
-    assert len(seen) == len(set(seen))
-    for width, members, why in out:
-        assert width * len(members) >= 2048
-        assert all(min(sizes[i], 2048) <= width for i in members if i is not None)
-        assert why == "timeout" or None not in members
-    assert {why for _, _, why in out} == {"full", "timeout"}
+    sizes = {(k, i): r.choice([10, 200, 300, 600, 1000, 5000]) for k in ("a", "b", None) for i in range(400)}
+    df = spark.createDataFrame([(k, i, n) for (k, i), n in sizes.items()], "k string, i long, n int").repartition(5)
+    rows = stacking.stack_pack(df, 2048, "k", "i", "n", timeout=3).collect()
+    batches = {}
+    for x in rows:
+        batches.setdefault((x.k, x.batch), []).append(x)
+    ids = [(x.k, x.i) for x in rows if x.i is not None]
+    assert len(ids) == len(set(ids)) > 900
+    own = lambda n: next(w for w in (256, 512, 1024, 2048) if min(n, 2048) <= w)
+    for got in batches.values():
+        width = got[0].width
+        assert sorted(x.slot for x in got) == list(range(2048 // width))
+        real = [x for x in got if x.i is not None]
+        assert all(x.tokens == min(sizes[x.k, x.i], 2048) and own(x.tokens) <= width for x in real) and all(x.tokens == 1 for x in got if x.i is None)
+        if got[0].reason == "full":
+            assert len(real) == len(got) and all(own(x.tokens) == width for x in real)
+    assert {x.reason for x in rows} == {"full", "timeout"} and any(x.i is None for x in rows)
+    # without time-outs a width's samples go out in order, room by room
+    calm = stacking.stack_pack(df, 2048, "k", "i", "n", timeout=10**6).collect()
+    assert {x.reason for x in calm} == {"full"}
+    for k in ("a", "b", None):
+        for w in (256, 512, 1024, 2048):
+            mine = sorted(i for (a, i), n in sizes.items() if a == k and own(n) == w)
+            whole = len(mine) - len(mine) % (2048 // w)
+            assert sorted(x.i for x in calm if x.k == k and x.width == w) == mine[:whole]
+
+
+def test_blocks_carry_packs_as_one_pass_does(spark):
+    r = random.Random(6)
+
+    def one_pass(sizes, limit):
+        out, total, count = [], 0, 0
+        for n in sizes:
+            total, count = total + n, count + 1
+            if total >= limit:
+                out.append((len(out), count, total))
+                total, count = 0, 0
+        return out, total
+
+    for _ in range(300):
+        limit, sizes = r.choice([1, 2, 7, 30]), [r.choice([0, 1, 2, 3, 9, 40]) for _ in range(r.randint(1, 12))]
+        lows, outs, ends, through = packing.carried(packing.np.array(sizes), limit)
+        assert lows == sorted(set(lows))
+        for c in range(limit):
+            got, rest = one_pass([c, *sizes] if c else sizes, limit)
+            i = max((k for k, low in enumerate(lows) if low <= c), default=None)
+            assert (len(got), rest) == ((ends[i], outs[i]) if i is not None else (0, c + through)), (c, limit, sizes)
+    rows = [(k, i, r.choice([1, 1, 2, 5, 30])) for k in ("a", "b", None) for i in r.sample(range(10**6), 300)]
+    df = spark.createDataFrame(rows, "k string, idx long, n_tokens long").repartition(4)
+    for block in (1, 7, 1000):
+        got = {(x.k, x.pack, x.n_samples, x.n_tokens) for x in packing.cat_pack(df, 17, "k", block=block).collect()}
+        assert got == {(k, *p) for k in ("a", "b", None) for p in one_pass([n for a, _, n in sorted(rows, key=lambda x: x[1]) if a == k], 17)[0]}
+    assert packing.cat_pack(df.limit(0), 17, "k").count() == 0
 
 
 def test_mixed_presence_in_a_stack_is_an_error(spark):
@@ -142,31 +223,65 @@ def test_mixed_presence_in_a_stack_is_an_error(spark):
         stacking.collate(df, ["g"], "i", ["ids"]).collect()
 
 
-def test_round_robin_ends_at_the_first_excess():
-    q = lambda **k: {r: [(f"{r}{i}", n) for i, n in enumerate(v)] for r, v in k.items()}
-    assert packing.round_robin(q(a=[10], b=[5], c=[2]), 12)[0] == [("a", "a0")]
-    assert packing.round_robin(q(a=[99, 3], b=[5]), 12)[0] == [("a", "a1"), ("b", "b0")]
-    steps = {"a": [("a0", 1, 0), ("a1", 1, 2), ("a2", 1, 0)], "b": [("b0", 1, 1)]}
-    assert packing.round_robin(steps, 9, progress={"a": 0, "b": 1})[0] == [("a", "a0"), ("b", "b0")]
+def visited(queues, budget, start, due):
+    """(chosen, next start) by going round the runs one head at a time."""
+    ring, chosen, used, at = sorted(queues), [], 0, start
+    heads = {k: [x for x in sorted(v) if x[0] <= due[k]] for k, v in queues.items()}  # (step, idx, tokens)
+    while used < budget and any(heads.values()):
+        run = ring[at % len(ring)]
+        at += 1
+        for step, i, n in list(heads[run]):
+            if used + n > budget and used:
+                return chosen, at % len(ring)
+            heads[run].pop(0)
+            if n <= budget:
+                chosen.append((run, step, i))
+                used += n
+        # the place behind the last run that had a head
+        if not any(heads.values()):
+            break
+    return chosen, at % len(ring)
 
 
 def test_fair_selection_and_progress_against_queues(spark):
     r = random.Random(4)
-    rows = [(f"r{k}", s, i, 10 * i + s, 0, r.choice([1, 2, 5, 40])) for k in range(6) for s in range(3) for i in range(r.randint(0, 6))]
-    queue = spark.createDataFrame(rows, "run string, step long, idx long, sample_id long, lora_idx int, n_tokens long")
-    due = {f"r{k}": k % 3 for k in range(6)}
-    progress = spark.createDataFrame([(k, s, 0, 0) for k, s in due.items()], "run string, step long, total_samples long, total_tokens long")
-    queues = {k: sorted([((s, i), n, s) for run, s, i, _, _, n in rows if run == k], key=lambda x: x[0]) for k in due}
-    want, _ = packing.round_robin({k: list(v) for k, v in queues.items() if v}, 32, progress=due)
-    chosen = packing.select_fair(queue, progress, 32, ["idx"])
-    assert [(x.run, (x.step, x.idx)) for x in chosen.orderBy("turn").collect()] == want
-    grid, after = packing.multi_pack(queue, progress, 16, 2, ["idx"])
-    assert {(x.run, x.sample_id) for x in grid.where("sample_id is not null").collect()} == {(k, 10 * i + s) for k, (s, i) in want}
-    for x in after.collect():
-        mine = [w for k, w in want if k == x.run]
-        left = [s for (s, i), _, _ in queues[x.run] if (s, i) not in mine]
-        done = bool(mine) and (not left or min(left) > due[x.run])
-        assert (x.step, x.ready, x.total_samples) == (due[x.run] + done, done, len(mine))
+    for case in range(6):
+        rows = [(f"r{k}", s, i, 10 * i + s, 0, r.choice([1, 2, 5, 40])) for k in range(6) for s in range(3) for i in range(r.randint(0, 6))]
+        start, budget = case % 7, (32, 40, 3, 10_000, 7, 24)[case]
+        queue = spark.createDataFrame(rows, "run string, step long, idx long, sample_id long, lora_idx int, n_tokens long")
+        due = {f"r{k}": k % 3 for k in range(6)}
+        progress = spark.createDataFrame([(k, s, 0, 0) for k, s in due.items()], "run string, step long, total_samples long, total_tokens long")
+        queues = {k: [(s, i, n) for run, s, i, _, _, n in rows if run == k] for k in due}
+        want, following = visited(queues, budget, start, due)
+        chosen, then = packing.fair_selection(queue, progress, budget, ["idx"], start)
+        assert [(x.run, x.step, x.idx) for x in chosen.orderBy("turn").collect()] == want, case
+        assert then == following, case
+        if case:
+            continue
+        grid, after, then = packing.multi_pack(queue, progress, 16, 2, ["idx"], start)
+        assert then == following and {(x.run, x.sample_id) for x in grid.where("sample_id is not null").collect()} == {(k, 10 * i + s) for k, s, i in want}
+        for x in after.collect():
+            mine = [(s, i) for k, s, i in want if k == x.run]
+            left = [s for s, i, _ in queues[x.run] if (s, i) not in mine]
+            done = bool(mine) and (not left or min(left) > due[x.run])
+            assert (x.step, x.ready, x.total_samples) == (due[x.run] + done, done, len(mine))
+
+
+def test_fair_selection_golden_cases(spark):
+    progress = spark.createDataFrame([(k, 0) for k in "abc"], "run string, step long")
+
+    def select(budget, start=0, **queues):
+        rows = [(k, 0, i, n) for k, v in queues.items() for i, n in enumerate(v)]
+        chosen, then = packing.fair_selection(spark.createDataFrame(rows, "run string, step long, idx long, n_tokens long"), progress, budget, ["idx"], start)
+        return [f"{x.run}{x.idx}" for x in chosen.orderBy("turn").collect()], then
+
+    assert select(12, a=[10], b=[5], c=[2]) == (["a0"], 2)
+    assert select(12, a=[99, 3], b=[5]) == (["a1", "b0"], 2)
+    assert select(12, 1, a=[5], b=[7], c=[9]) == (["b0"], 0)
+    assert select(12, 1, a=[5], b=[3, 99, 1], c=[9]) == (["b0"], 2)
+    assert select(8, 2, a=[4, 4], c=[4]) == (["c0", "a0"], 1)
+    assert select(8, a=[4, 4], b=[99], c=[1]) == (["a0", "a1"], 1)
+    assert select(8, 1, a=[99], b=[99], c=[99]) == ([], 1)
 
 
 def test_numbers_and_sums_of_whole_tables(spark):
