@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import mailbox
 from ..streaming import operators as O
+from ..streaming import scheduling, timers
+from ..sources.carriers import table
 from .registry import query, r6
 
 
@@ -66,3 +70,102 @@ def k07(spark, d):
     s = _events(spark, d).select((F.col("event_id") % 4).alias("run_id"), F.floor(F.col("event_id") / 4).cast("long").alias("step"), F.col("event_type").alias("payload"))
     # every batch is delivered twice
     return O.drain(O.in_step_order(s.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")), _name())
+
+
+@query("A14_socket_batches", "SELECT o_custkey % 5 AS run_id, o_orderkey % 7 AS step, o_orderkey AS sample, o_orderpriority AS payload FROM orders")
+def a14(spark, d):
+    s = O.read_stream(spark, d, "orders").select((F.col("o_custkey") % 5).alias("run_id"), (F.col("o_orderkey") % 7).alias("step"), F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("payload"))
+    return O.relay(s, "orchestrator")
+
+
+@query("A15_socket_micro_batches", "SELECT o_custkey % 3 AS step, o_orderkey % 4 AS worker, o_orderkey AS slot FROM orders WHERE o_orderkey % 4 <> 3")
+def a15(spark, d):
+    s = O.read_stream(spark, d, "orders").select((F.col("o_custkey") % 3).alias("step"), (F.col("o_orderkey") % 4).alias("worker"), F.col("o_orderkey").alias("slot"))
+    # each worker reads the topic of its rank; those of the fourth are not asked for
+    return O.relay(s, "packer", "worker", tuple(mailbox.rank_topic(r) for r in range(3)))
+
+
+def _quoted(sql: str) -> str:
+    """``at`` is a word of DuckDB's grammar."""
+    return re.sub(r"\bat\b", '"at"', sql)
+
+
+def _flights(limit: int, size: int, restart: bool) -> str:
+    """SQL that follows the counts of in_flight() event by event, over the runs of the event table."""
+    drop = "kind = 'version'" if restart else "false"
+    return f"""WITH RECURSIVE e AS (SELECT user_id % 64 AS run, event_id AS at, CASE WHEN event_type IN ('view', 'click') THEN 'request' WHEN event_type = 'signup' THEN 'version' ELSE 'finish' END AS kind,
+  row_number() OVER (PARTITION BY user_id % 64 ORDER BY event_id) AS i FROM events),
+s(run, i, at, kind, started, flying, queued, version, batch, pending, n, progress) AS (
+  SELECT DISTINCT run, 0::BIGINT, NULL::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM e
+  UNION ALL SELECT run, i, at, kind, started, f + started, q - started, synced, CASE WHEN whole THEN n END, CASE WHEN synced IS NULL THEN p END, n + whole::BIGINT, CASE WHEN whole THEN 0 ELSE progress + done END
+  FROM (SELECT *, CASE WHEN p IS NOT NULL AND synced IS NULL THEN 0 ELSE least({limit} - f, q) END AS started, done = 1 AND progress + 1 = {size} AS whole
+    FROM (SELECT *, CASE WHEN f = 0 THEN p END AS synced
+      FROM (SELECT e.run, e.i, e.at, e.kind, CASE WHEN {drop.replace('kind', 'e.kind')} THEN 0 ELSE s.flying - (e.kind = 'finish' AND s.flying > 0)::BIGINT END AS f, s.queued + (e.kind = 'request')::BIGINT + CASE WHEN {drop.replace('kind', 'e.kind')} THEN s.flying ELSE 0 END AS q,
+        CASE WHEN e.kind = 'version' THEN e.at ELSE s.pending END AS p, (e.kind = 'finish' AND s.flying > 0)::BIGINT AS done, s.n, s.progress FROM s JOIN e ON e.run = s.run AND e.i = s.i + 1))))
+SELECT run, at, started::INT AS started, flying::INT AS flying, queued::INT AS queued, version, batch FROM s WHERE i > 0"""
+
+
+def flights(spark, d):
+    kind = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "signup", "version").otherwise("finish")
+    s = _events(spark, d).select((F.col("user_id") % 64).alias("run"), F.col("event_id").alias("at"), kind.alias("kind"), F.col("event_id").alias("id"))
+    return s.withColumn("id", F.when(F.col("kind") != "finish", F.col("id")))
+
+
+def _told(stream):
+    return O.drain(stream, _name()).select("run", "at", F.size("started").alias("started"), "flying", "queued", "version", "batch")
+
+
+@query("K01_in_flight_limit", _quoted(_flights(3, 4, False)).replace("WHEN event_type = 'signup' THEN 'version' ELSE", "ELSE"))
+def k01_limit(spark, d):
+    s = flights(spark, d).withColumn("kind", F.when(F.col("kind") == "version", "finish").otherwise(F.col("kind")))
+    return _told(scheduling.in_flight(s.withColumn("id", F.when(F.col("kind") == "request", F.col("id"))), 3, 4))
+
+
+@query("K05_drain_at_version", _quoted(_flights(3, 4, False)))
+def k05_drain(spark, d):
+    return _told(scheduling.in_flight(flights(spark, d), 3, 4))
+
+
+@query("K05_restart_at_version", _quoted(_flights(3, 4, True)))
+def k05_restart(spark, d):
+    return _told(scheduling.in_flight(flights(spark, d), 3, 4, restart=True))
+
+
+DAY = 86_400_000_000
+
+
+@query("K14_rate_limit", _quoted(f"""WITH n AS (SELECT user_id AS run, event_id AS id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT run, id, at, greatest(at, ceil(((max(at * 2 - n * {DAY}) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + n * {DAY}) - {DAY}) / 2.0)::BIGINT) AS start FROM n"""))
+def k14(spark, d):
+    s = _events(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"))
+    return O.drain(scheduling.rate_limited(s, 2, DAY), _name())
+
+
+@query("K14_rate_limit_of_any_period", _quoted(f"""WITH n AS (SELECT user_id AS run, event_id AS id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT run, id, at, max(at - n // 2 * {DAY}) OVER (PARTITION BY run, n % 2 ORDER BY n ROWS UNBOUNDED PRECEDING) + n // 2 * {DAY} AS start FROM n"""))
+def k14_strict(spark, d):
+    r = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return scheduling.starts(r, 2, DAY, strict=True)
+
+
+HALF_DAY = 43_200_000
+
+
+@query("K15_watchdog_alarms", _quoted(f"""WITH b AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS at FROM events), n AS (SELECT run, at, lead(at) OVER (PARTITION BY run ORDER BY at) AS next FROM b)
+SELECT run, at AS last, at + {HALF_DAY} AS alarm FROM n WHERE coalesce(next, (SELECT max(at) FROM b)) > at + {HALF_DAY}"""))
+def k15_alarms(spark, d):
+    return O.drain(timers.alarms(_events(spark, d).select(F.col("user_id").alias("run"), "ts"), HALF_DAY), _name())
+
+
+@query("K10_enough_or_timeout", _quoted(f"""WITH RECURSIVE b AS (SELECT user_id % 64 AS run, epoch_us(ts) // 1000 AS at, floor(value)::BIGINT AS n, row_number() OVER (PARTITION BY user_id % 64 ORDER BY epoch_us(ts) // 1000, floor(value)) AS i FROM events WHERE value IS NOT NULL),
+s(run, i, at, since, rows, tokens, late, late_rows, late_tokens, whole) AS (
+  SELECT DISTINCT run, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false FROM b
+  UNION ALL SELECT run, i, at, CASE WHEN whole THEN at ELSE coalesce(since, at) END, r, t, late, lr, lt, t >= 150
+  FROM (SELECT run, i, at, since, CASE WHEN gone OR whole0 THEN 0 ELSE rows END + 1 AS r, CASE WHEN gone OR whole0 THEN 0 ELSE tokens END + n AS t, CASE WHEN gone THEN late0 END AS late, rows AS lr, tokens AS lt, false AS whole
+    FROM (SELECT b.run, b.i, b.at, b.n, s.rows, s.tokens, s.whole AS whole0, s.since + {HALF_DAY} AS late0, NOT s.whole AND s.since IS NOT NULL AND b.at > s.since + {HALF_DAY} AS gone, CASE WHEN s.whole OR b.at > s.since + {HALF_DAY} THEN NULL ELSE s.since END AS since FROM s JOIN b ON b.run = s.run AND b.i = s.i + 1))),
+o AS (SELECT run, late_rows AS rows, late_tokens AS tokens, 'timeout' AS reason, late AS at FROM s WHERE late IS NOT NULL UNION ALL SELECT run, rows, tokens, 'full', at FROM s WHERE whole
+  UNION ALL SELECT run, rows, tokens, 'timeout', since + {HALF_DAY} FROM s WHERE i = (SELECT max(i) FROM b WHERE b.run = s.run) AND NOT whole AND since + {HALF_DAY} <= (SELECT max(at) FROM b))
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY at) - 1 AS batch, rows, tokens, reason, at FROM o"""))
+def k10_timeout(spark, d):
+    s = _events(spark, d).where("value is not null").select((F.col("user_id") % 64).alias("run"), "ts", F.floor("value").alias("tokens"))
+    return O.drain(timers.enough_or_timeout(s, 150, HALF_DAY), _name())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources import mailbox
 from ..sources.io import exists
 from ..sources.shared import new_path
 
@@ -146,14 +147,15 @@ class BatchEmitter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = [(int(i), int(n)) for i, n in self.waiting.get()]
+        total = sum(n for _, n in held)
         batch = self.batch.get()[0] if self.batch.exists() else 0
         out = []
         for i, n in sorted((int(i), int(n)) for pdf in rows for i, n in zip(pdf["idx"], pdf["n"], strict=True)):
             held.append((i, n))
-            full = len(held) >= self.rows if self.tokens is None else sum(x for _, x in held) >= self.tokens
-            if full:
+            total += n
+            if len(held) >= self.rows if self.tokens is None else total >= self.tokens:
                 out += [(batch, j) for j, _ in held]
-                held, batch = [], batch + 1
+                held, total, batch = [], 0, batch + 1
         self.waiting.put(held) if held else self.waiting.clear()
         self.batch.update((batch,))
         if out:
@@ -168,28 +170,28 @@ def continuous_batches(stream: DataFrame, rows: int | None = None, tokens: int |
     return stream.groupBy("run_id").transformWithStateInPandas(BatchEmitter(rows, tokens), "run_id long, batch long, idx long", "Append", "None")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over what is available and returns its result as a table of the shared folder.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
-    Every micro-batch is written to a folder of its own number, so one that is run again replaces itself; in complete
-    mode the last one is the result.
-    """
+def started(stream: DataFrame, path: str, mode: str = "append", **trigger):
+    """A streaming query that writes every micro-batch to a folder of its own number below ``path``, so that one that is
+    run again replaces itself. A query takes its settings when it starts; the session's are then as before."""
     spark: SparkSession = stream.sparkSession
-    path = f"{new_path(spark)}/{name}"
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    old = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
+        return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        spark.conf.unset(PROVIDER) if old is None else spark.conf.set(PROVIDER, old)
+
+
+def result(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a query of started() has written; in complete mode the last micro-batch."""
+    spark: SparkSession = stream.sparkSession
     if not exists(spark, f"{path}/rows"):
         return spark.createDataFrame([], stream.schema)
     out = spark.read.schema(stream.schema).parquet(f"{path}/rows/*")
@@ -199,6 +201,35 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return out.select(*stream.columns)
 
 
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a streaming query over what is available and returns its result as a table of the shared folder."""
+    path = f"{new_path(stream.sparkSession)}/{name}"
+    started(stream, path, mode).awaitTermination()
+    return result(stream, path, mode)
+
+
+def relay(stream: DataFrame, sender: str, rank: str | None = None, topics: tuple[str, ...] = (mailbox.BATCHES,), capacity: int = mailbox.CAPACITY) -> DataFrame:
+    """The rows of a stream after they have gone through a mailbox on the driver's host: one query sends them, batch by
+    batch, while one for each topic receives, so that the mailbox holds little at a time."""
+    spark: SparkSession = stream.sparkSession
+    path, host = new_path(spark), spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")
+    with mailbox.Mailbox(host, capacity=capacity) as box:
+        came = [mailbox.read_mailbox(spark, box.address, stream.schema, t) for t in topics]
+        receiving = [started(c, f"{path}/{i}", processingTime="0 seconds") for i, c in enumerate(came)]
+        try:
+            mailbox.write_mailbox(stream, box.address, sender, f"{path}/sent", rank).awaitTermination()
+            for q in receiving:
+                q.processAllAvailable()
+        finally:
+            for q in receiving:
+                q.stop()
+    out = None
+    for i, c in enumerate(came):
+        part = result(c, f"{path}/{i}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's file as a stream of files."""
     path = f"{sf_dir}/{name}.parquet"
