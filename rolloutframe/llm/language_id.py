@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, delete, saved
 from ._text import LOWER, buffers, slices
 
 SAMPLE, SPREAD = 6_000, 3
@@ -161,14 +161,16 @@ def has_letter(text: Column) -> Column:
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """``learn``: a condition on id_col of the rows that may be learned from."""
     bounded_batches(docs.sparkSession)
-    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")
-    known = docs.where(learn & F.col(f"`{id_col}`").isNotNull() & lang.isNotNull() & has_letter(text)).select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), lang.alias("_lang"))
-    # as many texts of each language, by a hash of the id
-    each = known.groupBy("_lang").agg(F.count("*").alias("_count"))
+    ident, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")
+    known = docs.where(learn & ident.isNotNull() & lang.isNotNull() & has_letter(text))
+    ids = known.select(ident.alias("_id"), lang.alias("_lang"))
+    # as many texts of each language, by a hash of the id; only ids meet, then the texts of about SAMPLE of them are read
+    each = ids.groupBy("_lang").agg(F.count("*").alias("_count"))
     each = each.crossJoin(each.agg(F.count("*").alias("_languages")))  # one row on the right
     share = F.lit(float(SAMPLE)) / F.col("_languages") / F.col("_count")
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.join(each.select(F.col("_lang"), share.alias("_share")), "_lang").where(draw < F.col("_share"))
+    drawn = saved(ids.join(each.select("_lang", share.alias("_share")), "_lang").where(draw < F.col("_share")).select("_id", "_lang").distinct())
+    some = known.select(ident.alias("_id"), text.alias("_text"), lang.alias("_lang")).join(F.broadcast(drawn), ["_id", "_lang"], "left_semi")
     some = some.groupBy("_id").agg(F.min(F.struct("_text", "_lang")).alias("x")).select("x._text", "x._lang")
 
     def run(batches):
@@ -184,6 +186,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[at])), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
     got = some.mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toArrow()
+    delete(drawn)
     if not len(got):
         return None
     names = got.column("lang").to_pylist()
