@@ -7,8 +7,9 @@ read again until the receiver has committed past it, and is then dropped. Parts
 
 ``spark.readStream.format("mailbox")`` reads a topic, one task for each sender with new parts; ``writeStream`` to it
 stages in tasks and publishes in the commit of a micro-batch. With a ``rank`` column a sink deals rows to a topic for each
-rank. The mailbox holds at most ``capacity`` bytes; senders wait while it is full. It keeps parts in memory only: when its
-process ends, senders must publish again what receivers have not committed.
+rank. At most ``capacity`` bytes wait in the mailbox to be fetched, and senders wait while it is full; what has been fetched
+stays until it is committed, which Spark does when a receiver's next micro-batch begins. It keeps parts in memory only: when
+its process ends, senders must publish again what receivers have not committed.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ class Mailbox:
     """The server. ``with Mailbox() as box``: listens on box.address until the block ends."""
 
     def __init__(self, host: str = "127.0.0.1", port: int = 0, capacity: int = CAPACITY, stale: float = STALE):
-        self.capacity, self.stale, self.held = capacity, stale, 0
+        self.capacity, self.stale, self.held = capacity, stale, 0  # held: bytes that have not been fetched
+        self.fetched: set[tuple[str, str, int]] = set()
         self.staged: dict[str, tuple[str, str, float, bytes]] = {}  # token: topic, sender, time, part
         self.parts: dict[str, dict[str, dict[int, bytes]]] = {}  # topic: sender: number: part
         self.ends: dict[str, dict[str, int]] = {}
@@ -144,13 +146,20 @@ class Mailbox:
         part = self.parts.get(topic, {}).get(sender, {}).get(number)
         if part is None:
             raise LookupError(f"part {number} of {sender} on {topic} is not here")
+        if (topic, sender, number) not in self.fetched:
+            self.fetched.add((topic, sender, number))
+            self.held -= len(part)
         return {}, part
 
     def _release(self, _: bytes, topic: str, ends: dict[str, int]) -> tuple[dict, bytes]:
         for sender, end in ends.items():
             own = self.parts.get(topic, {}).get(sender, {})
             for number in [n for n in own if n < end]:
-                self.held -= len(own.pop(number))
+                part = own.pop(number)
+                if (topic, sender, number) in self.fetched:
+                    self.fetched.remove((topic, sender, number))
+                else:
+                    self.held -= len(part)
         return {}, b""
 
     def _last(self, _: bytes, sender: str) -> tuple[dict, bytes]:
@@ -226,7 +235,9 @@ def _parts(start: dict, end: dict) -> list[Part]:
     return [Part(s, start.get(s, 0), n) for s, n in sorted(end.items()) if n > start.get(s, 0)]
 
 
-def _read(address: str, topic: str, part: Part) -> Iterator[pa.RecordBatch]:
+def _read(address: str, topic: str, part: Part | None) -> Iterator[pa.RecordBatch]:
+    if part is None:  # what a reader without parts is asked for
+        return
     with Client(address) as c:
         for number in range(part.start, part.end):
             yield from unpacked(c.ask("fetch", topic=topic, sender=part.sender, number=number)[1])
