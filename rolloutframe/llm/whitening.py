@@ -135,9 +135,9 @@ def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
             if on.any():
                 turned = True
                 p, q = p[on], q[on]
-                with np.errstate(over="ignore"):
+                with np.errstate(over="ignore"):  # planes that hardly turn
                     z = (bb[on] - aa[on]) / (2 * ab[on])
-                t = np.where(z >= 0, 1.0, -1.0) / (np.abs(z) + np.hypot(1, z))
+                    t = np.where(z >= 0, 1.0, -1.0) / (np.abs(z) + np.hypot(1, z))
                 c = (1 / np.hypot(1, t))[:, None]
                 sn = c * t[:, None]
                 for m in (a, v):
