@@ -33,6 +33,7 @@ SAMPLE, SPREAD = 6_000, 3
 WINDOW, WIDTHS, FILTERS, D = 256, (2, 3, 4), 16, 8
 EPOCHS, STEPS, BATCH, RATE = 6, 300, 64, 4e-3  # STEPS at least, also of a small sample
 AT_ONCE = 128  # windows
+MANY_LANGUAGES = 100_000  # rows up to which the table of languages is broadcast: a few MB
 UNKNOWN = "und"
 STRIDE = WINDOW - max(WIDTHS) + 1
 
@@ -166,10 +167,12 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     ids = known.select(ident.alias("_id"), lang.alias("_lang"))
     # as many texts of each language, by a hash of the id; only ids meet, then the texts of about SAMPLE of them are read
     each = ids.groupBy("_lang").agg(F.count("*").alias("_count"))
-    each = each.crossJoin(each.agg(F.count("*").alias("_languages")))  # one row on the right
-    share = F.lit(float(SAMPLE)) / F.col("_languages") / F.col("_count")
+    each = saved(each)
+    languages = each.count()
+    share = F.lit(float(SAMPLE)) / languages / F.col("_count")
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = saved(ids.join(each.select("_lang", share.alias("_share")), "_lang").where(draw < F.col("_share")).select("_id", "_lang").distinct())
+    shares = each.select("_lang", share.alias("_share"))
+    drawn = saved(ids.join(F.broadcast(shares) if languages <= MANY_LANGUAGES else shares, "_lang").where(draw < F.col("_share")).select("_id", "_lang").distinct())
     some = known.select(ident.alias("_id"), text.alias("_text"), lang.alias("_lang")).join(F.broadcast(drawn), ["_id", "_lang"], "left_semi")
     some = some.groupBy("_id").agg(F.min(F.struct("_text", "_lang")).alias("x")).select("x._text", "x._lang")
 
@@ -187,6 +190,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     got = some.mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toArrow()
     delete(drawn)
+    delete(each)
     if not len(got):
         return None
     names = got.column("lang").to_pylist()
