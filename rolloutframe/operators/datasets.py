@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
-from .ordering import numbered
+from .ordering import numbered, running_sum
 
 
 def with_provenance(rows: DataFrame, subset: str | None, split: str, order: list[str], by: str | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def interleave_weighted(rows: DataFrame, source: str, order: list[str], probabil
     for k, hi in reversed(list(zip(names, upto, strict=True))[:-1]):
         pick = F.when(u < hi, F.lit(k)).otherwise(pick)
     d = spark.range(draws).withColumn(source, pick)
-    d = d.withColumn("_c", F.row_number().over(Window.partitionBy(source).orderBy("id")) - 1)
+    d = numbered(d, ["id"], "_c", (source,))
     sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
     d = d.join(F.broadcast(sizes), source).withColumn("_i", F.pmod(F.col("_c"), F.col("_n")))
     return number(rows, source, order).join(d, [source, "_i"]).withColumnRenamed("id", "position").drop("_i", "_c", "_n")
@@ -239,6 +239,11 @@ def prefix_offset(rows: DataFrame, keys: list[str], order: list[str], value: Col
     return F.coalesce(F.sum(value).over(w), F.lit(0))
 
 
+def prefix_sums(rows: DataFrame, keys: tuple[str, ...], order: list, value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over a key's rows before each; a key may hold any share of the rows."""
+    return running_sum(rows, order, value, name, keys, inclusive=False)
+
+
 def key_union(*tables: DataFrame) -> DataFrame:
     """The distinct keys of several one-column tables."""
     out = tables[0]

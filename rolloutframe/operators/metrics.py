@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import between, lower, order_statistics, upper
+
 from .ordering import framed
 
 ONE = F.lit
@@ -73,15 +75,27 @@ def eval_summary(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _with_statistics(rows: DataFrame, keys: tuple[str, ...], aggregates: list[Column], statistics: DataFrame) -> DataFrame:
+    """Aggregates of each key joined with its order statistics."""
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(f"a.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+    return rows.groupBy(*keys).agg(*aggregates).alias("a").join(statistics.alias("s"), same)
+
+
 def distribution(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean, lower median, sample deviation, extremes; NaN where there is nothing."""
     nan = F.lit(float("nan"))
-    return rows.groupBy(*keys).agg(*[F.coalesce(a.cast("double"), nan).alias(n) for n, a in (("mean", F.avg(value)), ("median", F.expr(f"percentile_disc(0.5) within group (order by {value})")), ("std", F.stddev_samp(value)), ("min", F.min(value)), ("max", F.max(value)))])
+    s = order_statistics(rows, value, keys, {"median": lower(0.5)})
+    out = _with_statistics(rows, keys, [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")], s)
+    return out.select(*[F.col(f"a.`{c}`").alias(c) for c in keys], *[F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
 def lag_stats(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Least, mean, median, 90th percentile (linear) and largest lag."""
-    return rows.groupBy(*keys).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"), F.max(value).alias("max"))
+    s = order_statistics(rows, value, keys, {"m0": lower(0.5), "m1": upper(0.5), "p0": lower(0.9), "p1": upper(0.9)})
+    out = _with_statistics(rows, keys, [F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")], s)
+    return out.select(*[F.col(f"a.`{c}`").alias(c) for c in keys], "min", "mean", between(0.5, F.col("m0"), F.col("m1")).alias("median"), between(0.9, F.col("p0"), F.col("p1")).alias("p90"), "max")
 
 
 def safe_mean(value: Column, mask: Column) -> Column:
@@ -148,9 +162,12 @@ def least_loaded(clients: DataFrame, inflight: DataFrame, key: str = "client") -
 
 
 def describe_after_first(rows: DataFrame, value: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, deviation and extremes after dropping the first (warm-up) row."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
-    rest = rows.withColumn("_n", F.row_number().over(w)).where("_n > 1")
+    """Mean, deviation and extremes without the first (warm-up) row of each key; ``order`` tells a key's rows apart."""
+    first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    same = F.col(f"r.{order}") > F.col("f._first")
+    for c in keys:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
+    rest = rows.alias("r").join(first.alias("f"), same).select("r.*")
     return rest.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
@@ -197,9 +214,9 @@ def subset_shares(samples: DataFrame, subset: str, tokens: str) -> DataFrame:
     return g.where("_k >= 2").select(subset, (F.col("_n") / F.sum("_n").over(w)).alias("sample_share"), (F.col("_t") / F.sum("_t").over(w)).alias("token_share"))
 
 
-def eviction_counts(events: Column) -> tuple[Column, Column]:
-    """(number of events, evicted tokens) of an array of events."""
-    return F.size(events).cast("long"), F.aggregate(events, F.lit(0).cast("long"), lambda s, x: s + x["tokens_evicted"])
+def eviction_counts(evicted: Column) -> tuple[Column, Column]:
+    """(number of events, evicted tokens) of a group of rows; ``evicted``: an event's tokens, null where a row is none."""
+    return F.count(evicted), F.coalesce(F.sum(evicted), F.lit(0)).cast("long")
 
 
 def even_odd(rollouts: DataFrame, value: str, index: str) -> DataFrame:

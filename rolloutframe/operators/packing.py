@@ -121,17 +121,23 @@ def padded_to(array: Column, length: int, value: Column) -> Column:
 
 def distribute(bins: DataFrame, workers: int, order: str = "bin", keys: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
     """worker and slot of every bin, with copies of a class's first bin as dummies (is_dummy) until each class divides by
-    the number of workers; a slot holds one class over all workers."""
-    part = [*keys, *([kind] if kind else [])]
-    w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    b = bins.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_all", F.count("*").over(w)).withColumn("is_dummy", F.lit(False))
-    short = F.pmod(-F.col("_all"), F.lit(workers)).cast("int")
-    more = b.where("_n = 0").withColumn("_short", short).where("_short > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_short") - 1)))
-    more = more.withColumn("_n", F.col("_all").cast("int") + F.col("_k")).withColumn("is_dummy", F.lit(True)).drop("_short", "_k")
-    every = b.unionByName(more)
-    all_w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    place = F.row_number().over(all_w.orderBy(*([kind] if kind else []), "_n")) - 1
-    return every.withColumn("_p", place).withColumn("worker", F.pmod("_p", F.lit(workers))).withColumn("slot", F.floor(F.col("_p") / workers).cast("int")).drop("_n", "_all", "_p")
+    the number of workers; a slot holds one class over all workers.
+
+    A bin's number in its class and the padded sizes of the classes in front of it give its place.
+    """
+    part = (*keys, *([kind] if kind else []))
+    b = numbered(bins, [order], "_n", part).withColumn("is_dummy", F.lit(False))
+    classes = bins.groupBy(*part).agg(F.count("*").alias("_all"))
+    classes = classes.withColumn("_padded", F.col("_all") + F.pmod(-F.col("_all"), F.lit(workers)))
+    front = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*([kind] if kind else [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)  # a row for each class
+    classes = classes.withColumn("_front", F.coalesce(F.sum("_padded").over(front), F.lit(0))).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(part)], "_all", "_padded", "_front")
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same &= F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    b = b.join(classes, same).drop(*[f"_c{i}" for i in range(len(part))])
+    dummies = b.where((F.col("_n") == 0) & (F.col("_padded") > F.col("_all"))).withColumn("_n", F.explode(F.sequence(F.col("_all"), F.col("_padded") - 1))).withColumn("is_dummy", F.lit(True))
+    place = F.col("_front") + F.col("_n")
+    return b.unionByName(dummies).withColumn("worker", F.pmod(place, F.lit(workers))).withColumn("slot", F.floor(place / workers).cast("int")).drop("_n", "_all", "_padded", "_front")
 
 
 def carried(sizes: np.ndarray, seq_len: int) -> tuple[list[int], list[int], list[int], int | None]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .ordering import numbered
 
 
 def assign(rollouts: DataFrame, easy: float | None, hard: float | None, reward: str = "reward") -> DataFrame:
@@ -63,17 +64,14 @@ def probabilities(examples: DataFrame, ratios: dict[str, float] | None = None) -
     return g.withColumn("_w", weight).withColumn("probability", F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(0)))).select("env_name", "probability")
 
 
-def hashed_order(key: Column, seed: int) -> Column:
-    """A reproducible random order."""
-    return F.xxhash64(key, F.lit(seed))
-
-
 def return_fraction(pooled: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Moves round(n * fraction) examples (half to even) of the easy and of the hard pool back to normal, by hashed order."""
-    w = Window.partitionBy("pool").orderBy(hashed_order(F.col("example_id"), seed), "example_id")
-    n = F.count("*").over(Window.partitionBy("pool"))
-    back = (F.col("pool") != "normal") & (F.row_number().over(w) <= F.bround(n * F.lit(float(fraction))))
-    return pooled.withColumn("_back", back).withColumn("pool", F.when(F.col("_back"), "normal").otherwise(F.col("pool"))).drop("_back")
+    """Moves round(n * fraction) examples (half to even) of the easy and of the hard pool back to normal, those of the
+    least uniform() numbers."""
+    drawn = pooled.where(F.col("pool") != "normal").withColumn("_u", uniform(F.col("example_id"), seed))
+    sizes = drawn.groupBy("pool").agg(F.bround(F.count("*") * F.lit(float(fraction))).alias("_back"))
+    drawn = numbered(drawn, ["_u", "example_id"], "_place", ("pool",)).join(sizes, "pool")
+    drawn = drawn.withColumn("pool", F.when(F.col("_place") < F.col("_back"), "normal").otherwise(F.col("pool"))).select(*pooled.columns)
+    return pooled.where((F.col("pool") == "normal") | F.col("pool").isNull()).unionByName(drawn)
 
 
 def sample_envs(draws: DataFrame, probabilities_: DataFrame, seed: int = 0) -> DataFrame:

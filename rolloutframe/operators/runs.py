@@ -81,6 +81,39 @@ def lifecycle(log: DataFrame, key: str = "run", order: str = "at") -> DataFrame:
     return last.select(key, state.alias("state"), "since")
 
 
+def history(log: DataFrame, key: str = "run", order: str = "at") -> DataFrame:
+    """key, state, valid_from, valid_to (null: still valid) of each run from a log of (key, order, kind) whose order tells
+    events apart. Of a run that does not exist an eviction or a deletion changes nothing; an evicted one stays evicted
+    until it is created again or deleted; neighbouring rows of one state are one."""
+    by = Window.partitionBy(key).orderBy(order)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    # a run exists if the last event in front that is no eviction made it
+    there = F.coalesce(F.last(F.when(F.col("kind") != "evict", F.col("kind") == "create"), ignorenulls=True).over(before), F.lit(False))
+    state = F.when(F.col("kind") == "create", "active").when(F.col("kind") == "evict", "evicted").otherwise("deleted")
+    rows = log.select(key, order, "kind", there.alias("_there")).where(F.col("_there") | (F.col("kind") == "create")).withColumn("state", state)
+    rows = rows.withColumn("_last", F.lag("state").over(by)).where(F.col("_last").isNull() | (F.col("_last") != F.col("state")))
+    return rows.select(key, "state", F.col(order).alias("valid_from"), F.lead(order).over(by).alias("valid_to"))
+
+
+def upserted(versions: DataFrame, changes: DataFrame, key: str = "run") -> DataFrame:
+    """A history() after a further log, whose events are later than all that it was made from: only keys with changes are
+    worked on. Columns of both: as history(); ``changes`` is a log with the order ``at``."""
+    touched = changes.select(key).distinct()
+    kept = versions.join(touched, key, "left_anti")
+    as_log = versions.join(touched, key, "left_semi").select(key, F.col("valid_from").alias("at"), F.when(F.col("state") == "active", "create").when(F.col("state") == "evicted", "evict").otherwise("delete").alias("kind"))
+    return kept.unionByName(history(as_log.unionByName(changes.select(key, "at", "kind")), key))
+
+
+def state_at(probes: DataFrame, versions: DataFrame, key: str = "run", at: str = "at") -> DataFrame:
+    """``probes`` with the state of their run at their time, from history(); null before its first. Both sides are laid
+    behind each other by key and time, and the last version in front counts: an as-of join in one sort."""
+    time, own = F.col(at), [F.col(c) for c in probes.columns]
+    v = versions.select(F.col(key).alias("_k"), F.col("valid_from").alias("_t"), F.col("state").alias("_s"), F.lit(0).alias("_probe"), F.lit(None).cast(probes.select(F.struct(*own)).schema[0].dataType).alias("_row"))
+    p = probes.select(F.col(key).alias("_k"), time.alias("_t"), F.lit(None).cast("string").alias("_s"), F.lit(1).alias("_probe"), F.struct(*own).alias("_row"))
+    last = F.last("_s", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    return v.unionByName(p).withColumn("state", last).where("_probe = 1").select("_row.*", "state")
+
+
 def silences(beats: DataFrame, key: str, time: str, minutes: int = 30) -> DataFrame:
     """key, from, to of the gaps between beats that are longer than ``minutes``."""
     before = F.lag(time).over(Window.partitionBy(key).orderBy(time))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .packing import bucket_of, buckets_down
 
 TIMEOUT = 10  # emitted batches
@@ -64,6 +65,11 @@ def adjacent_groups(rows: DataFrame, key: str, order: list[str], kind: str, leng
     return dealt.mapInArrow(run, ", ".join([*(f"`{n}` {types[n]}" for n in names), "group int"]))
 
 
+def batched(rows: DataFrame, order: list, size: int, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the number of the batch of ``size`` neighbours in order that each is in."""
+    return numbered(rows, order, name, by).withColumn(name, F.floor(F.col(name) / size))
+
+
 def _gathered(rows: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_x"))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import datasets, metrics, packing, runs, trajectory
 from ..operators.ordering import numbered
+from ..sources import images, io
 from ..sources.carriers import table, view
+from ..sources.shared import new_path
 from .registry import query, r6
 
 
@@ -63,10 +65,13 @@ def a32(spark, d):
     return o.select("o_orderkey", S.boxed_answer(a).alias("boxed"))
 
 
-@query("A34_image_offload", "SELECT substr(sha256(p_name), 1, 16) || '.png' AS file, count(*) AS uses FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY file")
+@query("A34_image_offload", "SELECT l_orderkey, l_linenumber, l_partkey, substr(sha256(base64(p_name::BLOB)), 1, 16) || '.png' AS file, strlen(p_name)::BIGINT AS bytes, md5(p_name) AS content FROM lineitem JOIN part ON p_partkey = l_partkey")
 def a34(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return table(spark, d, "lineitem").join(p, "l_partkey").groupBy(S.image_file(F.col("p_name")).alias("file")).agg(F.count("*").alias("uses"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("p_name", "utf-8"))).alias("url"))
+    uses, root = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey"), new_path(spark)
+    moved = images.offload(uses, "url", root)
+    stored = images.stored(spark, root).select("file", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("content"))
+    return moved.withColumn("file", F.element_at(F.split("url", "/"), -1)).join(stored, "file").select("l_orderkey", "l_linenumber", "l_partkey", "file", "bytes", "content")
 
 
 @query("A38_teacher_null_to_zero", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 0) AS logprob FROM events")
@@ -74,9 +79,20 @@ def a38(spark, d):
     return table(spark, d, "events").select("event_id", S.teacher_logprob(F.when(F.col("event_id") % 3 != 0, F.col("value"))).alias("logprob"))
 
 
-@query("A17_rollout_log_rows", "SELECT example_id AS problem_id, round(avg(reward), 6) AS reward, sum(prompt_len)::BIGINT AS num_input_tokens, sum(completion_len)::BIGINT AS num_output_tokens FROM rollouts WHERE stop_condition IS NOT NULL GROUP BY example_id", ("rollouts",))
+@query("A17_rollout_log_rows", """SELECT 'run-1' AS run_id, 7::BIGINT AS step, 'train' AS tag, CASE WHEN conv_id % 3 = 0 THEN conv_id * 2 ELSE conv_id END AS problem_id, conv_id AS sample_id, to_json([min_by(text, turn)]) AS prompt, to_json([max_by(text, turn)]) AS completion,
+to_json([count(*)]) AS trajectory, CASE WHEN conv_id % 2 = 0 THEN max(role) ELSE '' END AS answer, min(role) AS task, '{"turns":' || count(*) || '}' AS info, round(conv_id / 7.0::DOUBLE, 6) AS reward, round(conv_id / 9.0::DOUBLE, 6) AS advantage, '' AS metrics, '' AS timing,
+sum(len(string_split(text, ' ')))::BIGINT AS num_input_tokens, count(*) AS num_output_tokens, true AS dated, 'env_' || conv_id % 5 AS env_name FROM conversations GROUP BY conv_id HAVING conv_id % 11 <> 0""")
 def a17(spark, d):
-    return view(spark, d, "rollouts").where("stop_condition is not null").groupBy(F.col("example_id").alias("problem_id")).agg(r6(F.avg("reward")).alias("reward"), F.sum("prompt_len").alias("num_input_tokens"), F.sum("completion_len").alias("num_output_tokens"))
+    k, none = F.col("conv_id"), F.lit(None)
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("p"), F.max_by("text", "turn").alias("c"), F.count("*").alias("n"), F.max("role").alias("high"), F.min("role").alias("low"), F.sum(F.size(F.split("text", " "))).alias("words"))
+    rollouts = c.select(
+        F.when(k % 3 == 0, (k * 2).cast("string")).otherwise(F.lit("no number")).alias("example_id"), k.alias("sample_id"), F.array("p").alias("prompt"), F.array("c").alias("completion"), F.when(k % 11 != 0, F.array("n")).alias("trajectory"), F.when(k % 2 == 0, F.col("high")).alias("answer"), F.col("low").alias("task"),
+        F.struct(F.col("n").alias("turns")).alias("info"), (k / F.lit(7.0)).alias("reward"), (k / F.lit(9.0)).alias("advantage"), none.cast("map<string, double>").alias("metrics"), none.cast("map<string, double>").alias("timing"), F.col("words").alias("num_input_tokens"), F.col("n").alias("num_output_tokens"), F.concat(F.lit("env_"), k % 5).alias("env_name"),
+    )
+    path = new_path(spark)
+    io.write_sample_log(io.sample_log(rollouts, "run-1", 7, "train"), path)
+    log = io.read_dataset(spark, path)
+    return log.withColumns({"reward": r6("reward"), "advantage": r6("advantage"), "dated": F.col("created_at").isNotNull()}).drop("created_at")
 
 
 @query("B10_max_examples", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50")
@@ -206,8 +222,8 @@ def g09(spark, d):
 
 @query("E08_exclusive_prefix", "SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents")
 def e08(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", datasets.prefix_offset(docs, ["lang"], ["doc_id"], F.col("n_chars")).alias("start"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return datasets.prefix_sums(docs, ("lang",), ["doc_id"], F.col("n_chars"), "start").select("doc_id", "start")
 
 
 @query("E16_generation_prompt", "SELECT conv_id, turn, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS generate FROM conversations")
@@ -262,11 +278,12 @@ def h13(spark, d):
     return steps(spark, d).select("rollout_id", p.alias("prompt_len"), s.alias("seq_len"))
 
 
-@query("H07_admission_trim", "SELECT vec_id, list_sum(list_transform(embedding[1:3] || embedding[6:20] || embedding[31:64], lambda x: x::DOUBLE))::DOUBLE IS NOT NULL AS kept, 52 AS n FROM embeddings")
+@query("H07_admission_trim", "WITH t AS (SELECT vec_id, embedding[1:3] || embedding[6:20] || embedding[31:64] AS t FROM embeddings) SELECT vec_id, len(t)::INT AS n, round(list_sum(list_transform(t, lambda x, i: x::DOUBLE * i)), 4) AS placed FROM t")
 def h07(spark, d):
     events = F.expr("array(named_struct('evict_start', 3, 'tokens_evicted', 2), named_struct('evict_start', 18, 'tokens_evicted', 10))")
     e = table(spark, d, "embeddings").withColumn("t", trajectory.admission_trim(F.col("embedding"), events))
-    return e.select("vec_id", F.col("t").isNotNull().alias("kept"), F.size("t").alias("n"))
+    placed = F.aggregate(F.transform("t", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.size("t").alias("n"), F.round(placed, 4).alias("placed"))
 
 
 @query("H18_incremental_mask", "SELECT conv_id, sum(len(string_split(text, ' ')))::BIGINT AS tokens, coalesce(sum(len(string_split(text, ' '))) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS trained FROM conversations GROUP BY conv_id")
@@ -276,11 +293,13 @@ def h18(spark, d):
     return m.select("conv_id", F.size(mask).cast("long").alias("tokens"), F.size(F.filter(mask, lambda x: x)).cast("long").alias("trained"))
 
 
-@query("H19_shifted_targets", "WITH t AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents) SELECT doc_id, n AS inputs, 7 AS last_target FROM t")
+@query("H19_shifted_targets", """WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: len(w)) AS w FROM documents)
+SELECT doc_id, len(w) AS inputs, true AS whole, md5(array_to_string(list_transform(w, lambda n: n + 1000), ',')) AS input_digest, md5(array_to_string(list_transform(w[2:], lambda n: n + 1000) || [7], ',')) AS target_digest, (len(list_filter(w, lambda n, i: i % 2 = 0)) + 1)::BIGINT AS trained FROM t""")
 def h19(spark, d):
     ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 1000)
-    x, y, m = trajectory.with_targets(ids, F.transform(ids, lambda i: F.lit(True)), 7)
-    return table(spark, d, "documents").select("doc_id", F.size(x).cast("long").alias("inputs"), F.element_at(y, -1).alias("last_target"))
+    x, y, m = trajectory.with_targets(ids, F.transform(ids, lambda i, n: n % 2 == 1), 7)
+    digest = lambda a: F.md5(F.array_join(a.cast("array<string>"), ","))
+    return table(spark, d, "documents").select("doc_id", F.size(x).cast("long").alias("inputs"), (F.size(x) == F.size(y)).alias("whole"), digest(x).alias("input_digest"), digest(y).alias("target_digest"), F.size(F.filter(m, lambda t: t)).cast("long").alias("trained"))
 
 
 @query("J04_common_prefix", "WITH p AS (SELECT doc_id, string_split(text, ' ') AS a, lead(string_split(text, ' ')) OVER (ORDER BY doc_id) AS b FROM documents) SELECT doc_id, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))::INT AS prefix FROM p WHERE b IS NOT NULL")

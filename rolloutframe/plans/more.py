@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import datasets, metrics, packing, runs, stacking, trajectory
 from ..operators import tokens as T
+from ..operators.ordering import numbered
 from ..sources.carriers import table, view
 from .data import steps
 from .records import _fair
@@ -98,9 +99,8 @@ def d22(spark, d):
 
 @query("D32_eviction_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS events, coalesce(sum(floor(value)) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS tokens_evicted FROM events GROUP BY user_id")
 def d32(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "click", F.struct(F.floor("value").alias("tokens_evicted")))).alias("e"))
-    n, evicted = metrics.eviction_counts(F.col("e"))
-    return g.select("user_id", n.alias("events"), evicted.alias("tokens_evicted"))
+    n, evicted = metrics.eviction_counts(F.when(F.col("event_type") == "click", F.coalesce(F.floor("value"), F.lit(0))))
+    return table(spark, d, "events").groupBy("user_id").agg(n.alias("events"), evicted.alias("tokens_evicted"))
 
 
 @query("D35_log_z", "SELECT example_id, round(avg(reward + 0.1::DOUBLE * (ln(1 + completion_len) - ln(1 + prompt_len))), 6) + 0.0 AS log_z FROM rollouts GROUP BY example_id", ("rollouts",))
@@ -152,8 +152,8 @@ def e12(spark, d):
 
 @query("F01_packing_sort", f"SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 2, {WORDS} DESC, doc_id) AS place FROM documents")
 def f01(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.col("doc_id") % 2, F.desc("n"), "doc_id")
-    return _words(spark, d).select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    n = _words(spark, d).select("doc_id", "lang", "n", (F.col("doc_id") % 2).alias("lora_idx"))
+    return numbered(n, ["lora_idx", F.desc("n"), "doc_id"], "place", ("lang",)).select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 @query("F04_first_over_threshold", "SELECT event_id, round(value, 6) AS value FROM events WHERE value >= 95 ORDER BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END NULLS LAST, event_id LIMIT 1")
@@ -208,9 +208,11 @@ def h05(spark, d):
     return s.groupBy("rollout_id").agg(F.bool_or(F.exists("completion_mask", lambda x: x)).alias("trains"))
 
 
-@query("H11_routed_expert_padding", "SELECT vec_id, 80 AS n FROM embeddings")
+@query("H11_routed_expert_padding", "WITH p AS (SELECT vec_id, embedding || list_transform(range(80 - len(embedding)), lambda i: -1::FLOAT) AS p FROM embeddings) SELECT vec_id, len(p)::INT AS n, round(list_sum(list_transform(p, lambda x, i: x::DOUBLE * i)), 4) AS placed FROM p")
 def h11(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.size(trajectory.pad_rows(F.col("embedding"), F.lit(80), F.lit(0.0).cast("float"))).alias("n"))
+    p = table(spark, d, "embeddings").select("vec_id", trajectory.pad_rows(F.col("embedding"), F.lit(80), F.lit(-1.0).cast("float")).alias("p"))
+    placed = F.aggregate(F.transform("p", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", F.size("p").alias("n"), F.round(placed, 4).alias("placed"))
 
 
 @query("H12_advantage_to_samples", "SELECT conv_id AS rollout_id, count(*) AS samples, round(sum(conv_id / 7.0::DOUBLE), 6) AS advantage FROM (SELECT conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0 AND turn >= 5 UNION ALL SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND NOT (conv_id % 5 = 0 AND turn >= 5)) GROUP BY conv_id")
@@ -226,25 +228,28 @@ def i05(spark, d):
     return laid.groupBy("lang").agg(F.count_if("is_dummy").alias("dummies"))
 
 
-@query("I11_vertical_stack", f"SELECT doc_id % 100 AS grp, count(*) AS rows, max({WORDS})::INT AS width, (count(*) * max({WORDS}))::BIGINT AS area FROM documents GROUP BY grp")
+STACKS = f"(SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS grp, {WORDS} AS n FROM documents)"
+
+
+@query("I11_vertical_stack", f"SELECT grp, count(*) AS rows, max(n)::INT AS width, (count(*) * max(n))::BIGINT AS area FROM {STACKS} GROUP BY grp")
 def i11(spark, d):
-    rows = _words(spark, d).select((F.col("doc_id") % 100).alias("grp"), "doc_id", F.split("text", " ").alias("ids"))
+    rows = stacking.batched(_words(spark, d).select("doc_id", F.split("text", " ").alias("ids")), ["doc_id"], 64, "grp")
     s = stacking.vertical_stack(rows, ["grp"], "doc_id", {"ids": ""})
     width = F.size(F.get("ids", F.lit(0)))
     return s.select("grp", F.size("ids").cast("long").alias("rows"), width.alias("width"), F.size(F.flatten("ids")).cast("long").alias("area"))
 
 
-@query("I13_horizontal_pack", f"SELECT doc_id, coalesce(sum({WORDS}) OVER (PARTITION BY doc_id % 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, {WORDS}::INT AS length FROM documents")
+@query("I13_horizontal_pack", f"SELECT doc_id, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n::INT AS length FROM {STACKS}")
 def i13(spark, d):
-    rows = _words(spark, d).select((F.col("doc_id") % 100).alias("grp"), "doc_id", F.split("text", " ").alias("ids"), F.array("doc_id").alias("doc"))
+    rows = stacking.batched(_words(spark, d).select("doc_id", F.split("text", " ").alias("ids"), F.array("doc_id").alias("doc")), ["doc_id"], 64, "grp")
     p = stacking.horizontal_pack(rows, ["grp"], "doc_id", ["ids", "doc"])
     return p.select(F.explode(F.arrays_zip("doc", "sequence_offsets", "sequence_lengths")).alias("x")).select(F.col("x.doc").alias("doc_id"), F.col("x.sequence_offsets").cast("long").alias("start"), F.col("x.sequence_lengths").alias("length"))
 
 
-@query("I17_pad_or_drop", f"SELECT doc_id, 512 AS n FROM documents WHERE {WORDS} <= 512")
+@query("I17_pad_or_drop", f"SELECT doc_id, 512 AS n, md5(text || repeat(' <pad>', (512 - {WORDS})::INT)) AS digest FROM documents WHERE {WORDS} <= 512")
 def i17(spark, d):
-    w = _words(spark, d).where(datasets.shorter(F.col("n"), 512))
-    return w.select("doc_id", F.size(packing.padded_to(F.split("text", " "), 512, F.lit(""))).alias("n"))
+    w = _words(spark, d).where(datasets.shorter(F.col("n"), 512)).select("doc_id", packing.padded_to(F.split("text", " "), 512, F.lit("<pad>")).alias("ids"))
+    return w.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", " ")).alias("digest"))
 
 
 @query("J12_privileged_prompt", "SELECT o_orderkey, 'Q: ' || o_orderpriority || ' A: ' || o_orderstatus AS text FROM orders")

@@ -231,10 +231,14 @@ def i10(spark, d):
 
 def _rows(spark, d) -> DataFrame:
     ids = F.transform(F.split("text", " "), F.length)
-    return table(spark, d, "documents").select((F.col("doc_id") % 100).alias("grp"), "doc_id", ids.alias("input_ids"), F.transform(ids, lambda x: F.lit(True)).alias("loss_mask"), F.array("n_chars").alias("calls"))
+    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids"), F.transform(ids, lambda x: F.lit(True)).alias("loss_mask"), F.array("n_chars").alias("calls"))
+    return stacking.batched(rows, ["doc_id"], 64, "grp")
 
 
-@query("I12_vertical_stack_with_calls", f"SELECT doc_id % 100 AS grp, count(*)::INT AS rows, max({WORDS})::INT AS width, string_agg({WORDS}::VARCHAR, ',' ORDER BY doc_id) AS lengths, sum({WORDS})::BIGINT AS trained, string_agg(n_chars::VARCHAR, ',' ORDER BY doc_id) AS calls FROM documents GROUP BY grp")
+STACKS = f"(SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS grp, {WORDS} AS n FROM documents)"
+
+
+@query("I12_vertical_stack_with_calls", f"SELECT grp, count(*)::INT AS rows, max(n)::INT AS width, string_agg(n::VARCHAR, ',' ORDER BY doc_id) AS lengths, sum(n)::BIGINT AS trained, string_agg(n_chars::VARCHAR, ',' ORDER BY doc_id) AS calls FROM {STACKS} GROUP BY grp")
 def i12(spark, d):
     s = stacking.vertical_stack(_rows(spark, d), ["grp"], "doc_id", {"input_ids": 1, "loss_mask": False}, "calls")
     trained = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, m: a + F.size(F.filter(m, lambda x: x)))
@@ -242,13 +246,13 @@ def i12(spark, d):
     return s.where(same).select("grp", F.size("input_ids").alias("rows"), F.size(F.get("input_ids", F.lit(0))).alias("width"), F.array_join("sequence_lengths", ",").alias("lengths"), trained.alias("trained"), F.array_join(F.flatten("calls"), ",").alias("calls"))
 
 
-@query("E09_horizontal_offsets", f"WITH o AS (SELECT doc_id % 100 AS grp, doc_id, {WORDS} AS n, coalesce(sum({WORDS}) OVER (PARTITION BY doc_id % 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents) SELECT grp, sum(n)::INT AS tokens, string_agg(start::VARCHAR, ',' ORDER BY doc_id) AS starts FROM o GROUP BY grp")
+@query("E09_horizontal_offsets", f"WITH o AS (SELECT grp, doc_id, n, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM {STACKS}) SELECT grp, sum(n)::INT AS tokens, string_agg(start::VARCHAR, ',' ORDER BY doc_id) AS starts FROM o GROUP BY grp")
 def e09(spark, d):
     p = stacking.horizontal_pack(_rows(spark, d), ["grp"], "doc_id", ["input_ids", "loss_mask"])
     return p.select("grp", F.size("input_ids").alias("tokens"), F.array_join("sequence_offsets", ",").alias("starts"))
 
 
-@query("I18_collate", f"SELECT doc_id % 100 AS grp, count(*)::INT AS rows, max({WORDS})::INT AS width FROM documents GROUP BY grp")
+@query("I18_collate", f"SELECT grp, count(*)::INT AS rows, max(n)::INT AS width FROM {STACKS} GROUP BY grp")
 def i18(spark, d):
     s = stacking.vertical_stack(_rows(spark, d), ["grp"], "doc_id", {"input_ids": 0})
     c = stacking.collate(s.select("grp", F.posexplode("input_ids").alias("slot", "input_ids")), ["grp"], "slot", ["input_ids"])

@@ -142,6 +142,33 @@ def k13(spark, d):
     return runs.lifecycle(table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), kind.alias("kind")))
 
 
+RUN_LOG = """l AS (SELECT user_id AS run, event_id AS t, CASE event_type WHEN 'view' THEN 'create' WHEN 'signup' THEN 'create' WHEN 'click' THEN 'evict' ELSE 'delete' END AS kind FROM events),
+e AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'evict' THEN kind = 'create' END IGNORE NULLS) OVER (PARTITION BY run ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there FROM l),
+s AS (SELECT run, t, CASE kind WHEN 'create' THEN 'active' WHEN 'evict' THEN 'evicted' ELSE 'deleted' END AS state FROM e WHERE there OR kind = 'create'),
+c AS (SELECT *, lag(state) OVER (PARTITION BY run ORDER BY t) AS before FROM s),
+v AS (SELECT run, state, t AS valid_from, lead(t) OVER (PARTITION BY run ORDER BY t) AS valid_to FROM c WHERE before IS NULL OR before <> state)"""
+
+
+def _log(spark, d):
+    kind = F.when(F.col("event_type").isin("view", "signup"), "create").when(F.col("event_type") == "click", "evict").otherwise("delete")
+    return table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), kind.alias("kind"))
+
+
+@query("K13_run_history", f"WITH {RUN_LOG} SELECT * FROM v")
+def k13_history(spark, d):
+    log = _log(spark, d)
+    half = log.agg(F.floor(F.avg("at")).alias("half"))  # what came first, and what an upsert adds
+    log = log.join(F.broadcast(half))
+    return runs.upserted(runs.history(log.where("at <= half").drop("half")), log.where("at > half").drop("half"))
+
+
+@query("K13_state_at_time", f"""WITH {RUN_LOG}, p AS (SELECT o_orderkey, o_custkey % 200 AS run, o_orderkey % 12000 AS t FROM orders)
+SELECT o_orderkey, p.run, p.t AS "at", v.state FROM p ASOF LEFT JOIN v ON p.run = v.run AND p.t >= v.valid_from""")
+def k13_as_of(spark, d):
+    probes = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("run"), (F.col("o_orderkey") % 12000).alias("at"))
+    return runs.state_at(probes, runs.history(_log(spark, d)))
+
+
 @query("K15_silences", """SELECT user_id, b AS "from", ts AS "to" FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE ts > b + INTERVAL 30 MINUTE""")
 def k15(spark, d):
     return runs.silences(table(spark, d, "events"), "user_id", "ts")
@@ -259,12 +286,18 @@ def a36(spark, d):
     return io.read_benchmarks(spark, path, whole_files=False).select("config.seq_len", "config.hardware", "metrics.mfu")
 
 
-@query("A35_benchmark_scan", "SELECT count(*) AS n, 2::BIGINT AS files FROM part WHERE p_size > 25")
+@query("A35_benchmark_scan", "SELECT p_partkey AS seq_len, true AS nested FROM part")
 def a35(spark, d):
     path = new_path(spark)
-    io.write_benchmarks(_records(spark, d).where("metrics.mfu is not null").join(table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")), F.col("config.seq_len") == F.col("k")).drop("k"), f"{path}/a/b")
+    # records at several depths, and files that cannot be parsed
+    for depth, part in (("", 0), ("/a", 1), ("/a/b", 2)):
+        io.write_benchmarks(_records(spark, d).where(F.pmod("config.seq_len", F.lit(3)) == part), f"{path}{depth}/records")
     io.write_text(spark, f"{path}/broken.json", "{not json")
-    return io.read_benchmarks(spark, path, whole_files=False).where("config is not null").agg(F.count("*").alias("n"), F.lit(2).cast("long").alias("files"))
+    io.write_text(spark, f"{path}/a/empty.json", "")
+    got = io.read_benchmarks(spark, path, whole_files=False).where("config is not null")
+    # each record is at the depth that it was written to
+    below = F.substring_index(F.regexp_extract(F.input_file_name(), "[^/]+/((a/(b/)?)?records)/", 1), "records", 1)
+    return got.select("config.seq_len", (F.regexp_count(below, F.lit("/")) == F.pmod("config.seq_len", F.lit(3))).alias("nested"))
 
 
 @query("B23_successful_benchmarks", "SELECT p_partkey AS seq_len FROM part WHERE p_partkey % 4 <> 0")
