@@ -192,8 +192,8 @@ def shorter(length: Column, most: int) -> Column:
 
 
 def cyclic(offset: int, j: Column, n: Column) -> Column:
-    """The j-th index of a dataset that begins again after n rows, from an offset on."""
-    return F.pmod(j + offset, n)
+    """The j-th index of a dataset that begins again after n rows, from an offset on; null without rows."""
+    return F.pmod(j + offset, F.nullif(n, F.lit(0)))
 
 
 def dealt(rows: DataFrame, order: list, workers: int) -> DataFrame:

@@ -193,7 +193,12 @@ def _turns(spark, d) -> DataFrame:
     return c.select("conv_id", turn.alias("turns")).where((F.size("turns") > 0) & (F.size(F.get("turns.user_ids", F.lit(0))) > 0))
 
 
-@query("H20_turn_eviction")
+@query("H20_turn_eviction", """WITH m AS (SELECT conv_id, turn, role = 'assistant' AS answer, len(string_split(coalesce(text, ''), ' ')) + 1 AS n, ceil((len(string_split(coalesce(text, ''), ' ')) + 1) / 16.0)::BIGINT * 16 AS whole FROM conversations),
+g AS (SELECT *, coalesce(sum(answer::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM m),
+t AS (SELECT conv_id, k, coalesce(sum(whole) FILTER (WHERE NOT answer), 0) AS f, max(n) FILTER (WHERE answer) AS a, min_by(whole, turn) AS first FROM g GROUP BY conv_id, k HAVING bool_or(answer)),
+l AS (SELECT *, f + a + (16 - (f + a) % 16) % 16 AS size, count(*) OVER (PARTITION BY conv_id) AS turns FROM t)
+SELECT conv_id, sum(size)::INT AS tokens, sum(a)::INT AS trained, count(*)::INT AS calls, greatest(count(*) - 2, 0)::INT AS events, coalesce(sum(size - CASE WHEN k = 0 THEN first ELSE 0 END) FILTER (WHERE k + 2 < turns), 0)::INT AS evicted
+FROM l GROUP BY conv_id HAVING max(f) FILTER (WHERE k = 0) > 0""")
 def h20(spark, d):
     e = turns.turn_eviction(_turns(spark, d), 2, 1, 16, END)
     return e.select("conv_id", F.size("ids").alias("tokens"), F.size(F.filter("mask", lambda x: x)).alias("trained"), F.size("calls").alias("calls"), F.size(F.filter("calls", lambda c: c["tokens_evicted"] > 0)).alias("events"), F.aggregate("calls", F.lit(0), lambda s, c: s + c["tokens_evicted"]).alias("evicted"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import image_file
+from .io import exists
 from .shared import written
 
 PREFIX = "^data:image/[^;,]*;base64,"
@@ -76,6 +77,8 @@ def offload(rows: DataFrame, url: str, folder: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """file, content of the images of a folder."""
+    """file, content of the images of a folder, which comes into being with its first image."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "file string, content binary")
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
