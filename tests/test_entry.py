@@ -12,7 +12,7 @@ SOME = ["D01_group_mean_advantage", "D02_length_shaped_advantage", "D07_two_leve
 SOME += ["A04_provenance", "A09_jsonl_pool_restore", "A16_next_batches_once", "A19_sample_table", "A37_checkpoint", "B02_repetition_filter", "B25_stackable", "C08_first_seen_index", "C12_adapter_match", "D25_validation_mean", "E04_rolling_throughput", "E09_horizontal_offsets", "E14_adjacent_groups", "F06_full_batches", "F10_weighted_env_draws", "F11_uniform_examples", "F14_epoch_shuffle", "F16_top_k_experts", "G01_interleave_first_exhausted"]
 SOME += ["H01_filled_tokens", "H04_merge_rule", "H06_midgen_starts_a_sample", "H08_event_coercion", "H09_summary_samples", "H10_call_records", "H14_image_indices", "H21_filler_padding", "H23_trim_last_call", "I07_single_run_packer", "I10_horizontal_groups", "I12_vertical_stack_with_calls", "J01_message_containers", "J02_tool_arguments", "J05_tool_format", "K01_continuous_batches", "K13_run_lifecycle", "L02_custom_loss", "L03_filter_protocol"]
 SOME += ["A15_socket_micro_batches", "A17_rollout_log_rows", "A34_image_offload", "D29_lag_stats", "H19_shifted_targets", "H20_turn_eviction", "I09_run_progress", "I11_vertical_stack", "K05_restart_at_version", "K08_run_queues", "K10_enough_or_timeout", "K13_state_at_time", "K14_rate_limit", "K15_watchdog_alarms"]
-NO_SQL = ["F18_sft_policy_pick", "I15_stack_packing", "J07_hash_mod", "K09_bucket_timeouts"]
+NO_SQL = ["F18_policy_pick", "I15_stack_packing", "J07_hash_mod", "K09_bucket_timeouts"]
 
 
 def test_oracles_have_queries():
