@@ -19,7 +19,8 @@ and others at random are clean. Scoring is one pass without a shuffle over whole
 
 Edge cases: null and empty texts are one empty window; without both labels to learn from, every score is the share of
 toxic labels; several labels of one id count once each; of repeated rows of an id the least text is learned from; rows
-with a null id are scored and never learned from; repeated rows score alike; other columns stay, but one named like the
+with a null id are scored and never learned from; repeated rows score alike, up to the last
+digits (matrix products round by their shape, so by what stands beside a text); other columns stay, but one named like the
 score is replaced; an empty table gives no rows.
 """
 
