@@ -9,6 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields
 from typing import Any, Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -109,6 +111,32 @@ def custom_loss(rows: DataFrame, path: str, key: str = "seq_id", **options) -> D
     return rows.groupBy(key).agg(*[c.alias(n) for n, c in import_object(path)(**options).items()])
 
 
+def ppo_clip_arrays(trainer, inference, advantage, mask, clip_eps: float = 0.2) -> dict[str, float | None]:
+    """ppo_clip() of one sequence, from arrays of its tokens in order."""
+    ratio = np.exp(trainer - inference)
+    clipped = np.clip(ratio, 1 - clip_eps, 1 + clip_eps)
+    both = np.minimum(ratio * advantage, clipped * advantage)[mask]
+    return {"loss": -float(both.sum()), "clip_frac": float((ratio != clipped)[mask].mean()) if mask.any() else None}
+
+
+def custom_array_loss(rows: DataFrame, path: str, columns: list[str], metrics: list[str], key: str = "seq_id", order: str = "pos", **options) -> DataFrame:
+    """key and ``metrics`` (doubles) that the loss at a dotted path returns for each sequence: a function of arrays, one
+    for each of ``columns``, for losses that are no aggregates of columns. A task holds one sequence at a time; numbers
+    that are null are NaN, and a truth value that is null is false."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        arrays = {}
+        for c in columns:
+            column = table.column(c)
+            arrays[c] = (column.fill_null(False) if pa.types.is_boolean(column.type) else column.cast(pa.float64())).to_numpy()
+        got = import_object(path)(**arrays, **options)
+        return pa.table([table.column(key).slice(0, 1), *(pa.array([got[m]], pa.float64()) for m in metrics)], names=[key, *metrics])
+
+    return rows.select(key, order, *columns).groupBy(key).applyInArrow(run, ", ".join([f"`{key}` {kind}", *(f"`{m}` double" for m in metrics)]))
+
+
 # monitors
 
 

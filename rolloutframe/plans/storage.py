@@ -348,6 +348,12 @@ def l02(spark, d):
     return out.select("seq_id", (F.round("loss", 5) + F.lit(0.0)).alias("loss"), r6("clip_frac").alias("clip_frac"))
 
 
+@query("L02_custom_array_loss", PPO)
+def l02_arrays(spark, d):
+    out = extensions.custom_array_loss(tokens(spark, d), "rolloutframe.extensions.ppo_clip_arrays", ["trainer", "inference", "advantage", "mask"], ["loss", "clip_frac"], clip_eps=0.05)
+    return out.select("seq_id", (F.round("loss", 5) + F.lit(0.0)).alias("loss"), r6("clip_frac").alias("clip_frac"))
+
+
 @query("L08_normalized_advantage", "SELECT example_id, rollout_idx, round((reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-8), 5) + 0.0 AS advantage FROM groups4 WINDOW w AS (PARTITION BY example_id)", ("groups4",))
 def l08(spark, d):
     f = extensions.import_object("rolloutframe.operators.advantage.normalized")

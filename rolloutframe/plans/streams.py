@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import mailbox
+from ..sources import io, mailbox
 from ..streaming import operators as O
 from ..streaming import scheduling, timers
+from ..streaming.fan_out import FanOut
 from ..sources.carriers import table
+from ..sources.io import exists
+from ..sources.shared import new_path
 from .registry import query, r6
 
 
@@ -169,3 +172,29 @@ SELECT run, row_number() OVER (PARTITION BY run ORDER BY at) - 1 AS batch, rows,
 def k10_timeout(spark, d):
     s = _events(spark, d).where("value is not null").select((F.col("user_id") % 64).alias("run"), "ts", F.floor("value").alias("tokens"))
     return O.drain(timers.enough_or_timeout(s, 150, HALF_DAY), _name())
+
+
+@query("A22_metric_fan_out", "SELECT 'table' AS sink, event_id, event_type, value FROM events UNION ALL SELECT 'late', event_id, event_type, value FROM events")
+def a22(spark, d):
+    root = new_path(spark)
+
+    def table_sink(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{root}/table/batch={batch}")
+
+    def late_sink(rows, batch):
+        if not exists(spark, f"{root}/up"):  # away at first
+            io.write_text(spark, f"{root}/up", "")
+            raise ConnectionError("the monitor is away")
+        rows.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
+
+    fan = FanOut({"table": table_sink, "late": late_sink}, f"{root}/ledger")
+    s = _events(spark, d).select("event_id", "event_type", "value")
+    s.writeStream.foreachBatch(fan).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    fan.settle(spark)
+    out = None
+    for name in ("table", "late"):
+        there = exists(spark, f"{root}/{name}")
+        rows = spark.read.schema(s.schema).parquet(f"{root}/{name}/*") if there else spark.createDataFrame([], s.schema)
+        rows = rows.select(F.lit(name).alias("sink"), "event_id", "event_type", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

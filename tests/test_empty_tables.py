@@ -16,7 +16,7 @@ def nothing(spark, small, tmp_path_factory):
     return str(root)
 
 
-STREAMED = {n for n in plans.QUERIES if n[:3] in {"K01", "K02", "K03", "K05", "K06", "K07", "K10", "K11", "K12", "K14", "K15", "X01", "A14", "A15"}}
+STREAMED = {n for n in plans.QUERIES if n[:3] in {"K01", "K02", "K03", "K05", "K06", "K07", "K10", "K11", "K12", "K14", "K15", "X01", "A14", "A15", "A22"}}
 
 
 @pytest.mark.parametrize("group", range(8))

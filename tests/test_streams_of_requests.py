@@ -14,6 +14,7 @@ from rolloutframe import extensions
 from rolloutframe.sources import mailbox
 from rolloutframe.streaming import operators as O
 from rolloutframe.streaming import scheduling, timers
+from rolloutframe.streaming.fan_out import FanOut
 
 
 def name():
@@ -311,3 +312,30 @@ def test_heartbeats_of_queries(spark, tmp_path):
 def test_offsets_are_plain_json():
     assert json.loads(json.dumps({"a": 3})) == {"a": 3}
     assert [(p.sender, p.start, p.end) for p in mailbox._parts({"a": 1}, {"a": 3, "b": 2, "c": 0})] == [("a", 1, 3), ("b", 0, 2)]
+
+
+def test_a_failing_sink_gets_its_batches_later_in_order_and_once(spark, tmp_path):
+    s, add = fed(spark, tmp_path, "id long", [(1,)], [(2,)], [(3,)])
+    taken, calls = {"good": [], "bad": []}, []
+
+    def sink(name, fails):
+        def take(rows, batch):
+            calls.append((name, batch))
+            if fails and sum(n == name for n, _ in calls) in fails:
+                raise OSError("away")
+            taken[name].append((batch, sorted(r.id for r in rows.collect())))
+
+        return take
+
+    fan = FanOut({"bad": sink("bad", {1, 2}), "good": sink("good", set())}, str(tmp_path / "ledger"))
+
+    def run():
+        s.writeStream.foreachBatch(fan).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert taken["good"] == [(0, [1]), (1, [2]), (2, [3])] == taken["bad"]
+    assert [e[:2] for e in fan.errors] == [("bad", 0), ("bad", 0)]
+    add([(4,)])
+    run()
+    fan(spark.createDataFrame([(4,)], "id long"), 3)  # the same batch once more
+    assert taken["bad"][-1] == (3, [4]) == taken["good"][-1] and len(taken["bad"]) == 4 and fan.settle(spark) == []
