@@ -41,6 +41,7 @@ SIGN = "\u2581"
 SIGN_POINT = 0x110000  # a U+2581 that stands in a text: no code point, so no piece holds it
 BUCKET_BITS = 20
 LONG, CHUNK = 4096, 512  # characters: of segments whose places are filtered in chunks, and of a chunk
+AT_ONCE = 1 << 17  # characters of segments whose lattices are built together: about 80 MB
 
 
 class Lattice:
@@ -264,7 +265,25 @@ def spelled_size(point: np.ndarray) -> np.ndarray:
 def lattices(own: Lattice, points, hashes, start, size):
     """Lattices of segments: (last node of each, first arc of each node, keys, back, piece). A node is a place after a
     character; its arcs have keys from its number to the next, spread by cumulated probability; back is -1 at a segment's front; a
-    piece below 0 is a character, -1 - code point, that is spelled in bytes."""
+    piece below 0 is a character, -1 - code point, that is spelled in bytes.
+
+    Segments are worked on in blocks of about AT_ONCE characters, so that what is needed on the way to the arcs is a
+    block's and not the slice's.
+    """
+    base = np.concatenate([[0], np.cumsum(size)])
+    cuts = np.unique(np.append(np.searchsorted(base, np.arange(0, int(base[-1]), AT_ONCE)), len(size)))
+    parts, arcs = [], 0
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = block_lattices(own, points, hashes, start[lo:hi], size[lo:hi], int(base[lo]))
+        parts.append((part[0], part[1] + arcs, *part[2:]))
+        arcs += len(part[2])
+    if not parts:
+        return (np.zeros(0, np.int64),) * 5
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def block_lattices(own: Lattice, points, hashes, start, size, front: int):
+    """lattices() of one block; nodes are numbered from ``front``."""
     base = np.concatenate([[0], np.cumsum(size)])
     nodes = int(base[-1])
     place = np.arange(nodes) - np.repeat(base[:-1], size)  # characters of the segment before this one
@@ -307,10 +326,11 @@ def lattices(own: Lattice, points, hashes, start, size):
     run = np.cumsum(value)
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     run -= np.repeat(run[first] - value[first], np.diff(np.append(first, len(to))))
-    keys = to + np.minimum(run, 1 - 1e-9)
+    keys = front + to + np.minimum(run, 1 - 1e-9)
     last = np.append(first[1:], len(to)) - 1
-    keys[last] = to[last] + 1.0
-    return base[1:] - 1, first, keys, back, ids
+    keys[last] = front + to[last] + 1.0
+    back[back >= 0] += front
+    return front + base[1:] - 1, first, keys, back, ids
 
 
 def filtered(total, place, to, back, weight) -> np.ndarray:
