@@ -162,12 +162,12 @@ def f04(spark, d):
     return metrics.first_over(table(spark, d, "events"), "value", 95, call, "event_id").select("event_id", r6("value").alias("value"))
 
 
-@query("F17_fair_selection", _fair(524_288, 0, "", "SELECT run, samples AS n FROM t", "'run_' || client"), ("rollouts",))
+@query("F17_fair_selection", _fair(65_536, 0, "", "SELECT run, samples AS n FROM t", "'run_' || client"), ("rollouts",))
 def f17(spark, d):
     n = F.col("completion_len") + F.col("prompt_len")
     queue = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), F.lit(0).cast("long").alias("step"), "example_id", "rollout_idx", n.alias("n_tokens"))
     progress = queue.select("run").distinct().withColumn("step", F.lit(0).cast("long"))
-    return packing.select_fair(queue, progress, 524_288, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
+    return packing.select_fair(queue, progress, 65_536, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
 
 
 @query("G05_run_set_difference", "SELECT s_nationkey AS run FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")

@@ -329,7 +329,7 @@ def test_extension_points(spark, tmp_path):
     hooks.on_change(*runs.changed(spark.createDataFrame([("a",), ("b",)], "run string"), spark.createDataFrame([("b",), ("c",)], "run string")))
     assert sorted(seen) == [("gone", "a"), ("new", "c")]
     with pytest.raises(ValueError, match="unknown transport"):
-        extensions.make_transport("socket", spark, "x")
+        extensions.make_transport("pigeon", spark, "x")
     with pytest.raises(ValueError, match="unknown filter"):
         extensions.make_filter({"type": "none"}, 10)
 
