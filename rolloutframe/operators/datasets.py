@@ -86,9 +86,10 @@ def rank_shard(index: Column, rank: int, world: int) -> Column:
     return F.pmod(index, F.lit(world)) == rank
 
 
-def epoch(step: Column, n: int) -> tuple[Column, Column]:
-    """(epoch, index) of a step from 1 over n rows."""
-    return F.floor((step - 1) / n).cast("long"), F.pmod(step - 1, F.lit(n))
+def epoch(step: Column, n: int | Column) -> tuple[Column, Column]:
+    """(epoch, index) of a step from 1 over n rows; null without rows."""
+    rows = F.nullif(n if isinstance(n, Column) else F.lit(n), F.lit(0))
+    return F.floor((step - 1) / rows).cast("long"), F.pmod(step - 1, rows)
 
 
 def shuffled(rows: DataFrame, index: str, seed: int, name: str = "place") -> DataFrame:
@@ -106,13 +107,20 @@ def sample_examples(draws: DataFrame, examples: DataFrame, order: list, seed: in
     return draws.join(F.broadcast(size)).withColumn("_i", at).join(n, "_i").drop("_i", "_n")
 
 
-def fake_batches(spark: SparkSession, ranks: int, batches: int, size: int, seq_len: int, vocab: int = 120_000) -> DataFrame:
-    """rank, batch, i, seed, input_ids of made-up micro-batches; a seed is rank * 1e6 + batch * 1e3 + i and decides the ids."""
-    d = spark.range(ranks * batches * size)
-    rank, batch, i = F.floor(F.col("id") / (batches * size)), F.pmod(F.floor(F.col("id") / size), F.lit(batches)), F.pmod("id", F.lit(size))
+def _random_ids(key: Column, length: Column | int, vocab: int, seed: int) -> Column:
+    """``length`` token ids below vocab, decided by key, place and seed; none for a length of 0."""
+    length = F.lit(length) if isinstance(length, int) else length
+    ids = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(length, F.lit(1)).cast("long")), lambda k: F.floor(uniform(F.concat_ws(":", key, k - 1), seed) * vocab).cast("int"))
+    return F.slice(ids, 1, F.greatest(length, F.lit(0)).cast("int"))
+
+
+def fake_batches(rows: DataFrame, order: list, ranks: int, size: int, seq_len: int, vocab: int = 120_000) -> DataFrame:
+    """rank, batch, i, seed, input_ids: made-up micro-batches in place of ``rows``, dealt in order to ranks and, there, to
+    batches of ``size``; a seed is rank * 1e6 + batch * 1e3 + i and decides the ids. All other columns go."""
+    d = dealt(rows.select(*order), order, ranks)
+    rank, batch, i = F.col("worker").cast("long"), F.floor(F.col("slot") / size).cast("long"), F.pmod("slot", F.lit(size))
     d = d.select(rank.alias("rank"), batch.alias("batch"), i.alias("i"), (rank * 1_000_000 + batch * 1_000 + i).alias("seed"))
-    ids = F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)), lambda k: F.floor(uniform(F.concat_ws(":", F.col("seed"), k), 0) * vocab).cast("int"))
-    return d.withColumn("input_ids", ids)
+    return d.withColumn("input_ids", _random_ids(F.col("seed"), seq_len, vocab, 0))
 
 
 def places(rows: DataFrame, buckets: list[str], order: list[str]) -> DataFrame:
@@ -175,10 +183,16 @@ def head(rows: DataFrame, order: list, n: int) -> DataFrame:
     return rows if n < 0 else rows.orderBy(*order).limit(n)
 
 
-def fake_samples(spark: SparkSession, n: int, length: Column) -> DataFrame:
-    """sample, ids of made-up samples with increasing ids; ``length`` is an expression of sample."""
-    ids = F.sequence(F.lit(0).cast("long"), length - 1)
-    return spark.range(n).withColumnRenamed("id", "sample").withColumn("ids", ids)
+def fake_samples(rows: DataFrame, sample: str, seq_len: int, vocab: int = 120_000, *, kind: str = "increasing", length: str = "fixed", seed: int = 0) -> DataFrame:
+    """sample, ids, mask: a made-up sample for each row, all of it trained. kind: ids count up from 0, modulo vocab, or
+    are random; length: seq_len, or random from 1 to seq_len. The column ``sample`` decides all draws."""
+    if kind not in ("increasing", "random") or length not in ("fixed", "variable"):
+        raise ValueError(f"no samples of {kind} ids and {length} length")
+    n = F.lit(seq_len) if length == "fixed" else (1 + F.floor(uniform(F.concat(F.col(sample).cast("string"), F.lit(":n")), seed) * seq_len)).cast("int")
+    counting = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.pmod(k, F.lit(vocab)))
+    ids = counting if kind == "increasing" else _random_ids(F.col("sample"), F.col("_n"), vocab, seed)
+    out = rows.select(F.col(sample).alias("sample"), n.alias("_n")).withColumn("ids", ids)
+    return out.select("sample", "ids", F.transform("ids", lambda x: F.lit(True)).alias("mask"))
 
 
 def task_prompt(task: Column, index: Column, question: Column) -> tuple[Column, Column]:

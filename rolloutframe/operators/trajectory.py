@@ -1,13 +1,15 @@
-"""From trajectories to training samples.
+"""From trajectories to training samples: array expressions on one row a rollout, without Python and without a shuffle.
 
-The interleave fold runs once per rollout over a rollout's steps only; everything else is array expressions.
+Which earlier step a prompt continues is looked up by hashes of prefixes. A token's hash covers its place, so a prefix's
+hash is the exclusive or of its tokens' hashes; a prompt is hashed once, cut where the steps of its rollout end, and the
+hashes at those cuts serve the comparisons with all of them. Where hashes agree the tokens are compared too, so equal
+hashes of different prefixes cost time and change nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,55 +59,108 @@ def pad_rows(rows: Column, expected: Column, zero: Column) -> Column:
     return F.concat(rows, F.array_repeat(zero, F.greatest(expected - F.size(rows), F.lit(0))))
 
 
-SAMPLE = (
-    "rollout_id long, sample_idx int, step_ids array<int>, prompt_ids array<int>, completion_ids array<int>, "
-    "completion_mask array<boolean>, completion_logprobs array<double>, completion_temperatures array<double>"
-)
-_ARROW = pa.schema([("rollout_id", pa.int64()), ("sample_idx", pa.int32()), ("step_ids", pa.list_(pa.int32())), ("prompt_ids", pa.list_(pa.int32())), ("completion_ids", pa.list_(pa.int32())), ("completion_mask", pa.list_(pa.bool_())), ("completion_logprobs", pa.list_(pa.float64())), ("completion_temperatures", pa.list_(pa.float64()))])
-
-
-def fold_steps(steps: list[dict], error: bool, temperature: float) -> list[dict]:
-    """The samples of one rollout. A step joins the first sample, in the order in which they began, whose tokens are a
-    strict prefix of the step's prompt; what the prompt adds is untrained. A step with an event inside its generation
-    never joins. An errored rollout trains nothing."""
-    samples: list[dict] = []
-    for s in steps:
-        prompt, completion = list(s["prompt_ids"]), list(s["completion_ids"])
-        mask = [bool(x) and not error for x in s["completion_mask"]]
-        target = None
-        if not s.get("midgen"):
-            for sample in samples:
-                tokens = sample["prompt_ids"] + sample["completion_ids"]
-                if len(prompt) > len(tokens) and prompt[: len(tokens)] == tokens:
-                    target = sample
-                    break
-        if target is None:
-            target = {"prompt_ids": prompt, "completion_ids": [], "completion_mask": [], "completion_logprobs": [], "completion_temperatures": [], "step_ids": []}
-            samples.append(target)
-            added = []
-        else:
-            added = prompt[len(tokens) :]
-        target["step_ids"].append(s["step_idx"])
-        target["completion_ids"] += added + completion
-        target["completion_mask"] += [False] * len(added) + mask
-        target["completion_logprobs"] += [0.0] * len(added) + list(s["completion_logprobs"])
-        target["completion_temperatures"] += [temperature] * (len(added) + len(completion))
-    return samples
-
-
-def interleave(rollouts: DataFrame) -> DataFrame:
-    """Samples of rollouts: rollout_id, error (boolean), temperature, steps (array of structs step_idx, prompt_ids,
-    completion_ids, completion_mask, completion_logprobs, midgen). Rollouts without a step, or with a step without
-    tokens, are dropped. One row holds a rollout, so the fold needs no shuffle."""
-    good = rollouts.where((F.size("steps") > 0) & F.forall("steps", lambda s: s["prompt_ids"].isNotNull() & s["completion_ids"].isNotNull()))
+SAMPLE = {
+    "rollout_id": "bigint", "sample_idx": "int", "step_ids": "array<int>", "prompt_ids": "array<int>", "completion_ids": "array<int>",
+    "completion_mask": "array<boolean>", "completion_logprobs": "array<double>", "completion_temperatures": "array<double>",
+}
+
+
+def token_hash(place: Column, token: Column) -> Column:
+    """Hash of a token at its place in a sequence."""
+    return F.xxhash64(place.cast("int"), token)
+
+
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def with_prefix_index(rows: DataFrame, steps: str = "steps", token: Callable[[Column, Column], Column] = token_hash) -> DataFrame:
+    """``rows`` with _ends, _hash, _cuts and _marks of the steps (structs with prompt_ids and completion_ids, neither null).
+
+    _ends[i] is where step i ends (its prompt and completion), _hash[i] the hash of all that, _cuts the different ends in
+    order, and _marks[j][k] the hash of the first _cuts[k] tokens of prompt j, null where it is not longer than that.
+    """
+    after = lambda s: F.transform(s["completion_ids"], lambda x, i: token(i + F.size(s["prompt_ids"]), x))
+    rows = rows.withColumn("_tokens", F.transform(steps, lambda s: F.transform(s["prompt_ids"], lambda x, i: token(i, x))))
+    rows = rows.withColumn("_ends", F.transform(steps, lambda s: F.size(s["prompt_ids"]) + F.size(s["completion_ids"])))
+    rows = rows.withColumn("_cuts", F.array_sort(F.array_distinct("_ends")))
+    rows = rows.withColumn("_hash", F.transform(steps, lambda s, i: _xor(F.get("_tokens", i)).bitwiseXOR(_xor(after(s)))))
+
+    def marks(t: Column) -> Column:
+        begin = lambda k: F.coalesce(F.get("_cuts", k - 1), F.lit(0))
+        pieces = F.transform(F.filter("_cuts", lambda c: c < F.size(t)), lambda c, k: _xor(F.slice(t, begin(k) + 1, c - begin(k))))
+        # exclusive or of all pieces so far; the last one is carried at the end of the list
+        return F.aggregate(pieces, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x.bitwiseXOR(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long"))))))
+
+    return rows.withColumn("_marks", F.transform("_tokens", marks)).drop("_tokens")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                steps = sorted(row["steps"], key=lambda s: s["step_idx"])
-                for i, s in enumerate(fold_steps(steps, bool(row["error"]), row["temperature"])):
-                    out.append({"rollout_id": row["rollout_id"], "sample_idx": i, **s})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+def continues(i: Column, j: Column, steps: str = "steps") -> Column:
+    """Whether the prompt of step j strictly extends prompt and completion of step i; needs ``with_prefix_index``."""
+    one, other, end = F.get(steps, i), F.get(steps, j), F.get("_ends", i)
+    mark = F.get(F.get("_marks", j), F.array_position("_cuts", end).cast("int") - 1)
+    same = F.slice(other["prompt_ids"], 1, end) == F.concat(one["prompt_ids"], one["completion_ids"])
+    return F.when(F.coalesce(mark == F.get("_hash", i), F.lit(False)), same).otherwise(F.lit(False))
 
-    return good.select("rollout_id", "error", "temperature", "steps").mapInArrow(run, SAMPLE)
+
+def prefix_pairs(sequences: DataFrame, key: str, order: str, ids: str, token: Callable[[Column, Column], Column] = token_hash) -> DataFrame:
+    """(key, prefix, step): the pairs of sequences of a key, by their order, of which the later one strictly extends the
+    earlier one. Sequences of a key come together in one row, as the steps of a rollout do; null ones have no pairs."""
+    step = F.struct(F.col(order).alias("order"), F.col(ids).alias("prompt_ids"), F.array().cast(dict(sequences.dtypes)[ids]).alias("completion_ids"))
+    rows = sequences.where(F.col(ids).isNotNull() & F.col(order).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(step), _by("order")).alias("steps"))
+    rows = with_prefix_index(rows, token=token)
+    order_of = lambda i: F.get("steps", i)["order"]
+    earlier = lambda j: F.filter(F.sequence(F.lit(0), j), lambda i: (order_of(i) < order_of(j)) & continues(i, j))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("steps") - 1), lambda j: F.transform(earlier(j), lambda i: F.struct(order_of(i).alias("prefix"), order_of(j).alias("step")))))
+    return rows.select(key, F.explode(pairs).alias("_pair")).select(key, "_pair.prefix", "_pair.step")
+
+
+def _by(field: str) -> Callable[[Column, Column], Column]:
+    return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
+
+
+def _sample_steps() -> Column:
+    """The samples of a rollout, in the order in which they begin: each the numbers of its steps. A sample holds all that
+    its last step's prompt and completion hold, so whether it is continued depends on that step alone."""
+
+    def place(samples: Column, j: Column) -> Column:
+        first = F.when(~F.get("_apart", j), F.array_min(F.transform(samples, lambda s, n: F.when(continues(F.element_at(s, -1), j), n))))
+        put = lambda at: F.when(at.isNull(), F.concat(samples, F.array(F.array(j)))).otherwise(F.transform(samples, lambda s, n: F.when(n == at, F.concat(s, F.array(j))).otherwise(s)))
+        return F.get(F.transform(F.array(first), put), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("steps") - 1), F.array().cast("array<array<int>>"), place)
+
+
+def interleave(rollouts: DataFrame, token: Callable[[Column, Column], Column] = token_hash) -> DataFrame:
+    """Samples of rollouts: rollout_id, error (boolean), temperature, steps (array of structs step_idx, prompt_ids,
+    completion_ids, completion_mask, completion_logprobs and, where there is any, midgen).
+
+    A step joins the first sample, in the order in which they began, whose tokens are a strict prefix of the step's
+    prompt; what the prompt adds is untrained, with logprob 0. A step with an event inside its generation never joins.
+    An errored rollout trains nothing. Rollouts without a step, or with a step without tokens, are dropped. One row holds
+    a rollout, so nothing is shuffled.
+    """
+    good = rollouts.where((F.size("steps") > 0) & F.forall("steps", lambda s: s["prompt_ids"].isNotNull() & s["completion_ids"].isNotNull()))
+    fields = rollouts.schema["steps"].dataType.elementType.fieldNames()
+    apart = lambda s: F.coalesce(s["midgen"].cast("boolean"), F.lit(False)) if "midgen" in fields else F.lit(False)
+    rows = good.select("rollout_id", F.coalesce(F.col("error").cast("boolean"), F.lit(False)).alias("_error"), F.col("temperature").alias("_temperature"), F.array_sort("steps", _by("step_idx")).alias("steps"))
+    rows = with_prefix_index(rows, token=token).withColumn("_apart", F.transform("steps", apart))
+    rows = rows.select("rollout_id", "_error", "_temperature", "steps", "_ends", F.posexplode(_sample_steps()).alias("sample_idx", "_of"))
+    first, last = F.get("steps", F.get("_of", F.lit(0))), F.get("steps", F.element_at("_of", -1))
+    prompt = F.size(first["prompt_ids"])
+    step = lambda j: F.get("steps", j)
+    # how many tokens of a step's prompt are new to its sample
+    added = lambda j, n: F.when(n == 0, F.lit(0)).otherwise(F.size(step(j)["prompt_ids"]) - F.get("_ends", F.get("_of", n - 1)))
+    joined = lambda blank, own: F.flatten(F.transform("_of", lambda j, n: F.concat(F.array_repeat(blank, added(j, n)), own(step(j)))))
+    whole = F.concat(last["prompt_ids"], last["completion_ids"])
+    out = {
+        "rollout_id": F.col("rollout_id"),
+        "sample_idx": F.col("sample_idx"),
+        "step_ids": F.transform("_of", lambda j: step(j)["step_idx"]),
+        "prompt_ids": first["prompt_ids"],
+        "completion_ids": F.slice(whole, prompt + 1, F.size(whole) - prompt),
+        "completion_mask": joined(F.lit(False), lambda s: F.transform(s["completion_mask"], lambda x: F.coalesce(x, F.lit(False)) & ~F.col("_error"))),
+        "completion_logprobs": joined(F.lit(0.0), lambda s: s["completion_logprobs"].cast("array<double>")),
+        "completion_temperatures": F.array_repeat(F.col("_temperature"), F.size(whole) - prompt),
+    }
+    return rows.select(*[c.cast(SAMPLE[n]).alias(n) for n, c in out.items()])

@@ -52,10 +52,19 @@ def a29(spark, d):
     return runs.steps_after(o, o.agg(F.max("step") / 2))
 
 
-@query("A30_fake_increasing", "SELECT r.range AS sample, list_sum(range(r.range % 16 + 1))::BIGINT AS id_sum, r.range % 16 + 1 AS length FROM range(500) r")
+U52 = "('0x' || substr(md5({} || '-{}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+@query("A30_fake_increasing", f"""WITH n AS (SELECT doc_id AS sample, 1 + floor({U52.format("doc_id || ':n'", 0)} * 64)::BIGINT AS n FROM documents),
+f AS (SELECT *, list_transform(range(n), lambda k: k % 50) AS up, list_transform(range(n), lambda k: floor({U52.format("sample || ':' || k", 0)} * 50)::BIGINT) AS random FROM n)
+SELECT sample, n::INT AS length, list_sum(up)::BIGINT AS id_sum, list_sum(list_transform(random, lambda x, i: x * i))::BIGINT AS random_placed, 64 AS fixed_length FROM f""")
 def a30(spark, d):
-    f = datasets.fake_samples(spark, 500, F.col("sample") % 16 + 1)
-    return f.select("sample", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.size("ids").cast("long").alias("length"))
+    docs = table(spark, d, "documents").select("doc_id")
+    up, random = (datasets.fake_samples(docs, "doc_id", 64, 50, kind=k, length="variable") for k in ("increasing", "random"))
+    fixed = datasets.fake_samples(docs, "doc_id", 64, 50).select("sample", F.size("mask").alias("fixed_length"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    random = random.select("sample", total(F.transform("ids", lambda x, i: x * (i + 1))).alias("random_placed"))
+    return up.select("sample", F.size("ids").alias("length"), total("ids").alias("id_sum")).join(random, "sample").join(fixed, "sample")
 
 
 @query("A32_boxed_answer", "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'so the total is #### ' || o_custkey ELSE 'answer ' || o_custkey END AS answer FROM orders) SELECT o_orderkey, '\\boxed{' || CASE WHEN regexp_extract(answer, '####\\s*([-0-9.,]+)', 1) <> '' THEN regexp_extract(answer, '####\\s*([-0-9.,]+)', 1) ELSE answer END || '}' AS boxed FROM a")
@@ -237,10 +246,12 @@ def e17(spark, d):
     return datasets.collapse_tools(table(spark, d, "conversations").select("conv_id", "turn", role.alias("role")), "conv_id", "turn")
 
 
-@query("E18_epochs", "SELECT r.range + 1 AS step, r.range // 37 AS epoch, r.range % 37 AS index FROM range(400) r")
+@query("E18_epochs", "SELECT o_orderkey + 1 AS step, o_orderkey // n AS epoch, o_orderkey % n AS index FROM orders, (SELECT nullif(count(*), 0) AS n FROM part)")
 def e18(spark, d):
-    e, i = datasets.epoch(F.col("id") + 1, 37)
-    return spark.range(400).select((F.col("id") + 1).alias("step"), e.alias("epoch"), i.alias("index"))
+    rows = table(spark, d, "part").agg(F.count("*").alias("n"))
+    step = F.col("o_orderkey") + 1  # steps count from 1, these keys from 0
+    e, i = datasets.epoch(step, F.col("n"))
+    return table(spark, d, "orders").join(F.broadcast(rows)).select(step.alias("step"), e.alias("epoch"), i.alias("index"))
 
 
 @query("E05_packed_boundaries", "WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn % 3 AS p FROM conversations), b AS (SELECT *, (p = 0 AND coalesce(lag(p) OVER w, 1) <> 0 AND coalesce(lead(p) OVER w, -1) = 1)::INT AS b FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY n)) SELECT conv_id, turn, sum(b) OVER (PARTITION BY conv_id ORDER BY n)::BIGINT AS chunk FROM b")

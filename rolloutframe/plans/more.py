@@ -74,9 +74,7 @@ def c05(spark, d):
 def c07(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     s = table(spark, d, "conversations").select("conv_id", "turn", F.flatten(F.collect_list(F.split("text", " ")).over(w)).alias("ids"))
-    a, b = s.alias("a"), s.alias("b")
-    both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") > F.col("a.turn")))
-    return both.where(trajectory.extends(F.col("b.ids"), F.col("a.ids"))).select("a.conv_id", F.col("a.turn").alias("prefix"), F.col("b.turn").alias("step"))
+    return trajectory.prefix_pairs(s, "conv_id", "turn", "ids")
 
 
 @query("C12_adapter_match", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false WHEN c_custkey % 4 = 2 THEN c_nationkey = c_custkey % 25 ELSE c_mktsegment = 'BUILDING' END AS loaded FROM customer")

@@ -47,10 +47,12 @@ def g04(spark, d):
     return datasets.interleave_all(one, "source", ["doc_id"]).select("doc_id", F.col("position").cast("long").alias("position"))
 
 
-@query("A31_fake_batches", "SELECT r.range AS rank, b.range AS batch, i.range AS i, r.range * 1000000 + b.range * 1000 + i.range AS seed, 64 AS n FROM range(3) r, range(20) b, range(8) i")
+@query("A31_fake_batches", """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), s AS (SELECT place % 3 AS rank, place // 3 // 8 AS batch, place // 3 % 8 AS i FROM r), t AS (SELECT *, rank * 1000000 + batch * 1000 + i AS seed FROM s)
+SELECT *, list_sum(list_transform(range(64), lambda k: floor(('0x' || substr(md5(seed || ':' || k || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * 120000)::BIGINT * (k + 1)))::BIGINT AS placed FROM t""")
 def a31(spark, d):
-    f = datasets.fake_batches(spark, 3, 20, 8, 64)
-    return f.select("rank", "batch", "i", "seed", F.size("input_ids").alias("n"))
+    f = datasets.fake_batches(table(spark, d, "documents"), ["doc_id"], 3, 8, 64)
+    placed = F.aggregate(F.transform("input_ids", lambda x, k: x.cast("long") * (k + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return f.select("rank", "batch", "i", "seed", placed.alias("placed"))
 
 
 POOL = "CASE WHEN p_size >= 40 THEN 'easy' WHEN p_size <= 10 THEN 'hard' END"

@@ -1,6 +1,7 @@
 """Golden cases and invariants of the operators on tiny inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,28 +116,101 @@ def step(i, prompt, completion, lp=None, **more):
     return {"step_idx": i, "prompt_ids": prompt, "completion_ids": completion, "completion_mask": [True] * len(completion), "completion_logprobs": lp or [-0.1] * len(completion), "midgen": False} | more
 
 
-def test_interleave_golden():
-    out = trajectory.fold_steps([step(0, [1, 2], [3, 4], [-0.1, -0.2]), step(1, [1, 2, 3, 4, 5, 6], [7, 8], [-0.3, -0.4])], False, 1.0)
-    assert len(out) == 1
-    s = out[0]
+STEPS = "rollout_id long, error boolean, temperature double, steps array<struct<step_idx:int,prompt_ids:array<int>,completion_ids:array<int>,completion_mask:array<boolean>,completion_logprobs:array<double>,midgen:boolean>>"
+
+
+def folded(spark, rollouts, **more):
+    """Samples of each rollout, by the operator. rollouts: (steps, error)."""
+    rows = [(i, error, 0.5, [tuple(s.values()) for s in steps]) for i, (steps, error) in enumerate(rollouts)]
+    out = {i: [] for i in range(len(rollouts))}
+    for r in trajectory.interleave(spark.createDataFrame(rows, STEPS), **more).orderBy("rollout_id", "sample_idx").collect():
+        out[r.rollout_id].append(r.asDict())
+    return [out[i] for i in range(len(rollouts))]
+
+
+def test_interleave_golden(spark):
+    ((s,),) = folded(spark, [([step(0, [1, 2], [3, 4], [-0.1, -0.2]), step(1, [1, 2, 3, 4, 5, 6], [7, 8], [-0.3, -0.4])], False)])
     assert (s["prompt_ids"], s["completion_ids"]) == ([1, 2], [3, 4, 5, 6, 7, 8])
     assert s["completion_mask"] == [True, True, False, False, True, True]
     assert s["completion_logprobs"] == [-0.1, -0.2, 0.0, 0.0, -0.3, -0.4]
 
 
-def test_interleave_breaks_agents_and_errors():
+def test_interleave_breaks_agents_and_errors(spark):
     steps = [step(0, [1], [2]), step(1, [1, 2, 3], [4]), step(2, [9], [8]), step(3, [9, 8, 7], [6]), step(4, [1, 2, 3, 4, 5], [5])]
-    out = trajectory.fold_steps(steps, False, 1.0)
-    assert [s["step_ids"] for s in out] == [[0, 1, 4], [2, 3]]
-    assert not any(any(s["completion_mask"]) for s in trajectory.fold_steps(steps, True, 1.0))
-    assert len(trajectory.fold_steps([step(0, [1], [2]), step(1, [1, 2, 3], [4], midgen=True)], False, 1.0)) == 2
+    good, bad, apart = folded(spark, [(steps, False), (steps, True), ([step(0, [1], [2]), step(1, [1, 2, 3], [4], midgen=True)], False)])
+    assert [s["step_ids"] for s in good] == [[0, 1, 4], [2, 3]]
+    assert not any(any(s["completion_mask"]) for s in bad)
+    assert len(apart) == 2
+
+
+def walked(steps, error):
+    """Samples by walking over the steps with whole token lists."""
+    open_ = []
+    for s in sorted(steps, key=lambda s: s["step_idx"]):
+        p, c = s["prompt_ids"], s["completion_ids"]
+        home = None if s["midgen"] else next((o for o in open_ if len(o["all"]) < len(p) and p[: len(o["all"])] == o["all"]), None)
+        if home is None:
+            home = {"all": p, "step_ids": [], "prompt_ids": p, "mask": [], "lp": []}
+            open_.append(home)
+        extra = len(p) - len(home["all"])
+        home["step_ids"].append(s["step_idx"])
+        home["mask"] += [False] * extra + [m and not error for m in s["completion_mask"]]
+        home["lp"] += [0.0] * extra + s["completion_logprobs"]
+        home["all"] = p + c
+    return open_
+
+
+@pytest.mark.parametrize("token", [trajectory.token_hash, lambda place, x: F.lit(0).cast("long"), lambda place, x: x.cast("long") % 2], ids=["hash", "all collide", "many collide"])
+def test_interleave_against_a_walk(spark, token):
+    rng = random.Random(7)
+    rollouts = []
+    for _ in range(150):
+        steps, ends = [], [[]]
+        for i in range(rng.randint(1, 7)):
+            p = rng.choice(ends) + [rng.randint(0, 1) for _ in range(rng.randint(0, 3))]
+            c = [rng.randint(0, 1) for _ in range(rng.randint(0, 3))]
+            steps.append(step(i, p, c, [-rng.random() for _ in c], completion_mask=[rng.random() < 0.7 for _ in c], midgen=rng.random() < 0.1))
+            ends.append(p + c)
+        rng.shuffle(steps)
+        rollouts.append((steps, rng.random() < 0.2))
+    for (steps, error), got in zip(rollouts, folded(spark, rollouts, token=token), strict=True):
+        expected = walked(steps, error)
+        assert [s["step_ids"] for s in got] == [e["step_ids"] for e in expected]
+        assert [s["prompt_ids"] + s["completion_ids"] for s in got] == [e["all"] for e in expected]
+        assert [s["prompt_ids"] for s in got] == [e["prompt_ids"] for e in expected]
+        assert [s["completion_mask"] for s in got] == [e["mask"] for e in expected]
+        assert [s["completion_logprobs"] for s in got] == [e["lp"] for e in expected]
+        assert all(s["completion_temperatures"] == [0.5] * len(s["completion_ids"]) for s in got)
+
+
+def test_interleave_stays_in_the_engine(spark):
+    plan = trajectory.interleave(spark.createDataFrame([], STEPS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("token", [trajectory.token_hash, lambda place, x: F.lit(0).cast("long")], ids=["hash", "all collide"])
+def test_prefix_pairs(spark, token):
+    rng = random.Random(3)
+    rows = [(k, t, [rng.randint(0, 1) for _ in range(rng.randint(0, 5))] if rng.random() < 0.9 else None) for k in range(30) for t in range(8)]
+    expected = {(k, a, b) for k, a, x in rows for k2, b, y in rows if k == k2 and a < b and x is not None and y is not None and len(y) > len(x) and y[: len(x)] == x}
+    got = trajectory.prefix_pairs(spark.createDataFrame(rows, "k long, turn int, ids array<int>"), "k", "turn", "ids", token)
+    assert got.columns == ["k", "prefix", "step"] and sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_fake_samples(spark):
+    rows = spark.createDataFrame([(5,), (9,), (5,)], "id long")
+    fixed = datasets.fake_samples(rows, "id", 7, 3).collect()
+    assert [(r.ids, r.mask) for r in fixed] == [([0, 1, 2, 0, 1, 2, 0], [True] * 7)] * 3
+    drawn = [(r.sample, r.ids) for r in datasets.fake_samples(rows, "id", 7, 3, kind="random", length="variable", seed=2).collect()]
+    assert drawn[0] == drawn[2] and all(1 <= len(ids) <= 7 and set(ids) <= {0, 1, 2} for _, ids in drawn)
+    with pytest.raises(ValueError):
+        datasets.fake_samples(rows, "id", 7, 3, kind="other")
 
 
 def test_interleave_drops_steps_without_tokens(spark):
-    schema = "rollout_id long, error boolean, temperature double, steps array<struct<step_idx:int,prompt_ids:array<int>,completion_ids:array<int>,completion_mask:array<boolean>,completion_logprobs:array<double>,midgen:boolean>>"
     good = (0, [1], [2], [True], [-0.1], False)
     rows = [(1, False, 1.0, [good]), (2, False, 1.0, [good, (1, None, [3], [True], [0.0], False)]), (3, False, 1.0, [])]
-    assert [r.rollout_id for r in trajectory.interleave(spark.createDataFrame(rows, schema)).collect()] == [1]
+    assert [r.rollout_id for r in trajectory.interleave(spark.createDataFrame(rows, STEPS)).collect()] == [1]
 
 
 def test_admission_trim_and_prefix(spark):
