@@ -97,6 +97,28 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 4,
     return float(np.clip(share_u[some][best] / share_p[some][best], 0.01, 0.99))
 
 
+PENALTY = 1e-4  # of squared weights
+
+
+def gradient(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, unbiased: bool = True) -> list[np.ndarray]:
+    """Gradient of the risk of a batch of positives p and unlabelled u, by each part of w; against the step where the
+    unlabelled part of the risk is negative."""
+    x = np.concatenate([p, u])
+    h = np.tanh(x @ w[0] + w[1])
+    g = h @ w[2] + w[3]
+    up = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # derivative of l(-); that of l(+) is up - 1
+    gp, gu = g[: len(p)], g[len(p) :]
+    rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    if not unbiased:
+        dg = np.concatenate([(up[: len(p)] - 1) / len(p), up[len(p) :] / len(u)]) / 2
+    elif rest >= 0:
+        dg = np.concatenate([prior * (up[: len(p)] - 1) / len(p) - prior * up[: len(p)] / len(p), up[len(p) :] / len(u)])
+    else:
+        dg = np.concatenate([prior * up[: len(p)] / len(p), -up[len(p) :] / len(u)])
+    dh = np.outer(dg, w[2]) * (1 - h * h)
+    return [x.T @ dh + PENALTY * w[0], dh.sum(axis=0), h.T @ dg + PENALTY * w[2], dg.sum()]
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3, unbiased: bool = True) -> Network:
     """Minimise the non-negative risk. Logistic loss: l(+) = log(1 + e**-g), l(-) = log(1 + e**g).
 
@@ -113,20 +135,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         order = [rng.permutation(len(x)) for x in z]
         for s in range(steps):
             p, u = (x[o[np.arange(s * BATCH, (s + 1) * BATCH) % len(o)]] for x, o in zip(z, order, strict=True))
-            x = np.concatenate([p, u])
-            h = np.tanh(x @ w[0] + w[1])
-            g = h @ w[2] + w[3]
-            up = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # derivative of l(-); that of l(+) is up - 1
-            gp, gu = g[: len(p)], g[len(p) :]
-            rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if not unbiased:
-                dg = np.concatenate([(up[: len(p)] - 1) / len(p), up[len(p) :] / len(u)]) / 2
-            elif rest >= 0:
-                dg = np.concatenate([prior * (up[: len(p)] - 1) / len(p) - prior * up[: len(p)] / len(p), up[len(p) :] / len(u)])
-            else:
-                dg = np.concatenate([prior * up[: len(p)] / len(p), -up[len(p) :] / len(u)])
-            dh = np.outer(dg, w[2]) * (1 - h * h)
-            grad = [x.T @ dh + 1e-4 * w[0], dh.sum(axis=0), h.T @ dg + 1e-4 * w[2], dg.sum()]
+            grad = gradient(w, p, u, prior, unbiased)
             t += 1
             for i, a in enumerate(grad):
                 m[i] = 0.9 * m[i] + 0.1 * a
@@ -165,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     got = both.mapInArrow(run, "p boolean, x binary").toArrow()
     flag = got.column("p").to_numpy()
     x = np.array([np.frombuffer(r, np.float32) for r in got.column("x").to_pylist()]).reshape(-1, FEATURES)
-    order = np.lexsort(x.T[-7:])  # the same fit whatever the order in which rows came
+    order = fit_order(x, flag)
     flag, x = flag[order], x[order]
     if not flag.any() or flag.all():
         return None, 0.5
@@ -173,6 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     return fit(x[flag], x[~flag], prior), prior
 
 
+def fit_order(x: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """Order by all statistics, then by flag, so that a fit does not depend on the order in which rows came."""
+    return np.lexsort((flag, *x.T[::-1]))
+
+
 def with_scores(docs: DataFrame, text_col: str, score_col: str, scores) -> DataFrame:
     """``docs`` with score_col, in place of a column of that name. ``scores(bytes, offsets)``: of the texts of a slice."""
     rows = docs.select(F.col(f"`{text_col}`").alias("_text_"), *[F.col(f"`{c}`") for c in docs.columns if c != score_col])
