@@ -62,23 +62,23 @@ def interleave_all(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     return out.withColumn("_t", F.explode(turns)).withColumn("position", F.col("_t") * F.col("k") + F.col("_s")).drop("_i", "_s", "n", "most", "k", "_t")
 
 
-def interleave_weighted(rows: DataFrame, source: str, order: list[str], probabilities: dict[str, float], draws: int, seed: int = 0) -> DataFrame:
-    """draws positions, each of a source by hashed chance; a source gives its rows in order, wrapping around."""
-    spark = rows.sparkSession
+def interleave_weighted(rows: DataFrame, source: str, order: list[str], probabilities: dict[str, float], draws: int | DataFrame, seed: int = 0) -> DataFrame:
+    """A position for each of ``draws`` (a number, or rows with a column position), each of a source by hashed chance; a
+    source gives its rows in order, wrapping around. Positions of a source without rows are left out."""
     names = sorted(probabilities)
     total, upto, run = sum(probabilities.values()), [], 0.0
     for k in names:
         run += probabilities[k] / total
         upto.append(run)
-    u = uniform(F.col("id"), seed)
+    u = uniform(F.col("position"), seed)
     pick = F.lit(names[-1])
     for k, hi in reversed(list(zip(names, upto, strict=True))[:-1]):
         pick = F.when(u < hi, F.lit(k)).otherwise(pick)
-    d = spark.range(draws).withColumn(source, pick)
-    d = numbered(d, ["id"], "_c", (source,))
+    at = rows.sparkSession.range(draws).withColumnRenamed("id", "position") if isinstance(draws, int) else draws.select("position")
+    d = numbered(at.withColumn(source, pick), ["position"], "_c", (source,))
     sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
     d = d.join(F.broadcast(sizes), source).withColumn("_i", F.pmod(F.col("_c"), F.col("_n")))
-    return number(rows, source, order).join(d, [source, "_i"]).withColumnRenamed("id", "position").drop("_i", "_c", "_n")
+    return number(rows, source, order).join(d, [source, "_i"]).drop("_i", "_c", "_n")
 
 
 def rank_shard(index: Column, rank: int, world: int) -> Column:

@@ -192,10 +192,10 @@ def f18(spark, d):
     return table(spark, d, "conversations").select("conv_id").distinct().withColumn("policy", S.blake2b_mod(F.col("conv_id").cast("string"), F.lit(3))).groupBy("policy").agg(F.count("*").alias("n"))
 
 
-@query("F19_cyclic_indices", "SELECT j.range AS j, (17 + j.range) % (SELECT count(*) FROM supplier) AS index FROM range(300) j")
+@query("F19_cyclic_indices", "SELECT o_orderkey AS j, (17 + o_orderkey) % (SELECT count(*) FROM supplier) AS index FROM orders")
 def f19(spark, d):
     n = table(spark, d, "supplier").agg(F.count("*").alias("n"))
-    return spark.range(300).join(F.broadcast(n)).select(F.col("id").alias("j"), datasets.cyclic(17, F.col("id"), F.col("n")).alias("index"))
+    return table(spark, d, "orders").join(F.broadcast(n)).select(F.col("o_orderkey").alias("j"), datasets.cyclic(17, F.col("o_orderkey"), F.col("n")).alias("index"))
 
 
 @query("F20_round_robin_clients", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS client FROM documents")
@@ -213,10 +213,12 @@ def g02(spark, d):
     return datasets.interleave_all(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).select("doc_id", F.col("position").cast("long").alias("position"))
 
 
-@query("G03_interleave_weighted", "WITH u AS (SELECT r.range AS position, ('0x' || substr(md5(r.range || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM range(5000) r) SELECT CASE WHEN u < 0.3::DOUBLE THEN 'de' ELSE 'en' END AS lang, count(*) AS n, max(position) AS last FROM u GROUP BY 1")
+@query("G03_interleave_weighted", """WITH p AS (SELECT o_orderkey AS position, CASE WHEN ('0x' || substr(md5(o_orderkey || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < 0.3::DOUBLE THEN 'de' ELSE 'en' END AS lang FROM orders),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY position) - 1 AS c FROM p), n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT position, c.lang, doc_id FROM c JOIN n ON n.lang = c.lang AND n.i = c.c % n.n""")
 def g03(spark, d):
-    out = datasets.interleave_weighted(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], {"en": 0.7, "de": 0.3}, 5000)
-    return out.groupBy("lang").agg(F.count("*").alias("n"), F.max("position").alias("last"))
+    docs, positions = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "orders").select(F.col("o_orderkey").alias("position"))
+    return datasets.interleave_weighted(docs, "lang", ["doc_id"], {"en": 0.7, "de": 0.3}, positions).select("position", "lang", "doc_id")
 
 
 @query("G08_dual_prompts", "SELECT o_orderkey, false AS privileged, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, true, o_orderpriority || ' (answer: ' || o_orderstatus || ')' FROM orders")
@@ -429,9 +431,10 @@ def j16(spark, d):
     return table(spark, d, "part").select("p_partkey", S.regression(v, b, 0.05, False).alias("slower"), S.regression(v, b, 0.05, True).alias("bigger"))
 
 
-@query("J19_learning_rates", "SELECT r.range AS step, round(CASE WHEN r.range < 20 THEN r.range / 20.0::DOUBLE WHEN r.range < 150 THEN 1 ELSE greatest(0.1::DOUBLE, 0.1::DOUBLE + 0.9::DOUBLE * (200 - r.range) / 50.0::DOUBLE) END, 6) AS wsd, round(CASE WHEN r.range < 20 THEN r.range / 20.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least((r.range - 20) / 180.0::DOUBLE, 1))) END, 6) + 0.0 AS cosine FROM range(220) r")
+@query("J19_learning_rates", "SELECT o_orderkey, r.s AS step, round(CASE WHEN r.s < 20 THEN r.s / 20.0::DOUBLE WHEN r.s < 150 THEN 1 ELSE greatest(0.1::DOUBLE, 0.1::DOUBLE + 0.9::DOUBLE * (200 - r.s) / 50.0::DOUBLE) END, 6) AS wsd, round(CASE WHEN r.s < 20 THEN r.s / 20.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least((r.s - 20) / 180.0::DOUBLE, 1))) END, 6) + 0.0 AS cosine FROM (SELECT o_orderkey, o_orderkey % 220 AS s FROM orders) r")
 def j19(spark, d):
-    return spark.range(220).select(F.col("id").alias("step"), r6(S.wsd_factor(F.col("id"), 20, 200, 50, 0.1)).alias("wsd"), r6(S.cosine_factor(F.col("id"), 20, 200)).alias("cosine"))
+    step = F.col("o_orderkey") % 220  # an order's step in a run of 200, and some beyond its end
+    return table(spark, d, "orders").select("o_orderkey", step.alias("step"), r6(S.wsd_factor(step, 20, 200, 50, 0.1)).alias("wsd"), r6(S.cosine_factor(step, 20, 200)).alias("cosine"))
 
 
 @query("J20_flops_per_token", "SELECT p_partkey, (6 * p_partkey * 1000000 + 12 * 24 * 16 * 64 * (p_size * 128))::BIGINT AS flops FROM part")

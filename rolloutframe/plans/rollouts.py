@@ -96,11 +96,11 @@ def f13(spark, d):
     return pools.return_fraction(p, 0.3).groupBy("pool").agg(F.count("*").alias("n"))
 
 
-@query("F10_weighted_env_draws", "WITH u AS (SELECT ('0x' || substr(md5(r.range || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM range(10000) r) SELECT CASE WHEN u < 0.8::DOUBLE THEN '1-URGENT' ELSE '2-HIGH' END AS env_name, count(*) AS n FROM u GROUP BY 1")
+@query("F10_weighted_env_draws", "SELECT event_id AS draw, CASE WHEN ('0x' || substr(md5(event_id || '-0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < 0.8::DOUBLE THEN '1-URGENT' ELSE '2-HIGH' END AS env_name FROM events")
 def f10(spark, d):
     ex = view(spark, d, "rollouts").select("env_name", "example_id").distinct()
-    draws = spark.range(10_000).withColumnRenamed("id", "draw")
-    return pools.sample_envs(draws, pools.probabilities(ex, {"1-URGENT": 0.8, "2-HIGH": 0.2})).groupBy("env_name").agg(F.count("*").alias("n"))
+    draws = table(spark, d, "events").select(F.col("event_id").alias("draw"))
+    return pools.sample_envs(draws, pools.probabilities(ex, {"1-URGENT": 0.8, "2-HIGH": 0.2})).select("draw", "env_name")
 
 
 @query("C01_restore_pools", """

@@ -36,9 +36,9 @@ def a06(spark, d):
     return datasets.shuffled(table(spark, d, "part").select("p_partkey"), "p_partkey", 42)
 
 
-@query("F11_uniform_examples", "WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS c FROM part) SELECT r.range AS draw, p_partkey FROM range(2000) r JOIN n ON i = floor(('0x' || substr(md5(r.range || '-5'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * c)::BIGINT")
+@query("F11_uniform_examples", "WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS c FROM part) SELECT o_orderkey AS draw, p_partkey FROM orders JOIN n ON i = floor(('0x' || substr(md5(o_orderkey || '-5'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * c)::BIGINT")
 def f11(spark, d):
-    return datasets.sample_examples(spark.range(2000).withColumnRenamed("id", "draw"), table(spark, d, "part").select("p_partkey"), ["p_partkey"], 5)
+    return datasets.sample_examples(table(spark, d, "orders").select(F.col("o_orderkey").alias("draw")), table(spark, d, "part").select("p_partkey"), ["p_partkey"], 5)
 
 
 @query("G04_single_dataset", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents")
