@@ -5,11 +5,12 @@ batch from their tasks and publish the batch from the driver, so a batch arrives
 publishes again, after a restart, is passed over. The receiver's offsets are the numbers of parts by sender, a part may be
 read again until the receiver has committed past it, and is then dropped. Parts are Arrow streams.
 
-``spark.readStream.format("mailbox")`` reads a topic, one task for each sender with new parts; ``writeStream`` to it
+``spark.readStream.format("mailbox")`` reads a topic, one task for at most TASK_PARTS new parts of a sender; ``writeStream`` to it
 stages in tasks and publishes in the commit of a micro-batch. With a ``rank`` column a sink deals rows to a topic for each
-rank. At most ``capacity`` bytes wait in the mailbox to be fetched, and senders wait while it is full; what has been fetched
-stays until it is committed, which Spark does when a receiver's next micro-batch begins. It keeps parts in memory only: when
-its process ends, senders must publish again what receivers have not committed.
+rank. While published parts wait to be fetched, senders wait as soon as ``capacity`` bytes would be held. A batch is published
+whole, so one that is larger than that is still taken: parts beyond ``capacity`` bytes of memory lie in files of the
+mailbox's host. What has been fetched stays until it is committed, which Spark does when a receiver's next micro-batch
+begins. Nothing outlives the process: when it ends, senders must publish again what receivers have not committed.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import json
 import socket
 import socketserver
 import struct
+import tempfile
 import threading
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +39,8 @@ from .shared import written
 
 BATCHES = "batches"
 CAPACITY = 256 << 20
-STALE = 600  # seconds after which a staged part that was never published goes
+STALE = 600  # seconds without a word of its sender after which a staged part that was never published goes
+TASK_PARTS = 64  # parts that one task reads
 PATIENCE = 120  # seconds that a sender waits for room
 
 
@@ -71,9 +75,12 @@ class Mailbox:
 
     def __init__(self, host: str = "127.0.0.1", port: int = 0, capacity: int = CAPACITY, stale: float = STALE):
         self.capacity, self.stale, self.held = capacity, stale, 0  # held: bytes that have not been fetched
+        self.waiting, self.memory = 0, 0  # bytes of held that are published; bytes of all parts that are not in files
+        self.files = tempfile.TemporaryDirectory(prefix="mailbox-")
         self.fetched: set[tuple[str, str, int]] = set()
-        self.staged: dict[str, tuple[str, str, float, bytes]] = {}  # token: topic, sender, time, part
-        self.parts: dict[str, dict[str, dict[int, bytes]]] = {}  # topic: sender: number: part
+        self.heard: dict[str, float] = {}  # sender: when it last staged
+        self.staged: dict[str, tuple[str, str, int, bytes | Path]] = {}  # token: topic, sender, size, part
+        self.parts: dict[str, dict[str, dict[int, tuple[int, bytes | Path]]]] = {}  # topic: sender: number: size, part
         self.ends: dict[str, dict[str, int]] = {}
         self.published: dict[str, int] = {}  # sender: its last batch
         self.lock = threading.Lock()
@@ -105,24 +112,43 @@ class Mailbox:
     def __exit__(self, *_) -> None:
         self.server.shutdown()
         self.server.server_close()
+        self.files.cleanup()
 
     def answer(self, head: dict, body: bytes) -> tuple[dict, bytes]:
         with self.lock:
             return getattr(self, f"_{head.pop('do')}")(body, **head)
 
+    def _kept(self, body: bytes, name: str) -> bytes | Path:
+        if self.memory + len(body) <= self.capacity:
+            self.memory += len(body)
+            return body
+        path = Path(self.files.name, name)
+        path.write_bytes(body)
+        return path
+
+    def _gone(self, size: int, part: bytes | Path) -> None:
+        if isinstance(part, Path):
+            part.unlink()
+        else:
+            self.memory -= size
+
     def _drop(self, _: bytes, tokens: list[str]) -> tuple[dict, bytes]:
         for t in tokens:
             if t in self.staged:
-                self.held -= len(self.staged.pop(t)[3])
+                _, _, size, part = self.staged.pop(t)
+                self.held -= size
+                self._gone(size, part)
         return {}, b""
 
     def _stage(self, body: bytes, sender: str, topic: str) -> tuple[dict, bytes]:
         now = time.monotonic()
-        self._drop(b"", [t for t, (_, _, at, _) in self.staged.items() if now - at > self.stale])
-        if self.held and self.held + len(body) > self.capacity:
+        self.heard[sender] = now
+        self._drop(b"", [t for t, (_, own, _, _) in self.staged.items() if now - self.heard[own] > self.stale])
+        # only what is published can be fetched: to wait for a batch's own parts would never end
+        if self.waiting and self.held + len(body) > self.capacity:
             return {"full": True}, b""
         token = uuid.uuid4().hex
-        self.staged[token] = (topic, sender, now, body)
+        self.staged[token] = (topic, sender, len(body), self._kept(body, token))
         self.held += len(body)
         return {"token": token}, b""
 
@@ -132,10 +158,11 @@ class Mailbox:
         if lost := [t for t in tokens if t not in self.staged]:
             raise LookupError(f"{len(lost)} parts of batch {batch} of {sender} are not here")
         for t in tokens:
-            topic, own, _, part = self.staged.pop(t)
+            topic, own, size, part = self.staged.pop(t)
             number = self.ends.setdefault(topic, {}).get(own, 0)
-            self.parts.setdefault(topic, {}).setdefault(own, {})[number] = part
+            self.parts.setdefault(topic, {}).setdefault(own, {})[number] = (size, part)
             self.ends[topic][own] = number + 1
+            self.waiting += size
         self.published[sender] = batch
         return {}, b""
 
@@ -143,23 +170,27 @@ class Mailbox:
         return {"ends": self.ends.get(topic, {})}, b""
 
     def _fetch(self, _: bytes, topic: str, sender: str, number: int) -> tuple[dict, bytes]:
-        part = self.parts.get(topic, {}).get(sender, {}).get(number)
-        if part is None:
+        got = self.parts.get(topic, {}).get(sender, {}).get(number)
+        if got is None:
             raise LookupError(f"part {number} of {sender} on {topic} is not here")
+        size, part = got
         if (topic, sender, number) not in self.fetched:
             self.fetched.add((topic, sender, number))
-            self.held -= len(part)
-        return {}, part
+            self.held -= size
+            self.waiting -= size
+        return {}, part.read_bytes() if isinstance(part, Path) else part
 
     def _release(self, _: bytes, topic: str, ends: dict[str, int]) -> tuple[dict, bytes]:
         for sender, end in ends.items():
             own = self.parts.get(topic, {}).get(sender, {})
             for number in [n for n in own if n < end]:
-                part = own.pop(number)
+                size, part = own.pop(number)
+                self._gone(size, part)
                 if (topic, sender, number) in self.fetched:
                     self.fetched.remove((topic, sender, number))
                 else:
-                    self.held -= len(part)
+                    self.held -= size
+                    self.waiting -= size
         return {}, b""
 
     def _last(self, _: bytes, sender: str) -> tuple[dict, bytes]:
@@ -232,7 +263,7 @@ class Part(InputPartition):
 
 
 def _parts(start: dict, end: dict) -> list[Part]:
-    return [Part(s, start.get(s, 0), n) for s, n in sorted(end.items()) if n > start.get(s, 0)]
+    return [Part(s, i, min(i + TASK_PARTS, n)) for s, n in sorted(end.items()) for i in range(start.get(s, 0), n, TASK_PARTS)]
 
 
 def _read(address: str, topic: str, part: Part | None) -> Iterator[pa.RecordBatch]:

@@ -89,6 +89,20 @@ def test_senders_wait_while_the_mailbox_is_full():
         assert len(box.staged) == 1 and box.held == len(big)
 
 
+def test_a_batch_larger_than_the_mailbox_is_taken():
+    numbers = [part(*range(k * 100, k * 100 + 100)) for k in range(5)]
+    with mailbox.Mailbox(capacity=1500) as box, mailbox.Client(box.address) as c:
+        # waiting for room would never end: none of the batch can be fetched before all of it is here
+        answers = [c.ask("stage", p, sender="a", topic="batches")[0] for p in numbers]
+        assert all("token" in a for a in answers)
+        assert box.memory <= 1500 < box.held
+        c.ask("publish", sender="a", batch=0, tokens=[a["token"] for a in answers])
+        assert c.ask("stage", numbers[0], sender="a", topic="batches")[0] == {"full": True}  # the next one waits
+        assert held(box) == list(range(500))
+        c.ask("release", topic="batches", ends={"a": 5})
+        assert (box.held, box.waiting, box.memory) == (0, 0, 0) and not list(mailbox.Path(box.files.name).iterdir())
+
+
 def test_streams_through_a_mailbox_go_on_where_they_stopped(spark, tmp_path):
     schema = "run_id long, step long, payload string"
     s, add = fed(spark, tmp_path, schema, [(1, 0, "a"), (2, 0, "b")])
