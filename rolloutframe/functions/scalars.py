@@ -30,10 +30,15 @@ def human_time(seconds: Column) -> Column:
     return F.when(seconds >= 3600, F.concat(_two(seconds / 3600), F.lit("h"))).when(seconds >= 60, F.concat(_two(seconds / 60), F.lit("m"))).otherwise(F.concat(_two(seconds), F.lit("s")))
 
 
-def human_number(n: Column) -> Column:
-    """1.50B, 2.25M, 3.00K, or the number itself below a thousand."""
+def human_number(n: Column, largest: str = "B") -> Column:
+    """1.50B, 2.25M, 3.00K, or the number itself below a thousand. Beyond the unit ``largest`` numbers stay in it."""
     x = n.cast("double")
-    return F.when(x >= 1e9, F.concat(_two(x / 1e9), F.lit("B"))).when(x >= 1e6, F.concat(_two(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(_two(x / 1e3), F.lit("K"))).otherwise(n.cast("string"))
+    units = {"K": 1e3, "M": 1e6, "B": 1e9}
+    out = n.cast("string")
+    for unit, size in units.items():
+        if size <= units[largest]:
+            out = F.when(x >= size, F.concat(_two(x / size), F.lit(unit))).otherwise(out)
+    return out
 
 
 def env_id(c: Column) -> Column:

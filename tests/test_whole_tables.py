@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from rolloutframe.functions import scalars as S
 from rolloutframe.operators import datasets
 from rolloutframe.sources.carriers import TABLES
 
@@ -52,6 +55,15 @@ def test_human_number(spark, small, con):
     assert registered(con, "J10_human_number", "o_orderkey", "n") <= set(got)
 
 
+def test_human_number_of_large_keys(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql("SELECT i::BIGINT AS o_orderkey, i::BIGINT AS o_custkey FROM (VALUES (0), (128), (129), (128584), (128585), (128601), (899999)) t(i)").write_parquet(str(tmp_path / "orders.parquet"))
+    c.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet')")
+    got = rows(spark, str(tmp_path), "J10_human_number", "o_orderkey", "n")
+    assert set(got) == registered(c, "J10_human_number", "o_orderkey", "n") and (128585, "1000.01M") in got
+    assert [r.n for r in spark.range(1).select(S.human_number(F.lit(2_500_000_000)).alias("n")).collect()] == ["2.50B"]
+
+
 def test_label_shift(spark, small, con):
     got = rows(spark, small, "E15_label_shift", "seq_id", "pos", "target", "previous")
     ids = con.sql("SELECT doc_id, list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % 128000) FROM documents").fetchall()
