@@ -183,8 +183,10 @@ END = 7
 
 
 def _turns(spark, d) -> DataFrame:
-    """Conversations as turns: what stands in front of each answer, and the answer; every message ends with END."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(_ids(F.coalesce("text", F.lit(""))), F.array(F.lit(END))).alias("ids"))
+    """Conversations as turns: what stands in front of each answer, and the answer; every message ends with END, which is
+    the token of no word."""
+    words = F.transform(_ids(F.coalesce("text", F.lit(""))), lambda x: F.when(x >= END, x + 1).otherwise(x))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(words, F.array(F.lit(END))).alias("ids"))
     c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "ids"))).alias("m"))
     answers = F.filter(F.transform("m", lambda x, i: F.when(x["role"] == "assistant", i)), lambda i: i.isNotNull())
     begin = lambda a, k: F.when(k == 0, F.lit(0)).otherwise(F.get(a, k - 1) + 1)

@@ -3,9 +3,11 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rolloutframe import extensions
 from rolloutframe.operators import events, messages, ordering, packing, runs, stacking, turns
 
@@ -348,3 +350,14 @@ def test_configurations():
     assert extensions.read_config("steps = 0", Config, hooks) == (None, "steps must be positive")
     assert extensions.read_config("other = 0", Config, hooks)[0] is None
     assert extensions.read_config("steps = ", Config, hooks)[1].startswith("Error parsing")
+
+
+def test_no_word_ends_a_message(spark, tmp_path):
+    # the hash of w355823 is the number of the end token
+    con = duckdb.connect()
+    con.sql("""SELECT c::BIGINT AS conv_id, t::BIGINT AS turn, CASE WHEN t % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN t = c THEN 'a w355823 b' ELSE repeat('a ', 20) END AS text
+    FROM range(4) x(c), range(8) y(t)""").write_parquet(str(tmp_path / "conversations.parquet"))
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet')")
+    names = ("conv_id", "tokens", "trained", "calls", "events", "evicted")
+    got = entry.queries()["H20_turn_eviction"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(entry.oracle_sql()["H20_turn_eviction"]).select(*names).fetchall())
