@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,9 @@ from ..sources import mailbox
 from ..sources.io import exists
 from ..sources.shared import new_path
 
+CHUNK = 1024  # steps of an entry of a reorder buffer's state
+OUT = 1 << 18  # rows after which a reorder buffer puts what has come in order
+
 
 class GroupCompletion(StatefulProcessor):
     """Emits an example once all its ``n`` rollouts have arrived; failed ones do not count."""
@@ -48,26 +53,50 @@ def complete_groups(stream: DataFrame, n: int) -> DataFrame:
 
 
 class ReorderBuffer(StatefulProcessor):
-    """Emits a run's batches in step order, from its next expected step on; later ones wait, earlier ones are dropped."""
+    """Emits a run's batches in step order, from its next expected step on; later ones wait, earlier ones are dropped.
+
+    A micro-batch is followed in arrays: state is read once at its beginning, and what still waits at its end is written in
+    chunks of CHUNK steps.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "step long")
-        self.waiting = handle.getMapState("waiting", "step long", "payload string")
+        self.waiting = handle.getListState("waiting", "steps array<long>, payloads array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         step = self.next.get()[0] if self.next.exists() else 0
+        steps, payloads = np.zeros(0, np.int64), pa.array([], pa.large_string())
+        came: list[tuple[np.ndarray, pa.Array]] = [(np.array(s, np.int64), pa.array(p, pa.large_string())) for s, p in self.waiting.get()]
+
+        def settled() -> Iterator[pd.DataFrame]:
+            """What has come joins what waits, of equal steps the last; the steps that are due go out."""
+            nonlocal step, steps, payloads
+            every = np.concatenate([steps, *(s for s, _ in came)])
+            order = np.argsort(every, kind="stable")
+            line = every[order]
+            order = order[(np.append(line[1:] != line[:-1], True) if len(line) else np.zeros(0, bool)) & (line >= step)]
+            payloads, steps = pa.concat_arrays([payloads, *(p for _, p in came)]).take(pa.array(order)), every[order]
+            came.clear()
+            gaps = np.flatnonzero(steps != step + np.arange(len(steps)))
+            due = int(gaps[0]) if len(gaps) else len(steps)
+            for i in range(0, due, OUT):
+                j = min(i + OUT, due)
+                yield pd.DataFrame({"run_id": np.full(j - i, key[0]), "step": steps[i:j], "payload": payloads.slice(i, j - i).to_pandas()})
+            step, steps, payloads = step + due, steps[due:], payloads.slice(due)
+
+        new = sum(len(s) for s, _ in came)
         for pdf in rows:
-            for s, p in zip(pdf["step"], pdf["payload"], strict=True):
-                if s >= step:
-                    self.waiting.updateValue((int(s),), (p,))
-        out = []
-        while self.waiting.containsKey((step,)):
-            out.append((step, self.waiting.getValue((step,))[0]))
-            self.waiting.removeKey((step,))
-            step += 1
+            came.append((pdf["step"].to_numpy(np.int64), pa.array(pdf["payload"], pa.large_string(), from_pandas=True)))
+            new += len(pdf)
+            if new > max(OUT, len(steps)):
+                yield from settled()
+                new = 0
+        yield from settled()
         self.next.update((step,))
-        if out:
-            yield pd.DataFrame({"run_id": [key[0]] * len(out), "step": [s for s, _ in out], "payload": [p for _, p in out]})
+        if len(steps):
+            self.waiting.put([(steps[i : i + CHUNK].tolist(), payloads.slice(i, CHUNK).to_pylist()) for i in range(0, len(steps), CHUNK)])
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
