@@ -20,6 +20,40 @@ TOLD = "run long, at long, kind string, started array<long>, flying int, queued
 STATE = "run long, queued_ids array<long>, flying_ids array<long>, pending long, version long, batch long, progress long"
 
 
+BLOCK = 1024  # places of a queue in one entry of its state
+OUT = 50_000  # rows of a frame that goes out
+
+
+class Line:
+    """The places of a queue as blocks of a map state: a call reads the blocks that it comes to, and writes at its end."""
+
+    def __init__(self, state, head: int, tail: int):
+        self.state, self.blocks, self.changed = state, {}, set()
+        self.stored = range(head // BLOCK, (tail - 1) // BLOCK + 1) if head < tail else range(0)
+
+    def _block(self, number: int) -> list:
+        if number not in self.blocks:
+            self.blocks[number] = list(self.state.getValue((number,))[0]) if number in self.stored else [None] * BLOCK
+        return self.blocks[number]
+
+    def get(self, place: int) -> int:
+        return self._block(place // BLOCK)[place % BLOCK]
+
+    def put(self, place: int, ident: int) -> None:
+        self._block(place // BLOCK)[place % BLOCK] = ident
+        self.changed.add(place // BLOCK)
+
+    def write(self, head: int, tail: int) -> None:
+        """What lies between ``head`` and ``tail`` is kept."""
+        left = range(head // BLOCK, (tail - 1) // BLOCK + 1) if head < tail else range(0)
+        for number in self.stored:
+            if number not in left:
+                self.state.removeKey((number,))
+        for number in sorted(self.changed):
+            if number in left:
+                self.state.updateValue((number,), (self.blocks[number],))
+
+
 class InFlight(StatefulProcessor):
     """At most ``limit`` requests are in flight; the others wait in the order in which they came.
 
@@ -32,15 +66,17 @@ class InFlight(StatefulProcessor):
         self.limit, self.size, self.restart = limit, batch, restart
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getMapState("queue", "place long", "id long")
+        self.queue = handle.getMapState("queue", "block long", "ids array<long>")
         self.flying = handle.getMapState("flying", "place long", "id long")
         self.now = handle.getValueState("now", "head long, tail long, started long, pending long, version long, batch long, progress long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
         s = initialState.iloc[0]
         none = lambda x: None if pd.isna(x) else int(x)
+        line = Line(self.queue, 0, 0)
         for i, x in enumerate(s["queued_ids"]):
-            self.queue.updateValue((i,), (int(x),))
+            line.put(i, int(x))
+        line.write(0, len(s["queued_ids"]))
         for i, x in enumerate(s["flying_ids"]):
             self.flying.updateValue((i,), (int(x),))
         self.now.update((0, len(s["queued_ids"]), len(s["flying_ids"]), none(s["pending"]), none(s["version"]), int(s["batch"]), int(s["progress"])))
@@ -48,46 +84,59 @@ class InFlight(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head, tail, started, pending, version, batch, progress = self.now.get() if self.now.exists() else (0, 0, 0, None, None, 0, 0)
         flying = {k[0]: v[0] for k, v in sorted(self.flying.iterator())}  # limit of them at most, the longest first
-        events = sorted((int(a), k, None if pd.isna(i) else int(i)) for pdf in rows for a, k, i in zip(pdf["at"], pdf["kind"], pdf["id"], strict=True))
+        line, stored = Line(self.queue, head, tail), dict(flying)
+        events = pd.concat([pdf[["at", "kind", "id"]].astype({"id": "Int64"}) for pdf in rows], ignore_index=True).sort_values(["at", "kind", "id"], ignore_index=True)
+        names = ["run", "at", "kind", "started", "flying", "queued", "version", "batch", "flying_ids", "queued_ids"]
+        told = lambda out: pd.DataFrame(out, columns=names).astype({"version": "Int64", "batch": "Int64"})
+        known = events["id"].notna().to_numpy()
+        ids = events["id"].fillna(0).to_numpy("int64")
         out = []
-        for at, kind, ident in events:
+        for n in range(len(events)):
+            if n % OUT == 0:
+                if out:
+                    yield told(out)
+                    out = []
+                some = slice(n, n + OUT)
+                part = zip(events["at"].to_numpy()[some].tolist(), events["kind"].to_numpy()[some].tolist(), ids[some].tolist(), known[some].tolist(), strict=True)
+            at, kind, ident, there = next(part)
+            ident = ident if there else None
             whole = synced = None
             if kind == "request":
-                self.queue.updateValue((tail,), (ident,))
+                line.put(tail, ident)
                 tail += 1
             elif kind == "finish":
                 place = next((p for p, x in flying.items() if ident is None or x == ident), None)
                 if place is not None:
                     del flying[place]
-                    self.flying.removeKey((place,))
                     progress += 1
                     if progress == self.size:
                         whole, batch, progress = batch, batch + 1, 0
             elif kind == "version" and (version is None or ident > version):
                 pending = ident if pending is None else max(pending, ident)
                 if self.restart:
-                    for place, x in reversed(flying.items()):
+                    for x in reversed(flying.values()):
                         head -= 1
-                        self.queue.updateValue((head,), (x,))
-                        self.flying.removeKey((place,))
+                        line.put(head, x)
                     flying = {}
             if pending is not None and not flying:
                 synced = version = pending
                 pending = None
             new = []
             while pending is None and len(flying) < self.limit and head < tail:
-                x = self.queue.getValue((head,))[0]
-                self.queue.removeKey((head,))
-                self.flying.updateValue((started,), (x,))
+                x = line.get(head)
                 flying[started] = x
                 head, started = head + 1, started + 1
                 new.append(x)
-            shown = (list(flying.values()), [self.queue.getValue((p,))[0] for p in range(head, tail)]) if kind == "checkpoint" else (None, None)
+            shown = (list(flying.values()), [line.get(p) for p in range(head, tail)]) if kind == "checkpoint" else (None, None)
             out.append((key[0], at, kind, new, len(flying), tail - head, synced, whole, *shown))
+        line.write(head, tail)
+        for place in stored.keys() - flying.keys():
+            self.flying.removeKey((place,))
+        for place in flying.keys() - stored.keys():
+            self.flying.updateValue((place,), (flying[place],))
         self.now.update((head, tail, started, pending, version, batch, progress))
         if out:
-            names = ["run", "at", "kind", "started", "flying", "queued", "version", "batch", "flying_ids", "queued_ids"]
-            yield pd.DataFrame(out, columns=names).astype({"version": "Int64", "batch": "Int64"})
+            yield told(out)
 
     def close(self) -> None:
         pass
