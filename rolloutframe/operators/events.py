@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 # The fields of an event in the order of its array form, with types and defaults; the first three are required.
 FIELDS = (
     ("num_output_tokens_at_compaction", "int", None),
@@ -49,19 +51,26 @@ def coerce(raw: Column, strict: bool = True, fields: int = len(FIELDS)) -> Colum
     out where not ``strict``. Only the first ``fields`` fields are read.
     """
 
-    def one(x: Column) -> Column:
+    def read(x: Column) -> Column:
         listed, named = x.startswith("["), x.startswith("{")
-        at = F.from_json(F.when(listed, x), "array<string>")
-        of = F.from_json(F.when(named, x), "map<string,string>")
-        text = [F.when(listed, F.get(at, F.lit(i))).otherwise(F.try_element_at(of, F.lit(n))) for i, (n, _, _) in enumerate(FIELDS)]
-        cols = [_typed(t if i < fields else F.lit(None).cast("string"), kind, default).alias(name) for i, (t, (name, kind, default)) in enumerate(zip(text, FIELDS, strict=True))]
-        whole = as_int(text[0]).isNotNull() & as_int(text[1]).isNotNull() & as_int(text[2]).isNotNull()
-        good = (listed & (F.size(at) >= REQUIRED) & whole) | (named & whole)
+        return F.struct(listed.alias("listed"), named.alias("named"), F.from_json(F.when(listed, x), "array<string>").alias("at"), F.from_json(F.when(named, x), "map<string,string>").alias("of"))
+
+    def texts(r: Column) -> Column:
+        text = [F.when(r["listed"], F.get(r["at"], F.lit(i))).otherwise(F.try_element_at(r["of"], F.lit(n))).alias(n) for i, (n, _, _) in enumerate(FIELDS)]
+        return F.struct(r["listed"].alias("listed"), r["named"].alias("named"), (F.size(r["at"]) >= REQUIRED).alias("long"), F.struct(*text).alias("text"))
+
+    def one(t: Column) -> Column:
+        cols = [_typed(t["text"][name] if i < fields else F.lit(None).cast("string"), kind, default).alias(name) for i, (name, kind, default) in enumerate(FIELDS)]
+        whole = F.lit(True)
+        for name, _, _ in FIELDS[:REQUIRED]:
+            whole &= as_int(t["text"][name]).isNotNull()
+        good = (t["listed"] & t["long"] & whole) | (t["named"] & whole)
         event = F.when(good, F.struct(*cols))
-        return F.when(named & ~whole, F.raise_error(F.lit("an event lacks a required field")).cast(WIRE)).otherwise(event) if strict else event
+        return F.when(t["named"] & ~whole, F.raise_error(F.lit("an event lacks a required field")).cast(WIRE)).otherwise(event) if strict else event
 
-    out = F.filter(F.transform(F.from_json(raw, "array<string>"), one), lambda e: e.isNotNull())
-    return F.when(F.size(out) > 0, out)
+    # a step for each: an item is parsed once, not once for each of its fields
+    items = F.transform(F.transform(F.transform(F.from_json(raw, "array<string>"), read), texts), one)
+    return let(F.filter(items, lambda e: e.isNotNull()), lambda out: F.when(F.size(out) > 0, out))
 
 
 def clamp(events: Column, length: Column) -> Column:
