@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from .ordering import numbered
 from .trajectory import common_prefix
 
@@ -64,14 +65,19 @@ def fill_tokens(prompt: Column, completion: Column, encode: Callable[[Column], C
     completion's tokens are trained, with log probability 0.
     """
     strip = lambda ms: F.transform(ms, lambda m: F.struct(m["role"].alias("role"), F.trim(m["content"]).alias("content")))
-    p, c = strip(prompt), strip(completion)
-    bad = F.exists(c, lambda m: m["role"] != "assistant")
-    ids, full = encode(render(p, F.size(c) > 0)), encode(render(F.concat(p, c), F.lit(False)))
-    cut = common_prefix(ids, full)
-    left, right = F.slice(full, 1, cut), F.slice(full, cut + 1, F.greatest(F.size(full) - cut, F.lit(0)))
-    each = lambda a, v: F.transform(a, lambda x: F.lit(v))
-    out = F.struct(left.alias("prompt_ids"), each(left, False).alias("prompt_mask"), right.alias("completion_ids"), each(right, True).alias("completion_mask"), each(right, 0.0).alias("completion_logprobs"))
-    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a completion message is not the assistant's"))).otherwise(out)
+    each = lambda a, v: F.array_repeat(F.lit(v), F.size(a))
+
+    def split(t: Column) -> Column:
+        left, right = F.slice(t["full"], 1, t["cut"]), F.slice(t["full"], t["cut"] + 1, F.greatest(F.size(t["full"]) - t["cut"], F.lit(0)))
+        return let(F.struct(left.alias("l"), right.alias("r")), lambda s: F.struct(s["l"].alias("prompt_ids"), each(s["l"], False).alias("prompt_mask"), s["r"].alias("completion_ids"), each(s["r"], True).alias("completion_mask"), each(s["r"], 0.0).alias("completion_logprobs")))
+
+    def filled(m: Column) -> Column:
+        ids, full = encode(render(m["p"], F.size(m["c"]) > 0)), encode(render(F.concat(m["p"], m["c"]), F.lit(False)))
+        out = let(F.struct(ids.alias("ids"), full.alias("full")), lambda t: let(F.struct(t["full"].alias("full"), common_prefix(t["ids"], t["full"]).alias("cut")), split))
+        bad = F.exists(m["c"], lambda x: x["role"] != "assistant")
+        return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a completion message is not the assistant's"))).otherwise(out)
+
+    return let(F.struct(strip(prompt).alias("p"), strip(completion).alias("c")), filled)
 
 
 def strip_images(content: Column) -> Column:

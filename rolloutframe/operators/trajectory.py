@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two arrays."""
     shorter = F.least(F.size(a), F.size(b))
     same = F.zip_with(F.slice(a, 1, F.greatest(shorter, F.lit(0))), F.slice(b, 1, F.greatest(shorter, F.lit(0))), lambda x, y: x == y)
-    at = F.array_position(same, F.lit(False))
-    return F.when(at > 0, at - 1).otherwise(shorter).cast("int")
+    return let(F.array_position(same, F.lit(False)), lambda at: F.when(at > 0, at - 1).otherwise(shorter).cast("int"))
 
 
 def extends(prompt: Column, prefix: Column) -> Column:
