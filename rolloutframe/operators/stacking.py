@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import numbered
@@ -78,27 +78,26 @@ def _field(name: str) -> Column:
     return F.transform("_x", lambda x: x[name])
 
 
-def _padded(name: str, pad, kind) -> Column:
-    """The rows of an array, padded to the width _w; null where no row has it, an error where only some have."""
-    fill = F.lit(pad).cast(kind.elementType)
-    whole = F.transform("_x", lambda x: F.concat(x[name], F.array_repeat(fill, F.col("_w") - F.size(x[name]))))
+def _padded(name: str, kind) -> Column:
+    """The padded rows of an array; null where no row has it, an error where only some have."""
     mixed = F.raise_error(F.lit(f"only some rows of a group have {name}")).cast(f"array<{kind.simpleString()}>")
     there = lambda x: x[name].isNotNull()
-    return F.when(F.forall("_x", there), whole).when(F.exists("_x", there), mixed)
+    return F.when(F.forall("_x", there), _field(name)).when(F.exists("_x", there), mixed)
 
 
 def vertical_stack(rows: DataFrame, group: list[str], order: str, arrays: dict[str, object], calls: str | None = None) -> DataFrame:
     """group, each of ``arrays`` as rows padded with its value to the longest, sequence_lengths, and the rows' calls.
 
     An array that only some rows of a group have is an error; one that none has is null. With ``calls`` every row must
-    have some.
+    have some. Rows are padded one by one, behind the shuffle that brings a group together, so that Spark compiles it.
     """
     first = next(iter(arrays))
-    g = _gathered(rows, group, order, [*arrays, *([calls] if calls else [])])
-    width = F.array_max(F.transform("_x", lambda x: F.size(x[first])))
-    g = g.withColumn("_w", width)
-    out = [F.transform("_x", lambda x: F.size(x[first])).alias("sequence_lengths")]
-    out += [_padded(name, pad, rows.schema[name].dataType).alias(name) for name, pad in arrays.items()]
+    sized = rows.withColumn("_n", F.size(first)).withColumn("_w", F.max("_n").over(Window.partitionBy(*group)))
+    fill = {name: F.array_repeat(F.lit(pad).cast(rows.schema[name].dataType.elementType), F.col("_w") - F.size(name)) for name, pad in arrays.items()}
+    sized = sized.withColumns({name: F.concat(name, pads) for name, pads in fill.items()})
+    g = _gathered(sized, group, order, [*arrays, "_n", *([calls] if calls else [])])
+    out = [_field("_n").alias("sequence_lengths")]
+    out += [_padded(name, rows.schema[name].dataType).alias(name) for name in arrays]
     if calls:
         lack = F.exists("_x", lambda x: F.coalesce(F.size(x[calls]), F.lit(0)) <= 0)
         out.append(F.when(lack, F.raise_error(F.lit("a row of a stack has no calls")).cast(f"array<{rows.schema[calls].dataType.simpleString()}>")).otherwise(_field(calls)).alias(calls))

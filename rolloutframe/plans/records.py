@@ -238,7 +238,7 @@ def i10(spark, d):
 
 def _rows(spark, d) -> DataFrame:
     ids = F.transform(F.split("text", " "), F.length)
-    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids"), F.transform(ids, lambda x: F.lit(True)).alias("loss_mask"), F.array("n_chars").alias("calls"))
+    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids"), F.array("n_chars").alias("calls")).withColumn("loss_mask", F.array_repeat(F.lit(True), F.size("input_ids")))
     return stacking.batched(rows, ["doc_id"], 64, "grp")
 
 
@@ -248,7 +248,7 @@ STACKS = f"(SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS grp, {W
 @query("I12_vertical_stack_with_calls", f"SELECT grp, count(*)::INT AS rows, max(n)::INT AS width, string_agg(n::VARCHAR, ',' ORDER BY doc_id) AS lengths, sum(n)::BIGINT AS trained, string_agg(n_chars::VARCHAR, ',' ORDER BY doc_id) AS calls FROM {STACKS} GROUP BY grp")
 def i12(spark, d):
     s = stacking.vertical_stack(_rows(spark, d), ["grp"], "doc_id", {"input_ids": 1, "loss_mask": False}, "calls")
-    trained = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, m: a + F.size(F.filter(m, lambda x: x)))
+    trained = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, m: a + F.size(m) - F.size(F.array_remove(m, F.lit(True))))
     same = F.forall("loss_mask", lambda m: F.size(m) == F.size(F.get("input_ids", F.lit(0))))
     return s.where(same).select("grp", F.size("input_ids").alias("rows"), F.size(F.get("input_ids", F.lit(0))).alias("width"), F.array_join("sequence_lengths", ",").alias("lengths"), trained.alias("trained"), F.array_join(F.flatten("calls"), ",").alias("calls"))
 
