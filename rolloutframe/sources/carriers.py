@@ -27,6 +27,8 @@ GROUPS4 = """
 SELECT * FROM (SELECT r.*, count(*) OVER (PARTITION BY example_id) AS group_size FROM rollouts r) g WHERE group_size >= 4 AND rollout_idx < 4
 """
 
+PART, SMALL = 8 << 20, 1 << 20  # bytes of a table's files for a task
+
 VIEWS = {"rollouts": ROLLOUTS, "groups4": GROUPS4}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,10 +45,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, rows: DataFrame) -> int:
+    """Tasks to deal a table's rows to, by the bytes of its files: each gets PART of them, or a part of SMALL where there are
+    fewer than the session runs at once."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(-(-size // PART), min(-(-size // SMALL), spark.sparkContext.defaultParallelism), 1)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A rollout-shaped view as a DataFrame."""
-    for t in ("lineitem", "orders"):
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    """A rollout-shaped view as a DataFrame.
+
+    Both tables are dealt by the order into as many parts as the larger one's files ask for; the join, the numbering and
+    every later step by example stay in these parts. So a task sorts as many rows however large the tables are: where
+    Spark merges partitions by their compressed bytes, rows that compress well make tasks of many more rows.
+    """
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = parts(spark, lines)
+    lines.repartition(n, "l_orderkey").createOrReplaceTempView("lineitem")
+    orders.repartition(n, "o_orderkey").createOrReplaceTempView("orders")
     spark.sql(ROLLOUTS).createOrReplaceTempView("rollouts")
     return spark.table("rollouts") if name == "rollouts" else spark.sql(VIEWS[name])
 
