@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import datasets, metrics, packing, runs, stacking, trajectory
 from ..operators import tokens as T
 from ..operators.ordering import numbered
-from ..sources.carriers import table, view
+from ..sources.carriers import parts, table, view
 from .data import steps
 from .records import _fair
 from .registry import query, r6
@@ -67,7 +67,8 @@ def c05(spark, d):
     g = view(spark, d, "groups4")
     key = ["example_id", "rollout_idx"]
     a = g.select(*key, (F.col("reward") - F.avg("reward").over(Window.partitionBy("example_id"))).alias("advantage"))
-    return g.select(*key, "completion_len").join(a, key).select(*key, r6("advantage").alias("advantage"), "completion_len")
+    n = parts(spark, table(spark, d, "lineitem"))  # the join is by both keys, so both sides are dealt once more
+    return g.select(*key, "completion_len").repartition(n, *key).join(a.repartition(n, *key), key).select(*key, r6("advantage").alias("advantage"), "completion_len")
 
 
 @query("C07_prefix_pairs", "WITH s AS (SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations) SELECT a.conv_id, a.turn AS prefix, b.turn AS step FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn > a.turn AND length(b.t) > length(a.t) AND starts_with(b.t, a.t)")
