@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,9 +110,36 @@ def top_mismatch(tokens: DataFrame, n: int, scope: str = "mask", key: str | None
     return t.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def _leading(records: DataFrame, n: int, key: str) -> DataFrame:
+    """The records that are among the first ``n`` of their key in their Arrow batch: all that can be among the key's n, and
+    few, so that not all records are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # as Spark orders them: null last, NaN above all
+            kl, keys = b.column(b.schema.get_field_index("mismatch_kl")), b.column(b.schema.get_field_index(key))
+            value = kl.to_numpy(zero_copy_only=False).astype("float64")
+            value = np.where(pc.is_null(kl).to_numpy(zero_copy_only=False), -np.inf, np.where(np.isnan(value), np.inf, value))
+            code = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            kept = np.zeros(len(value), bool)
+            for c in np.unique(code):
+                own = np.flatnonzero(code == c)
+                edge = np.partition(value[own], -n)[-n] if len(own) > n else -np.inf
+                kept[own[value[own] > edge]] = True
+                even = own[value[own] == edge]
+                if len(even) > n and np.isfinite(edge):
+                    seq, pos = (b.column(b.schema.get_field_index(c)).take(pa.array(even)) for c in ("seq_id", "pos"))
+                    if not seq.null_count and not pos.null_count:
+                        even = even[np.lexsort((pos.to_numpy(zero_copy_only=False), seq.to_numpy(zero_copy_only=False)))[:n]]
+                kept[even] = True
+            yield b.filter(pa.array(kept))
+
+    return records.mapInArrow(run, records.schema)
+
+
 def merged_top(records: DataFrame, n: int, rank: str) -> DataFrame:
     """The n records of the largest mismatch KL over all ranks: each rank's own n first, then the best of those."""
-    return top_mismatch(top_mismatch(records, n, "mask", rank), n)
+    return top_mismatch(top_mismatch(_leading(records.where("mask"), n, rank), n, "mask", rank), n)
 
 
 def log_softmax_at(logits: Column, label: Column) -> Column:

@@ -249,7 +249,7 @@ def d36(spark, d):
 @query("F03_merged_top_tokens", LOSS + " SELECT seq_id, pos::INT AS pos, round(kl, 9) + 0.0 AS kl FROM c WHERE mask ORDER BY round(kl, 9) DESC, seq_id, pos LIMIT 20")
 def f03(spark, d):
     t = T.loss_columns(tokens(spark, d)).withColumn("mismatch_kl", F.round("mismatch_kl", 9) + F.lit(0.0)).withColumn("rank", F.col("seq_id") % 8)
-    return T.merged_top(t, 20, "rank").select("seq_id", "pos", F.col("mismatch_kl").alias("kl"))
+    return T.merged_top(t.select("seq_id", "pos", "mismatch_kl", "mask", "rank"), 20, "rank").select("seq_id", "pos", F.col("mismatch_kl").alias("kl"))
 
 
 @query("A18_rollout_digests", """SELECT o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || '}') AS sha256 FROM orders""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rolloutframe.operators import tokens as T
 from rolloutframe.sources import carriers
 
 
@@ -16,6 +17,17 @@ def test_rollouts_are_dealt_by_size(spark, small, monkeypatch):
     monkeypatch.setattr(carriers, "PART", 16 << 10)
     n = carriers.parts(spark, carriers.table(spark, small, "lineitem"))
     assert n > 4
-    for name in ("D01_group_mean_advantage", "D02_length_shaped_advantage", "D03_raw_advantage", "L01_custom_advantage", "L08_normalized_advantage", "B05_online_difficulty_filter", "B15_staleness_filter"):
+    for name in ("D01_group_mean_advantage", "D02_length_shaped_advantage", "D03_raw_advantage", "L01_custom_advantage", "L08_normalized_advantage", "B05_online_difficulty_filter", "B15_staleness_filter", "C05_zip_rollout_advantage"):
         most, every = largest(entry.queries()[name](spark, small))
         assert most < every / 3, name
+
+
+def test_the_top_is_sorted_out_of_few(spark):
+    nan, inf = float("nan"), float("inf")
+    kl = F.when(F.col("pos") == 77, nan).when(F.col("pos") == 78, inf).when(F.col("pos") == 79, None).otherwise((F.col("pos") % 7).cast("double"))
+    t = spark.range(40_000, numPartitions=2).select((F.col("id") % 3).alias("seq_id"), F.col("id").alias("pos"), (F.col("id") % 11 != 0).alias("mask"), (F.col("id") % 5).alias("rank")).withColumn("mismatch_kl", kl)
+    t = t.where("pos % 11 <> 0 or pos in (77)").withColumn("mask", F.col("mask") | (F.col("pos") == 77))
+    want = [(r.seq_id, r.pos) for r in T.top_mismatch(t, 6).collect()]
+    assert [(r.seq_id, r.pos) for r in T.merged_top(t, 6, "rank").collect()] == want and want[0][1] == 77 and want[1][1] == 78
+    assert T._leading(t, 6, "rank").count() <= 6 * 5 * 6
+    assert T.merged_top(t.where("pos in (79, 80)"), 6, "rank").count() == 2
