@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -72,42 +72,76 @@ def first_fit(lengths: list[int], seq_len: int, alone: list[bool] | None = None)
     return out
 
 
-def pack(samples: DataFrame, seq_len: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
-    """keys, sample_id, bin: first-fit decreasing by (lora_idx, -length, arrival) under seq_len.
-
-    Spark sorts ids and lengths by key; a task folds one key after another, and holds one key and adapter at a time.
+def _starts(t: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    """The rows whose values in ``columns`` are not those of the row before; the first one too."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        codes = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by key, as tables that end where a key does."""
+    held: list[pa.RecordBatch] = []
+    last: list[dict] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and b.slice(0, 1).select(list(keys)).to_pylist() != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        at = int(_starts(pa.Table.from_batches([b]), keys)[-1])
+        if at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+            held = []
+        held.append(b.slice(at))
+        last = b.slice(b.num_rows - 1).select(list(keys)).to_pylist()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _placed(samples: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...], length: str) -> DataFrame:
+    """keys, sample_id, bin, worker, slot, is_dummy, length: pack() and the places of a key's bins, in one pass.
+
+    Spark sorts ids and lengths by key, and a task folds one key after another. A key's bins are numbered without gaps, so
+    a bin's number is its place, and their count tells how many dummies follow.
     """
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
-    k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types: list[pa.DataType] = []
-
-        def rows():
-            for b in batches:
-                types[:] = [f.type for f in b.schema][: k + 1]
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-        def told(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(columns[-1], pa.int32())], names=[*keys, "sample_id", "bin"])
-
-        out: list[tuple] = []
-        for _, own in groupby(rows(), key=lambda r: r[:k]):
-            start = 0
-            for _, part in groupby(own, key=lambda r: r[k + 1]):
-                part = list(part)
-                bins = first_fit([min(r[k + 2], seq_len) for r in part], seq_len)
-                out += [(*r[: k + 1], start + b) for r, b in zip(part, bins, strict=True)]
-                start += max(bins) + 1
-            if len(out) > 10_000:
-                yield told(out)
-                out = []
-        if out:
-            yield told(out)
-
-    rows = samples.select(*keys, "sample_id", "lora_idx", length).repartition(*keys).sortWithinPartitions(*keys, "lora_idx", F.desc(length), "sample_id")
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"sample_id {kinds['sample_id']}", "bin int"]))
+        for t in _whole(batches, keys):
+            lengths = [min(n, seq_len) for n in t[length].to_pylist()]
+            opens = set(_starts(t, keys).tolist())
+            bins: list[int] = []
+            first, every = 0, []  # rows at which keys begin, and how many bins they have
+            for i, j in pairwise([*_starts(t, (*keys, "lora_idx")).tolist(), t.num_rows]):
+                if i in opens:
+                    every.append(0)
+                first = every[-1]
+                own = first_fit(lengths[i:j], seq_len)
+                bins += [first + b for b in own]
+                every[-1] = first + max(own) + 1
+            count = np.array(every)
+            pads = -count % workers
+            n = int(pads.sum())
+            at = np.concatenate([np.arange(t.num_rows), np.repeat(sorted(opens), pads)])
+            dummies = np.repeat(count + pads - np.cumsum(pads), pads) + np.arange(n)
+            place = np.concatenate([np.array(bins), dummies]).astype(np.int64)
+            dummy = np.arange(len(at)) >= t.num_rows
+            real = pa.array(np.where(dummy, 0, at), pa.int64(), mask=dummy)
+            columns = {k: t[k].take(pa.array(at)) for k in keys} | {"sample_id": t["sample_id"].take(real), "bin": pa.array(np.where(dummy, 0, place), pa.int32())}
+            columns |= {"worker": pa.array(place % workers), "slot": pa.array(place // workers, pa.int32()), "is_dummy": pa.array(dummy), length: t[length].take(real)}
+            yield from pa.table(columns).combine_chunks().to_batches()
+
+    rows = samples.select(*keys, "lora_idx", "sample_id", length).repartition(*keys).sortWithinPartitions(*keys, "lora_idx", F.desc(length), "sample_id")
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, "sample_id")), "bin int, worker long, slot int, is_dummy boolean", f"`{length}` {kinds[length]}"]))
+
+
+def pack(samples: DataFrame, seq_len: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
+    """keys, sample_id, bin: first-fit decreasing by (lora_idx, -length, arrival) under seq_len."""
+    return _placed(samples, seq_len, 1, keys, length).select(*keys, "sample_id", "bin")
 
 
 def pad_to_multiple(array: Column, multiple: int, value: Column) -> Column:
@@ -246,13 +280,11 @@ def shard(array: Column, rank: Column, ranks: int) -> Column:
 
 
 def single_pack(samples: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...] = ("run_id", "step"), length: str = "n_tokens") -> DataFrame:
-    """keys, sample_id, bin, worker, slot of one run's steps; dummy bins have no sample and is_dummy."""
-    packed = pack(samples, seq_len, keys, length)
-    laid = distribute(packed.select(*keys, "bin").distinct(), workers, keys=keys)
-    real = packed.join(laid.where("not is_dummy"), [*keys, "bin"])
-    dummy = laid.where("is_dummy").withColumn("sample_id", F.lit(None).cast(samples.schema["sample_id"].dataType))
-    names = [*keys, "sample_id", "bin", "worker", "slot", "is_dummy"]
-    return real.select(*names).unionByName(dummy.select(*names))
+    """keys, sample_id, bin, worker, slot, is_dummy, length of one run's steps; dummy bins have no sample and no length.
+
+    Bins have the places that distribute() gives them, told by the task that packs them: ``samples`` are read once.
+    """
+    return _placed(samples, seq_len, workers, keys, length)
 
 
 def _reached(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int, run: str, length: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rolloutframe.operators import events, messages, stacking
+from rolloutframe.operators import events, messages, packing, stacking
 
 
 def plan(df):
@@ -29,3 +29,21 @@ def test_rows_are_padded_outside_lambdas(spark):
     s = stacking.vertical_stack(rows, ["g"], "i", {"a": 9, "b": 0}, "calls")
     assert not any("lambdafunction(concat" in line for line in plan(s).split("\n"))
     assert s.collect() == [(1, [1, 2, 3], [[0, 9, 9], [0, 1, 9], [0, 1, 2]], None, [[1], [2], [3]])]
+
+
+def test_samples_are_packed_once(spark):
+    i = F.col("id")
+    df = spark.range(3000).select((i % 7).cast("string").alias("run_id"), (i % 3).alias("step"), i.alias("sample_id"), (i % 2).alias("lora_idx"), (i * 37 % 70).cast("int").alias("n_tokens"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # keys lie across batches
+    try:
+        laid = packing.single_pack(df, 64, 4)
+        assert plan(laid).count("Range (") == 1
+        got = laid.collect()
+        bins = packing.pack(df, 64).select("run_id", "step", "bin").distinct()
+        want = packing.distribute(bins, 4, keys=("run_id", "step")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(x.run_id, x.step, x.bin, x.worker, x.slot, x.is_dummy) for x in got} == {(x.run_id, x.step, x.bin, x.worker, x.slot, x.is_dummy) for x in want}
+    real = [x for x in got if not x.is_dummy]
+    assert sorted((x.sample_id, x.n_tokens) for x in real) == [(n, n * 37 % 70) for n in range(3000)]
+    assert all(x.sample_id is None and x.n_tokens is None and x.bin == 0 for x in got if x.is_dummy)
