@@ -292,33 +292,39 @@ def _reached(queue: DataFrame, progress: DataFrame, budget: int, order: list[str
     fitting tokens in front of a sample) and _end (the _ahead of the first oversize sample behind a fitting one).
 
     Runs are visited in turn and drained, so a selection is a prefix of the due samples by turn, step and order, without
-    the oversize ones in front of all that fit. Sums of whole runs leave out the runs behind the budget.
+    the oversize ones in front of all that fit. Sums of whole runs leave out the runs behind the budget. The queue is
+    read twice, once for the sums and once for the rows; both are written, as later steps read them more than once.
     """
     runs = numbered(progress.select(run, F.col("step").alias("_due")), [run], "_place")
     count = runs.agg(F.count("*").alias("_runs"))
-    runs = runs.join(F.broadcast(count)).withColumn("_turn", F.pmod(F.col("_place") - start, F.col("_runs"))).drop("_place", "_runs")
+    runs = written(runs.join(F.broadcast(count)).withColumn("_turn", F.pmod(F.col("_place") - start, F.col("_runs"))).drop("_place", "_runs"))
     fits = F.col(length) <= budget
-    due = queue.join(runs, run).where(F.col("step") <= F.col("_due")).withColumn("_fits", fits)
     tokens = F.when(F.col("_fits"), F.col(length)).otherwise(0).cast("long")
-    whole = running_sum(due.groupBy("_turn").agg(F.sum(tokens).alias("_tokens")), ["_turn"], F.col("_tokens"), "_first", inclusive=False)
-    near = whole.where(F.col("_first") <= budget).select("_turn")
-    rows = due.join(near, "_turn").select(run, "step", *order, length, "_turn", "_fits")
+
+    def due(runs: DataFrame) -> DataFrame:
+        return queue.join(runs, run).where(F.col("step") <= F.col("_due")).withColumn("_fits", fits)
+
+    whole = written(due(runs).groupBy(run, "_due", "_turn").agg(F.sum(tokens).alias("_tokens")))
+    whole = running_sum(whole, ["_turn"], F.col("_tokens"), "_first", inclusive=False)
+    near = written(whole.where(F.col("_first") <= budget).select(run, "_due", "_turn"))
+    rows = written(due(near).select(*queue.columns, "_turn", "_fits"))
     rows = running_sum(rows, ["_turn", "step", *order], tokens, "_ahead", inclusive=False)
     end = rows.where(~F.col("_fits") & (F.col("_ahead") > 0)).agg(F.min("_ahead").alias("_end"))
     return written(rows.join(F.broadcast(end)))
 
 
 def fair_selection(queue: DataFrame, progress: DataFrame, budget: int, order: list[str], start: int = 0, run: str = "run", length: str = "n_tokens") -> tuple[DataFrame, int]:
-    """(run, step, order, length, turn of the samples that round robin takes under a token budget; next start).
+    """(the samples that round robin takes under a token budget, with the queue's columns and their turn; next start).
 
     Runs stand in a ring by name, and ``start`` is the place of the first one. A run is drained of its due samples while
     its head fits; the first head that does not fit ends the selection. Oversize samples in front of all that fit are
     passed over. The next selection starts behind the last run that was visited.
     """
+    progress = written(progress.select(run, "step"))
     rows = _reached(queue, progress, budget, order, start, run, length)
     open_ = F.col("_ahead") < F.coalesce(F.col("_end"), F.lit(budget + 1))
     taken = rows.where(F.col("_fits") & open_ & (F.col("_ahead") + F.col(length) <= budget))
-    chosen = numbered(taken.select(run, "step", *order, length, "_turn"), ["_turn", "step", *order], "turn").withColumn("turn", F.col("turn").cast("int"))
+    chosen = numbered(taken.select(*queue.columns, "_turn"), ["_turn", "step", *order], "turn").withColumn("turn", F.col("turn").cast("int"))
     stop = F.least(F.coalesce(F.col("_end"), F.lit(budget)), F.lit(budget))
     ends = F.min(F.when(~F.col("_fits") & (F.col("_ahead") > 0) & (F.col("_ahead") == F.col("_end")) & (F.col("_end") < budget), F.col("_turn")))
     last = rows.agg(F.coalesce(ends, F.max(F.when(F.col("_ahead") < stop, F.col("_turn")))).alias("at")).first()["at"]
@@ -349,8 +355,7 @@ def multi_pack(queue: DataFrame, progress: DataFrame, seq_len: int, workers: int
     ``queue``: run, step, sample_id, lora_idx, n_tokens and the columns of ``order``.
     """
     chosen, following = fair_selection(queue, progress, seq_len * workers, order, start)
-    samples = chosen.join(queue.select("run", "step", *order, "sample_id", "lora_idx"), ["run", "step", *order])
-    return single_pack(samples, seq_len, workers, keys=("run",)), advance_progress(queue, chosen, progress, order), following
+    return single_pack(chosen, seq_len, workers, keys=("run",)), advance_progress(queue, chosen, progress, order), following
 
 
 def enough_at(rows: DataFrame, order: list, length: str, threshold: int) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import datasets, metrics, packing, runs, stacking, trajectory
 from ..operators import tokens as T
 from ..operators.ordering import numbered
 from ..sources.carriers import parts, table, view
+from ..sources.shared import written
 from .data import steps
 from .records import _fair
 from .registry import query, r6
@@ -165,6 +166,7 @@ def f04(spark, d):
 def f17(spark, d):
     n = F.col("completion_len") + F.col("prompt_len")
     queue = view(spark, d, "rollouts").select(F.concat(F.lit("run_"), F.col("client")).alias("run"), F.lit(0).cast("long").alias("step"), "example_id", "rollout_idx", n.alias("n_tokens"))
+    queue = written(queue)
     progress = queue.select("run").distinct().withColumn("step", F.lit(0).cast("long"))
     return packing.select_fair(queue, progress, 65_536, ["example_id", "rollout_idx"]).groupBy("run").agg(F.count("*").alias("n"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import events, messages, packing, stacking, trajectory, turns
 from ..sources.carriers import table, view
+from ..sources.shared import written
 from .data import steps
 from .registry import query
 
@@ -299,8 +300,10 @@ def i07(spark, d):
 
 
 def _queue(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Rollouts waiting in the queues of their clients, and how far each run is."""
-    r = view(spark, d, "rollouts").select(F.col("client").alias("run"), F.col("version").alias("step"), "example_id", "rollout_idx", (F.col("example_id") * 10 + F.col("rollout_idx")).alias("sample_id"), F.lit(0).alias("lora_idx"), (F.col("completion_len") + F.col("prompt_len")).alias("n_tokens"))
+    """Rollouts waiting in the queues of their clients, and how far each run is. The queue is written, as a selection reads
+    it more than once and the view joins and numbers whole tables."""
+    r = written(view(spark, d, "rollouts").select(F.col("client").alias("run"), F.col("version").alias("step"), "example_id", "rollout_idx", (F.col("completion_len") + F.col("prompt_len")).alias("n_tokens")))
+    r = r.withColumns({"sample_id": F.col("example_id") * 10 + F.col("rollout_idx"), "lora_idx": F.lit(0)})
     zero = F.lit(0).cast("long")
     return r, r.groupBy("run").agg((F.min("step") + F.col("run") % 2).alias("step")).withColumns({"total_samples": zero, "total_tokens": zero})
 
@@ -325,10 +328,9 @@ TURNS_START = 3
 def i08(spark, d):
     queue, progress = _queue(spark, d)
     grid, _, _ = packing.multi_pack(queue, progress, 4096, 64, ["example_id", "rollout_idx"], TURNS_START)
-    sizes = queue.select("run", "sample_id", "n_tokens")
-    bins = grid.join(sizes, ["run", "sample_id"], "left").groupBy("run", "worker", "slot").agg(F.count("sample_id").alias("c"), F.sum("n_tokens").alias("t"), F.count_distinct("bin", "is_dummy").alias("k"))
+    bins = _places(grid, "run")
     # every worker has as many bins of a run, a bin is in one place and holds what fits
-    return bins.groupBy("run").agg(F.sum("c").alias("samples"), F.sum("t").cast("long").alias("tokens"), ((F.count("*") == 64 * (F.max("slot") + 1)) & (F.max("k") == 1) & (F.max("t") <= 4096)).alias("even"))
+    return bins.groupBy("run").agg(F.sum("c").alias("samples"), F.sum("t").cast("long").alias("tokens"), ((F.count("*") == 64 * (F.max("slot") + 1)) & F.bool_and("one") & (F.max("t") <= 4096)).alias("even"))
 
 
 @query("I09_run_progress", _fair(262_144, TURNS_START, FIRST_STEP, """, r AS (SELECT q.run, min(q.step) AS next FROM q LEFT JOIN s ON q.run = s.run AND q.step = s.step AND q.example_id = s.example_id AND q.rollout_idx = s.rollout_idx WHERE s.run IS NULL GROUP BY q.run)

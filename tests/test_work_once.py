@@ -47,3 +47,21 @@ def test_samples_are_packed_once(spark):
     real = [x for x in got if not x.is_dummy]
     assert sorted((x.sample_id, x.n_tokens) for x in real) == [(n, n * 37 % 70) for n in range(3000)]
     assert all(x.sample_id is None and x.n_tokens is None and x.bin == 0 for x in got if x.is_dummy)
+
+
+def test_a_queue_is_read_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    i = F.col("id")
+    queue = spark.range(600).select((i % 5).alias("run"), F.lit(0).alias("step"), i.alias("idx"), (i * 2).alias("sample_id"), F.lit(0).alias("lora_idx"), (i % 9 + 1).cast("int").alias("n_tokens"))
+    queue = queue.mapInArrow(counted, queue.schema)
+    progress = spark.range(5).select(i.alias("run"), F.lit(0).alias("step"), F.lit(0).alias("total_samples"), F.lit(0).alias("total_tokens"))
+    grid, _, _ = packing.multi_pack(queue, progress, 64, 4, ["idx"])
+    got = [x for x in grid.collect() if not x.is_dummy]
+    assert read.value <= 2 * 600
+    assert 0 < sum(x.n_tokens for x in got) <= 256 and all(x.n_tokens == x.sample_id // 2 % 9 + 1 for x in got)
