@@ -28,6 +28,7 @@ SELECT * FROM (SELECT r.*, count(*) OVER (PARTITION BY example_id) AS group_size
 """
 
 PART, SMALL = 8 << 20, 1 << 20  # bytes of a table's files for a task
+ROWS = 1 << 18  # most rows for a task
 
 VIEWS = {"rollouts": ROLLOUTS, "groups4": GROUPS4}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,10 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, rows: DataFrame) -> int:
-    """Tasks to deal a table's rows to, by the bytes of its files: each gets PART of them, or a part of SMALL where there are
-    fewer than the session runs at once."""
+    """Tasks to deal a table's rows to: each gets PART bytes of its files, or a part of SMALL where there are fewer than the
+    session runs at once, and no more than ROWS rows, which files that compress well hold in few bytes. Rows are counted
+    from the footers of the files."""
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(-(-size // PART), min(-(-size // SMALL), spark.sparkContext.defaultParallelism), 1)
+    return max(-(-size // PART), -(-rows.count() // ROWS), min(-(-size // SMALL), spark.sparkContext.defaultParallelism), 1)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,6 +22,13 @@ def test_rollouts_are_dealt_by_size(spark, small, monkeypatch):
         assert most < every / 3, name
 
 
+def test_rows_that_compress_well_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lineitem.parquet")
+    spark.range(300_000).select((F.col("id") % 2).alias("l_orderkey")).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(carriers, "ROWS", 10_000)
+    assert carriers.parts(spark, carriers.table(spark, str(tmp_path), "lineitem")) == 30
+
+
 def test_the_top_is_sorted_out_of_few(spark):
     nan, inf = float("nan"), float("inf")
     kl = F.when(F.col("pos") == 77, nan).when(F.col("pos") == 78, inf).when(F.col("pos") == 79, None).otherwise((F.col("pos") % 7).cast("double"))
