@@ -29,6 +29,8 @@ SELECT * FROM (SELECT r.*, count(*) OVER (PARTITION BY example_id) AS group_size
 
 PART, SMALL = 8 << 20, 1 << 20  # bytes of a table's files for a task
 ROWS = 1 << 18  # most rows for a task
+READ = 1 << 20  # most rows of files for a task that reads
+SPLIT = "spark.sql.files.maxPartitionBytes"
 
 VIEWS = {"rollouts": ROLLOUTS, "groups4": GROUPS4}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,12 +48,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extent(rows: DataFrame) -> tuple[int, int]:
+    """Bytes of a table's files and its rows, which are counted from the footers of the files."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), rows.count()
+
+
+def dealt(spark: SparkSession, size: int, rows: int) -> int:
+    """Tasks to deal a table to: each gets PART bytes of its files, or a part of SMALL where there are fewer than the session
+    runs at once, and no more than ROWS rows, which files that compress well hold in few bytes."""
+    return max(-(-size // PART), -(-rows // ROWS), min(-(-size // SMALL), spark.sparkContext.defaultParallelism), 1)
+
+
 def parts(spark: SparkSession, rows: DataFrame) -> int:
-    """Tasks to deal a table's rows to: each gets PART bytes of its files, or a part of SMALL where there are fewer than the
-    session runs at once, and no more than ROWS rows, which files that compress well hold in few bytes. Rows are counted
-    from the footers of the files."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(-(-size // PART), -(-rows.count() // ROWS), min(-(-size // SMALL), spark.sparkContext.defaultParallelism), 1)
+    """Tasks to deal a table's rows to."""
+    return dealt(spark, *extent(rows))
+
+
+def bounded_reads(spark: SparkSession, size: int, rows: int) -> None:
+    """No task of the session reads more bytes of files than READ rows of this table take; a smaller setting stays.
+
+    Beyond 200 parts (spark.shuffle.sort.bypassMergeThreshold) a shuffle's writer sorts what its task has read in memory. A
+    task still reads a whole row group, however large.
+    """
+    most = max(size * READ // max(rows, 1), SMALL)
+    if most < spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        spark.conf.set(SPLIT, f"{most}b")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +80,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     Both tables are dealt by the order into as many parts as the larger one's files ask for; the join, the numbering and
     every later step by example stay in these parts. So a task sorts as many rows however large the tables are: where
-    Spark merges partitions by their compressed bytes, rows that compress well make tasks of many more rows.
+    Spark merges partitions by their compressed bytes, rows that compress well make tasks of many more rows. Tasks that read
+    the files are bounded by rows too.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    n = parts(spark, lines)
+    size, rows = extent(lines)
+    n = dealt(spark, size, rows)
+    bounded_reads(spark, size, rows)
     lines.repartition(n, "l_orderkey").createOrReplaceTempView("lineitem")
     orders.repartition(n, "o_orderkey").createOrReplaceTempView("orders")
     spark.sql(ROLLOUTS).createOrReplaceTempView("rollouts")

@@ -1,5 +1,7 @@
 """What one task sorts does not grow with the tables."""
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -29,6 +31,25 @@ def test_rows_that_compress_well_are_dealt_by_number(spark, tmp_path, monkeypatc
     assert carriers.parts(spark, carriers.table(spark, str(tmp_path), "lineitem")) == 30
 
 
+@pytest.mark.parametrize("name", ["B15_staleness_filter"])
+def test_tasks_that_read_rollouts_are_bounded_by_rows(spark, small, tmp_path, monkeypatch, name):
+    for t in ("lineitem", "orders"):
+        pq.write_table(pq.read_table(f"{small}/{t}.parquet"), f"{tmp_path}/{t}.parquet", row_group_size=500)
+    old = spark.conf.get(carriers.SPLIT)
+    monkeypatch.setattr(carriers, "READ", 1_000)
+    monkeypatch.setattr(carriers, "SMALL", 1 << 10)
+    try:
+        rows = entry.queries()[name](spark, str(tmp_path))
+        most, every = largest(carriers.table(spark, str(tmp_path), "lineitem"))
+        assert every > 5_000 and most <= 1_500
+        assert sorted(rows.collect()) == sorted(entry.queries()[name](spark, small).collect())
+        spark.conf.set(carriers.SPLIT, "1k")
+        entry.queries()[name](spark, str(tmp_path))
+        assert spark.conf.get(carriers.SPLIT) == "1k"
+    finally:
+        spark.conf.set(carriers.SPLIT, old)
+
+
 def test_the_top_is_sorted_out_of_few(spark):
     nan, inf = float("nan"), float("inf")
     kl = F.when(F.col("pos") == 77, nan).when(F.col("pos") == 78, inf).when(F.col("pos") == 79, None).otherwise((F.col("pos") % 7).cast("double"))
