@@ -31,7 +31,7 @@ def test_rows_that_compress_well_are_dealt_by_number(spark, tmp_path, monkeypatc
     assert carriers.parts(spark, carriers.table(spark, str(tmp_path), "lineitem")) == 30
 
 
-@pytest.mark.parametrize("name", ["B15_staleness_filter"])
+@pytest.mark.parametrize("name", ["B15_staleness_filter", "D03_raw_advantage"])
 def test_tasks_that_read_rollouts_are_bounded_by_rows(spark, small, tmp_path, monkeypatch, name):
     for t in ("lineitem", "orders"):
         pq.write_table(pq.read_table(f"{small}/{t}.parquet"), f"{tmp_path}/{t}.parquet", row_group_size=500)
