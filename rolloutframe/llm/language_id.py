@@ -169,6 +169,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     each = ids.groupBy("_lang").agg(F.count("*").alias("_count"))
     each = saved(each)
     languages = each.count()
+    if not languages:
+        delete(each)
+        return None
     share = F.lit(float(SAMPLE)) / languages / F.col("_count")
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shares = each.select("_lang", share.alias("_share"))
