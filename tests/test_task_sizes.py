@@ -1,5 +1,7 @@
 """What one task sorts does not grow with the tables."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def test_rows_that_compress_well_are_dealt_by_number(spark, tmp_path, monkeypatc
     assert carriers.parts(spark, carriers.table(spark, str(tmp_path), "lineitem")) == 30
 
 
+def test_raw_advantage_has_tasks_as_large_on_a_larger_table(spark, small, tmp_path, monkeypatch):
+    for t, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        rows = pq.read_table(f"{small}/{t}.parquet")
+        i, shift = rows.schema.get_field_index(key), pc.max(pq.read_table(f"{small}/orders.parquet")["o_orderkey"]).as_py() + 1
+        copies = [rows.set_column(i, rows.schema.field(i), pc.add(rows[key], k * shift)) for k in range(6)]
+        pq.write_table(pa.concat_tables(copies), f"{tmp_path}/{t}.parquet")
+    monkeypatch.setattr(carriers, "ROWS", 1_000, raising=False)
+    most, every = largest(entry.queries()["D03_raw_advantage"](spark, small))
+    larger, all_six = largest(entry.queries()["D03_raw_advantage"](spark, str(tmp_path)))
+    assert all_six == 6 * every and larger < 2 * most
+
+
 @pytest.mark.parametrize("name", ["B15_staleness_filter", "D03_raw_advantage"])
 def test_tasks_that_read_rollouts_are_bounded_by_rows(spark, small, tmp_path, monkeypatch, name):
     for t in ("lineitem", "orders"):
