@@ -14,6 +14,8 @@ from .trajectory import common_prefix
 # The text in place of a consumed image, and the starts of addresses that hold one.
 STRIPPED = "[preprocessed image]"
 IMAGE_STARTS = ("data:image", "file://")
+# All that Unicode calls a space, which line breaks and tabs are not.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 MESSAGE = "struct<role: string, content: string, tool_calls: string>"
 
 
@@ -58,18 +60,20 @@ def render(messages: Column, generation: Column) -> Column:
     return F.when(generation, F.concat(body, F.lit("<|im_start|>assistant\n"))).otherwise(body)
 
 
-def fill_tokens(prompt: Column, completion: Column, encode: Callable[[Column], Column]) -> Column:
+def fill_tokens(prompt: Column, completion: Column, encode: Callable[[Column], Column], number: Callable[[Column], Column] | None = None) -> Column:
     """struct(prompt_ids, prompt_mask, completion_ids, completion_mask, completion_logprobs) of a step from its messages.
 
-    ``encode`` turns a text into tokens. The whole is split where the rendered prompt stops being its prefix; the
-    completion's tokens are trained, with log probability 0.
+    ``encode`` turns a text into tokens, ``number`` a token into its id, where tokens are not ids yet. The whole is split
+    where the rendered prompt stops being its prefix; tokens are compared, not their ids, so different tokens may share an
+    id. The completion's tokens are trained, with log probability 0. Contents lose the spaces at their ends.
     """
-    strip = lambda ms: F.transform(ms, lambda m: F.struct(m["role"].alias("role"), F.trim(m["content"]).alias("content")))
+    strip = lambda ms: F.transform(ms, lambda m: F.struct(m["role"].alias("role"), F.btrim(m["content"], F.lit(SPACES)).alias("content")))
+    as_ids = lambda a: F.transform(a, number) if number else a
     each = lambda a, v: F.array_repeat(F.lit(v), F.size(a))
 
     def split(t: Column) -> Column:
         left, right = F.slice(t["full"], 1, t["cut"]), F.slice(t["full"], t["cut"] + 1, F.greatest(F.size(t["full"]) - t["cut"], F.lit(0)))
-        return let(F.struct(left.alias("l"), right.alias("r")), lambda s: F.struct(s["l"].alias("prompt_ids"), each(s["l"], False).alias("prompt_mask"), s["r"].alias("completion_ids"), each(s["r"], True).alias("completion_mask"), each(s["r"], 0.0).alias("completion_logprobs")))
+        return let(F.struct(as_ids(left).alias("l"), as_ids(right).alias("r")), lambda s: F.struct(s["l"].alias("prompt_ids"), each(s["l"], False).alias("prompt_mask"), s["r"].alias("completion_ids"), each(s["r"], True).alias("completion_mask"), each(s["r"], 0.0).alias("completion_logprobs")))
 
     def filled(m: Column) -> Column:
         ids, full = encode(render(m["p"], F.size(m["c"]) > 0)), encode(render(F.concat(m["p"], m["c"]), F.lit(False)))

@@ -20,8 +20,12 @@ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BE
 a AS (SELECT *, conv_id % 5 = 0 AND turn >= 5 AS apart, CASE WHEN conv_id % 5 = 0 AND turn >= 5 THEN least(before, 3) ELSE before END AS shown FROM b WHERE role = 'assistant')"""
 
 
+def _id(word) -> F.Column:
+    return (F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long") % 128000).cast("int")
+
+
 def _ids(text) -> F.Column:
-    return F.transform(F.split(text, " "), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 128000).cast("int"))
+    return F.transform(F.split(text, " "), _id)
 
 
 @query("H08_event_coercion", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 2 END AS n, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 97 END AS first_evicted, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 11 END::INT AS first_start,
@@ -141,9 +145,9 @@ n AS (SELECT conv_id, done, string_split(p || CASE WHEN done THEN '<|im_start|>a
 SELECT conv_id, (len(p) - done::INT)::INT AS prompt, (len(f) - len(p) + done::INT)::INT AS completion FROM n""")
 def h01(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))).alias("m"))
-    done = F.element_at("m", -1)["role"] == "assistant"
-    last = F.size("m") - F.when(done, 1).otherwise(0)
-    tokens = messages.fill_tokens(F.slice("m", 1, last), F.slice("m", last + 1, 1), _ids)
+    # the answers of the last turn are the completion; words of one id are still two words
+    answer = lambda x: F.coalesce((x["turn"] == F.element_at("m", -1)["turn"]) & (x["role"] == "assistant"), F.lit(False))
+    tokens = messages.fill_tokens(F.filter("m", lambda x: ~answer(x)), F.filter("m", answer), lambda text: F.split(text, " "), _id)
     return c.select("conv_id", tokens.alias("t")).select("conv_id", F.size("t.prompt_ids").alias("prompt"), F.size("t.completion_ids").alias("completion"))
 
 

@@ -361,3 +361,29 @@ def test_no_word_ends_a_message(spark, tmp_path):
     names = ("conv_id", "tokens", "trained", "calls", "events", "evicted")
     got = entry.queries()["H20_turn_eviction"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(entry.oracle_sql()["H20_turn_eviction"]).select(*names).fetchall())
+
+
+def filled_and_wanted(spark, path, select):
+    con = duckdb.connect()
+    con.sql(select).write_parquet(str(path / "conversations.parquet"))
+    con.execute(f"create view conversations as select * from read_parquet('{path}/conversations.parquet')")
+    got = entry.queries()["H01_filled_tokens"](spark, str(path)).collect()
+    return sorted(map(tuple, got)), sorted(con.sql(entry.oracle_sql()["H01_filled_tokens"]).fetchall())
+
+
+def test_words_of_one_id_are_two_words(spark, tmp_path):
+    # the head of the answer has the hash of that head with the answer's first word, in all conversations but the last
+    got, want = filled_and_wanted(spark, tmp_path, """SELECT c::BIGINT AS conv_id, t::BIGINT AS turn, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE t WHEN 0 THEN 'de ' || p ELSE a || ' la' END AS text
+    FROM (VALUES (0, 'su.', 'Ciónci'), (1, 'Is.', 'Ener'), (2, 'enes.', 'Las'), (3, 'zu.', 'Leeux'), (4, 'the.', 'The')) x(c, p, a), range(2) y(t)""")
+    assert got == want == [(c, 1, 2) for c in range(5)]
+
+
+def test_messages_lose_what_unicode_calls_a_space(spark, tmp_path):
+    got, want = filled_and_wanted(spark, tmp_path, """SELECT c::BIGINT AS conv_id, t::BIGINT AS turn, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END AS role, e || ' a' || e || 'b ' || e AS text
+    FROM (SELECT row_number() OVER () AS c, chr(s) AS e FROM (VALUES (32), (160), (5760), (8195), (8202), (8239), (8287), (12288), (9), (10), (13), (133), (8203), (8232)) v(s)) x, range(2) y(t)""")
+    assert got == want and len(got) == 14
+
+
+def test_answers_of_one_turn_are_one_completion(spark, tmp_path):
+    got, want = filled_and_wanted(spark, tmp_path, """SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 'user', 'a b'), (0, 1, 'assistant', 'c d e'), (0, 1, 'assistant', 'c d e'), (1, 0, 'user', 'a'), (1, 1, 'user', 'b c'), (1, 1, 'assistant', 'd'), (2, 0, 'assistant', NULL), (3, 0, 'user', '')) x(conv_id, turn, role, text)""")
+    assert got == want and len(got) == 4
