@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+GATHERED = 10_000  # records of which a task takes the leading ones at once
+
 
 def gibberish_index(ids: Column, logprobs: Column, id_threshold: int, vocab: int, offset: float) -> Column:
     """Position of the first token that is rare by id and improbable by ln(vocab) + offset; null if none. Arrays in."""
@@ -111,11 +113,23 @@ def top_mismatch(tokens: DataFrame, n: int, scope: str = "mask", key: str | None
 
 
 def _leading(records: DataFrame, n: int, key: str) -> DataFrame:
-    """The records that are among the first ``n`` of their key in their Arrow batch: all that can be among the key's n, and
-    few, so that not all records are sorted."""
+    """The records that are among the first ``n`` of their key in GATHERED records or more: all that can be among the key's
+    n, and few, so that not all records are sorted. The session's Arrow batches may be smaller."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= GATHERED:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
             # as Spark orders them: null last, NaN above all
             kl, keys = b.column(b.schema.get_field_index("mismatch_kl")), b.column(b.schema.get_field_index(key))
             value = kl.to_numpy(zero_copy_only=False).astype("float64")

@@ -73,3 +73,17 @@ def test_the_top_is_sorted_out_of_few(spark):
     assert [(r.seq_id, r.pos) for r in T.merged_top(t, 6, "rank").collect()] == want and want[0][1] == 77 and want[1][1] == 78
     assert T._leading(t, 6, "rank").count() <= 6 * 5 * 6
     assert T.merged_top(t.where("pos in (79, 80)"), 6, "rank").count() == 2
+
+
+def test_the_top_is_sorted_out_of_few_in_small_batches(spark):
+    kl = F.when(F.col("pos") == 77, None).otherwise((F.col("pos") * 7919 % 10_007).cast("double"))
+    t = spark.range(40_000, numPartitions=2).select((F.col("id") % 3).alias("seq_id"), F.col("id").alias("pos"), F.lit(True).alias("mask"), (F.col("id") % 5).alias("rank")).withColumn("mismatch_kl", kl)
+    batch, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("2000", "64", "0"):
+            spark.conf.set(batch, rows)
+            assert T._leading(t, 6, "rank").count() <= 6 * 5 * 6
+            assert T.merged_top(t, 6, "rank").collect() == T.top_mismatch(t, 6).collect()
+            assert T._leading(t.where("pos < 0"), 6, "rank").count() == 0
+    finally:
+        spark.conf.set(batch, old)
